@@ -630,3 +630,174 @@ def single_species_response(spark, d):
     """One taxon's MaxN rows with a response label."""
     m = _maxn(spark, d).withColumn("__l", taxon_label("genus", "species"))
     return P.single_species_response(m, V.FOCAL_LABEL, "Abundance of BR", taxon="__l").drop("__l")
+
+
+# ================================================================ charts
+
+def _depth(spark, d):
+    return _roster(spark, d).select("sample", "site", "depth_m")
+
+
+@register("hist_30", _with(ROSTER_OK, ("st", """SELECT min(depth_m) AS lo, (max(depth_m) - min(depth_m)) / 29 AS width
+    FROM roster_ok"""), ("b", """SELECT CAST(greatest(ceil((depth_m - (lo - width / 2) - 1e-7 * width) / width), 1) AS INTEGER) AS bin
+    FROM roster_ok, st WHERE depth_m IS NOT NULL"""), ("g", """SELECT CAST(i AS INTEGER) AS bin,
+    (lo - width / 2) + (i - 1) * width AS lower, (lo - width / 2) + i * width AS upper FROM st, range(1, 31) t(i)""")) + """
+SELECT g.bin, ROUND(g.lower, 6) AS lower, ROUND(g.upper, 6) AS upper, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM g LEFT JOIN (SELECT bin, count(*) AS n FROM b GROUP BY bin) c ON c.bin = g.bin""")
+def hist_30(spark, d):
+    """V1: ggplot-style 30-bin histogram of depth (right-closed, empty bins kept)."""
+    from abundance.operators.charts import hist_bins
+    return fin(hist_bins(_depth(spark, d), "depth_m", bins=30))
+
+
+@register("hist_sturges", None)
+def hist_sturges(spark, d):
+    """V1: R hist() bins (Sturges count, pretty breaks) of total abundance."""
+    from abundance.operators.charts import hist_bins
+    t = agg.sum_counts(_maxn(spark, d), ["sample"], out="number")
+    return fin(hist_bins(t, "number"))
+
+
+@register("rescale_sand", _with(*HABITAT_CTES) + """
+SELECT sample, ROUND(sand, 6) AS sand,
+  ROUND((sand - min(sand) OVER ()) / (max(sand) OVER () - min(sand) OVER ()), 6) AS sand_pos FROM habitat""")
+def rescale_sand(spark, d):
+    """V2: value -> palette position in [0, 1] over the domain."""
+    from abundance.operators.charts import rescale
+    return fin(rescale(_habitat(spark, d).select("sample", "sand"), "sand"))
+
+
+@register("map_points", _with(ROSTER_OK, *maxn_ctes(), ("ab", """SELECT r.sample, r.longitude_dd, r.latitude_dd,
+    CAST(coalesce(t.n, 0) AS BIGINT) AS value FROM roster_ok r
+    LEFT JOIN (SELECT sample, sum(count) AS n FROM maxn GROUP BY 1) t ON t.sample = r.sample""")) + """
+SELECT ROUND(longitude_dd, 6) AS lon, ROUND(latitude_dd, 6) AS lat, value, ROUND(value / 5.0, 6) AS radius,
+  CAST(sample AS VARCHAR) AS label,
+  ROUND((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()), 6) AS colour FROM ab""")
+def map_points(spark, d):
+    """V3: circle-marker layer of total abundance (true zeros)."""
+    from abundance.operators.charts import map_points as mp
+    t = agg.sum_counts(_maxn(spark, d), ["sample"], out="value")
+    z = joins.zero_fill(t, _roster(spark, d).select("sample", "longitude_dd", "latitude_dd"), ["sample"], ["value"])
+    return fin(mp(z, "longitude_dd", "latitude_dd", "value", "sample"))
+
+
+@register("composition_shares", _with(CLASSIFIED, COMPOSITION, ("lng", """
+    SELECT sample, 'posidonia' AS habitat, posidonia AS number FROM composition UNION ALL
+    SELECT sample, 'sand', sand FROM composition UNION ALL SELECT sample, 'turf', turf FROM composition""")) + """
+SELECT sample, habitat, number, ROUND(number / nullif(sum(number) OVER (PARTITION BY sample), 0), 6) AS share FROM lng""")
+def composition_shares(spark, d):
+    """V4: class shares per deployment (pie data) from the long composition."""
+    from abundance.operators.charts import composition_shares as cs
+    comp = P.benthos_composition(V.benthos(spark, d), V.HABITAT_RULES, V.HABITAT_CLASSES)
+    return fin(cs(comp.select("sample", "habitat", "number"), ["sample"], "habitat", "number"))
+
+
+@register("scatter_points", _with(*HABITAT_CTES) + """
+SELECT ROUND(turf, 6) AS turf, ROUND(depth_m, 6) AS depth_m FROM habitat WHERE turf IS NOT NULL AND depth_m IS NOT NULL""")
+def scatter_points(spark, d):
+    """V5: two columns for a scatter plot (whole table, no sampling)."""
+    from abundance.operators.charts import scatter_points as sp
+    return fin(sp(_habitat(spark, d), "turf", "depth_m"))
+
+
+# ================================================================ models
+
+def _frame(spark, d):
+    """Model frame (C8) with true zeros: total abundance per successful
+    deployment + habitat covariates."""
+    t = agg.sum_counts(_maxn(spark, d), ["sample"], out="number")
+    z = joins.zero_fill(t, _roster(spark, d).select("sample"), ["sample"], ["number"])
+    return joins.natural_join(z, _habitat(spark, d), "left", on=["sample"])
+
+
+GLM_SITE_SQL = _with(ROSTER_OK, *maxn_ctes(), ("ab", """SELECT r.sample, r.site, CAST(coalesce(t.n, 0) AS DOUBLE) AS y
+    FROM roster_ok r LEFT JOIN (SELECT sample, sum(count) AS n FROM maxn GROUP BY 1) t ON t.sample = r.sample
+    WHERE r.site IS NOT NULL"""), ("g", "SELECT site, avg(y) AS m, sum(y) AS s FROM ab GROUP BY site"),
+    ("ref", "SELECT * FROM g ORDER BY site LIMIT 1")) + """
+SELECT '(Intercept)' AS term, ROUND(ln(ref.m), 4) AS estimate, ROUND(1 / sqrt(ref.s), 4) AS se FROM ref
+UNION ALL
+SELECT 'site' || g.site, ROUND(ln(g.m / ref.m), 4), ROUND(sqrt(1 / g.s + 1 / ref.s), 4) FROM g, ref WHERE g.site <> ref.site"""
+
+
+@register("glm_site", GLM_SITE_SQL)
+def glm_site(spark, d):
+    """M1: Poisson GLM number ~ site (factor, alphabetical reference);
+    closed form: intercept ln mean(ref), coefficients ln mean ratios."""
+    from abundance.models.glm import glm
+    f = glm(_frame(spark, d), "number", ["site"])
+    rows = [(t, round(b, 4), round(s, 4)) for t, b, s, _z, _p in f.table()]
+    return spark.createDataFrame(rows, "term string, estimate double, se double")
+
+
+@register("glm_models", None)
+def glm_models(spark, d):
+    """M1 + M4 + M5: glm0 site, glm1 depth + site, glm2 depth + posidonia,
+    depth * posidonia; coefficient tables and the AIC table."""
+    from abundance.models.glm import aic_table, coef_table, glm
+    fr = _frame(spark, d).withColumn("depth_m", F.col("depth_m") / 100000.0).cache()
+    fits = {"glm0": glm(fr, "number", ["site"]), "glm1": glm(fr, "number", ["depth_m", "site"]),
+            "glm2": glm(fr, "number", ["depth_m", "posidonia"]),
+            "glm3": glm(fr, "number", ["depth_m*posidonia"])}
+    fr.unpersist()
+    coefs = coef_table(spark, fits, 4)
+    aics = aic_table(spark, fits).select("model", F.round("aic", 4).alias("aic"), "df", "n_used")
+    return coefs.join(aics, on="model", how="left")
+
+
+@register("zip_depth", None)
+def zip_depth(spark, d):
+    """M2: zero-inflated Poisson number ~ depth + sand (both parts)."""
+    from abundance.models.zip import zip_model
+    fr = _frame(spark, d).withColumn("depth_m", F.col("depth_m") / 100000.0).withColumn("sand", F.col("sand") / 100.0)
+    f = zip_model(fr, "number", ["depth_m", "sand"])
+    rows = [(t, round(b, 4), round(s, 4), round(f.aic, 4)) for t, b, s, _z, _p in f.table()]
+    return spark.createDataFrame(rows, "term string, estimate double, se double, aic double")
+
+
+@register("spline_prediction", None)
+def spline_prediction(spark, d):
+    """M6 + M8 + M9 + A21 + V6: smooth of sand (k = 3 natural spline,
+    unpenalised Poisson), 20-point grid, mean and se on the response scale."""
+    from abundance.models.predict import average_predictions, prediction_grid, predict_se
+    from abundance.models.spline import spline_glm
+    fr = _frame(spark, d)
+    f = spline_glm(fr, "number", ["sand"])
+    grid = prediction_grid(fr, "sand", 20)
+    pred = average_predictions(predict_se(f, grid), ["sand"])
+    from abundance.operators.charts import curve_with_se
+    return fin(curve_with_se(pred, "sand", fit="number", se="se_fit"), 4)
+
+
+@register("prediction_grid", _with(*HABITAT_CTES, ("st", "SELECT min(sand) AS lo, max(sand) AS hi FROM habitat")) + """
+SELECT DISTINCT ROUND(CASE WHEN i = 19 THEN hi ELSE lo + i * ((hi - lo) / 19) END, 6) AS sand FROM st, range(0, 20) t(i)""")
+def prediction_grid_q(spark, d):
+    """M8: 20 equally spaced values from min to max."""
+    from abundance.models.predict import prediction_grid
+    return fin(prediction_grid(_habitat(spark, d), "sand", 20))
+
+
+@register("full_subsets", None)
+def full_subsets_q(spark, d):
+    """M7 + M10 + A19 + C15: full-subset selection for total abundance and
+    species richness (responses with < 95 % zeros) over habitat predictors;
+    ranked model table (delta <= 10)."""
+    from abundance.models.select import full_subsets
+    ab = P.abundance_long(_maxn(spark, d))
+    keep = agg.zero_fraction(ab, "response", "number", threshold=0.95).select("response")
+    ab = ab.join(F.broadcast(keep), on="response", how="left_semi")      # <= 2 rows
+    fr = joins.natural_join(ab, _habitat(spark, d).drop("site", "date_time"), "left", on=["sample"])
+    fr = fr.withColumn("depth_m", F.col("depth_m") / 100000.0)
+    ranked, _imp = full_subsets(fr, "number", ["sand", "turf", "posidonia", "depth_m", "mean_relief"],
+                                response="response", max_size=2, cor_cutoff=0.28)
+    return fin(ranked.where(F.col("delta_aicc") <= 10).drop("loglik"), 4)
+
+
+@register("glm_lineitem", None)
+def glm_lineitem(spark, d):
+    """M1 at row scale: Poisson GLM l_quantity ~ l_discount + l_tax over the
+    whole line-item table (the survey's timing probe)."""
+    from abundance.models.glm import glm
+    li = V.table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax")
+    f = glm(li, "l_quantity", ["l_discount", "l_tax"])
+    rows = [(t, round(b, 4), round(s, 4), round(f.aic, 2)) for t, b, s, _z, _p in f.table()]
+    return spark.createDataFrame(rows, "term string, estimate double, se double, aic double")
