@@ -750,7 +750,7 @@ def zip_depth(spark, d):
     from abundance.models.zip import zip_model
     fr = _frame(spark, d).withColumn("depth_m", F.col("depth_m") / 100000.0).withColumn("sand", F.col("sand") / 100.0)
     f = zip_model(fr, "number", ["depth_m", "sand"])
-    rows = [(t, round(b, 4), round(s, 4), round(f.aic, 4)) for t, b, s, _z, _p in f.table()]
+    rows = [(t, round(b, 4), round(s, 4), round(float(f.aic), 4)) for t, b, s, _z, _p in f.table()]
     return spark.createDataFrame(rows, "term string, estimate double, se double, aic double")
 
 
@@ -799,5 +799,5 @@ def glm_lineitem(spark, d):
     from abundance.models.glm import glm
     li = V.table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax")
     f = glm(li, "l_quantity", ["l_discount", "l_tax"])
-    rows = [(t, round(b, 4), round(s, 4), round(f.aic, 2)) for t, b, s, _z, _p in f.table()]
+    rows = [(t, round(b, 4), round(s, 4), round(float(f.aic), 2)) for t, b, s, _z, _p in f.table()]
     return spark.createDataFrame(rows, "term string, estimate double, se double, aic double")

@@ -64,7 +64,7 @@ def read_tsv_with_preamble(spark: SparkSession, path: str | Sequence[str], skip:
     assumed to fit in a task. CRLF and LF line ends both work. Files with
     different headers are stacked by name.
     """
-    raw = spark.read.option("wholetext", True).text(path).withColumn("__file", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).withColumn("__file", F.input_file_name())
     lines = raw.select("__file", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("__pos", "__line"))
     lines = lines.where((F.col("__pos") >= skip) & (F.length("__line") > 0))
     # header = first kept line of each file; one row per file (bounded by the file count)
@@ -80,6 +80,8 @@ def read_tsv_with_preamble(spark: SparkSession, path: str | Sequence[str], skip:
         sel = body.where(F.col("__header") == h).select(
             *[F.col("__cells").getItem(i).alias(n) for i, n in enumerate(names)])
         parts.append(clean_names(sel) if clean else sel)
+    if not parts:
+        raise ValueError(f"{path}: no header line after {skip} preamble lines")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
