@@ -110,3 +110,35 @@ def test_prediction_grid_and_se(spark):
     eta = f.coef[0]
     assert math.isclose(r.fit, math.exp(eta), rel_tol=1e-9)
     assert math.isclose(r.se_fit, math.exp(eta) * math.sqrt(f.cov[0, 0]), rel_tol=1e-9)
+
+
+def test_glmm_recovers_sigma_and_reduces_to_glm(spark):
+    from abundance.models.glmm import poisson_glmm
+    rng = np.random.default_rng(11)
+    n, q = 3000, 15
+    site = rng.integers(0, q, n)
+    u = rng.normal(0, 0.5, q)
+    x = rng.normal(size=n)
+    y = rng.poisson(np.exp(0.5 + 0.3 * x + u[site]))
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "x": x, "site": [f"s{i:02d}" for i in site]}))
+    f = poisson_glmm(df, "y", ["x"], ["site"])
+    assert f.converged and abs(f.coef[1] - 0.3) < 3 * f.se[1] and 0.25 < f.sigma["site"] < 0.9
+    y0 = rng.poisson(np.exp(0.5 + 0.3 * x))
+    df0 = spark.createDataFrame(pd.DataFrame({"y": y0, "x": x, "site": [f"s{i:02d}" for i in site]}))
+    f0, g0 = poisson_glmm(df0, "y", ["x"], ["site"]), glm(df0, "y", ["x"])
+    if f0.sigma["site"] < 1e-3:
+        assert np.allclose(f0.coef, g0.coef, atol=1e-4) and math.isclose(f0.loglik, g0.loglik, rel_tol=1e-6)
+    assert f0.loglik >= g0.loglik - 1e-6
+
+
+def test_glmm_crossed_factors(spark):
+    from abundance.models.glmm import poisson_glmm
+    rng = np.random.default_rng(12)
+    n = 3000
+    a, b = rng.integers(0, 8, n), rng.integers(0, 5, n)
+    ua, ub = rng.normal(0, 0.4, 8), rng.normal(0, 0.4, 5)
+    x = rng.normal(size=n)
+    y = rng.poisson(np.exp(0.2 + 0.5 * x + ua[a] + ub[b]))
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "x": x, "a": [f"a{i}" for i in a], "b": [f"b{i}" for i in b]}))
+    f = poisson_glmm(df, "y", ["x"], ["a", "b"])
+    assert f.converged and abs(f.coef[1] - 0.5) < 3 * f.se[1] and set(f.sigma) == {"a", "b"}
