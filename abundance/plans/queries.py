@@ -468,11 +468,14 @@ def collinear_pairs(spark, d):
     return fin(agg.corr_matrix(h, CORR_COLS).where(F.abs(F.col("r")) > 0.28))
 
 
-@register("zero_fraction", None)
+@register("zero_fraction", "WITH sc AS (" + QUERIES["size_class_abundance"][1] + """)
+SELECT response, ROUND(sum(CASE WHEN number = 0 THEN 1 ELSE 0 END) / count(*), 6) AS zero_fraction
+FROM sc GROUP BY response""")
 def zero_fraction(spark, d):
-    """Share of zeros per size-class response; keep those < 95 %."""
+    """Share of zeros per size-class response (the screen keeps those
+    below 0.95; all shares are reported here)."""
     t = size_class_abundance(spark, d)
-    return fin(agg.zero_fraction(t, "response", "number", threshold=0.95))
+    return fin(agg.zero_fraction(t, "response", "number", threshold=None))
 
 
 @register("mean_se_by_site", _with(ROSTER_OK, *maxn_ctes(), ("ab", """
@@ -614,7 +617,17 @@ def model_frame(spark, d):
     return fin(P.model_frame(ab, _habitat(spark, d), drop_sample=7))
 
 
-@register("dot_point_habitat", None)
+@register("dot_point_habitat", _with(("pts", V.DOT_POINTS_SQL), ("h", """SELECT campaignid, opcode,
+    count(*) FILTER (WHERE broad = 'Economy') AS economy, count(*) FILTER (WHERE broad = 'Promo') AS promo,
+    count(*) FILTER (WHERE broad = 'Standard') AS standard
+    FROM pts WHERE broad IS NOT NULL AND broad NOT IN ('Unknown', '') GROUP BY 1, 2"""),
+    ("r", """SELECT campaignid, opcode, CASE WHEN count(x) = count(*) THEN avg(x) END AS mean_relief,
+    CASE WHEN count(x) = count(*) THEN stddev_samp(x) END AS sd_relief
+    FROM (SELECT campaignid, opcode, TRY_CAST(level_5 AS DOUBLE) AS x FROM pts
+          WHERE level_5 IS NOT NULL AND level_5 <> '') GROUP BY 1, 2""")) + """
+SELECT h.campaignid, h.opcode, h.economy, h.promo, h.standard, h.economy + h.promo + h.standard AS total_points_annotated,
+  ROUND(r.mean_relief, 6) AS mean_relief, ROUND(r.sd_relief, 6) AS sd_relief
+FROM h LEFT JOIN r ON h.campaignid = r.campaignid AND h.opcode = r.opcode""")
 def dot_point_habitat(spark, d):
     """Points per class (Unknown/NA/blank dropped), wide, clean names,
     row total; relief mean/sd joined."""
