@@ -27,12 +27,13 @@ from abundance.session import checkpoint_dir
 def start_maxn_stream(spark: SparkSession, source_dir: str, schema: str, sink_dir: str,
                       rules: Sequence[tuple] = (), keys: Sequence[str] = ("sample",),
                       taxon_parts: Sequence[str] = ("family", "genus", "species"),
-                      name: str = "maxn", available_now: bool = True) -> StreamingQuery:
+                      name: str = "maxn", available_now: bool = True,
+                      checkpoint: str | None = None) -> StreamingQuery:
     """Start the stream; ``available_now`` processes what is there and stops
     (schedule it), otherwise it runs continuously."""
     src = spark.readStream.schema(schema).option("header", True).csv(source_dir)
     maxn = complete_counts(src, rules, keys=list(keys), taxon_parts=list(taxon_parts))
-    ckpt = posixpath.join(checkpoint_dir(spark), f"stream-{name}")
+    ckpt = checkpoint or posixpath.join(checkpoint_dir(spark), f"stream-{name}")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_dir)

@@ -17,11 +17,12 @@ def _write(d, name, rows):
 def test_stream_maxn_matches_batch(spark):
     src, sink = tempfile.mkdtemp(prefix="src-"), tempfile.mkdtemp(prefix="sink-")
     os.rmdir(sink)
+    ckpt = tempfile.mkdtemp(prefix="ckpt-")
     _write(src, "a.csv", [("S1", "F", "G", "s", 3, "Yes"), ("S1", "F", "G", "s", 5, "Yes"), ("S2", "F", "G", "s", 9, "No")])
-    q = start_maxn_stream(spark, src, SCHEMA, sink, name="t1")
+    q = start_maxn_stream(spark, src, SCHEMA, sink, checkpoint=ckpt)
     q.awaitTermination()
     _write(src, "b.csv", [("S1", "F", "G", "s", 7, "Yes"), ("S3", "F", "H", "t", 1, "Yes")])
-    q = start_maxn_stream(spark, src, SCHEMA, sink, name="t1")
+    q = start_maxn_stream(spark, src, SCHEMA, sink, checkpoint=ckpt)
     q.awaitTermination()
     got = sorted((r.sample, r.scientific, r["count"]) for r in read_maxn(spark, sink).collect())
     assert got == [("S1", "F G s", 7), ("S3", "F H t", 1)]
