@@ -51,6 +51,27 @@ def not_in_set(c, values: Iterable) -> Column:
     return ~in_set(c, values)
 
 
+def keep_predicate(c, values: Iterable) -> Column:
+    """Filter form of ``x %in% values``: same rows as ``in_set`` but written
+    as ``IN`` / ``IS NULL`` so Parquet and Catalyst can push it down."""
+    vals = list(values)
+    non_null = [v for v in vals if v is not None]
+    expr = col(c).isin(non_null) if non_null else None
+    if len(non_null) != len(vals):
+        expr = col(c).isNull() if expr is None else (expr | col(c).isNull())
+    return expr if expr is not None else F.lit(False)
+
+
+def drop_predicate(c, values: Iterable) -> Column:
+    """Filter form of ``!x %in% values`` (pushable ``NOT IN`` / ``IS NOT NULL``)."""
+    vals = list(values)
+    non_null = [v for v in vals if v is not None]
+    if len(non_null) != len(vals):
+        expr = col(c).isNotNull()
+        return expr & ~col(c).isin(non_null) if non_null else expr
+    return (col(c).isNull() | ~col(c).isin(non_null)) if non_null else F.lit(True)
+
+
 def all_of(conditions: dict) -> Column:
     """AND of ``column %in% values`` for a {column: value or values} dict."""
     expr = F.lit(True)

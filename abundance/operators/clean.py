@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abundance.functions.columns import (
-    all_of, as_list, col, in_set, local_date, local_time, not_in_set, safe_ratio, to_number,
+    all_of, as_list, col, drop_predicate, keep_predicate, local_date, local_time, safe_ratio, to_number,
 )
 
 
@@ -124,12 +124,12 @@ def fill_missing(df: DataFrame, cols: Sequence[str], value=0) -> DataFrame:
 
 def keep_in(df: DataFrame, column: str, values) -> DataFrame:
     """``filter(x %in% values)``: missing never kept unless NA is listed."""
-    return df.filter(in_set(column, as_list(values) if not isinstance(values, str) else [values]))
+    return df.filter(keep_predicate(column, as_list(values) if not isinstance(values, str) else [values]))
 
 
 def exclude_values(df: DataFrame, column: str, values) -> DataFrame:
     """``filter(!x %in% values)`` with R meaning when NA is listed."""
-    return df.filter(not_in_set(column, values))
+    return df.filter(drop_predicate(column, values))
 
 
 def exclude_value(df: DataFrame, column: str, value) -> DataFrame:

@@ -2,10 +2,11 @@
 
 R joins without ``by=`` use every shared column as a key and match NA to
 NA (trap T4). Here the shared list is computed and logged, an explicit
-``on`` is accepted, and keys compare with ``<=>``. Spark still plans a
-null-safe equality as an equi-join (hash / sort-merge, never nested
-loop); AQE picks broadcast from measured sizes and splits skewed
-partitions.
+``on`` is accepted, and keys compare with ``<=>`` (plain ``=`` when either
+side's keys are non-nullable, where both give the same rows). Spark plans
+``<=>`` as an equi-join (hash / sort-merge, never nested loop) on
+(coalesce(k), isnull(k)); AQE picks broadcast from measured sizes and
+splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -55,6 +56,16 @@ def _condition(keys: Sequence[str], null_safe: bool) -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
+def _needs_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> bool:
+    """``<=>`` differs from ``=`` only when both sides can hold a missing key;
+    if either side declares its keys non-nullable, plain equality is exact
+    (and keeps an existing hash partitioning on the keys usable)."""
+    def nullable(df):
+        f = {x.name: x.nullable for x in df.schema.fields}
+        return any(f.get(k, True) for k in keys)
+    return nullable(left) and nullable(right)
+
+
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left", on=None,
                  null_safe: bool = True, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
     """dplyr ``left_join`` / ``right_join`` / ``inner_join`` / ``full_join``.
@@ -62,10 +73,15 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left", on=None,
     Keys come out once: from the left for left/inner joins, from the right
     for right joins, coalesced for full joins. Non-key columns present on
     both sides (only possible with an explicit ``on``) get ``suffixes``.
+    Missing keys match missing keys (R rule) when ``null_safe``; Spark plans
+    that as an equi-join on (coalesce(k), isnull(k)), which re-shuffles a
+    side already partitioned by k. Pass ``null_safe=False`` when keys are
+    known to be present to keep that partitioning.
     """
     keys = _keys(left, right, on)
     how = {"outer": "full", "full_outer": "full"}.get(how, how)
-    joined = left.alias(_L).join(right.alias(_R), _condition(keys, null_safe), how)
+    ns = null_safe and _needs_null_safe(left, right, keys)
+    joined = left.alias(_L).join(right.alias(_R), _condition(keys, ns), how)
     if how == "right":
         key_cols = [_rc(k).alias(k) for k in keys]
     elif how == "full":
@@ -85,12 +101,14 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left", on=None,
 def anti_join(left: DataFrame, right: DataFrame, on=None, null_safe: bool = True) -> DataFrame:
     """Rows of ``left`` with no match in ``right`` (dplyr ``anti_join``)."""
     keys = _keys(left, right, on)
-    return left.alias(_L).join(right.alias(_R), _condition(keys, null_safe), "left_anti")
+    ns = null_safe and _needs_null_safe(left, right, keys)
+    return left.alias(_L).join(right.alias(_R), _condition(keys, ns), "left_anti")
 
 
 def semi_join(left: DataFrame, right: DataFrame, on=None, null_safe: bool = True) -> DataFrame:
     keys = _keys(left, right, on)
-    return left.alias(_L).join(right.alias(_R), _condition(keys, null_safe), "left_semi")
+    ns = null_safe and _needs_null_safe(left, right, keys)
+    return left.alias(_L).join(right.alias(_R), _condition(keys, ns), "left_semi")
 
 
 def mismatch_report(a: DataFrame, b: DataFrame, on=None, names: tuple[str, str] = ("left", "right"),
