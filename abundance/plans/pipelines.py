@@ -193,3 +193,20 @@ def model_report(models: DataFrame, response: str = "response", aic: str = "aicc
     m = rank.akaike_weights(m, [response], "delta_aicc", out="wi_aicc")
     m = rank.running_total(m, [response], [aic, "modname"], "wi_aicc", out="cumsum_wi")
     return m.where(col("delta_aicc") <= max_delta)
+
+
+def qa_report(roster: DataFrame, table: DataFrame, key: Sequence[str] = ("sample",),
+              names: tuple[str, str] = ("roster", "table")) -> DataFrame:
+    """Row counts of both tables and the rows each has without a
+    partner in the other (two-way anti join), from one full outer join of
+    per-key row counts (so each table is shuffled once, already reduced)."""
+    key = list(key)
+    a = roster.groupBy(*key).agg(F.count(F.lit(1)).alias("__na"))
+    b = table.groupBy(*key).agg(F.count(F.lit(1)).alias("__nb"))
+    j = joins.natural_join(a, b, "full", on=key)
+    na, nb = F.coalesce(col("__na"), F.lit(0)), F.coalesce(col("__nb"), F.lit(0))
+    one = j.agg(F.sum(na).cast("long").alias(f"{names[0]}_rows"),
+                F.sum(nb).cast("long").alias(f"{names[1]}_rows"),
+                F.sum(F.when(col("__nb").isNull(), na).otherwise(0)).cast("long").alias(f"{names[0]}_only"),
+                F.sum(F.when(col("__na").isNull(), nb).otherwise(0)).cast("long").alias(f"{names[1]}_only"))
+    return one.unpivot([], one.columns, "check", "value")

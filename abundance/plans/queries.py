@@ -757,6 +757,21 @@ def glm_models(spark, d):
     return coefs.join(aics, on="model", how="left")
 
 
+@register("zip_models", None)
+def zip_models(spark, d):
+    """M2 + M5: the reference's zero-inflated models: depth; depth + sand;
+    depth + turf (reef stand-in); coefficients, se and AIC each."""
+    from abundance.models.zip import zip_model
+    fr = (_frame(spark, d).withColumn("depth_m", F.col("depth_m") / 100000.0)
+          .withColumn("sand", F.col("sand") / 100.0).withColumn("turf", F.col("turf") / 100.0)).cache()
+    rows = []
+    for name, terms in {"mod1": ["depth_m"], "mod2": ["depth_m", "sand"], "mod3": ["depth_m", "turf"]}.items():
+        f = zip_model(fr, "number", terms)
+        rows += [(name, t, round(b, 4), round(s, 4), round(float(f.aic), 2)) for t, b, s, _z, _p in f.table()]
+    fr.unpersist()
+    return spark.createDataFrame(rows, "model string, term string, estimate double, se double, aic double")
+
+
 @register("zip_depth", None)
 def zip_depth(spark, d):
     """M2: zero-inflated Poisson number ~ depth + sand (both parts)."""
@@ -826,8 +841,14 @@ def glmm_models(spark, d):
           .withColumn("posidonia", F.col("posidonia") / 100.0)
           .withColumn("month", F.substring("date_time", 1, 7)))
     fr = clean.complete_cases(fr, ["depth_m", "posidonia", "site", "month"]).cache()
+    fr = fr.withColumn("turf", F.col("turf") / 100.0).withColumn("mean_relief", F.col("mean_relief"))
+    fr = clean.complete_cases(fr, ["turf", "mean_relief"])
     specs = {"remod": (["depth_m"], ["site"]), "remod2": (["depth_m"], ["month"]),
+             "remod3": (["turf"], ["site"]), "remod4": (["depth_m", "turf"], ["site"]),
+             "remod5": (["depth_m", "posidonia"], ["site"]),
              "remod6": (["depth_m", "posidonia"], ["site", "month"]),
+             "remod7": (["depth_m", "posidonia", "mean_relief"], ["site", "month"]),
+             "glmer1": (["depth_m*posidonia"], ["site", "month"]),
              "glmer2": (["depth_m*posidonia"], ["site"])}
     rows = []
     for name, (terms, rnd) in specs.items():
@@ -838,3 +859,77 @@ def glmm_models(spark, d):
     fr.unpersist()
     return spark.createDataFrame(
         rows, "model string, term string, estimate double, se double, random_sd string, aic double, n_used long")
+
+
+
+@register("complete_lengths", f"""
+SELECT sample, family,
+  CASE WHEN genus = 'Brand#1' AND family = 'ECONOMY' THEN 'Brand#0' ELSE genus END AS genus,
+  CASE WHEN species = 'red widget' THEN 'spp' ELSE species END AS species,
+  ROUND(length_mm, 6) AS length_mm, number, successful_length,
+  coalesce(family,'NA') || ' ' ||
+  coalesce(CASE WHEN genus = 'Brand#1' AND family = 'ECONOMY' THEN 'Brand#0' ELSE genus END,'NA') || ' ' ||
+  coalesce(CASE WHEN species = 'red widget' THEN 'spp' ELSE species END,'NA') AS scientific
+FROM ({V.LENGTHS_SQL}) WHERE successful_length = 'Yes'""")
+def complete_lengths(spark, d):
+    """Successful length rows, relabelled, with the 3-part label."""
+    return fin(P.complete_lengths(V.lengths(spark, d), RULES, TAXON))
+
+
+@register("qa_report", _with(*HABITAT_CTES, *maxn_ctes(), ("a", "SELECT sample, count(*) AS na FROM roster_ok GROUP BY 1"),
+    ("b", "SELECT sample, count(*) AS nb FROM maxn GROUP BY 1"),
+    ("j", "SELECT a.na, b.nb FROM a FULL OUTER JOIN b ON a.sample = b.sample")) + """
+SELECT 'roster_rows' AS "check", CAST(sum(coalesce(na, 0)) AS BIGINT) AS value FROM j UNION ALL
+SELECT 'counts_rows', CAST(sum(coalesce(nb, 0)) AS BIGINT) FROM j UNION ALL
+SELECT 'roster_only', CAST(sum(CASE WHEN nb IS NULL THEN na ELSE 0 END) AS BIGINT) FROM j UNION ALL
+SELECT 'counts_only', CAST(sum(CASE WHEN na IS NULL THEN nb ELSE 0 END) AS BIGINT) FROM j""")
+def qa_report(spark, d):
+    """Roster vs MaxN table: row counts and rows without a
+    partner on either side."""
+    return P.qa_report(_roster(spark, d), _maxn(spark, d), ["sample"], names=("roster", "counts"))
+
+
+@register("describe_events", _describe_sql("events", ["value"]))
+def describe_events(spark, d):
+    """A15 on the event table's numeric column (whole table)."""
+    return fin(agg.describe_num(V.table(spark, d, "events"), ["value"]))
+
+
+@register("hist_events", _with(("st", """SELECT min(value) AS lo, (max(value) - min(value)) / 29 AS width FROM events"""),
+    ("b", """SELECT CAST(greatest(ceil((value - (lo - width / 2) - 1e-7 * width) / width), 1) AS INTEGER) AS bin
+    FROM events, st WHERE value IS NOT NULL"""), ("g", """SELECT CAST(i AS INTEGER) AS bin,
+    (lo - width / 2) + (i - 1) * width AS lower, (lo - width / 2) + i * width AS upper FROM st, range(1, 31) t(i)""")) + """
+SELECT g.bin, ROUND(g.lower, 6) AS lower, ROUND(g.upper, 6) AS upper, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM g LEFT JOIN (SELECT bin, count(*) AS n FROM b GROUP BY bin) c ON c.bin = g.bin""")
+def hist_events(spark, d):
+    """V1 on the event table's value column (30 right-closed bins)."""
+    from abundance.operators.charts import hist_bins
+    return fin(hist_bins(V.table(spark, d, "events").select("value"), "value", bins=30))
+
+
+@register("glm_by_response", None)
+def glm_by_response(spark, d):
+    """One Poisson GLM per response (total abundance, species
+    richness) ~ depth + sand, every response in the same passes."""
+    from abundance.models.glm import coef_table, glm_by_group
+    ab = P.abundance_long(_maxn(spark, d))
+    fr = joins.natural_join(ab, _habitat(spark, d), "left", on=["sample"])
+    fr = fr.withColumn("depth_m", F.col("depth_m") / 100000.0).withColumn("sand", F.col("sand") / 100.0)
+    fits = glm_by_group(fr, "response", "number", ["depth_m", "sand"])
+    return coef_table(spark, fits, 4)
+
+
+@register("importance_long", None)
+def importance_long(spark, d):
+    """C14: variable importance per response (from full-subset selection)
+    widened to one column per predictor, then back to long with a label
+    from a no-default case_when."""
+    from abundance.models.select import full_subsets
+    ab = P.abundance_long(_maxn(spark, d))
+    fr = joins.natural_join(ab, _habitat(spark, d).drop("site", "date_time"), "left", on=["sample"])
+    fr = fr.withColumn("depth_m", F.col("depth_m") / 100000.0)
+    _ranked, imp = full_subsets(fr, "number", ["sand", "turf", "posidonia", "depth_m", "mean_relief"],
+                                response="response", max_size=2, cor_cutoff=0.28)
+    wide = reshape.widen(imp, ["response"], "predictor", "importance", fill=0.0)
+    rule = ({"predictor": "sand", "resp_var": "total_abundance"}, "X")
+    return fin(P.importance_long(wide, "response", rename_to="resp_var", label_rule=rule), 4)
