@@ -53,6 +53,28 @@ def expand_terms(terms: Sequence[str]) -> list[tuple[str, ...]]:
     return out
 
 
+def design_columns(terms: Sequence[str]) -> list[str]:
+    """Raw columns a term list uses, in first-use order."""
+    out: list[str] = []
+    for combo in expand_terms(terms):
+        for c in combo:
+            if c not in out:
+                out.append(c)
+    return out
+
+
+def model_input(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The model's raw columns, projected and cached once: factor levels,
+    knots and every fitting pass then read the cache instead of re-running
+    the upstream plan (cache blocks lost with an executor are recomputed
+    from lineage)."""
+    seen: list[str] = []
+    for c in columns:
+        if c and c not in seen:
+            seen.append(c)
+    return df.select(*seen).cache()
+
+
 def build_design(df: DataFrame, terms: Sequence[str], intercept: bool = True,
                  levels: dict[str, list] | None = None, max_levels: int = 10_000) -> Design:
     levels = dict(levels or {})

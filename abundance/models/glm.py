@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from abundance.functions.columns import ln_factorial
 from abundance.functions.stats import norm_two_sided_p
-from abundance.models.design import Design, build_design
+from abundance.models.design import Design, build_design, design_columns, model_input
 
 Y = "__y"
 W = "__pw"
@@ -347,15 +347,14 @@ def glm(df: DataFrame, response: str, terms: Sequence[str], family: str = "poiss
     """``glm(y ~ terms, family=poisson|binomial)``: coefficients, se, z, p,
     deviance, log-likelihood, AIC, n used. Rows with NULL in any model
     variable drop (T19)."""
-    d = build_design(df, terms, intercept)
-    frame, feats = model_frame(df, response, [d], weight)
-    if cache:
-        frame = frame.cache()
+    base = model_input(df, [response, *design_columns(terms), weight]) if cache else df
     try:
+        d = build_design(base, terms, intercept)
+        frame, feats = model_frame(base, response, [d], weight)
         fit = irls(frame, feats, [d.names], family, weight is not None, max_iter=max_iter, tol=tol)[0]
     finally:
         if cache:
-            frame.unpersist()
+            base.unpersist()
     fit.design = d
     return fit
 
@@ -366,13 +365,13 @@ def glm_by_group(df: DataFrame, group: str, response: str, terms: Sequence[str],
     in the same passes: ``groupBy(group).agg`` with each group's own beta
     looked up from a map literal. A busy group is partially aggregated in
     every task, never moved whole into one task."""
-    d = build_design(df, terms, True, levels)
-    frame, feats = model_frame(df, response, [d], None, group)
-    frame = frame.cache()
+    base = model_input(df, [group, response, *design_columns(terms)])
     try:
+        d = build_design(base, terms, True, levels)
+        frame, feats = model_frame(base, response, [d], None, group)
         res = irls(frame, feats, [d.names], family, False, grouped=True, max_iter=max_iter)
     finally:
-        frame.unpersist()
+        base.unpersist()
     out = {}
     for (m, g), fit in res.items():
         fit.design = d

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abundance.functions.stats import norm_two_sided_p
-from abundance.models.design import build_design
+from abundance.models.design import build_design, design_columns, model_input
 from abundance.models.glm import LF, Y, irls
 
 
@@ -162,10 +162,10 @@ def poisson_glmm(df: DataFrame, response: str, terms: Sequence[str], random: Seq
                  max_levels: int = 5000, max_cells: int = 200_000, max_iter: int = 50,
                  tol: float = 1e-9) -> GlmmFit:
     random = list(random)
-    d = build_design(df, terms)
-    frame, feats = _frame_with_factors(df, response, d, random)
-    frame = frame.cache()
+    base = model_input(df, [response, *design_columns(terms), *random])
     try:
+        d = build_design(base, terms)
+        frame, feats = _frame_with_factors(base, response, d, random)
         levels = {}
         for f in random:
             lv = frame.select(f).distinct().limit(max_levels + 1).collect()
@@ -222,7 +222,7 @@ def poisson_glmm(df: DataFrame, response: str, terms: Sequence[str], random: Seq
         modes = {f: {lv: float(u[offs[k] + i]) for lv, i in levels[f].items()} for k, f in enumerate(random)}
         return GlmmFit(d.names, beta, cov, sig, float(ll), cs.count, it, converged, modes)
     finally:
-        frame.unpersist()
+        base.unpersist()
 
 
 def _frame_with_factors(df, response, d, random):

@@ -80,12 +80,13 @@ def spline_glm(df: DataFrame, response: str, smooth: Sequence[str], linear: Sequ
                k: int = 3, family: str = "poisson") -> GlmFit:
     """``gam(y ~ s(x, k=3, bs="cr"))`` re-aimed: unpenalised natural spline
     basis + IRLS GLM on Spark."""
-    d = smooth_design(df, smooth, linear, k)
-    frame, feats = model_frame(df, response, [d])
-    frame = frame.cache()
+    from abundance.models.design import model_input
+    base = model_input(df, [response, *smooth, *linear])
     try:
+        d = smooth_design(base.dropna(), smooth, linear, k)
+        frame, feats = model_frame(base, response, [d])
         fit = irls(frame, feats, [d.names], family)[0]
     finally:
-        frame.unpersist()
+        base.unpersist()
     fit.design = d
     return fit

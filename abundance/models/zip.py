@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from abundance.functions.columns import ln_factorial
 from abundance.functions.stats import norm_two_sided_p
-from abundance.models.design import build_design
+from abundance.models.design import build_design, design_columns, model_input
 from abundance.models.glm import Y, irls, model_frame
 
 
@@ -114,18 +114,20 @@ def _pass(frame: DataFrame, xf: list[str], zf: list[str], beta, gamma):
 
 
 def zip_model(df: DataFrame, response: str, terms: Sequence[str], zero_terms: Sequence[str] | None = None,
-              max_iter: int = 50, tol: float = 1e-9) -> ZipFit:
+              max_iter: int = 50, tol: float = 1e-9, start_iter: int = 4) -> ZipFit:
     """``zeroinfl(y ~ terms | zero_terms, dist="poisson")``."""
-    dc = build_design(df, terms)
-    dz = build_design(df, zero_terms if zero_terms is not None else terms)
-    frame, feats = model_frame(df, response, [dc, dz])
-    frame = frame.cache()
+    zt = zero_terms if zero_terms is not None else terms
+    base = model_input(df, [response, *design_columns(terms), *design_columns(zt)])
     try:
+        dc = build_design(base, terms)
+        dz = build_design(base, zt)
+        frame, feats = model_frame(base, response, [dc, dz])
         xf, zf = feats
         # start values: Poisson GLM for counts, logistic GLM for zeros
-        pois = irls(frame, [xf], [dc.names], "poisson")[0]
+        # (a few IRLS steps suffice: they are only starting values)
+        pois = irls(frame, [xf], [dc.names], "poisson", max_iter=start_iter)[0]
         zframe = frame.withColumn(Y, (F.col(Y) == 0).cast("double"))
-        logi = irls(zframe, [zf], [dz.names], "binomial")[0]
+        logi = irls(zframe, [zf], [dz.names], "binomial", max_iter=start_iter)[0]
         theta = np.concatenate([pois.coef, logi.coef])
         p = len(xf)
         ll, n, g, H = _pass(frame, xf, zf, theta[:p], theta[p:])
@@ -159,4 +161,4 @@ def zip_model(df: DataFrame, response: str, terms: Sequence[str], zero_terms: Se
             cov = np.linalg.pinv(-H)
         return ZipFit(dc.names, dz.names, theta, cov, float(ll), n, it, converged)
     finally:
-        frame.unpersist()
+        base.unpersist()

@@ -717,10 +717,12 @@ def scatter_points(spark, d):
 
 def _frame(spark, d):
     """Model frame (C8) with true zeros: total abundance per successful
-    deployment + habitat covariates."""
+    deployment + habitat covariates. The habitat table already has one row
+    per roster deployment, so the summed MaxN joins it directly and absent
+    deployments get 0 (one roster scan, not two)."""
     t = agg.sum_counts(_maxn(spark, d), ["sample"], out="number")
-    z = joins.zero_fill(t, _roster(spark, d).select("sample"), ["sample"], ["number"])
-    return joins.natural_join(z, _habitat(spark, d), "left", on=["sample"])
+    fr = joins.natural_join(_habitat(spark, d), t, "left", on=["sample"])
+    return clean.fill_missing(fr, ["number"], 0)
 
 
 GLM_SITE_SQL = _with(ROSTER_OK, *maxn_ctes(), ("ab", """SELECT r.sample, r.site, CAST(coalesce(t.n, 0) AS DOUBLE) AS y

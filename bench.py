@@ -3,7 +3,9 @@ local[$BENCH_CPUS] and print one JSON line with per-query seconds.
 
 Each query is forced to completion with the no-op sink (the whole result is
 computed, nothing is collected); model queries run their fitting passes
-when called. Session start-up is excluded; the first query pays JIT warm-up.
+when called. Session start-up is excluded: before timing, the flagship
+query runs once on the tiny sf0.001 tables so class loading and JIT
+warm-up (about 8 s in a fresh JVM) are not charged to the first query.
 """
 
 from __future__ import annotations
@@ -29,7 +31,11 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
-    spark.range(1000).selectExpr("sum(id)").collect()          # start executors
+    warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    if os.path.isdir(warm):
+        QUERIES["species_true_zeros"][0](spark, warm).write.format("noop").mode("overwrite").save()
+    else:
+        spark.range(1000).selectExpr("sum(id)").collect()
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
     times = {}
     for name in names:

@@ -101,3 +101,32 @@ def test_mean_se(spark):
     df = spark.createDataFrame([("s", 1.0), ("s", 3.0), ("s", None)], "g string, x double")
     r = agg.mean_se(df, ["g"], "x").first()
     assert r.mean == 2.0 and math.isclose(r.se, math.sqrt(2) / math.sqrt(2))
+
+
+def test_lm_band_matches_closed_form(spark):
+    import numpy as np
+    xs = np.arange(10.0)
+    ys = 2.0 + 0.5 * xs + np.array([0.1, -0.2, 0.05, 0.3, -0.1, 0.0, 0.2, -0.3, 0.1, -0.05])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(xs, ys)], "x double, y double")
+    band = {round(r.x, 6): r for r in agg.lm_band(df, "x", "y", n_points=10).collect()}
+    b, a = np.polyfit(xs, ys, 1)
+    resid = ys - (a + b * xs)
+    s = math.sqrt((resid ** 2).sum() / 8)
+    se0 = s * math.sqrt(1 / 10 + (0 - xs.mean()) ** 2 / ((xs - xs.mean()) ** 2).sum())
+    r0 = band[0.0]
+    assert math.isclose(r0.fit, a, rel_tol=1e-9) and math.isclose(r0.se, se0, rel_tol=1e-9)
+    assert math.isclose(r0.upper - r0.fit, 2.306004135 * se0, rel_tol=1e-6)      # t(0.975, 8)
+
+
+def test_qa_report_counts(spark):
+    roster = spark.createDataFrame([("S1",), ("S2",), ("S3",)], "sample string")
+    table = spark.createDataFrame([("S1", 1), ("S1", 2), ("S4", 3)], "sample string, n int")
+    got = {r.check: r.value for r in P.qa_report(roster, table, ["sample"]).collect()}
+    assert got == {"roster_rows": 3, "table_rows": 3, "roster_only": 2, "table_only": 1}
+
+
+def test_importance_long_label(spark):
+    wide = spark.createDataFrame([("A", 0.2, 0.9), ("B", 1.0, 0.1)], "X string, sand double, turf double")
+    out = P.importance_long(wide, "X", label_rule=({"predictor": "turf", "resp_var": "A"}, "X"))
+    got = sorted((r.resp_var, r.predictor, r.importance, r.label) for r in out.collect())
+    assert got == [("A", "sand", 0.2, None), ("A", "turf", 0.9, "X"), ("B", "sand", 1.0, None), ("B", "turf", 0.1, None)]

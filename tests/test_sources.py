@@ -46,3 +46,12 @@ def test_save_load_campaign_partition(spark):
     assert [r.x for r in load_table(spark, c1, "t").collect()] == [3]
     assert sorted(r.x for r in load_table(spark, c1, "t", all_campaigns=True).collect()) == [2, 3]
     assert c1.raw("count").endswith("raw/c1_count.csv")
+
+
+def test_write_csv_drops_column(spark):
+    from abundance.sources.io import write_csv
+    out = os.path.join(_tmp(), "fits")
+    df = spark.createDataFrame([("r", "m", 1.0)], "response string, modname string, aicc double")
+    write_csv(df, out, drop=["modname"], single_file=True)
+    back = spark.read.option("header", True).csv(out)
+    assert back.columns == ["response", "aicc"] and back.count() == 1
