@@ -63,16 +63,25 @@ def design_columns(terms: Sequence[str]) -> list[str]:
     return out
 
 
-def model_input(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The model's raw columns, projected and cached once: factor levels,
-    knots and every fitting pass then read the cache instead of re-running
-    the upstream plan (cache blocks lost with an executor are recomputed
-    from lineage)."""
+def model_input(df: DataFrame, columns: Sequence[str], checkpoint: bool = False) -> DataFrame:
+    """The model's raw columns, projected and kept once: factor levels,
+    knots and every fitting pass then read them instead of re-running the
+    upstream plan.
+
+    ``checkpoint=False``: cached; blocks lost with an executor are
+    recomputed from lineage (the whole upstream plan). ``checkpoint=True``:
+    written to the cluster's shared ``spark.checkpoint.dir`` (reliable
+    checkpoint), so a lost executor costs a re-read, which suits long fits
+    (GLMM, full subsets) over expensive inputs."""
     seen: list[str] = []
     for c in columns:
         if c and c not in seen:
             seen.append(c)
-    return df.select(*seen).cache()
+    proj = df.select(*seen)
+    if checkpoint:
+        from abundance.session import cut_lineage
+        return cut_lineage(proj)
+    return proj.cache()
 
 
 def build_design(df: DataFrame, terms: Sequence[str], intercept: bool = True,

@@ -343,11 +343,11 @@ def irls(frame: DataFrame, feats: list[list[str]], names: list[list[str]], famil
 
 def glm(df: DataFrame, response: str, terms: Sequence[str], family: str = "poisson",
         weight: str | None = None, intercept: bool = True, max_iter: int = 25,
-        tol: float = 1e-8, cache: bool = True) -> GlmFit:
+        tol: float = 1e-8, cache: bool = True, checkpoint: bool = False) -> GlmFit:
     """``glm(y ~ terms, family=poisson|binomial)``: coefficients, se, z, p,
     deviance, log-likelihood, AIC, n used. Rows with NULL in any model
     variable drop (T19)."""
-    base = model_input(df, [response, *design_columns(terms), weight]) if cache else df
+    base = model_input(df, [response, *design_columns(terms), weight], checkpoint) if cache else df
     try:
         d = build_design(base, terms, intercept)
         frame, feats = model_frame(base, response, [d], weight)
@@ -360,12 +360,13 @@ def glm(df: DataFrame, response: str, terms: Sequence[str], family: str = "poiss
 
 
 def glm_by_group(df: DataFrame, group: str, response: str, terms: Sequence[str],
-                 family: str = "poisson", levels: dict | None = None, max_iter: int = 25) -> dict:
+                 family: str = "poisson", levels: dict | None = None, max_iter: int = 25,
+                 checkpoint: bool = False) -> dict:
     """One fit per value of ``group`` (e.g. per response), all groups
     in the same passes: ``groupBy(group).agg`` with each group's own beta
     looked up from a map literal. A busy group is partially aggregated in
     every task, never moved whole into one task."""
-    base = model_input(df, [group, response, *design_columns(terms)])
+    base = model_input(df, [group, response, *design_columns(terms)], checkpoint)
     try:
         d = build_design(base, terms, True, levels)
         frame, feats = model_frame(base, response, [d], None, group)

@@ -160,9 +160,9 @@ def _nelder_mead(f, x0, tol=1e-9, max_iter=400):
 
 def poisson_glmm(df: DataFrame, response: str, terms: Sequence[str], random: Sequence[str],
                  max_levels: int = 5000, max_cells: int = 200_000, max_iter: int = 50,
-                 tol: float = 1e-9) -> GlmmFit:
+                 tol: float = 1e-9, checkpoint: bool = False) -> GlmmFit:
     random = list(random)
-    base = model_input(df, [response, *design_columns(terms), *random])
+    base = model_input(df, [response, *design_columns(terms), *random], checkpoint)
     try:
         d = build_design(base, terms)
         frame, feats = _frame_with_factors(base, response, d, random)

@@ -38,7 +38,8 @@ def candidate_sets(predictors: Sequence[str], max_size: int, forbidden: set[froz
 
 def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response: str = "response",
                  max_size: int = 3, cor_cutoff: float = 0.28, max_models: int = 600, smooth: bool = True,
-                 k: int = 3, family: str = "poisson", batch: int = 16) -> tuple[DataFrame, DataFrame]:
+                 k: int = 3, family: str = "poisson", batch: int = 16,
+                 checkpoint: bool = False) -> tuple[DataFrame, DataFrame]:
     """Return (model table, variable importance), both DataFrames.
 
     Model table: response, modname, n_used, edf, loglik, aicc, delta_aicc,
@@ -46,7 +47,12 @@ def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response:
     """
     spark = df.sparkSession
     preds = list(predictors)
-    base = df.dropna(subset=[value, response, *preds]).cache()
+    base = df.dropna(subset=[value, response, *preds])
+    if checkpoint:
+        from abundance.session import cut_lineage
+        base = cut_lineage(base)
+    else:
+        base = base.cache()
     corr = corr_matrix(base, preds).collect()          # k(k-1)/2 numbers
     forbidden = {frozenset((r["var1"], r["var2"])) for r in corr
                  if r["r"] is not None and abs(r["r"]) > cor_cutoff}

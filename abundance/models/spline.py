@@ -77,11 +77,11 @@ def smooth_design(df: DataFrame, smooth: Sequence[str], linear: Sequence[str] =
 
 
 def spline_glm(df: DataFrame, response: str, smooth: Sequence[str], linear: Sequence[str] = (),
-               k: int = 3, family: str = "poisson") -> GlmFit:
+               k: int = 3, family: str = "poisson", checkpoint: bool = False) -> GlmFit:
     """``gam(y ~ s(x, k=3, bs="cr"))`` re-aimed: unpenalised natural spline
     basis + IRLS GLM on Spark."""
     from abundance.models.design import model_input
-    base = model_input(df, [response, *smooth, *linear])
+    base = model_input(df, [response, *smooth, *linear], checkpoint)
     try:
         d = smooth_design(base.dropna(), smooth, linear, k)
         frame, feats = model_frame(base, response, [d])

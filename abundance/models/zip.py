@@ -114,10 +114,11 @@ def _pass(frame: DataFrame, xf: list[str], zf: list[str], beta, gamma):
 
 
 def zip_model(df: DataFrame, response: str, terms: Sequence[str], zero_terms: Sequence[str] | None = None,
-              max_iter: int = 50, tol: float = 1e-9, start_iter: int = 4) -> ZipFit:
+              max_iter: int = 50, tol: float = 1e-9, start_iter: int = 4,
+              checkpoint: bool = False) -> ZipFit:
     """``zeroinfl(y ~ terms | zero_terms, dist="poisson")``."""
     zt = zero_terms if zero_terms is not None else terms
-    base = model_input(df, [response, *design_columns(terms), *design_columns(zt)])
+    base = model_input(df, [response, *design_columns(terms), *design_columns(zt)], checkpoint)
     try:
         dc = build_design(base, terms)
         dz = build_design(base, zt)

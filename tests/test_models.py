@@ -142,3 +142,9 @@ def test_glmm_crossed_factors(spark):
     df = spark.createDataFrame(pd.DataFrame({"y": y, "x": x, "a": [f"a{i}" for i in a], "b": [f"b{i}" for i in b]}))
     f = poisson_glmm(df, "y", ["x"], ["a", "b"])
     assert f.converged and abs(f.coef[1] - 0.5) < 3 * f.se[1] and set(f.sigma) == {"a", "b"}
+
+
+def test_glm_with_reliable_checkpoint(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, 1.0), (3, 1.5), (0, 0.1), (4, 2.0)], "y long, x double")
+    a, b = glm(df, "y", ["x"]), glm(df, "y", ["x"], checkpoint=True)
+    assert np.allclose(a.coef, b.coef) and spark.conf.get("spark.checkpoint.dir")
