@@ -935,3 +935,21 @@ def importance_long(spark, d):
     wide = reshape.widen(imp, ["response"], "predictor", "importance", fill=0.0)
     rule = ({"predictor": "sand", "resp_var": "total_abundance"}, "X")
     return fin(P.importance_long(wide, "response", rename_to="resp_var", label_rule=rule), 4)
+
+
+@register("relief_classes", f"""
+SELECT sample, level_5, CAST(sum(number) AS BIGINT) AS number,
+  CAST(dense_rank() OVER (ORDER BY level_5) AS INTEGER) AS class_relief
+FROM ({V.RELIEF_SQL}) GROUP BY sample, level_5""")
+def relief_classes(spark, d):
+    """V4: points per deployment x relief class (sum of multiplicities)
+    with the class as an alphabetic factor level."""
+    t = agg.sum_counts(V.relief(spark, d), ["sample", "level_5"], count="number")
+    return clean.factor_levels(t, "level_5", "class_relief")
+
+
+@register("lm_band", None)
+def lm_band(spark, d):
+    """Fitted line turf ~ sand with its 95 % confidence band on 80
+    points (geom_smooth(method = "lm") data)."""
+    return fin(agg.lm_band(_habitat(spark, d), "sand", "turf", n_points=80))

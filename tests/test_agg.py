@@ -130,3 +130,17 @@ def test_importance_long_label(spark):
     out = P.importance_long(wide, "X", label_rule=({"predictor": "turf", "resp_var": "A"}, "X"))
     got = sorted((r.resp_var, r.predictor, r.importance, r.label) for r in out.collect())
     assert got == [("A", "sand", 0.2, None), ("A", "turf", 0.9, "X"), ("B", "sand", 1.0, None), ("B", "turf", 0.1, None)]
+
+
+def test_habitat_table_null_vs_literal_zero(spark):
+    roster = spark.createDataFrame([("S1",), ("S2",), ("S3",)], "sample string")
+    benthos = spark.createDataFrame([("S1", "A", "F", "x", 3), ("S1", "N", "F", "x", 1), ("S2", "R", "O", "y", 2)],
+                                    "sample string, level_2 string, level_3 string, scientific string, number long")
+    relief = spark.createDataFrame([("S1", "2", 1), ("S1", "3", 1)], "sample string, level_5 string, number long")
+    rules = [({"level_2": "A", "level_3": "F"}, "sand"), ({"level_2": "N"}, "turf")]
+    got = {r.sample: r for r in P.habitat_table(roster, benthos, relief, rules, ["sand", "turf"]).collect()}
+    assert got["S1"].sand == 75.0 and got["S1"].turf == 25.0 and got["S1"].mean_relief == 2.5
+    assert got["S2"].sand == 0.0 and got["S2"].total_points_annotated == 2      # unclassified still counted
+    assert got["S3"].sand is None and got["S3"].turf is None                   # no benthos: NULL (T9)
+    lit = {r.sample: r for r in P.habitat_table(roster, benthos, relief, rules, ["sand", "turf"], literal=True).collect()}
+    assert lit["S3"].sand == 0.0 and lit["S3"].turf == 0.0
