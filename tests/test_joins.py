@@ -35,3 +35,11 @@ def test_right_join_keeps_right_key(spark):
     b = spark.createDataFrame([("S1",), ("S9",)], "sample string")
     got = sorted((r.sample, r.n) for r in joins.natural_join(a, b, "right").collect())
     assert got == [("S1", 1), ("S9", None)]
+
+
+def test_zero_fill_grid_indexed_path(spark):
+    roster = spark.createDataFrame([("S1",), ("S2",)], "sample string")
+    obs = spark.createDataFrame([("S1", "a", 3), ("S2", "b", 1)], "sample string, taxon string, count long")
+    got = sorted(tuple(r) for r in joins.zero_fill_grid(obs, roster, ["sample"], ["taxon"], ["count"],
+                                                        inline_levels=0).collect())
+    assert got == [("S1", "a", 3), ("S1", "b", 0), ("S2", "a", 0), ("S2", "b", 1)]
