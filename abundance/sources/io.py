@@ -59,29 +59,30 @@ def read_tsv_with_preamble(spark: SparkSession, path: str | Sequence[str], skip:
                            clean: bool = True, sep: str = "\t") -> DataFrame:
     """Tab-delimited exports with ``skip`` preamble lines, all text.
 
-    Each file is one record (``wholetext``), so the preamble and the header
-    are found per file and many files are read in parallel; one export is
-    assumed to fit in a task. CRLF and LF line ends both work. Files with
-    different headers are stacked by name.
+    Each file is one record (``wholetext``): its lines become an array, the
+    first ``skip`` lines are dropped, blank lines skipped, the first
+    remaining line is the header and the rest are rows, all with array
+    functions on that one record (no join, no shuffle). Many files are read
+    in parallel, one task each; one export must fit in a task. CRLF and LF
+    line ends both work. Files with different headers are stacked by name.
     """
-    raw = spark.read.text(path, wholetext=True).withColumn("__file", F.input_file_name())
-    lines = raw.select("__file", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("__pos", "__line"))
-    lines = lines.where((F.col("__pos") >= skip) & (F.length("__line") > 0))
-    # header = first kept line of each file; one row per file (bounded by the file count)
-    first = (lines.groupBy("__file").agg(F.min(F.struct("__pos", "__line")).alias("__h"))
-             .select("__file", F.col("__h.__pos").alias("__hpos"), F.col("__h.__line").alias("__header")))
-    headers = sorted({r["__header"] for r in first.select("__header").distinct().collect()})
-    body = (lines.join(first, on="__file")
-            .where(F.col("__pos") > F.col("__hpos"))
-            .withColumn("__cells", F.split(F.col("__line"), sep)))
+    raw = spark.read.text(path, wholetext=True)
+    kept = raw.select(F.filter(F.slice(F.split(F.col("value"), r"\r?\n"), skip + 1, 1 << 30),
+                               lambda x: F.length(x) > 0).alias("__l"))
+    per_file = kept.where(F.size("__l") > 0).select(
+        F.element_at("__l", 1).alias("__header"),
+        F.slice("__l", 2, 1 << 30).alias("__rows"))
+    headers = sorted({r["__header"] for r in per_file.select("__header").distinct().collect()})  # one per file at most
+    if not headers:
+        raise ValueError(f"{path}: no header line after {skip} preamble lines")
+    body = per_file.select("__header", F.explode("__rows").alias("__line")).withColumn(
+        "__cells", F.split(F.col("__line"), sep))
     parts = []
     for h in headers:
         names = h.split(sep)
         sel = body.where(F.col("__header") == h).select(
             *[F.col("__cells").getItem(i).alias(n) for i, n in enumerate(names)])
         parts.append(clean_names(sel) if clean else sel)
-    if not parts:
-        raise ValueError(f"{path}: no header line after {skip} preamble lines")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
