@@ -108,13 +108,37 @@ def _family_parts(family: str, eta: Column, y: Column):
         softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
         ll = y * eta - softplus
         dev = F.lit(-2.0) * ll
+    elif family.startswith("tweedie:"):
+        p = tweedie_power(family)
+        mu = F.exp(eta)
+        w = F.pow(mu, 2.0 - p)
+        wz = w * eta + (y - mu) * F.pow(mu, 1.0 - p)
+        y_term = F.when(y > 0, F.pow(y, 2.0 - p) / ((1.0 - p) * (2.0 - p))).otherwise(F.lit(0.0))
+        dev = F.lit(2.0) * (y_term - y * F.pow(mu, 1.0 - p) / (1.0 - p) + F.pow(mu, 2.0 - p) / (2.0 - p))
+        ll = F.lit(float("nan"))                          # no closed-form density (as in Spark ML)
     else:
         raise ValueError(f"family {family!r} not supported")
     return w, wz, dev, ll
 
 
+def tweedie_power(family: str) -> float:
+    """``"tweedie:1.5"`` -> 1.5 (log link, fixed variance power 1 < p < 2)."""
+    p = float(family.split(":", 1)[1])
+    if not 1.0 < p < 2.0:
+        raise ValueError("tweedie variance power must be in (1, 2)")
+    return p
+
+
+def _variance(family: str, mu: Column) -> Column:
+    if family == "binomial":
+        return mu * (F.lit(1.0) - mu)
+    if family.startswith("tweedie:"):
+        return F.pow(mu, tweedie_power(family))
+    return mu
+
+
 def _start_eta(family: str, y: Column) -> Column:
-    if family == "poisson":
+    if family != "binomial":
         return F.log(y + F.lit(0.1))
     return F.log((y + 0.5) / (F.lit(1.5) - y))       # mustart = (y + 0.5) / 2
 
@@ -163,10 +187,12 @@ def _sums(frame: DataFrame, feats: list[list[str]], betas: list, family: str, ha
         if offset_col:
             eta = eta + F.col(offset_col)
         w, wz, dev, ll = _family_parts(family, eta, y)
+        mu = (F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))) if family == "binomial" else F.exp(eta)
+        pear = (y - mu) * (y - mu) / _variance(family, mu)
         if has_w:
             pw = F.col(W)
-            w, wz, dev, ll = w * pw, wz * pw, dev * pw, ll * pw
-        proj.update({f"__w{m}": w, f"__wz{m}": wz, f"__d{m}": dev, f"__l{m}": ll})
+            w, wz, dev, ll, pear = w * pw, wz * pw, dev * pw, ll * pw, pear * pw
+        proj.update({f"__w{m}": w, f"__wz{m}": wz, f"__d{m}": dev, f"__l{m}": ll, f"__p{m}": pear})
     data = data.withColumns(proj)
     out_cols = []
     for m, fs in enumerate(feats):
@@ -175,7 +201,7 @@ def _sums(frame: DataFrame, feats: list[list[str]], betas: list, family: str, ha
         p = len(xs)
         terms = [F.sum(w * xs[j] * xs[k]) for j in range(p) for k in range(j, p)]
         terms += [F.sum(wz * x) for x in xs]
-        terms += [F.sum(f"__d{m}"), F.sum(f"__l{m}"), F.count(F.lit(1))]
+        terms += [F.sum(f"__d{m}"), F.sum(f"__l{m}"), F.count(F.lit(1)), F.sum(f"__p{m}")]
         out_cols.append(F.array(*[t.cast("double") for t in terms]).alias(f"__m{m}"))
     if group_keys is not None:
         rows = data.groupBy("__g").agg(*out_cols).collect()
@@ -221,7 +247,7 @@ def _sums_arrow(frame: DataFrame, feats: list[list[str]], betas: list, family: s
                     if isinstance(b, dict):
                         b = np.asarray(b[g], float)
                     if b is None:
-                        eta = np.log(y + 0.1) if family == "poisson" else np.log((y + 0.5) / (1.5 - y))
+                        eta = np.log(y + 0.1) if family != "binomial" else np.log((y + 0.5) / (1.5 - y))
                     else:
                         eta = X @ b
                     if family == "poisson":
@@ -232,17 +258,29 @@ def _sums_arrow(frame: DataFrame, feats: list[list[str]], betas: list, family: s
                             ylog = np.where(y > 0, y * np.log(np.where(y > 0, y, 1.0) / mu), 0.0)
                         dev = 2.0 * (ylog - (y - mu))
                         ll = y * eta - mu - lf
-                    else:
+                        var = mu
+                    elif family == "binomial":
                         mu = 1.0 / (1.0 + np.exp(-eta))
                         w = mu * (1.0 - mu)
                         wz = w * eta + (y - mu)
                         ll = y * eta - (np.maximum(eta, 0) + np.log1p(np.exp(-np.abs(eta))))
                         dev = -2.0 * ll
+                        var = w
+                    else:
+                        tp = tweedie_power(family)
+                        mu = np.exp(eta)
+                        w = mu ** (2.0 - tp)
+                        wz = w * eta + (y - mu) * mu ** (1.0 - tp)
+                        yt = np.where(y > 0, np.where(y > 0, y, 1.0) ** (2.0 - tp) / ((1 - tp) * (2 - tp)), 0.0)
+                        dev = 2.0 * (yt - y * mu ** (1.0 - tp) / (1.0 - tp) + mu ** (2.0 - tp) / (2.0 - tp))
+                        ll = np.full_like(y, np.nan)
+                        var = mu ** tp
+                    pear = (y - mu) ** 2 / var
                     if pw is not None:
-                        w, wz, dev, ll = w * pw, wz * pw, dev * pw, ll * pw
+                        w, wz, dev, ll, pear = w * pw, wz * pw, dev * pw, ll * pw, pear * pw
                     xtwx = (X * w[:, None]).T @ X
                     iu = np.triu_indices(len(ix))
-                    vec = np.concatenate([xtwx[iu], X.T @ wz, [dev.sum(), ll.sum(), float(len(y))]])
+                    vec = np.concatenate([xtwx[iu], X.T @ wz, [dev.sum(), ll.sum(), float(len(y)), pear.sum()]])
                     key = (g, m)
                     acc[key] = acc[key] + vec if key in acc else vec
         if acc:
@@ -267,8 +305,8 @@ def _unpack(arr, p):
             xtwx[j, k] = xtwx[k, j] = a[i]
             i += 1
     xtwz = a[i:i + p]
-    dev, ll, n = a[i + p], a[i + p + 1], a[i + p + 2]
-    return xtwx, xtwz, dev, ll, int(n)
+    dev, ll, n, pear = a[i + p], a[i + p + 1], a[i + p + 2], a[i + p + 3]
+    return xtwx, xtwz, dev, ll, int(n), pear
 
 
 def _solve(a, b):
@@ -309,12 +347,12 @@ def irls(frame: DataFrame, feats: list[list[str]], names: list[list[str]], famil
                 if st["done"]:
                     continue
                 p = len(feats[m])
-                xtwx, xtwz, dev, ll, n = _unpack(sums[g][pos], p)
+                xtwx, xtwz, dev, ll, n, pear = _unpack(sums[g][pos], p)
                 if st["dev"] is not None and abs(dev - st["dev"]) / (abs(dev) + 0.1) < tol:
-                    st.update(done=True, xtwx=xtwx, dev_final=dev, ll=ll, n=n)
+                    st.update(done=True, xtwx=xtwx, dev_final=dev, ll=ll, n=n, pear=pear)
                     continue
                 if it == max_iter:
-                    st.update(done=True, xtwx=xtwx, dev_final=dev, ll=ll, n=n, failed=True)
+                    st.update(done=True, xtwx=xtwx, dev_final=dev, ll=ll, n=n, pear=pear, failed=True)
                     continue
                 beta, _ = _solve(xtwx, xtwz)
                 st.update(dev=dev, beta=beta, it=it + 1)
@@ -332,8 +370,13 @@ def irls(frame: DataFrame, feats: list[list[str]], names: list[list[str]], famil
                 cov = np.linalg.inv(st["xtwx"])
             except np.linalg.LinAlgError:
                 cov = np.linalg.pinv(st["xtwx"])
-            results[(m, g)] = GlmFit(names[m], beta, cov, st["dev_final"], st["ll"], st["n"], st["it"],
-                                     not st.get("failed", False), family, g)
+            phi = 1.0
+            if family.startswith("tweedie:") and st["n"] > len(feats[m]):
+                phi = st["pear"] / (st["n"] - len(feats[m]))       # Pearson dispersion estimate
+            fit = GlmFit(names[m], beta, cov * phi, st["dev_final"], st["ll"], st["n"], st["it"],
+                         not st.get("failed", False), family, g)
+            fit.extra["dispersion"] = phi
+            results[(m, g)] = fit
     if grouped:
         return results
     return [results[(m, None)] for m in range(M)]

@@ -42,8 +42,10 @@ def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response:
                  checkpoint: bool = False) -> tuple[DataFrame, DataFrame]:
     """Return (model table, variable importance), both DataFrames.
 
-    Model table: response, modname, n_used, edf, loglik, aicc, delta_aicc,
-    wi_aicc, converged. Importance: response, predictor, importance.
+    Model table: response, modname, n_used, edf, loglik, aicc, bic,
+    delta_aicc, wi_aicc, cumsum_wi, converged. Importance: response,
+    predictor, importance. Ranking needs a likelihood, so ``family`` is
+    Poisson (or binomial); a fixed-power Tweedie fit has no AIC.
     """
     spark = df.sparkSession
     preds = list(predictors)
@@ -90,9 +92,11 @@ def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response:
     for g, name, combo, fit in rows:
         n, kk = fit.n_used, fit.p
         aicc = fit.aic + (2.0 * kk * (kk + 1) / (n - kk - 1) if n - kk - 1 > 0 else float("inf"))
-        out.append((str(g), name, int(n), int(kk), float(fit.loglik), float(aicc), bool(fit.converged)))
+        bic = -2.0 * fit.loglik + kk * float(np.log(n)) if n > 0 else float("nan")
+        out.append((str(g), name, int(n), int(kk), float(fit.loglik), float(aicc), float(bic), bool(fit.converged)))
     models = spark.createDataFrame(
-        out, "response string, modname string, n_used long, edf int, loglik double, aicc double, converged boolean")
+        out, "response string, modname string, n_used long, edf int, loglik double, aicc double, bic double, "
+             "converged boolean")
     from abundance.plans.pipelines import model_report
     ranked = model_report(models, max_delta=float("inf"))
     # importance = sum of Akaike weights of the models holding each predictor

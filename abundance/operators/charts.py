@@ -14,11 +14,11 @@ from abundance.functions.columns import as_list, col
 
 # ------------------------------------------------------------ V1 histogram
 
-def pretty_breaks(lo: float, hi: float, n: int) -> list[float]:
+def pretty_breaks(lo: float, hi: float, n: int, min_n: int | None = None) -> list[float]:
     """R ``pretty(c(lo, hi), n)`` (the published algorithm: unit 1, 2, 5
     or 10 times a power of ten, high.u.bias = 1.5)."""
     h, h5 = 1.5, 0.5 + 1.5 * 1.5
-    min_n = n // 3
+    min_n = n // 3 if min_n is None else min_n
     dx = hi - lo
     cell = max(abs(lo), abs(hi))
     if dx == 0 and hi == 0:
@@ -83,7 +83,7 @@ def hist_bins(df: DataFrame, column: str, bins: int | str = "sturges") -> DataFr
         return spark.createDataFrame([], "bin int, lower double, upper double, count bigint")
     if bins == "sturges":
         k = math.ceil(math.log2(n) + 1)
-        br = pretty_breaks(lo, hi, k)
+        br = pretty_breaks(lo, hi, k, min_n=1)          # hist() passes min.n = 1
         start, width, nb = br[0], br[1] - br[0], len(br) - 1
     else:
         nb = int(bins)

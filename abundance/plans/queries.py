@@ -787,11 +787,13 @@ def zip_depth(spark, d):
 @register("spline_prediction", None)
 def spline_prediction(spark, d):
     """M6 + M8 + M9 + A21 + V6: smooth of sand (k = 3 natural spline,
-    unpenalised Poisson), 20-point grid, mean and se on the response scale."""
+    unpenalised, Tweedie family with variance power 1.5 as the reference's
+    tw() family, dispersion from Pearson), 20-point grid, mean and se on the
+    response scale."""
     from abundance.models.predict import average_predictions, prediction_grid, predict_se
     from abundance.models.spline import spline_glm
     fr = _frame(spark, d)
-    f = spline_glm(fr, "number", ["sand"])
+    f = spline_glm(fr, "number", ["sand"], family="tweedie:1.5")
     grid = prediction_grid(fr, "sand", 20)
     pred = average_predictions(predict_se(f, grid), ["sand"])
     from abundance.operators.charts import curve_with_se
