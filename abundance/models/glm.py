@@ -51,13 +51,17 @@ class GlmFit:
     def se(self) -> np.ndarray:
         return np.sqrt(np.clip(np.diag(self.cov), 0, None))
 
+    @property
+    def n_params(self) -> int:
+        return int(self.extra.get("n_params", self.p))
+
     @property
     def aic(self) -> float:
-        return -2.0 * self.loglik + 2.0 * self.p
+        return -2.0 * self.loglik + 2.0 * self.n_params
 
     @property
     def aicc(self) -> float:
-        n, k = self.n_used, self.p
+        n, k = self.n_used, self.n_params
         return self.aic + (2.0 * k * (k + 1) / (n - k - 1) if n - k - 1 > 0 else math.inf)
 
     def table(self) -> list[tuple]:

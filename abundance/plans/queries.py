@@ -810,7 +810,8 @@ def prediction_grid_q(spark, d):
 
 @register("full_subsets", None)
 def full_subsets_q(spark, d):
-    """M7 + M10 + A19 + C15: full-subset selection for total abundance and
+    """M7 + M10 + A19 + C15: full-subset selection (k = 3 smooths, Tweedie
+    family with power 1.5 as the reference's tw()) for total abundance and
     species richness (responses with < 95 % zeros) over habitat predictors;
     ranked model table (delta <= 10)."""
     from abundance.models.select import full_subsets
@@ -820,7 +821,7 @@ def full_subsets_q(spark, d):
     fr = joins.natural_join(ab, _habitat(spark, d).drop("site", "date_time"), "left", on=["sample"])
     fr = fr.withColumn("depth_m", F.col("depth_m") / 100000.0)
     ranked, _imp = full_subsets(fr, "number", ["sand", "turf", "posidonia", "depth_m", "mean_relief"],
-                                response="response", max_size=2, cor_cutoff=0.28)
+                                response="response", max_size=2, cor_cutoff=0.28, family="tweedie:1.5")
     return fin(ranked.where(F.col("delta_aicc") <= 10).drop("loglik"), 4)
 
 
@@ -933,7 +934,7 @@ def importance_long(spark, d):
     fr = joins.natural_join(ab, _habitat(spark, d).drop("site", "date_time"), "left", on=["sample"])
     fr = fr.withColumn("depth_m", F.col("depth_m") / 100000.0)
     _ranked, imp = full_subsets(fr, "number", ["sand", "turf", "posidonia", "depth_m", "mean_relief"],
-                                response="response", max_size=2, cor_cutoff=0.28)
+                                response="response", max_size=2, cor_cutoff=0.28, family="tweedie:1.5")
     wide = reshape.widen(imp, ["response"], "predictor", "importance", fill=0.0)
     rule = ({"predictor": "sand", "resp_var": "total_abundance"}, "X")
     return fin(P.importance_long(wide, "response", rename_to="resp_var", label_rule=rule), 4)

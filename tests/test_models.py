@@ -174,3 +174,37 @@ def test_tweedie_matches_spark_ml(spark):
     assert math.isclose(f.deviance, dev, rel_tol=1e-6)
     assert math.isclose(f.se[1], m.summary.coefficientStandardErrors[0], rel_tol=1e-4)
     assert math.isnan(f.aic)
+
+
+def test_tweedie_loglik_and_power_profile(spark):
+    from abundance.models.tweedie import tweedie_glm, tweedie_logpdf, tweedie_profile
+    rng = np.random.default_rng(31)
+    n = 4000
+    x = rng.normal(size=n)
+    mu = np.exp(0.5 + 0.3 * x)
+    k = rng.poisson(mu)                      # gamma shape 2 per event -> p = 4/3
+    y = np.array([rng.gamma(2.0, m / 2.0, size=c).sum() if c else 0.0 for c, m in zip(k, mu)])
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "x": x}))
+    f = tweedie_glm(df, "y", ["x"], 1.4)
+    muh = np.exp(f.coef[0] + f.coef[1] * x)
+    ref = tweedie_logpdf(y, muh, f.extra["dispersion"], 1.4).sum()
+    assert math.isclose(f.loglik, ref, rel_tol=1e-9) and math.isfinite(f.aic)
+    assert f.n_params == 3
+    best, trace = tweedie_profile(df, "y", ["x"], powers=(1.2, 1.3, 1.4, 1.6))
+    assert float(best.family.split(":")[1]) in (1.3, 1.4)
+
+
+def test_full_subsets_tweedie_ranks(spark):
+    from abundance.models.select import full_subsets
+    rng = np.random.default_rng(41)
+    n = 1500
+    a, b = rng.normal(size=n), rng.normal(size=n)
+    mu = np.exp(0.3 + 0.5 * a)
+    k = rng.poisson(mu)
+    y = np.array([rng.gamma(2.0, m / 2.0, size=c).sum() if c else 0.0 for c, m in zip(k, mu)])
+    df = spark.createDataFrame(pd.DataFrame({"response": "r", "y": y, "a": a, "b": b}))
+    ranked, imp = full_subsets(df, "y", ["a", "b"], max_size=2, cor_cutoff=0.9, smooth=False,
+                               family="tweedie:1.4")
+    top = ranked.orderBy("aicc").first()
+    assert "a" in top.modname.split("+") and top.edf == 3 + (1 if "b" in top.modname else 0)
+    assert {r.predictor: r.importance for r in imp.collect()}["a"] > 0.9
