@@ -208,3 +208,66 @@ def test_full_subsets_tweedie_ranks(spark):
     top = ranked.orderBy("aicc").first()
     assert "a" in top.modname.split("+") and top.edf == 3 + (1 if "b" in top.modname else 0)
     assert {r.predictor: r.importance for r in imp.collect()}["a"] > 0.9
+
+
+def _zip_ll_np(theta, y, X):
+    p = X.shape[1]
+    eta, zeta = X @ theta[:p], X @ theta[p:]
+    mu = np.exp(eta)
+    sp = lambda v: np.maximum(v, 0) + np.log1p(np.exp(-np.abs(v)))
+    from math import lgamma
+    lf = np.array([lgamma(v + 1) for v in y])
+    return np.sum(np.where(y == 0, -mu + sp(zeta + mu) - sp(zeta), -sp(zeta) + y * eta - mu - lf))
+
+
+def test_zip_equals_direct_numpy_mle(spark):
+    from abundance.models.glmm import _nelder_mead
+    rng = np.random.default_rng(17)
+    n = 1500
+    x = rng.normal(size=n)
+    y = np.where(rng.random(n) < 1 / (1 + np.exp(0.3 - 0.6 * x)), 0, rng.poisson(np.exp(0.8 + 0.3 * x)))
+    f = zip_model(spark.createDataFrame(pd.DataFrame({"y": y, "x": x})), "y", ["x"])
+    X = np.column_stack([np.ones(n), x])
+    best, negll = _nelder_mead(lambda t: -_zip_ll_np(t, y, X), f.coef + 0.05, tol=1e-14, max_iter=4000)
+    assert math.isclose(-negll, f.loglik, rel_tol=1e-8)
+    assert np.allclose(best, f.coef, atol=2e-4)
+    assert -negll <= f.loglik + 1e-6          # nothing beats the Spark fit
+
+
+def test_glmm_laplace_equals_raw_row_computation(spark):
+    from abundance.models.glmm import poisson_glmm
+    rng = np.random.default_rng(23)
+    n, q = 800, 8
+    g = rng.integers(0, q, n)
+    x = rng.normal(size=n)
+    y = rng.poisson(np.exp(0.2 + 0.4 * x + rng.normal(0, 0.6, q)[g]))
+    labels = np.array([f"g{i}" for i in g])
+    f = poisson_glmm(spark.createDataFrame(pd.DataFrame({"y": y, "x": x, "g": labels})), "y", ["x"], ["g"])
+    s2 = f.sigma["g"] ** 2
+    from math import lgamma
+    lf = np.array([lgamma(v + 1) for v in y])
+    eta0 = f.coef[0] + f.coef[1] * x
+    total_laplace, total_quad = 0.0, 0.0
+    nodes, weights = np.polynomial.hermite_e.hermegauss(80)      # for N(0, 1)
+    for lv in np.unique(labels):
+        m = labels == lv
+        yy, ee, ll0 = y[m], eta0[m], lf[m]
+        u = 0.0
+        for _ in range(100):                                      # mode of the penalised group term
+            mu = np.exp(ee + u)
+            step = (np.sum(yy - mu) - u / s2) / (np.sum(mu) + 1 / s2)
+            u += step
+            if abs(step) < 1e-12:
+                break
+        mu = np.exp(ee + u)
+        h = np.sum(mu)
+        total_laplace += np.sum(yy * (ee + u) - mu - ll0) - u * u / (2 * s2) - 0.5 * np.log(1 + s2 * h)
+        # adaptive Gauss-Hermite around the mode
+        sd = 1 / np.sqrt(h + 1 / s2)
+        us = u + sd * nodes
+        vals = np.array([np.sum(yy * (ee + uu) - np.exp(ee + uu) - ll0) for uu in us]) \
+            - us ** 2 / (2 * s2) - 0.5 * np.log(2 * np.pi * s2) + nodes ** 2 / 2
+        mx = vals.max()
+        total_quad += mx + np.log(np.sum(weights * np.exp(vals - mx)) * sd)
+    assert math.isclose(f.loglik, total_laplace, rel_tol=1e-8)
+    assert abs(total_laplace - total_quad) < 0.05 * q            # Laplace close to the exact integral
