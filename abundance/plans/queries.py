@@ -956,3 +956,10 @@ def lm_band(spark, d):
     """Fitted line turf ~ sand with its 95 % confidence band on 80
     points (geom_smooth(method = "lm") data)."""
     return fin(agg.lm_band(_habitat(spark, d), "sand", "turf", n_points=80))
+
+
+@register("missing_maxn_rows", _with(*maxn_ctes(True)) + "SELECT * FROM maxn WHERE count IS NULL")
+def missing_maxn_rows(spark, d):
+    """The rows whose MaxN is missing (``which(is.na(count))`` as rows,
+    since distributed rows have no positions)."""
+    return agg.missing_rows(_maxn(spark, d, with_missing=True), "count")
