@@ -963,3 +963,45 @@ def missing_maxn_rows(spark, d):
     """The rows whose MaxN is missing (``which(is.na(count))`` as rows,
     since distributed rows have no positions)."""
     return agg.missing_rows(_maxn(spark, d, with_missing=True), "count")
+
+
+_AB_SITE = ("abs", """SELECT a.response, r.site, a.number AS y
+    FROM (SELECT sample, 'total_abundance' AS response, CAST(coalesce(sum(count), 0) AS DOUBLE) AS number FROM maxn GROUP BY 1
+          UNION ALL
+          SELECT sample, 'species_richness', CAST(sum(CASE WHEN count > 0 THEN 1 ELSE 0 END) AS DOUBLE) FROM maxn GROUP BY 1) a
+    JOIN roster_ok r ON r.sample = a.sample WHERE r.site IS NOT NULL""")
+
+
+@register("glm_site_by_response", _with(ROSTER_OK, *maxn_ctes(), _AB_SITE,
+    ("g", "SELECT response, site, avg(y) AS m, sum(y) AS s FROM abs GROUP BY 1, 2"),
+    ("ref", "SELECT response, min(site) AS site FROM g GROUP BY 1"),
+    ("r0", "SELECT g.* FROM g JOIN ref ON g.response = ref.response AND g.site = ref.site")) + """
+SELECT r0.response AS model, '(Intercept)' AS term, ROUND(ln(r0.m), 4) AS estimate, ROUND(1 / sqrt(r0.s), 4) AS se FROM r0
+UNION ALL
+SELECT g.response, 'site' || g.site, ROUND(ln(g.m / r0.m), 4), ROUND(sqrt(1 / g.s + 1 / r0.s), 4)
+FROM g JOIN r0 ON g.response = r0.response WHERE g.site <> r0.site""")
+def glm_site_by_response(spark, d):
+    """One Poisson GLM number ~ site per response (total abundance,
+    species richness of the deployments with counts), all responses in the
+    same passes; closed form per response."""
+    from abundance.models.glm import coef_table, glm_by_group
+    ab = P.abundance_long(_maxn(spark, d))
+    fr = joins.natural_join(ab, _roster(spark, d).select("sample", "site"), "inner", on=["sample"])
+    fits = glm_by_group(fr, "response", "number", ["site"])
+    return coef_table(spark, fits, 4).select("model", "term", "estimate", "se")
+
+
+@register("glm_site_aic", _with(ROSTER_OK, *maxn_ctes(), ("ab", """SELECT r.sample, r.site,
+    CAST(coalesce(t.n, 0) AS DOUBLE) AS y FROM roster_ok r
+    LEFT JOIN (SELECT sample, sum(count) AS n FROM maxn GROUP BY 1) t ON t.sample = r.sample
+    WHERE r.site IS NOT NULL"""), ("g", "SELECT site, avg(y) AS m FROM ab GROUP BY site")) + """
+SELECT 'glm0' AS model, CAST((SELECT count(*) FROM g) AS INTEGER) AS df, count(*) AS n_used,
+  ROUND(sum(ab.y * ln(g.m) - g.m - lgamma(ab.y + 1)), 4) AS loglik,
+  ROUND(-2 * sum(ab.y * ln(g.m) - g.m - lgamma(ab.y + 1)) + 2 * (SELECT count(*) FROM g), 4) AS aic
+FROM ab JOIN g ON ab.site = g.site""")
+def glm_site_aic(spark, d):
+    """M5: AIC table row of glm0 (number ~ site): parameters, rows used,
+    log-likelihood and AIC (closed form at the group means)."""
+    from abundance.models.glm import aic_table, glm
+    f = glm(_frame(spark, d), "number", ["site"])
+    return fin(aic_table(spark, {"glm0": f}).select("model", "df", "n_used", "loglik", "aic"), 4)
