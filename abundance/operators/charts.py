@@ -96,7 +96,7 @@ def hist_bins(df: DataFrame, column: str, bins: int | str = "sturges") -> DataFr
         F.col("id").cast("int").alias("bin"),
         (F.lit(start) + (F.col("id") - 1) * F.lit(width)).alias("lower"),
         (F.lit(start) + F.col("id") * F.lit(width)).alias("upper"))
-    return (grid.join(counts, on="bin", how="left")
+    return (grid.join(F.broadcast(counts), on="bin", how="left")     # <= nb rows (one per bin)
             .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long")))
 
 

@@ -56,6 +56,17 @@ def _condition(keys: Sequence[str], null_safe: bool) -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
+def _na_rule(null_safe: bool, na_matches: str | None) -> bool:
+    """dplyr's ``na_matches``: ``"na"`` (R default, missing keys match
+    missing keys) or ``"never"`` (SQL equality: a plain equi-join that keeps
+    an existing hash partitioning on the keys usable)."""
+    if na_matches is None:
+        return null_safe
+    if na_matches not in ("na", "never"):
+        raise ValueError("na_matches must be 'na' or 'never'")
+    return na_matches == "na"
+
+
 def _needs_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> bool:
     """``<=>`` differs from ``=`` only when both sides can hold a missing key;
     if either side declares its keys non-nullable, plain equality is exact
@@ -67,7 +78,8 @@ def _needs_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left", on=None,
-                 null_safe: bool = True, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+                 null_safe: bool = True, suffixes: tuple[str, str] = ("_x", "_y"),
+                 na_matches: str | None = None) -> DataFrame:
     """dplyr ``left_join`` / ``right_join`` / ``inner_join`` / ``full_join``.
 
     Keys come out once: from the left for left/inner joins, from the right
@@ -80,6 +92,7 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left", on=None,
     """
     keys = _keys(left, right, on)
     how = {"outer": "full", "full_outer": "full"}.get(how, how)
+    null_safe = _na_rule(null_safe, na_matches)
     ns = null_safe and _needs_null_safe(left, right, keys)
     joined = left.alias(_L).join(right.alias(_R), _condition(keys, ns), how)
     if how == "right":
@@ -98,10 +111,11 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left", on=None,
     return joined.select(*cols)
 
 
-def anti_join(left: DataFrame, right: DataFrame, on=None, null_safe: bool = True) -> DataFrame:
+def anti_join(left: DataFrame, right: DataFrame, on=None, null_safe: bool = True,
+              na_matches: str | None = None) -> DataFrame:
     """Rows of ``left`` with no match in ``right`` (dplyr ``anti_join``)."""
     keys = _keys(left, right, on)
-    ns = null_safe and _needs_null_safe(left, right, keys)
+    ns = _na_rule(null_safe, na_matches) and _needs_null_safe(left, right, keys)
     return left.alias(_L).join(right.alias(_R), _condition(keys, ns), "left_anti")
 
 

@@ -43,3 +43,11 @@ def test_zero_fill_grid_indexed_path(spark):
     got = sorted(tuple(r) for r in joins.zero_fill_grid(obs, roster, ["sample"], ["taxon"], ["count"],
                                                         inline_levels=0).collect())
     assert got == [("S1", "a", 3), ("S1", "b", 0), ("S2", "a", 0), ("S2", "b", 1)]
+
+
+def test_na_matches_never(spark):
+    a = spark.createDataFrame([(None, 1), ("x", 2)], "k string, a int")
+    b = spark.createDataFrame([(None, 10), ("x", 20)], "k string, b int")
+    got = sorted((r.k or "", r.a, r.b) for r in joins.natural_join(a, b, "left", na_matches="never").collect())
+    assert got == [("", 1, None), ("x", 2, 20)]
+    assert joins.anti_join(a, b, na_matches="never").count() == 1
