@@ -156,26 +156,40 @@ def row_sum(df: DataFrame, cols: Sequence[str], out: str, na_rm: bool = True) ->
     return df.withColumn(out, expr)
 
 
-def size_class_abundance(lengths: DataFrame, roster: DataFrame, sample_keys: Sequence[str],
+def size_class_abundance(lengths: DataFrame, roster: DataFrame | None, sample_keys: Sequence[str],
                          length: str = "length_mm", number: str = "number", lm: str = "lm",
                          legal_mm: float = 280.0,
                          labels: Sequence[str] = ("Mature", "Immature", "Legal", "Sublegal"),
-                         response: str = "response", value: str = "number") -> DataFrame:
+                         response: str = "response", value: str = "number",
+                         focal=None) -> DataFrame:
     """Abundance by size class, zero-filled over the roster, stacked long.
 
     One scan and one aggregate give all four classes (the reference runs
     four filtered passes). Limits are strict (T13): a fish exactly at Lm or
     at the legal size is in neither class; a taxon without Lm is in neither
     maturity class.
+
+    ``roster=None`` means the roster is the distinct deployments of
+    ``lengths`` itself (the reference's length roster); then no join is
+    needed: the aggregate runs over every length row with ``focal`` (a
+    Column, e.g. the taxon test) folded into the conditional sums, so each
+    deployment appears once with its zeros. With a separate roster the
+    focal rows are aggregated and right-joined to it.
     """
     sample_keys = as_list(sample_keys)
     L, N = col(length), col(number)
     conds = [L > col(lm), L < col(lm), L > F.lit(legal_mm), L < F.lit(legal_mm)]
     names = [f"__c{i}" for i in range(4)]
-    agg = lengths.groupBy(*sample_keys).agg(*[F.sum(F.when(c, N)).alias(n) for c, n in zip(conds, names)])
-    from abundance.operators.joins import natural_join
-    filled = natural_join(agg, roster, how="right", on=sample_keys)
-    filled = filled.withColumns({n: F.coalesce(col(n), F.lit(0)) for n in names})
+    if roster is None:
+        sel = focal if focal is not None else F.lit(True)
+        filled = lengths.groupBy(*sample_keys).agg(
+            *[F.coalesce(F.sum(F.when(sel & c, N)), F.lit(0)).alias(n) for c, n in zip(conds, names)])
+    else:
+        data = lengths.where(focal) if focal is not None else lengths
+        agg = data.groupBy(*sample_keys).agg(*[F.sum(F.when(c, N)).alias(n) for c, n in zip(conds, names)])
+        from abundance.operators.joins import natural_join
+        filled = natural_join(agg, roster, how="right", on=sample_keys)
+        filled = filled.withColumns({n: F.coalesce(col(n), F.lit(0)) for n in names})
     ids = [c for c in filled.columns if c not in names]
     stacked = filled.unpivot(ids, names, response, value)
     mapping = F.create_map(*[x for n, lab in zip(names, labels) for x in (F.lit(n), F.lit(lab))])

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abundance.functions.columns import as_list, col, taxon_label, to_number
+from abundance.functions.columns import as_list, col, keep_predicate, taxon_label, to_number
 from abundance.operators import agg, clean, joins, rank, reshape
 
 DEPLOYMENT_COLS = ["sample", "longitude_dd", "latitude_dd", "date_time", "location", "site",
@@ -138,11 +138,16 @@ def size_class_table(lengths: DataFrame, maturity: DataFrame, label: str, legal_
     lm = agg.size_at_maturity(maturity, list(taxon_parts), out="lm")
     ln = clean.keep_in(lengths, "successful_length", ["Yes"]).withColumn("scientific", taxon_label(*label_parts))
     ln = joins.natural_join(ln, lm, "left", on=list(taxon_parts))
-    roster = agg.distinct_rows(ln, list(roster_cols))
-    focal = clean.keep_in(ln, "scientific", [label])
     sfx = f" {suffix}" if suffix else ""
     labels = [f"Mature{sfx}", f"Immature{sfx}", f"Legal{sfx}", f"Sublegal{sfx}"]
-    return agg.size_class_abundance(focal, roster, list(key), lm="lm", legal_mm=legal_mm, labels=labels)
+    focal = keep_predicate("scientific", [label])
+    if list(roster_cols) == list(key):
+        # the roster is the distinct deployments of the lengths: one aggregate, no join
+        return agg.size_class_abundance(ln, None, list(key), lm="lm", legal_mm=legal_mm, labels=labels,
+                                        focal=focal)
+    roster = agg.distinct_rows(ln, list(roster_cols))
+    return agg.size_class_abundance(ln, roster, list(key), lm="lm", legal_mm=legal_mm, labels=labels,
+                                    focal=focal)
 
 
 def dot_point_habitat(points: DataFrame, keys: Sequence[str] = ("campaignid", "opcode"),
@@ -198,15 +203,18 @@ def model_report(models: DataFrame, response: str = "response", aic: str = "aicc
 def qa_report(roster: DataFrame, table: DataFrame, key: Sequence[str] = ("sample",),
               names: tuple[str, str] = ("roster", "table")) -> DataFrame:
     """Row counts of both tables and the rows each has without a
-    partner in the other (two-way anti join), from one full outer join of
-    per-key row counts (so each table is shuffled once, already reduced)."""
+    partner in the other (two-way anti join counts).
+
+    Both key lists are stacked and grouped once (partial aggregation, one
+    shuffle, no join); grouping puts missing keys in one group, which is
+    R's NA-matches-NA rule without a null-safe join."""
     key = list(key)
-    a = roster.groupBy(*key).agg(F.count(F.lit(1)).alias("__na"))
-    b = table.groupBy(*key).agg(F.count(F.lit(1)).alias("__nb"))
-    j = joins.natural_join(a, b, "full", on=key)
-    na, nb = F.coalesce(col("__na"), F.lit(0)), F.coalesce(col("__nb"), F.lit(0))
-    one = j.agg(F.sum(na).cast("long").alias(f"{names[0]}_rows"),
-                F.sum(nb).cast("long").alias(f"{names[1]}_rows"),
-                F.sum(F.when(col("__nb").isNull(), na).otherwise(0)).cast("long").alias(f"{names[0]}_only"),
-                F.sum(F.when(col("__na").isNull(), nb).otherwise(0)).cast("long").alias(f"{names[1]}_only"))
+    a = roster.select(*key, F.lit(1).alias("__a"), F.lit(0).alias("__b"))
+    b = table.select(*key, F.lit(0).alias("__a"), F.lit(1).alias("__b"))
+    per_key = a.unionByName(b).groupBy(*key).agg(F.sum("__a").alias("__na"), F.sum("__b").alias("__nb"))
+    na, nb = col("__na"), col("__nb")
+    one = per_key.agg(F.sum(na).cast("long").alias(f"{names[0]}_rows"),
+                      F.sum(nb).cast("long").alias(f"{names[1]}_rows"),
+                      F.sum(F.when(nb == 0, na).otherwise(0)).cast("long").alias(f"{names[0]}_only"),
+                      F.sum(F.when(na == 0, nb).otherwise(0)).cast("long").alias(f"{names[1]}_only"))
     return one.unpivot([], one.columns, "check", "value")

@@ -144,3 +144,16 @@ def test_habitat_table_null_vs_literal_zero(spark):
     assert got["S3"].sand is None and got["S3"].turf is None                   # no benthos: NULL (T9)
     lit = {r.sample: r for r in P.habitat_table(roster, benthos, relief, rules, ["sand", "turf"], literal=True).collect()}
     assert lit["S3"].sand == 0.0 and lit["S3"].turf == 0.0
+
+
+def test_size_classes_join_free_equals_join(spark):
+    from pyspark.sql import functions as F
+    ln = spark.createDataFrame([("S1", "a", 300.0, 2, 250.0), ("S1", "b", 100.0, 1, 250.0),
+                                ("S2", "b", 500.0, 3, 250.0), ("S3", "a", 260.0, 1, 250.0)],
+                               "sample string, taxon string, length_mm double, number long, lm double")
+    focal = F.col("taxon") == "a"
+    free = agg.size_class_abundance(ln, None, ["sample"], focal=focal)
+    roster = ln.select("sample").distinct()
+    joined = agg.size_class_abundance(ln, roster, ["sample"], focal=focal)
+    assert sorted(tuple(r) for r in free.collect()) == sorted(tuple(r) for r in joined.collect())
+    assert {(r.sample, r.response): r.number for r in free.collect()}[("S2", "Mature")] == 0
