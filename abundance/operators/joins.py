@@ -129,12 +129,22 @@ def mismatch_report(a: DataFrame, b: DataFrame, on=None, names: tuple[str, str]
                     side_col: str = "side") -> DataFrame:
     """Two-way anti join as one table: keys of rows found on one side only.
 
-    ``side`` says which table holds the row (``<left>_only``/``<right>_only``).
+    ``side`` says which table holds the row (``<left>_only``/``<right>_only``);
+    a key appears once per row of its table, as ``anti_join`` returns rows.
+    Both key lists are stacked and grouped once (partial aggregation, one
+    shuffle) instead of two anti joins; grouping puts missing keys in one
+    group, R's NA-matches-NA rule.
     """
     keys = _keys(a, b, on)
-    a_only = anti_join(a.select(*keys), b.select(*keys), on=keys).withColumn(side_col, F.lit(f"{names[0]}_only"))
-    b_only = anti_join(b.select(*keys), a.select(*keys), on=keys).withColumn(side_col, F.lit(f"{names[1]}_only"))
-    return a_only.unionByName(b_only)
+    stacked = (a.select(*keys, F.lit(1).alias("__a"), F.lit(0).alias("__b"))
+               .unionByName(b.select(*keys, F.lit(0).alias("__a"), F.lit(1).alias("__b"))))
+    per_key = stacked.groupBy(*keys).agg(F.sum("__a").alias("__na"), F.sum("__b").alias("__nb"))
+    side = (F.when(F.col("__nb") == 0, F.lit(f"{names[0]}_only"))
+            .when(F.col("__na") == 0, F.lit(f"{names[1]}_only")))
+    n = F.when(F.col("__nb") == 0, F.col("__na")).otherwise(F.col("__nb")).cast("int")
+    one_sided = per_key.where((F.col("__na") == 0) | (F.col("__nb") == 0))
+    return (one_sided.select(*keys, side.alias(side_col), F.explode(F.array_repeat(F.lit(1), n)).alias("__r"))
+            .drop("__r"))
 
 
 def zero_fill(obs: DataFrame, roster: DataFrame, keys: Sequence[str], values: Sequence[str],

@@ -157,3 +157,21 @@ def test_size_classes_join_free_equals_join(spark):
     joined = agg.size_class_abundance(ln, roster, ["sample"], focal=focal)
     assert sorted(tuple(r) for r in free.collect()) == sorted(tuple(r) for r in joined.collect())
     assert {(r.sample, r.response): r.number for r in free.collect()}[("S2", "Mature")] == 0
+
+
+def test_habitat_grouped_equals_joined(spark):
+    roster = spark.createDataFrame([("S1", "A"), ("S2", "B"), ("S3", "C"), ("S3", "C2"), (None, "N")],
+                                   "sample string, site string")
+    benthos = spark.createDataFrame([("S1", "A", "F", "x", 3), ("S1", "N", "F", "x", 1), ("S2", "R", "O", "y", 2),
+                                     (None, "A", "F", "x", 5), ("S9", "N", "F", "x", 1), ("S2", "N", "O", "y", None)],
+                                    "sample string, level_2 string, level_3 string, scientific string, number long")
+    relief = spark.createDataFrame([("S1", "2", 1), ("S1", "3", 2), ("S2", "x", 1), ("S3", "4", 0), (None, "1", 3)],
+                                   "sample string, level_5 string, number long")
+    rules = [({"level_2": "A", "level_3": "F"}, "sand"), ({"level_2": "N"}, "turf")]
+    for literal in (False, True):
+        g = P.habitat_table(roster, benthos, relief, rules, ["sand", "turf"], literal=literal)
+        j = P.habitat_table_joined(roster, benthos, relief, rules, ["sand", "turf"], literal=literal)
+        cols = sorted(j.columns)
+        assert sorted(g.columns) == cols
+        norm = lambda df: sorted(tuple(str(r[c]) for c in cols) for r in df.collect())
+        assert norm(g) == norm(j)

@@ -51,3 +51,10 @@ def test_na_matches_never(spark):
     got = sorted((r.k or "", r.a, r.b) for r in joins.natural_join(a, b, "left", na_matches="never").collect())
     assert got == [("", 1, None), ("x", 2, 20)]
     assert joins.anti_join(a, b, na_matches="never").count() == 1
+
+
+def test_mismatch_report_keeps_row_multiplicity_and_na_keys(spark):
+    a = spark.createDataFrame([("S1",), ("S1",), (None,), ("S2",)], "sample string")
+    b = spark.createDataFrame([("S2",), (None,), ("S3",)], "sample string")
+    got = sorted((r.sample or "", r.side) for r in joins.mismatch_report(a, b).collect())
+    assert got == [("S1", "left_only"), ("S1", "left_only"), ("S3", "right_only")]
