@@ -90,21 +90,20 @@ def habitat_table(roster: DataFrame, benthos: DataFrame, relief: DataFrame, rule
     ``literal=False`` (default): a deployment with no benthos rows has NULL
     cover. ``literal=True`` reproduces ``values_fill = 0`` (false zeros, T9).
 
-    Plan: the roster, the classified benthos rows and the relief rows are
-    stacked by key and reduced by one ``groupBy(key)`` (one shuffle, partial
-    aggregation, no join): class sums over benthos rows, weighted relief
-    moments over relief rows, and the roster rows per key carried as a list
-    and exploded again (one output row per roster row, exactly as a left
-    join). Grouping puts missing keys in one group (R's NA-matches-NA).
-    ``habitat_table_joined`` is the same table built with two joins.
+    Plan: the classified benthos rows and the relief rows are stacked by
+    key and reduced by one ``groupBy(key)`` (one shuffle for both fact
+    tables; numeric sums only, so hash aggregation with a map-side partial
+    step): class sums and the total over benthos rows (NULL when a
+    deployment has none), weighted relief moments over relief rows of
+    positive weight. One left join attaches the result to the roster.
+    ``habitat_table_joined`` builds the same table from two aggregates and
+    two joins (kept as the reference in tests).
     """
-    rcols = [c for c in roster.columns if c != key]
     b = clean.classify(benthos, rules, "habitat").select(
         col(key), F.lit(1).alias("__src"), col("habitat").alias("__cls"), col("number").cast("double").alias("__w"))
     r = relief.select(col(key), F.lit(2).alias("__src"), to_number("level_5").alias("__x"),
                       col("number").cast("double").alias("__w"))
-    o = roster.select(col(key), F.lit(0).alias("__src"), F.struct(*[col(c) for c in rcols]).alias("__row"))
-    stacked = o.unionByName(b, allowMissingColumns=True).unionByName(r, allowMissingColumns=True)
+    stacked = b.unionByName(r, allowMissingColumns=True)
     src, w, x, cls = col("__src"), col("__w"), col("__x"), col("__cls")
     isb, isr = src == 1, (src == 2) & (w > 0)
     nb = F.sum(F.when(isb, 1).otherwise(0))
@@ -114,17 +113,11 @@ def habitat_table(roster: DataFrame, benthos: DataFrame, relief: DataFrame, rule
     sw = F.sum(F.when(isr & x.isNotNull(), w))
     s1, s2 = F.sum(F.when(isr, w * x)), F.sum(F.when(isr, w * x * x))
     complete = F.count(F.when(isr, x)) == F.count(F.when(isr, F.lit(1)))
-    mean = F.when(complete, s1 / sw)
-    sd = F.sqrt(F.when(sw > 1, F.greatest((s2 - s1 * s1 / sw) / (sw - 1), F.lit(0.0))))
-    grouped = stacked.groupBy(key).agg(
-        F.collect_list(F.when(src == 0, col("__row"))).alias("__rows"),
-        F.when(nb > 0, total.cast("long")).alias("total_points_annotated"),
-        *cover, mean.alias("mean_relief"), sd.alias("sd_relief"))
-    out = (grouped.where(F.size("__rows") > 0)
-           .select(col(key), F.explode("__rows").alias("__row"), "total_points_annotated", *classes,
-                   "mean_relief", "sd_relief")
-           .select(col(key), *[col(f"__row.{c}").alias(c) for c in rcols], "total_points_annotated",
-                   *classes, "mean_relief", "sd_relief"))
+    per_key = stacked.groupBy(key).agg(
+        F.when(nb > 0, total.cast("long")).alias("total_points_annotated"), *cover,
+        F.when(complete, s1 / sw).alias("mean_relief"),
+        F.sqrt(F.when(sw > 1, F.greatest((s2 - s1 * s1 / sw) / (sw - 1), F.lit(0.0)))).alias("sd_relief"))
+    out = joins.natural_join(roster, per_key, "left", on=[key])
     if literal:
         out = clean.fill_missing(out, classes, 0.0)
     return out
