@@ -50,7 +50,8 @@ def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response:
     """
     spark = df.sparkSession
     preds = list(predictors)
-    base = df.dropna(subset=[value, response, *preds])
+    from abundance.models.design import compact
+    base = compact(df.dropna(subset=[value, response, *preds]))
     if checkpoint:
         from abundance.session import cut_lineage
         base = cut_lineage(base)

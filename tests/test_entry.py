@@ -28,3 +28,14 @@ def test_some_oracles_match_at_sf0001(spark):
         d = sorted(tuple(str(r[i]) for i in order) for r in res.fetchall())
         assert len(s) == len(d), name
         assert s == d, name
+
+
+def test_worker_code_pickled_by_value():
+    """Python worker bodies must not need the package importable on
+    executors: the package is registered for pickle-by-value."""
+    import abundance
+    from pyspark import cloudpickle
+    from abundance.models.tweedie import tweedie_logpdf
+    assert cloudpickle.cloudpickle._is_registered_pickle_by_value(abundance)
+    blob = cloudpickle.dumps(tweedie_logpdf)
+    assert b"abundance.models.tweedie" not in blob or len(blob) > 2000   # code object shipped, not a reference
