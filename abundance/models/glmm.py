@@ -63,8 +63,10 @@ class GlmmFit:
 class _Cells:
     """Cell statistics at one beta, plus the driver-side Laplace pieces."""
 
-    def __init__(self, rows, feats, factors, level_index):
+    def __init__(self, rows, feats, factors, level_index, dense: bool | None = None):
         p = len(feats)
+        # one grouping factor: every cell is one level, so Z'WZ + D is diagonal
+        self.diag = (len(factors) == 1) if dense is None else not dense
         self.n = len(rows)
         self.A = np.array([r["__A"] for r in rows], float)
         self.B = np.array([r["__B"] for r in rows], float).reshape(self.n, p)
@@ -76,15 +78,41 @@ class _Cells:
         self.q_f = [len(level_index[f]) for f in factors]
         offs = np.cumsum([0] + self.q_f)
         self.q = int(offs[-1])
+        self.fac_of = np.concatenate([[k] * q for k, q in enumerate(self.q_f)]).astype(int)
+        if self.diag:
+            f = factors[0]
+            self.level_of_cell = np.array([level_index[f][r[f]] for r in rows], int)
+            self.Z = None
+            return
         Z = np.zeros((self.n, self.q))
         for k, f in enumerate(factors):
             for c, r in enumerate(rows):
                 Z[c, offs[k] + level_index[f][r[f]]] = 1.0
         self.Z = Z
-        self.fac_of = np.concatenate([[k] * q for k, q in enumerate(self.q_f)]).astype(int)
+
+    def _mode_diag(self, theta):
+        """Single factor: one 1-D Newton per level, vectorized (O(q))."""
+        d = float(np.exp(-2.0 * theta[0]))
+        A = np.zeros(self.q)
+        Sy = np.zeros(self.q)
+        np.add.at(A, self.level_of_cell, self.A)
+        np.add.at(Sy, self.level_of_cell, self.Sy)
+        u = np.zeros(self.q)
+        for _ in range(200):
+            h = np.exp(u) * A
+            step = (Sy - h - d * u) / (h + d)
+            u = u + step
+            if np.max(np.abs(step)) < 1e-10:
+                break
+        o = u[self.level_of_cell]
+        h_cell = np.exp(o) * self.A
+        mdiag = np.exp(u) * A + d
+        return u, o, h_cell, mdiag, np.full(self.q, d)
 
     def mode(self, theta, u0=None):
         """Maximise sum Sy o - exp(o) A - u'Du/2 over u (Newton)."""
+        if self.diag:
+            return self._mode_diag(theta)
         dvec = np.exp(-2.0 * theta)[self.fac_of]          # 1 / sigma^2 per level
         u = np.zeros(self.q) if u0 is None else u0.copy()
         for _ in range(100):
@@ -103,7 +131,10 @@ class _Cells:
 
     def laplace(self, beta, theta, u0=None):
         u, o, h, M, dvec = self.mode(theta, u0)
-        sign, logdet = np.linalg.slogdet(M)
+        if self.diag:
+            logdet = float(np.sum(np.log(M)))
+        else:
+            sign, logdet = np.linalg.slogdet(M)
         ll = (float(self.Yx.sum(0) @ beta) + float(self.Sy @ o) - float(h.sum()) - float(self.L.sum())
               - 0.5 * float(dvec @ (u * u)) - 0.5 * float(np.sum(np.array(self.q_f) * 2.0 * theta)) - 0.5 * logdet)
         return ll, u, o, h, M
@@ -117,6 +148,16 @@ class _Cells:
         ll, u, o, h, M = self.laplace(beta, theta)
         eo = np.exp(o)
         EB = eo[:, None] * self.B                        # cells x p
+        if self.diag:
+            lv = self.level_of_cell
+            ZEB = np.zeros((self.q, EB.shape[1]))
+            np.add.at(ZEB, lv, EB)                           # q x p
+            du = -ZEB / M[:, None]                            # q x p
+            dh = EB + h[:, None] * du[lv]
+            P = 1.0 / M[lv]
+            grad = (self.Yx - EB).sum(0) - 0.5 * (P[:, None] * dh).sum(0)
+            info = np.einsum("c,cjk->jk", eo, self.C) - (ZEB / M[:, None]).T @ ZEB
+            return ll, grad, info, u
         Minv = np.linalg.inv(M)
         ZEB = self.Z.T @ EB                               # q x p
         du = -Minv @ ZEB                                  # q x p
@@ -159,8 +200,13 @@ def _nelder_mead(f, x0, tol=1e-9, max_iter=400):
 
 
 def poisson_glmm(df: DataFrame, response: str, terms: Sequence[str], random: Sequence[str],
-                 max_levels: int = 5000, max_cells: int = 200_000, max_iter: int = 50,
-                 tol: float = 1e-9, checkpoint: bool = False) -> GlmmFit:
+                 max_levels: int | None = None, max_cells: int = 200_000, max_iter: int = 50,
+                 tol: float = 1e-9, checkpoint: bool = False, dense: bool | None = None) -> GlmmFit:
+    """Fit; one grouping factor uses the diagonal O(q) path (levels bounded
+    only by ``max_cells``), crossed factors the dense (q x q) path, where
+    ``max_levels`` (default 5000 per factor) applies."""
+    if max_levels is None:
+        max_levels = max_cells if len(list(random)) == 1 else 5000
     random = list(random)
     base = model_input(df, [response, *design_columns(terms), *random], checkpoint)
     try:
@@ -191,7 +237,7 @@ def poisson_glmm(df: DataFrame, response: str, terms: Sequence[str], random: Seq
             rows = agg.limit(max_cells + 1).collect()
             if len(rows) > max_cells:
                 raise ValueError(f"more than {max_cells} factor cells")
-            return _Cells(rows, xf, random, levels)
+            return _Cells(rows, xf, random, levels, dense)
 
         beta = irls(frame, [xf], [d.names], "poisson")[0].coef
         theta = np.zeros(len(random))

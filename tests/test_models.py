@@ -271,3 +271,18 @@ def test_glmm_laplace_equals_raw_row_computation(spark):
         total_quad += mx + np.log(np.sum(weights * np.exp(vals - mx)) * sd)
     assert math.isclose(f.loglik, total_laplace, rel_tol=1e-8)
     assert abs(total_laplace - total_quad) < 0.05 * q            # Laplace close to the exact integral
+
+
+def test_glmm_diagonal_path_equals_dense(spark):
+    from abundance.models.glmm import poisson_glmm
+    rng = np.random.default_rng(29)
+    n, q = 2000, 12
+    g = rng.integers(0, q, n)
+    x = rng.normal(size=n)
+    y = rng.poisson(np.exp(0.3 + 0.2 * x + rng.normal(0, 0.5, q)[g]))
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "x": x, "g": [f"g{i:02d}" for i in g]}))
+    a = poisson_glmm(df, "y", ["x"], ["g"])                 # diagonal path
+    b = poisson_glmm(df, "y", ["x"], ["g"], dense=True)     # dense path
+    assert np.allclose(a.coef, b.coef, atol=1e-7) and np.allclose(a.se, b.se, rtol=1e-6)
+    assert math.isclose(a.loglik, b.loglik, rel_tol=1e-10)
+    assert math.isclose(a.sigma["g"], b.sigma["g"], rel_tol=1e-6)
