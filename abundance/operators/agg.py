@@ -219,14 +219,27 @@ def missing_rows(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe_num(df: DataFrame, cols: Sequence[str], approx: bool = False,
-                 accuracy: int = 10000) -> DataFrame:
+                 accuracy: int = 10000, method: str = "percentile") -> DataFrame:
     """R ``summary()`` of numeric columns, one row per column.
 
     Quartiles interpolate between order statistics (R type 7) with
     ``percentile``. That aggregate buffers the distinct values of the
     column, which suits per-deployment tables; use ``approx=True`` on raw
-    observation columns (fixed-size sketch, no interpolation).
+    observation columns (fixed-size sketch, no interpolation), or
+    ``method="bracket"`` for exact type-7 quartiles of a raw column via
+    ``exact_quantiles`` (sketch bracket + bounded collection).
     """
+    if method == "bracket" and not approx:
+        stats = df.agg(*[x for c in cols for x in (
+            F.min(col(c).cast("double")).alias(f"mn{c}"), F.avg(col(c).cast("double")).alias(f"av{c}"),
+            F.max(col(c).cast("double")).alias(f"mx{c}"), count_if(col(c).isNull()).alias(f"na{c}"))]).first()
+        rows = []
+        for c in cols:
+            q1, med, q3 = exact_quantiles(df, c, [0.25, 0.5, 0.75], accuracy=max(accuracy, 100000))
+            rows.append((c, stats[f"mn{c}"], q1, med, stats[f"av{c}"], q3, stats[f"mx{c}"], int(stats[f"na{c}"])))
+        return df.sparkSession.createDataFrame(
+            rows, "column string, min double, q1 double, median double, mean double, q3 double, "
+                  "max double, n_missing long")
     probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     parts = []
     for c in cols:
@@ -241,6 +254,61 @@ def describe_num(df: DataFrame, cols: Sequence[str], approx: bool = False,
                        "mean", F.col("__q")[2].alias("q3"), "max", "n_missing")
 
 
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], accuracy: int = 1_000_000,
+                    max_collect: int = 5_000_000) -> list[float | None]:
+    """Exact R type-7 quantiles without buffering the column in one task.
+
+    1. ``count`` n and an ``approx_percentile`` sketch (fixed memory) give,
+       for each needed order statistic (ranks floor/ceil of (n-1)p), a
+       value bracket that contains it (the sketch's rank error is at most
+       n/accuracy).
+    2. One pass counts the values below each bracket and collects only the
+       values inside it (about 4n/accuracy per bracket; an error past
+       ``max_collect``, never a silent cut).
+    3. The order statistic is picked from the sorted bracket; type 7
+       interpolates between the two neighbours.
+    """
+    import math
+    x = col(column).cast("double")
+    data = df.select(x.alias("__x")).where(F.col("__x").isNotNull())
+    n = data.count()
+    if n == 0:
+        return [None for _ in probs]
+    ranks = sorted({int(math.floor((n - 1) * p)) for p in probs} | {int(math.ceil((n - 1) * p)) for p in probs})
+    eps = 2.0 / accuracy
+    lo_p = [max(0.0, (k + 0.5) / n - eps) for k in ranks]
+    hi_p = [min(1.0, (k + 0.5) / n + eps) for k in ranks]
+    sk = data.agg(F.percentile_approx("__x", F.array(*[F.lit(v) for v in lo_p + hi_p]), accuracy).alias("q")).first()["q"]
+    lo_v, hi_v = sk[:len(ranks)], sk[len(ranks):]
+    lo_v = [(-math.inf if p == 0.0 else v) for p, v in zip(lo_p, lo_v)]
+    hi_v = [(math.inf if p == 1.0 else v) for p, v in zip(hi_p, hi_v)]
+    aggs = []
+    for i, (a, b) in enumerate(zip(lo_v, hi_v)):
+        below = F.col("__x") < F.lit(a) if a != -math.inf else F.lit(False)
+        inside = (F.col("__x") >= F.lit(a) if a != -math.inf else F.lit(True)) & \
+                 (F.col("__x") <= F.lit(b) if b != math.inf else F.lit(True))
+        aggs += [count_if(below).alias(f"b{i}"), F.count(F.when(inside, 1)).alias(f"n{i}")]
+    counts = data.agg(*aggs).first()
+    value = {}
+    for i, (k, a, b) in enumerate(zip(ranks, lo_v, hi_v)):
+        m = counts[f"n{i}"]
+        if m > max_collect:
+            raise ValueError(f"bracket of {m} values exceeds max_collect; raise accuracy")
+        cond = (F.col("__x") >= F.lit(a) if a != -math.inf else F.lit(True)) & \
+               (F.col("__x") <= F.lit(b) if b != math.inf else F.lit(True))
+        vals = sorted(r[0] for r in data.where(cond).collect())       # bounded bracket
+        j = k - counts[f"b{i}"]
+        if not 0 <= j < len(vals):
+            raise ValueError("sketch bracket missed the rank; raise accuracy")
+        value[k] = vals[j]
+    out = []
+    for p in probs:
+        h = (n - 1) * p
+        lo, hi = int(math.floor(h)), int(math.ceil(h))
+        out.append(value[lo] + (h - lo) * (value[hi] - value[lo]))
+    return out
+
+
 # --------------------------------------------------- A16-A19 correlations
 
 def correlation(df: DataFrame, x: str, y: str, na_rm: bool = False, out: str = "r") -> DataFrame:

@@ -1005,3 +1005,10 @@ def glm_site_aic(spark, d):
     from abundance.models.glm import aic_table, glm
     f = glm(_frame(spark, d), "number", ["site"])
     return fin(aic_table(spark, {"glm0": f}).select("model", "df", "n_used", "loglik", "aic"), 4)
+
+
+@register("describe_events_exact", _describe_sql("events", ["value"]))
+def describe_events_exact(spark, d):
+    """A15 at raw-table scale: exact type-7 quartiles of the event values via
+    a sketch bracket and a bounded collection (no single-task buffer)."""
+    return fin(agg.describe_num(V.table(spark, d, "events"), ["value"], method="bracket"))
