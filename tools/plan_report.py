@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import contextlib
 import io
+import os
 import re
 import sys
 
-sys.path.insert(0, ".")
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from abundance.plans.queries import QUERIES  # noqa: E402
 from abundance.session import get_spark  # noqa: E402
 
