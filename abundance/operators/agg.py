@@ -122,26 +122,35 @@ def size_at_maturity(maturity: DataFrame, taxon: Sequence[str], sex: str = "sex"
 def abundance_richness(maxn: DataFrame, sample_keys: Sequence[str], taxon: str = "scientific",
                        count: str = "count", skip_first: int = 0, long: bool = True,
                        order_cols: Sequence[str] | None = None,
-                       response: str = "response", value: str = "number") -> DataFrame:
+                       response: str = "response", value: str = "number",
+                       na_rm_richness: bool = False) -> DataFrame:
     """Total abundance and species richness per deployment, without a pivot.
 
-    Equal to widening taxa to columns (absent = 0) and taking ``rowSums``
-    and ``rowSums(> 0)``. ``skip_first=k`` reproduces a column-offset slip
-    that leaves out the first k taxa in first-appearance order (T10):
+    Equal to widening taxa to columns (absent = 0) and taking
+    ``rowSums(na.rm = TRUE)`` for abundance and ``rowSums(. > 0)`` for
+    richness; the latter has no ``na.rm`` in the reference, so a deployment
+    with a missing MaxN gets missing richness (``na_rm_richness=True``
+    counts only present values). ``skip_first=k`` reproduces a column-offset
+    slip that leaves out the first k taxa in first-appearance order (T10):
     taxa are ranked by their smallest ``order_cols`` tuple (the grouping
-    order rows come out in), the first k found by a distributed top-k.
+    order rows come out in), the first k found by a distributed top-k and
+    flagged (their cells take no part in either total).
     """
     sample_keys = as_list(sample_keys)
-    data = maxn
+    data = maxn.withColumn("__keep", F.lit(True))
     if skip_first:
         oc = as_list(order_cols) or sample_keys
         first = (maxn.groupBy(taxon).agg(F.min(F.struct(*[col(c) for c in oc])).alias("__first"))
                  .orderBy(F.col("__first").asc(), col(taxon).asc()).limit(skip_first).select(taxon))
-        flagged = maxn.join(F.broadcast(first.withColumn("__skip", F.lit(True))), on=taxon, how="left")
-        data = flagged.withColumn(count, F.when(col("__skip").isNull(), col(count)))
+        flagged = maxn.join(F.broadcast(first.withColumn("__skip", F.lit(True))), on=taxon, how="left")   # <= k rows
+        data = flagged.withColumn("__keep", col("__skip").isNull())
+    keep, c = col("__keep"), col(count)
+    richness = count_if(keep & (c > 0))
+    if not na_rm_richness:
+        richness = F.when(F.count(F.when(keep, c)) == F.count(F.when(keep, F.lit(1))), richness)
     wide = data.groupBy(*sample_keys).agg(
-        F.coalesce(F.sum(col(count)), F.lit(0)).cast("double").alias("total_abundance"),
-        count_if(col(count) > 0).cast("double").alias("species_richness"))
+        F.coalesce(F.sum(F.when(keep, c)), F.lit(0)).cast("double").alias("total_abundance"),
+        richness.cast("double").alias("species_richness"))
     if not long:
         return wide
     return wide.unpivot(sample_keys, ["total_abundance", "species_richness"], response, value)

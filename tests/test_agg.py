@@ -200,3 +200,14 @@ def test_describe_bracket_equals_percentile(spark):
     for c in ["a", "b"]:
         for f in ["min", "q1", "median", "mean", "q3", "max", "n_missing"]:
             assert math.isclose(p[c][f], b[c][f], rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_richness_na_rule(spark):
+    df = spark.createDataFrame([("S1", "a", 2), ("S1", "b", None), ("S2", "a", 3), ("S2", "b", 0)],
+                               "sample string, scientific string, count long")
+    r = {(x.sample, x.response): x.number for x in agg.abundance_richness(df, ["sample"]).collect()}
+    assert r[("S1", "total_abundance")] == 2 and r[("S1", "species_richness")] is None     # R: rowSums(. > 0)
+    assert r[("S2", "species_richness")] == 1
+    r2 = {(x.sample, x.response): x.number
+          for x in agg.abundance_richness(df, ["sample"], na_rm_richness=True).collect()}
+    assert r2[("S1", "species_richness")] == 1
