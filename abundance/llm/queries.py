@@ -8,13 +8,33 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from abundance.llm import bpe, decontaminate, simhash, substring
+from abundance.llm import bpe, decontaminate, pii, quality, simhash, substring
 from abundance.llm.common import read_table
 
 TOKENIZERS = os.environ.get("ABUNDANCE_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read_table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, pii.KINDS))
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(written(F.filter("spans", lambda s: s["kind"] < 4)), 256).alias("base_sha256"),
+                        written(F.col("spans")).alias("spans"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                        F.round("quality", 6).alias("quality"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.decode(bpe.encode(docs, tokenizer, null_as_empty=True).select("doc_id", "ids"), tokenizer)
@@ -39,6 +59,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii": op2_pii,
+    "op3_quality": op3_quality,
     "op7_bpe": op7_bpe,
     "op8_substring": op8_substring,
     "op9_simhash": op9_simhash,

@@ -79,3 +79,84 @@ def contamination(docs, items, width):
         ids = sorted(str(x) for x in found if x is not None)
         out.append((str(d), len(w), len(hit), len(ids), sha(",".join(ids)), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return sorted(out)
+
+
+def quality_counts(text):
+    t = text or ""
+    w = WORD.findall(t)
+    places = {}
+    for i in range(len(w) - 2):
+        places.setdefault(tuple(w[i:i + 3]), []).append(i)
+    covered = {j for p in places.values() if len(p) > 1 for i in p for j in (i, i + 1, i + 2)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in t), "n_lines": len(lines),
+            "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered)}
+
+
+def luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+BASE = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15),
+}
+
+
+def base_spans(text):
+    """(start, kind, end, value) of the valid base matches."""
+    return sorted((m.start(), k, m.end(), m[0]) for k, (p, ok) in enumerate(BASE.values()) for m in re.finditer(p, text or "") if ok(m[0]))
+
+
+def disclosing_terms(texts, alpha, support):
+    import math
+
+    import regex
+
+    texts = [t or "" for t in texts]
+    term = regex.compile(r"[\p{L}\p{N}]+")
+    n_t, n_e, n_te, lines = {}, {}, {}, {}
+    for t in texts:
+        for w in set(term.findall(t)):
+            n_t[w] = n_t.get(w, 0) + 1
+        here_e, here = set(), set()
+        for line in t.split("\n"):
+            es = {f"{k}:{v.lower() if k == 0 else v if k == 1 else re.sub('[^0-9]', '', v)}" for _, k, _, v in base_spans(line)}
+            bare = line
+            for p, _ in BASE.values():
+                bare = re.sub(p, " ", bare)
+            for e in es:
+                here_e.add(e)
+                for w in set(term.findall(bare)):
+                    here.add((e, w))
+                    lines.setdefault((e, w), set()).add(line)
+        for e in here_e:
+            n_e[e] = n_e.get(e, 0) + 1
+        for p in here:
+            n_te[p] = n_te.get(p, 0) + 1
+    n = len(texts)
+    return {w for (e, w), c in n_te.items() if len(lines[e, w]) >= support and n_e[e] < n
+            and math.log2(n * c / (n_t[w] * n_e[e])) >= -math.log2(n_e[e] / n) / alpha - 1e-9}
+
+
+def all_spans(text, terms):
+    import regex
+
+    base = base_spans(text)
+    extra = [(m.start(), 4, m.end(), m[0]) for m in regex.finditer(r"[\p{L}\p{N}]+", text or "") if m[0] in terms]
+    return sorted(base + [t for t in extra if not any(t[0] < b[2] and b[0] < t[2] for b in base)])
+
+
+def redact(text, spans):
+    names, out, at = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]"], [], 0
+    for a, k, b, v in spans:
+        if a >= at:
+            out += [text[at:a], names[k] if k < 4 else "[NUMBER]" if v.isnumeric() else "[WORD]"]
+            at = b
+    return text if not spans else "".join(out) + text[at:]
