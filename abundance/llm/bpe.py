@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, types as T
 from abundance.llm.common import map_rows, worker_store
 
 SHORT = 256
-CACHE = 400_000
+CACHE = 250_000
 # Pattern of the byte-level pre-tokenizer (a fixed value of this tokenizer
 # family); \p{White_Space} is the white space its regex engine means by \s.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"

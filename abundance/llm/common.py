@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 # Words are runs of characters outside this class (space, \t \n \v \f \r).
 SPACE_CLASS = r"[ \t-\r]"
+SLICE = 500  # rows that a row-wise function sees at a time
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,10 +49,12 @@ def map_rows(df: DataFrame, column: str, fields: list[T.StructField], make) -> D
         import pyarrow as pa
 
         f = make()
-        for b in batches:
-            out = f(b.column(b.schema.names.index(inner)))
-            old = [(n, b.column(i)) for i, n in enumerate(b.schema.names) if n != "__in"]
-            yield pa.RecordBatch.from_arrays([c for _, c in old] + list(out), names=[n for n, _ in old] + new)
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):  # small pieces bound the memory of inputs and results
+                b = whole.slice(k, SLICE)
+                out = f(b.column(b.schema.names.index(inner)))
+                old = [(n, b.column(i)) for i, n in enumerate(b.schema.names) if n != "__in"]
+                yield pa.RecordBatch.from_arrays([c for _, c in old] + list(out), names=[n for n, _ in old] + new)
 
     return source.mapInArrow(run, schema)
 

@@ -5,16 +5,24 @@ columns from the operator's results."""
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from abundance.llm import bpe, decontaminate, pii, quality, simhash, substring
+from abundance.llm import bpe, decontaminate, licenses, pii, quality, quotes, simhash, substring, toxicity, warc
 from abundance.llm.common import read_table
+from abundance.session import checkpoint_dir
 
 TOKENIZERS = os.environ.get("ABUNDANCE_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", F.round("expected_severity", 6).alias("expected_severity"), "severity", "toxic")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read_table(spark, sf_dir, "documents"))
     names = F.array(*map(F.lit, pii.KINDS))
@@ -35,6 +43,29 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round("quality", 6).alias("quality"))
 
 
+def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns are first given mail form (each under quotes of the two turns
+    before it), by Spark, from the whole table."""
+    mail = quotes.quoted_mail(read_table(spark, sf_dir, "conversations"), levels=2)
+    found = quotes.conversations(mail)
+    return found.select("conv_id", "turn", "role", "reply_to", "root", "depth", "n_quotes", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4()}"
+    warc.write_archives(read_table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    h = F.col("headers")
+    return warc.read_archives(spark, folder).where("kind = 'record'").select(
+        h["x-page-id"].cast("long").alias("page_id"), h["x-payload-length"].cast("long").alias("payload_bytes"),
+        F.substring_index(h["warc-payload-digest"], ":", -1).alias("payload_digest"), h["warc-type"].alias("record_type"),
+        h["x-refers-to-page"].cast("long").alias("refers_to"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "license", F.round("license_score", 6).alias("license_score"), F.size("licenses").cast("long").alias("n_licenses"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.decode(bpe.encode(docs, tokenizer, null_as_empty=True).select("doc_id", "ids"), tokenizer)
@@ -59,8 +90,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
     "op3_quality": op3_quality,
+    "op4_quotes": op4_quotes,
+    "op5_warc": op5_warc,
+    "op6_licenses": op6_licenses,
     "op7_bpe": op7_bpe,
     "op8_substring": op8_substring,
     "op9_simhash": op9_simhash,

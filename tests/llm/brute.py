@@ -160,3 +160,61 @@ def redact(text, spans):
             out += [text[at:a], names[k] if k < 4 else "[NUMBER]" if v.isnumeric() else "[WORD]"]
             at = b
     return text if not spans else "".join(out) + text[at:]
+
+
+def conversations(rows, min_chars=2):
+    """(conv, turn, reply_to, root, depth, n_quotes, text) from (conv, turn, text)."""
+    def parse(t):
+        out = []
+        for line in re.split("\r?\n", t or ""):
+            m = re.match(r"((?:[ \t]*>)+)[ \t]?", line)
+            out.append((m[1].count(">"), line[m.end():]) if m else (0, line))
+        return out
+
+    def norm(b):
+        return re.sub(r"[ \t-\r]+", " ", b.lower()).strip(" ")
+
+    said, parsed = {}, [(c, t, parse(x)) for c, t, x in rows]
+    for c, t, lines in parsed:
+        for level, b in lines:
+            if c is not None and t is not None and not level and len(norm(b)) >= min_chars:
+                said[c, norm(b)] = min(said.get((c, norm(b)), t), t)
+    quotes = {}
+    for c, t, lines in parsed:
+        if c is not None and t is not None:
+            quotes.setdefault((c, t), set()).update((level, norm(b)) for level, b in lines if level and len(norm(b)) >= min_chars)
+    reply = {}
+    for (c, t), q in quotes.items():
+        n = {}
+        for level, b in q:
+            o = said.get((c, b))
+            if level == 1 and o is not None and o < t:
+                n[o] = n.get(o, 0) + 1
+        if n:
+            reply[c, t] = (max(n, key=lambda o: (n[o], o)), sum(n.values()))
+    out = []
+    for c, t, lines in parsed:
+        own = [b for i, (level, b) in enumerate(lines) if not level and not (re.match(r"(?i)^.*\bwrote:\s*$", b) and i + 1 < len(lines) and lines[i + 1][0])]
+        root, depth = t, 0
+        while (c, root) in reply:
+            root, depth = reply[c, root][0], depth + 1
+        out.append((str(c), str(t), str(reply.get((c, t), (None,))[0]), str(root), depth, reply.get((c, t), (0, 0))[1], "\n".join(own).strip("\n")))
+    return sorted(out)
+
+
+def licence_hits(text, templates, threshold):
+    def grams(t):
+        w = re.sub("[^a-z0-9]+", " ", t.lower()).split()
+        return set(zip(w, w[1:]))
+    known = sorted((n, grams(t)) for n, t in templates.items())
+    body = (text or "").lower()
+    lines = re.sub(r"\n[ \t\r]*\n\s*", "\n", body).split("\n")
+    paragraphs = re.split(r"\n[ \t\r]*\n\s*", body)
+    pieces = [(0, i, x) for i, x in enumerate(lines)] + [(1, i, x) for i, x in enumerate(paragraphs) if len(paragraphs) > 1] + [(2, 0, body)] * (len(lines) > 1)
+    out = []
+    for u, i, x in pieces:
+        g = grams(x)
+        best = max(((2 * len(g & t) / (len(g) + len(t)) if g else 0.0), -k, n) for k, (n, t) in enumerate(known))
+        if best[0] >= threshold - 1e-12:
+            out.append((round(best[0], 9), best[2], u, i))
+    return out
