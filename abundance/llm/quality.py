@@ -158,5 +158,8 @@ def keep_good(docs: DataFrame, text: str = "text", rules=RULES, threshold: float
     """The documents that are kept, with their own columns. The counts are made
     twice (fit and filter), which costs less than moving the texts."""
     model = fit_corpus(add_counts(docs.select(F.col(f"`{text}`").alias("text"))), rules)
-    held = docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("text"))
-    return judge(add_counts(held), model, rules, threshold).where("kept").select("row.*")
+    counted = add_counts(docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("text")))
+    # A filter is pushed through projections by writing their expressions out
+    # at each use; it stops above a generator, so the counts are made once.
+    once = counted.select("row", F.explode(F.array(F.struct(*COUNTS))).alias("c")).select("row", "c.*")
+    return judge(once, model, rules, threshold).where("kept").select("row.*")
