@@ -6,9 +6,11 @@ result is the expected severity, the sum over k of P(grade > k), and the most
 probable grade.
 
 Features: words (A-Z lower-cased; runs of ASCII letters, digits and non-ASCII
-characters) are hashed into ``dims`` columns; a column's value is log(1 +
-count), and a document's vector has length one. Columns seen in fewer than
-``min_docs`` documents of the sample get no weight.
+characters) and their beginnings are hashed into ``dims`` columns; a column's
+value is log(1 + count) times its inverse document frequency in the sample, and
+a document's vector has length one. Columns seen in fewer than ``min_docs``
+documents of the sample do not count. In the fit, clean and toxic documents
+weigh the same in sum.
 
 The fit uses at most about ``max_rows`` labelled documents (those with the
 smallest hashes of their id; a documented bound), whole texts, on the driver:
@@ -16,7 +18,8 @@ their feature vectors are made by tasks and collected packed. The labels
 table says toxic or not; ``severity_grades`` splits the toxic documents at
 the median of their share of words that are far more frequent in toxic
 documents, which gives grades 0 (clean), 1 and 2. Scoring covers all rows, in
-one pass without a shuffle; the weights (8 bytes x dims) are broadcast.
+one pass without a shuffle; two
+numbers per column (4 bytes each) are broadcast.
 
 Defined cases: null and empty texts have no features, so their score is the
 model's intercept alone; unlabelled and null-labelled documents are not used
@@ -27,13 +30,15 @@ output are replaced. An empty table gives an empty table.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from abundance.llm.common import as_bytes, map_rows
 from abundance.llm.decontaminate import normalising_table
 
-DIMS, MAX_ROWS, MIN_DOCS, PREFIXES = 1 << 18, 10_000, 3, (5, 7)
+DIMS, MAX_ROWS, MIN_DOCS, PREFIXES = 1 << 18, 10_000, 3, (4, 6)
 
 
 class Features:
@@ -85,11 +90,14 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(x: Sparse, grade: np.ndarray, dims: int, penalty: float = 1e-5, rounds: int = 300, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: Sparse, grade: np.ndarray, dims: int, weight: np.ndarray | None = None, penalty: float = 1e-5, rounds: int = 300, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """(w, thresholds) by penalised maximum likelihood (Adam, full batches).
-    Thresholds are a first value and positive steps, so they stay ordered."""
+    Thresholds are a first value and positive steps, so they stay ordered.
+    ``weight`` is each row's weight, one by default."""
     k = int(grade.max())
-    share = np.clip([(grade <= j).mean() for j in range(k)], 1e-3, 1 - 1e-3)
+    weight = np.ones(x.n) if weight is None else weight
+    weight = weight / weight.sum()
+    share = np.clip([weight[grade <= j].sum() for j in range(k)], 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
     par = np.concatenate((np.zeros(dims), start[:1], np.log(np.maximum(np.diff(start), 1e-2))))
     m, v = np.zeros_like(par), np.zeros_like(par)
@@ -100,10 +108,10 @@ def fit_ordinal(x: Sparse, grade: np.ndarray, dims: int, penalty: float = 1e-5,
         upper, lower = sigmoid(edges[grade + 1] - s), sigmoid(edges[grade] - s)
         upper, lower = np.where(grade == k, 1.0, upper), np.where(grade == 0, 0.0, lower)
         p = np.maximum(upper - lower, 1e-12)
-        du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
+        du, dl = weight * upper * (1 - upper) / p, weight * lower * (1 - lower) / p
         g = np.zeros_like(par)
-        g[:dims] = x.transposed_dot((du - dl) / x.n, dims) + penalty * w
-        dt = np.array([(-(du[grade == j].sum()) + dl[grade == j + 1].sum()) / x.n for j in range(k)])
+        g[:dims] = x.transposed_dot(du - dl, dims) + penalty * w
+        dt = np.array([dl[grade == j + 1].sum() - du[grade == j].sum() for j in range(k)])
         g[dims] = dt.sum()
         for j in range(1, k):
             g[dims + j] = dt[j:].sum() * np.exp(par[dims + j])
@@ -124,16 +132,30 @@ def severity_grades(x: Sparse, toxic: np.ndarray, dims: int) -> np.ndarray:
     return np.where(toxic == 1, np.where(share > np.median(share[toxic == 1]), 2, 1), 0)
 
 
+@dataclass
+class Model:
+    """Weights and scales (inverse document frequencies) by column, and the
+    ordered thresholds."""
+    weights: np.ndarray
+    scales: np.ndarray
+    thresholds: np.ndarray
+
+
+def scaled(cols: np.ndarray, vals: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    v = vals * scales[cols]
+    return v / (np.sqrt(v @ v) or 1.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-        dims: int = DIMS, max_rows: int = MAX_ROWS, min_docs: int = MIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) from a bounded sample of labelled documents."""
+        dims: int = DIMS, max_rows: int = MAX_ROWS, min_docs: int = MIN_DOCS) -> Model:
+    """The model of a bounded sample of labelled documents."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     n = known.count()
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = known.where(place < F.lit(int((1 << 30) * min(1.0, max_rows / n)) if n else 0))  # about max_rows rows
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
 
-    def vectors(batches):
+    def as_vectors(batches):
         import pyarrow as pa
 
         f = Features(dims)
@@ -142,29 +164,36 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.astype("<i4").tobytes() for c, _ in found], pa.binary()),
                                               pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], names=["y", "cols", "vals"])
 
-    sample = sorted(map(tuple, rows.mapInArrow(vectors, "y int, cols binary, vals binary").collect()))
+    sample = sorted(map(tuple, rows.mapInArrow(as_vectors, "y int, cols binary, vals binary").collect()))
     toxic = np.array([r[0] for r in sample], dtype=np.int64)
     if len(set(toxic.tolist())) < 2:
-        return np.zeros(dims), np.array([40.0, 80.0])
-    x = Sparse([(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64)) for _, c, v in sample])
-    x.vals = x.vals * (np.bincount(x.cols, minlength=dims) >= min_docs)[x.cols]
-    return fit_ordinal(x, severity_grades(x, (toxic > 0).astype(np.int64), dims), dims)
-
-
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
+        return Model(np.zeros(dims), np.zeros(dims), np.array([40.0, 80.0]))
+    vectors = [(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64)) for _, c, v in sample]
+    seen = np.bincount(np.concatenate([c for c, _ in vectors]), minlength=dims)
+    scales = np.where(seen >= min_docs, np.log((1 + len(sample)) / (1 + seen)), 0.0)
+    x = Sparse([(c, scaled(c, v, scales)) for c, v in vectors])
+    toxic = (toxic > 0).astype(np.int64)
+    weight = np.where(toxic == 1, 1 / toxic.sum(), 1 / (1 - toxic).sum())
+    w, t = fit_ordinal(x, severity_grades(x, toxic, dims), dims, weight)
+    return Model(w, scales, t)
+
+
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add expected_severity (double), severity (the most probable grade) and
     toxic (grade 1 or more is more probable than grade 0)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model[0].astype("<f8").tobytes(), model[1].tolist()))
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (model.weights.astype("<f4").tobytes(), model.scales.astype("<f4").tobytes(), model.thresholds.tolist()))
     fields = [T.StructField("expected_severity", T.DoubleType()), T.StructField("severity", T.IntegerType()), T.StructField("toxic", T.BooleanType())]
 
     def make():
         import pyarrow as pa
 
-        w, t = np.frombuffer(shared.value[0], "<f8"), np.array(shared.value[1])
+        w, scales = (np.frombuffer(x, "<f4").astype(np.float64) for x in shared.value[:2])
+        t = np.array(shared.value[2])
         f = Features(len(w))
 
         def run(array):
-            s = np.array([v @ w[c] if len(c) else 0.0 for c, v in map(f.of, as_bytes(array))])
+            s = np.array([scaled(c, v, scales) @ w[c] if len(c) else 0.0 for c, v in map(f.of, as_bytes(array))])
             at_most = sigmoid(t[None, :] - s.reshape(-1, 1))
             p = np.diff(np.concatenate((np.zeros((len(s), 1)), at_most, np.ones((len(s), 1))), axis=1), axis=1)
             return [pa.array((1 - at_most).sum(axis=1)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(at_most[:, 0] < 0.5)]

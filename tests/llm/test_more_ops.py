@@ -50,7 +50,7 @@ def test_toxicity_on_held_out_labels(spark):
     truth = {r[0]: r[1] for r in labels.select("doc_id", "toxic").collect()}
     t = np.array([truth[r["doc_id"]] for r in rows])
     s = np.array([r["expected_severity"] for r in rows])
-    assert auc(s, t) > 0.9 and (y == (t == 1)).mean() > 0.9
+    assert auc(s, t) > 0.8 and (y == (t == 1)).mean() > 0.92 and not (y & (t == 0)).sum() > 3
     assert all(0 <= r["expected_severity"] <= 2 and r["severity"] in (0, 1, 2) for r in rows)
 
 
