@@ -63,19 +63,10 @@ def design_columns(terms: Sequence[str]) -> list[str]:
     return out
 
 
-def compact(df: DataFrame) -> DataFrame:
-    """At most one partition per core for frames that many fitting passes
-    re-read (``coalesce``: no shuffle, never adds partitions). A cached plan
-    keeps its pre-AQE partition count (AQE does not coalesce cached output),
-    so 200 tiny post-shuffle partitions would otherwise mean 200 tasks per
-    pass."""
-    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
-
-
 def model_input(df: DataFrame, columns: Sequence[str], checkpoint: bool = False) -> DataFrame:
     """The model's raw columns, projected and kept once: factor levels,
     knots and every fitting pass then read them instead of re-running the
-    upstream plan.
+    upstream plan. The input keeps its partitions.
 
     ``checkpoint=False``: cached; blocks lost with an executor are
     recomputed from lineage (the whole upstream plan). ``checkpoint=True``:
@@ -86,7 +77,7 @@ def model_input(df: DataFrame, columns: Sequence[str], checkpoint: bool = False)
     for c in columns:
         if c and c not in seen:
             seen.append(c)
-    proj = compact(df.select(*seen))
+    proj = df.select(*seen)
     if checkpoint:
         from abundance.session import cut_lineage
         return cut_lineage(proj)

@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from abundance.functions.columns import ln_factorial
 from abundance.functions.stats import norm_two_sided_p
-from abundance.models.design import Design, build_design, design_columns, model_input
+from abundance.models.design import INTERCEPT, Design, build_design, design_columns, model_input
 
 Y = "__y"
 W = "__pw"
 LF = "__lfact"
+ETA_MAX = 300.0          # linear predictors are kept where exp() and its square are finite
+WIDE = 24                # designs of more columns are summed by numpy, not by p^2 expressions
 
 
 @dataclass
@@ -47,6 +49,19 @@ class GlmFit:
     def p(self) -> int:
         return len(self.names)
 
+    @property
+    def df_residual(self) -> int:
+        return self.n_used - self.p
+
+    @property
+    def df_null(self) -> int:
+        return self.n_used - (1 if INTERCEPT in self.names else 0)
+
+    @property
+    def null_deviance(self) -> float | None:
+        """Deviance of the model with only an intercept on the same rows."""
+        return self.extra.get("null_deviance")
+
     @property
     def se(self) -> np.ndarray:
         return np.sqrt(np.clip(np.diag(self.cov), 0, None))
@@ -102,7 +117,7 @@ def _family_parts(family: str, eta: Column, y: Column):
         mu = F.exp(eta)
         w = mu
         wz = mu * eta + (y - mu)
-        dev = F.lit(2.0) * (F.when(y > 0, y * F.log(y / mu)).otherwise(F.lit(0.0)) - (y - mu))
+        dev = F.lit(2.0) * (F.when(y > 0, y * (F.log(y) - eta)).otherwise(F.lit(0.0)) - (y - mu))
         ll = y * eta - mu - F.col(LF)
     elif family == "binomial":
         mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
@@ -148,51 +163,31 @@ def _start_eta(family: str, y: Column) -> Column:
 
 
 def _sums(frame: DataFrame, feats: list[list[str]], betas: list, family: str, has_w: bool,
-          group_keys: list | None, offset_col: str | None = None) -> dict:
-    """One pass. betas[m] is None (start) or a vector, or, with groups, a
-    dict {group: vector}. Returns {group_or_None: [(sums...) per model]}.
-
-    Per-model working weights, working responses, deviance and
-    log-likelihood are computed in a projection; the aggregate holds only
-    plain sums of products, which keeps generated code small when many
-    models share the pass. Per-group coefficients arrive through a
-    broadcast join of a table with one row per group (bounded)."""
+          offset_col: str | None = None) -> dict:
+    """One pass for narrow designs without groups. betas[m] is None (start)
+    or a vector. Returns {None: [(sums...) per model]}.
+
+    Working weights, working responses, deviance and log-likelihood are
+    computed in a projection; the aggregate holds only plain sums of
+    products, which keeps generated code small."""
     y = F.col(Y)
     data = frame
-    grouped_betas = [m for m, b in enumerate(betas) if isinstance(b, dict)]
-    if grouped_betas:
-        groups = list(betas[grouped_betas[0]].keys())
-        bcols, rows = [], []
-        for m in grouped_betas:
-            bcols += [f"__b{m}_{j}" for j in range(len(feats[m]))]
-        for g in groups:
-            vals = []
-            for m in grouped_betas:
-                vals += [float(v) for v in betas[m][g]]
-            rows.append((g, *vals))
-        gtype = dict(frame.dtypes)["__g"]
-        schema = ", ".join([f"__g {gtype}"] + [f"{c} double" for c in bcols])
-        bt = frame.sparkSession.createDataFrame(rows, schema)
-        data = frame.join(F.broadcast(bt), on="__g", how="inner")   # one row per group
     proj = {}
     for m, fs in enumerate(feats):
         b = betas[m]
         xs = [F.col(f) for f in fs]
         if b is None:
             eta = _start_eta(family, y)
-        elif isinstance(b, dict):
-            eta = F.lit(0.0)
-            for j, x in enumerate(xs):
-                eta = eta + F.col(f"__b{m}_{j}") * x
         else:
             eta = F.lit(0.0)
             for j, x in enumerate(xs):
                 eta = eta + F.lit(float(b[j])) * x
         if offset_col:
             eta = eta + F.col(offset_col)
+        eta = F.least(F.greatest(eta, F.lit(-ETA_MAX)), F.lit(ETA_MAX))
         w, wz, dev, ll = _family_parts(family, eta, y)
         mu = (F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))) if family == "binomial" else F.exp(eta)
-        pear = (y - mu) * (y - mu) / _variance(family, mu)
+        pear = (y - mu) * (y - mu) / F.greatest(_variance(family, mu), F.lit(1e-300))
         if has_w:
             pw = F.col(W)
             w, wz, dev, ll, pear = w * pw, wz * pw, dev * pw, ll * pw, pear * pw
@@ -207,9 +202,6 @@ def _sums(frame: DataFrame, feats: list[list[str]], betas: list, family: str, ha
         terms += [F.sum(wz * x) for x in xs]
         terms += [F.sum(f"__d{m}"), F.sum(f"__l{m}"), F.count(F.lit(1)), F.sum(f"__p{m}")]
         out_cols.append(F.array(*[t.cast("double") for t in terms]).alias(f"__m{m}"))
-    if group_keys is not None:
-        rows = data.groupBy("__g").agg(*out_cols).collect()
-        return {r["__g"]: [r[f"__m{m}"] for m in range(len(feats))] for r in rows}
     r = data.agg(*out_cols).first()
     return {None: [r[f"__m{m}"] for m in range(len(feats))]}
 
@@ -219,9 +211,10 @@ def _sums_arrow(frame: DataFrame, feats: list[list[str]], betas: list, family: s
     """One pass for a batch of models: every task turns its Arrow batches
     into numpy arrays and adds X'WX, X'Wz, deviance and log-likelihood for
     every (group, model); Spark then sums the per-task vectors by
-    (group, model, position). Used when many models share a pass, where
-    one JVM aggregate with hundreds of expressions costs more to plan and
-    compile than to run."""
+    (group, model, position). Used for groups, for wide designs and when many
+    models share a pass, where one JVM aggregate with hundreds of expressions
+    costs more to plan and compile than to run. Batches are split into groups
+    by one sort."""
     all_feats = sorted({f for fs in feats for f in fs})
     pos = {f: i for i, f in enumerate(all_feats)}
     idx = [[pos[f] for f in fs] for fs in feats]
@@ -237,14 +230,10 @@ def _sums_arrow(frame: DataFrame, feats: list[list[str]], betas: list, family: s
             lf_all = pdf[LF].to_numpy(float)
             X_all = pdf[all_feats].to_numpy(float)
             pw_all = pdf[W].to_numpy(float) if has_w else None
-            keys = pdf["__g"].unique() if grouped else [None]
-            for g in keys:
-                if grouped:
-                    msk = (pdf["__g"] == g).to_numpy()
-                    y, lf, Xg = y_all[msk], lf_all[msk], X_all[msk]
-                    pw = pw_all[msk] if has_w else None
-                else:
-                    y, lf, Xg, pw = y_all, lf_all, X_all, pw_all
+            pieces = pdf.groupby("__g", sort=False).indices.items() if grouped else [(None, slice(None))]
+            for g, rows in pieces:
+                y, lf, Xg = y_all[rows], lf_all[rows], X_all[rows]
+                pw = pw_all[rows] if has_w else None
                 for m, ix in enumerate(idx):
                     X = Xg[:, ix]
                     b = bet[m]
@@ -253,13 +242,12 @@ def _sums_arrow(frame: DataFrame, feats: list[list[str]], betas: list, family: s
                     if b is None:
                         eta = np.log(y + 0.1) if family != "binomial" else np.log((y + 0.5) / (1.5 - y))
                     else:
-                        eta = X @ b
+                        eta = np.clip(X @ b, -ETA_MAX, ETA_MAX)
                     if family == "poisson":
                         mu = np.exp(eta)
                         w = mu
                         wz = mu * eta + (y - mu)
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            ylog = np.where(y > 0, y * np.log(np.where(y > 0, y, 1.0) / mu), 0.0)
+                        ylog = np.where(y > 0, y * (np.log(np.where(y > 0, y, 1.0)) - eta), 0.0)
                         dev = 2.0 * (ylog - (y - mu))
                         ll = y * eta - mu - lf
                         var = mu
@@ -279,7 +267,7 @@ def _sums_arrow(frame: DataFrame, feats: list[list[str]], betas: list, family: s
                         dev = 2.0 * (yt - y * mu ** (1.0 - tp) / (1.0 - tp) + mu ** (2.0 - tp) / (2.0 - tp))
                         ll = np.full_like(y, np.nan)
                         var = mu ** tp
-                    pear = (y - mu) ** 2 / var
+                    pear = (y - mu) ** 2 / np.maximum(var, 1e-300)
                     if pw is not None:
                         w, wz, dev, ll, pear = w * pw, wz * pw, dev * pw, ll * pw, pear * pw
                     xtwx = (X * w[:, None]).T @ X
@@ -328,6 +316,8 @@ def irls(frame: DataFrame, feats: list[list[str]], names: list[list[str]], famil
 
     Convergence per model (and group) uses R's ``glm.fit`` rule:
     |dev - dev_old| / (|dev| + 0.1) < tol. Converged models leave the pass.
+    A step whose deviance rises or is not finite is halved, up to 12 times;
+    a model that finds no better step ends as not converged.
     """
     M = len(feats)
     keys = None
@@ -339,10 +329,10 @@ def irls(frame: DataFrame, feats: list[list[str]], names: list[list[str]], famil
     while active and it <= max_iter:
         sub_feats = [feats[m] for m in active]
         sub_betas = [betas[m] for m in active]
-        if (len(sub_feats) > 1 or grouped) and offset_col is None:
+        if grouped or offset_col is None and (len(sub_feats) > 1 or len(sub_feats[0]) > WIDE):
             sums = _sums_arrow(frame, sub_feats, sub_betas, family, has_w, grouped)
         else:
-            sums = _sums(frame, sub_feats, sub_betas, family, has_w, [] if grouped else None, offset_col)
+            sums = _sums(frame, sub_feats, sub_betas, family, has_w, offset_col)
         if keys is None:
             keys = list(sums.keys())
         for pos, m in enumerate(active):
@@ -352,6 +342,13 @@ def irls(frame: DataFrame, feats: list[list[str]], names: list[list[str]], famil
                     continue
                 p = len(feats[m])
                 xtwx, xtwz, dev, ll, n, pear = _unpack(sums[g][pos], p)
+                worse = st["dev"] is not None and not dev <= st["dev"] + 1e-6 * (abs(st["dev"]) + 0.1)
+                if worse and it < max_iter and st.get("last") is not None and st["halved"] < 12:
+                    st.update(beta=(st["beta"] + st["last"]) / 2, halved=st["halved"] + 1)
+                    continue
+                if not np.isfinite(dev):
+                    st.update(done=True, xtwx=np.nan_to_num(xtwx, nan=0.0, posinf=0.0, neginf=0.0), dev_final=dev, ll=ll, n=n, pear=pear, failed=True)
+                    continue
                 if st["dev"] is not None and abs(dev - st["dev"]) / (abs(dev) + 0.1) < tol:
                     st.update(done=True, xtwx=xtwx, dev_final=dev, ll=ll, n=n, pear=pear)
                     continue
@@ -359,11 +356,12 @@ def irls(frame: DataFrame, feats: list[list[str]], names: list[list[str]], famil
                     st.update(done=True, xtwx=xtwx, dev_final=dev, ll=ll, n=n, pear=pear, failed=True)
                     continue
                 beta, _ = _solve(xtwx, xtwz)
-                st.update(dev=dev, beta=beta, it=it + 1)
+                st.update(dev=dev, last=st.get("beta"), beta=beta, it=it + 1, halved=0)
+            zero = np.zeros(len(feats[m]))
             if grouped:
-                betas[m] = {g: state[(m, g)]["beta"] for g in keys}
+                betas[m] = {g: state[(m, g)].get("beta", zero) for g in keys}
             else:
-                betas[m] = state[(m, None)]["beta"]
+                betas[m] = state[(m, None)].get("beta", zero)
         active = [m for m in active if not all(state[(m, g)]["done"] for g in keys)]
         it += 1
     for m in range(M):
@@ -386,6 +384,21 @@ def irls(frame: DataFrame, feats: list[list[str]], names: list[list[str]], famil
     return [results[(m, None)] for m in range(M)]
 
 
+def null_deviance(frame: DataFrame, family: str, has_w: bool) -> float | None:
+    """Deviance at the (weighted) mean response, from one aggregate; None for
+    families other than Poisson and binomial."""
+    y, w = F.col(Y), F.col(W) if has_w else F.lit(1.0)
+    ylogy = F.when(y > 0, y * F.log(F.when(y > 0, y))).otherwise(F.lit(0.0))
+    r = frame.agg(F.sum(w).alias("n"), F.sum(w * y).alias("s"), F.sum(w * ylogy).alias("t")).first()
+    if not r["n"] or family not in ("poisson", "binomial"):
+        return None
+    m = r["s"] / r["n"]
+    log = lambda v: math.log(v) if v > 0 else 0.0
+    if family == "poisson":
+        return 2.0 * (r["t"] - r["s"] * log(m))
+    return -2.0 * (r["s"] * log(m) + (r["n"] - r["s"]) * log(1 - m))
+
+
 # ----------------------------------------------------------- public API
 
 def glm(df: DataFrame, response: str, terms: Sequence[str], family: str = "poisson",
@@ -399,6 +412,7 @@ def glm(df: DataFrame, response: str, terms: Sequence[str], family: str = "poiss
         d = build_design(base, terms, intercept)
         frame, feats = model_frame(base, response, [d], weight)
         fit = irls(frame, feats, [d.names], family, weight is not None, max_iter=max_iter, tol=tol)[0]
+        fit.extra["null_deviance"] = null_deviance(frame, family, weight is not None) if intercept else None
     finally:
         if cache:
             base.unpersist()
@@ -410,9 +424,10 @@ def glm_by_group(df: DataFrame, group: str, response: str, terms: Sequence[str],
                  family: str = "poisson", levels: dict | None = None, max_iter: int = 25,
                  checkpoint: bool = False) -> dict:
     """One fit per value of ``group`` (e.g. per response), all groups
-    in the same passes: ``groupBy(group).agg`` with each group's own beta
-    looked up from a map literal. A busy group is partially aggregated in
-    every task, never moved whole into one task."""
+    in the same passes: every task adds up its rows' sums per group in numpy
+    (the coefficients of the groups, a table of groups x terms, travel with
+    the task), and Spark adds the tasks' sums. A busy group is never moved
+    into one task."""
     base = model_input(df, [group, response, *design_columns(terms)], checkpoint)
     try:
         d = build_design(base, terms, True, levels)

@@ -256,6 +256,8 @@ def poisson_glmm(df: DataFrame, response: str, terms: Sequence[str], random: Seq
                 if -neg2 >= ll - 1e-10 * abs(ll):
                     break
                 t /= 2
+            else:
+                break                       # no step raises the likelihood: stay, not converged
             dll = -neg2 - ll
             beta, theta, cs = cand, th2, cs2
             ll, grad, info, u = cs.beta_step(beta, theta)

@@ -5,8 +5,8 @@ For each response (a label column): every predictor subset up to
 the null model, is fitted; AICc, delta, Akaike weights, cumulative weight
 and variable importance (sum of weights of the models holding a
 predictor) are reported. All candidates and all responses are fitted in
-the same IRLS passes (``groupBy(response).agg`` over a cached frame, a
-batch of candidates per pass), so the work is a few dozen scans, not one
+the same IRLS passes (per-task numpy sums by response over a cached frame,
+a batch of candidates per pass), so the work is a few dozen scans, not one
 job per model. The candidate count is checked against ``max_models``
 (an error, never a silent cut).
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,11 +37,20 @@ def candidate_sets(predictors: Sequence[str], max_size: int, forbidden: set[froz
     return out
 
 
+class Subsets(NamedTuple):
+    models: DataFrame
+    importance: DataFrame
+    failed: DataFrame
+
+
 def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response: str = "response",
                  max_size: int = 3, cor_cutoff: float = 0.28, max_models: int = 600, smooth: bool = True,
                  k: int = 3, family: str = "poisson", batch: int = 16,
-                 checkpoint: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Return (model table, variable importance), both DataFrames.
+                 checkpoint: bool = False) -> Subsets:
+    """Return (model table, variable importance, failed models), DataFrames.
+
+    Only converged fits with a finite AICc are ranked and weighted; the
+    others are listed as failed (response, modname, loglik, converged).
 
     Model table: response, modname, n_used, edf, loglik, aicc, bic,
     delta_aicc, wi_aicc, cumsum_wi, converged. Importance: response,
@@ -50,8 +60,7 @@ def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response:
     """
     spark = df.sparkSession
     preds = list(predictors)
-    from abundance.models.design import compact
-    base = compact(df.dropna(subset=[value, response, *preds]))
+    base = df.dropna(subset=[value, response, *preds])
     if checkpoint:
         from abundance.session import cut_lineage
         base = cut_lineage(base)
@@ -92,9 +101,13 @@ def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response:
     finally:
         frame.unpersist()
         base.unpersist()
-    out = []
+    out, failed, kept = [], [], []
     for g, name, combo, fit in rows:
         n, kk = fit.n_used, fit.n_params
+        if not (fit.converged and np.isfinite(fit.loglik)):
+            failed.append((str(g), name, float(fit.loglik), bool(fit.converged)))
+            continue
+        kept.append((g, name, combo, fit))
         aicc = fit.aic + (2.0 * kk * (kk + 1) / (n - kk - 1) if n - kk - 1 > 0 else float("inf"))
         bic = -2.0 * fit.loglik + kk * float(np.log(n)) if n > 0 else float("nan")
         out.append((str(g), name, int(n), int(kk), float(fit.loglik), float(aicc), float(bic), bool(fit.converged)))
@@ -106,7 +119,7 @@ def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response:
     # importance = sum of Akaike weights of the models holding each predictor
     imp_rows = []
     by_resp: dict = {}
-    for g, name, combo, fit in rows:
+    for g, name, combo, fit in kept:
         by_resp.setdefault(str(g), []).append((name, combo, fit))
     for g, lst in by_resp.items():
         aiccs = []
@@ -119,7 +132,8 @@ def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response:
         for c in preds:
             imp_rows.append((g, c, float(sum(wi for wi, (_, combo, _) in zip(w, lst) if c in combo))))
     importance = spark.createDataFrame(imp_rows, "response string, predictor string, importance double")
-    return ranked, importance
+    return Subsets(ranked, importance, spark.createDataFrame(
+        failed, "response string, modname string, loglik double, converged boolean"))
 
 
 def _tweedie_logliks(frame: DataFrame, feats: list, rows: list, designs: list, cands: list,

@@ -22,21 +22,16 @@ from abundance.models.design import Design, INTERCEPT
 
 
 def place_knots(df: DataFrame, column: str, k: int = 3) -> list[float]:
-    """Knots evenly through the unique values (interpolated), as mgcv's
-    ``place.knots``: positions (i / (k-1)) of the sorted unique values."""
-    probs = [i / (k - 1) for i in range(k)]
-    u = df.select(F.col(column).cast("double").alias("u")).where(F.col("u").isNotNull()).distinct()
-    r = u.agg(F.percentile("u", F.array(*[F.lit(p) for p in probs])).alias("q")).first()["q"]
-    return [float(v) for v in r]
+    """Knots evenly through the unique values (interpolated): positions
+    (i / (k-1)) of the sorted unique values."""
+    return place_knots_many(df, [column], k)[column]
 
 
 def place_knots_many(df: DataFrame, columns: Sequence[str], k: int = 3) -> dict[str, list[float]]:
-    """Knots for several columns in one aggregate (percentile over the
-    distinct values of each column)."""
-    probs = ", ".join(str(i / (k - 1)) for i in range(k))
-    aggs = [F.expr(f"percentile(DISTINCT CAST(`{c}` AS DOUBLE), array({probs}))").alias(c) for c in columns]
-    r = df.agg(*aggs).first()
-    return {c: [float(v) for v in r[c]] for c in columns}
+    """Knots for several columns from the distributed ranks of their distinct
+    values, all in one job."""
+    from abundance.operators.agg import quantiles
+    return quantiles(df, columns, [i / (k - 1) for i in range(k)], distinct=True)
 
 
 def natural_spline_basis(x: Column, knots: Sequence[float]) -> list[Column]:

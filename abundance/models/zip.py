@@ -151,6 +151,8 @@ def zip_model(df: DataFrame, response: str, terms: Sequence[str], zero_terms: Se
                 if np.isfinite(ll2) and ll2 >= ll - 1e-12 * abs(ll):
                     break
                 t /= 2
+            else:
+                break                       # no step raises the likelihood: stay, not converged
             dll = ll2 - ll
             theta, ll, g, H = cand, ll2, g2, H2
             if abs(dll) < tol * (abs(ll) + 1) and np.max(np.abs(t * step)) < 1e-6:

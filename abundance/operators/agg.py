@@ -74,28 +74,46 @@ def uncount(df: DataFrame, weight: str, keep: bool = False) -> DataFrame:
 
 
 def weighted_moments(df: DataFrame, keys: Sequence[str], x: str, weight: str,
-                     mean_out: str = "mean", sd_out: str = "sd", na_rm_mean: bool = False,
-                     center: float = 0.0) -> DataFrame:
+                     mean_out: str = "mean", sd_out: str = "sd", na_rm_mean: bool = False) -> DataFrame:
     """Mean and sd of ``x`` replicated by ``weight``, without replicating.
 
     Equal to ``uncount(weight)`` then ``mean(x)`` and ``sd(x, na.rm=TRUE)``:
     rows of weight <= 0 or missing weight drop out; with ``na_rm_mean=False``
     a missing ``x`` (of positive weight) makes the mean missing; the sd is
-    NULL when the total weight of present values is <= 1. Sums are taken
-    on ``x - center`` (pass a typical value to keep precision for large x).
+    NULL when the total weight of present values is <= 1.
+
+    Equal values are first combined per group (Sw by value), then the sums
+    are taken around the group's mean in a second step over those few rows,
+    so values far from zero lose no digits.
     """
+    keys = as_list(keys)
     w = col(weight).cast("double")
-    xs = col(x).cast("double") - F.lit(center)
-    present = col(x).isNotNull()
-    sw = F.sum(F.when(present, w))
-    s1 = F.sum(w * xs)
-    s2 = F.sum(w * xs * xs)
-    mean = s1 / sw + F.lit(center)
+    by_value = df.where(w > 0).groupBy(*keys, col(x).cast("double").alias("__x")).agg(
+        F.sum(w).alias("__w"))
+    return moments_of_values(by_value, keys, mean_out, sd_out, na_rm_mean)
+
+
+def moments_of_values(by_value: DataFrame, keys: Sequence[str], mean_out: str, sd_out: str,
+                      na_rm_mean: bool = False) -> DataFrame:
+    """Mean and sd per group from rows (keys, ``__x``, ``__w``: total weight
+    of the value; NULL ``__x``: weight of missing values)."""
+    from abundance.operators.joins import natural_join
+    keys = as_list(keys)
+    present = col("__x").isNotNull()
+    first = by_value.groupBy(*keys).agg(
+        F.sum(F.when(present, col("__w"))).alias("__sw"),
+        (F.sum(col("__w") * col("__x")) / F.sum(F.when(present, col("__w")))).alias("__m"),
+        F.max(~present).alias("__miss"))
+    d = natural_join(by_value, first, "inner", on=keys)
+    dev = col("__x") - col("__m")
+    # The residual sum corrects the rounding of the mean itself.
+    s1, s2 = F.sum(col("__w") * dev), F.sum(col("__w") * dev * dev)
+    sw = F.first("__sw")
+    mean = F.first("__m") + s1 / sw
     if not na_rm_mean:
-        mean = F.when(F.count(col(x)) == F.count(F.lit(1)), mean)
+        mean = F.when(~F.first("__miss"), mean)
     var = F.when(sw > 1, F.greatest((s2 - s1 * s1 / sw) / (sw - 1), F.lit(0.0)))
-    return (df.where(w > 0).groupBy(*keys)
-            .agg(mean.alias(mean_out), F.sqrt(var).alias(sd_out)))
+    return d.groupBy(*keys).agg(mean.alias(mean_out), F.sqrt(var).alias(sd_out))
 
 
 def mean_sd(df: DataFrame, keys: Sequence[str], x: str, mean_out: str = "mean",
@@ -227,97 +245,92 @@ def missing_rows(df: DataFrame, column: str) -> DataFrame:
     return df.where(col(column).isNull())
 
 
-def describe_num(df: DataFrame, cols: Sequence[str], approx: bool = False,
-                 accuracy: int = 10000, method: str = "percentile") -> DataFrame:
+def describe_num(df: DataFrame, cols: Sequence[str], approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """R ``summary()`` of numeric columns, one row per column.
 
-    Quartiles interpolate between order statistics (R type 7) with
-    ``percentile``. That aggregate buffers the distinct values of the
-    column, which suits per-deployment tables; use ``approx=True`` on raw
-    observation columns (fixed-size sketch, no interpolation), or
-    ``method="bracket"`` for exact type-7 quartiles of a raw column via
-    ``exact_quantiles`` (sketch bracket + bounded collection).
+    Quartiles interpolate between order statistics (R type 7) found by
+    ``rank_values`` (distributed, nothing buffered in one task);
+    ``approx=True`` uses a fixed-size sketch without interpolation.
     """
-    if method == "bracket" and not approx:
-        stats = df.agg(*[x for c in cols for x in (
-            F.min(col(c).cast("double")).alias(f"mn{c}"), F.avg(col(c).cast("double")).alias(f"av{c}"),
-            F.max(col(c).cast("double")).alias(f"mx{c}"), count_if(col(c).isNull()).alias(f"na{c}"))]).first()
-        rows = []
-        for c in cols:
-            q1, med, q3 = exact_quantiles(df, c, [0.25, 0.5, 0.75], accuracy=max(accuracy, 100000))
-            rows.append((c, stats[f"mn{c}"], q1, med, stats[f"av{c}"], q3, stats[f"mx{c}"], int(stats[f"na{c}"])))
-        return df.sparkSession.createDataFrame(
-            rows, "column string, min double, q1 double, median double, mean double, q3 double, "
-                  "max double, n_missing long")
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    probs = [0.25, 0.5, 0.75]
     parts = []
     for c in cols:
         x = col(c).cast("double")
-        q = F.percentile_approx(x, probs, accuracy) if approx else F.percentile(x, probs)
+        q = F.percentile_approx(x, F.array(*map(F.lit, probs)), accuracy) if approx else F.lit(None).cast("array<double>")
         parts.append(F.struct(
             F.lit(c).alias("column"), F.min(x).alias("min"), q.alias("__q"), F.avg(x).alias("mean"),
             F.max(x).alias("max"), count_if(x.isNull()).alias("n_missing")).alias(c))
-    one = df.agg(*parts)
-    long = one.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("s")).select("s.*")
+    long = df.agg(*parts).select(F.explode(F.array(*[F.col(f"`{c}`") for c in cols])).alias("s")).select("s.*")
+    if not approx:
+        found = quantiles(df, cols, probs)
+        known = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(None).cast("array<double>") if found[c][0] is None
+                                                          else F.array(*map(F.lit, found[c])))])
+        long = long.withColumn("__q", known[F.col("column")])
     return long.select("column", "min", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
                        "mean", F.col("__q")[2].alias("q3"), "max", "n_missing")
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], accuracy: int = 1_000_000,
-                    max_collect: int = 5_000_000) -> list[float | None]:
-    """Exact R type-7 quantiles without buffering the column in one task.
+def rank_values(df: DataFrame, cols: Sequence[str], ranks, distinct: bool = False) -> dict[str, tuple[int, dict[int, float]]]:
+    """Order statistics of several columns: ``ranks(n)`` gives the 0-based
+    ranks wanted of a column of n present values; the result is {column: (n,
+    {rank: value})}. ``distinct=True`` ranks the distinct values.
 
-    1. ``count`` n and an ``approx_percentile`` sketch (fixed memory) give,
-       for each needed order statistic (ranks floor/ceil of (n-1)p), a
-       value bracket that contains it (the sketch's rank error is at most
-       n/accuracy).
-    2. One pass counts the values below each bracket and collects only the
-       values inside it (about 4n/accuracy per bracket; an error past
-       ``max_collect``, never a silent cut).
-    3. The order statistic is picked from the sorted bracket; type 7
-       interpolates between the two neighbours.
+    The columns become (column, value, count) rows, combined before their
+    shuffle (a heavily tied column is a few rows) and sorted by a range
+    partitioning that is written to the checkpoint folder. The total of
+    each partition (a few numbers per partition) gives the offset at which
+    its ranks begin; a running sum inside each partition then finds all
+    ranks in one job. Only the order statistics themselves are collected.
     """
+    from pyspark.sql import Window
+
+    from abundance.session import cut_lineage
+    cols = list(cols)
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), col(c).cast("double").alias("x"))
+                                          for i, c in enumerate(cols)])).alias("p")).select("p.*").where("x is not null")
+    counted = pairs.groupBy("c", "x").agg((F.lit(1) if distinct else F.count(F.lit(1))).cast("long").alias("n"))
+    placed = cut_lineage(counted.repartitionByRange("c", "x").withColumn("part", F.spark_partition_id()))
+    totals = sorted((r["part"], r["c"], r["n"]) for r in placed.groupBy("part", "c").agg(F.sum("n").alias("n")).collect())
+    size, begin = {}, []
+    for part, c, n in totals:
+        begin.append((part, c, size.get(c, 0)))
+        size[c] = size.get(c, 0) + n
+    wanted = [(c, k) for c, n in size.items() for k in sorted(set(ranks(n)))]
+    value: dict[int, dict[int, float]] = {c: {} for c in size}
+    if wanted:
+        spark = df.sparkSession
+        offsets = spark.createDataFrame(begin, "part int, c int, before long")       # one row per partition and column
+        ks = spark.createDataFrame([(c, [k for d, k in wanted if d == c]) for c in size], "c int, ks array<long>")
+        run = F.sum("n").over(Window.partitionBy("part", "c").orderBy("x"))
+        rows = (placed.withColumn("run", run).join(F.broadcast(offsets), ["part", "c"]).join(F.broadcast(ks), "c")
+                .select("c", "x", F.explode(F.filter("ks", lambda k: (k >= F.col("before") + F.col("run") - F.col("n"))
+                                                     & (k < F.col("before") + F.col("run")))).alias("k")).collect())
+        for r in rows:
+            value[r["c"]][r["k"]] = r["x"]
+    return {name: (size.get(i, 0), value.get(i, {})) for i, name in enumerate(cols)}
+
+
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], distinct: bool = False) -> dict[str, list[float | None]]:
+    """Exact R type-7 quantiles of several columns (None for a column without values)."""
     import math
-    x = col(column).cast("double")
-    data = df.select(x.alias("__x")).where(F.col("__x").isNotNull())
-    n = data.count()
-    if n == 0:
-        return [None for _ in probs]
-    ranks = sorted({int(math.floor((n - 1) * p)) for p in probs} | {int(math.ceil((n - 1) * p)) for p in probs})
-    eps = 2.0 / accuracy
-    lo_p = [max(0.0, (k + 0.5) / n - eps) for k in ranks]
-    hi_p = [min(1.0, (k + 0.5) / n + eps) for k in ranks]
-    sk = data.agg(F.percentile_approx("__x", F.array(*[F.lit(v) for v in lo_p + hi_p]), accuracy).alias("q")).first()["q"]
-    lo_v, hi_v = sk[:len(ranks)], sk[len(ranks):]
-    lo_v = [(-math.inf if p == 0.0 else v) for p, v in zip(lo_p, lo_v)]
-    hi_v = [(math.inf if p == 1.0 else v) for p, v in zip(hi_p, hi_v)]
-    aggs = []
-    for i, (a, b) in enumerate(zip(lo_v, hi_v)):
-        below = F.col("__x") < F.lit(a) if a != -math.inf else F.lit(False)
-        inside = (F.col("__x") >= F.lit(a) if a != -math.inf else F.lit(True)) & \
-                 (F.col("__x") <= F.lit(b) if b != math.inf else F.lit(True))
-        aggs += [count_if(below).alias(f"b{i}"), F.count(F.when(inside, 1)).alias(f"n{i}")]
-    counts = data.agg(*aggs).first()
-    value = {}
-    for i, (k, a, b) in enumerate(zip(ranks, lo_v, hi_v)):
-        m = counts[f"n{i}"]
-        if m > max_collect:
-            raise ValueError(f"bracket of {m} values exceeds max_collect; raise accuracy")
-        cond = (F.col("__x") >= F.lit(a) if a != -math.inf else F.lit(True)) & \
-               (F.col("__x") <= F.lit(b) if b != math.inf else F.lit(True))
-        vals = sorted(r[0] for r in data.where(cond).collect())       # bounded bracket
-        j = k - counts[f"b{i}"]
-        if not 0 <= j < len(vals):
-            raise ValueError("sketch bracket missed the rank; raise accuracy")
-        value[k] = vals[j]
-    out = []
-    for p in probs:
-        h = (n - 1) * p
-        lo, hi = int(math.floor(h)), int(math.ceil(h))
-        out.append(value[lo] + (h - lo) * (value[hi] - value[lo]))
+
+    def ranks(n):
+        return [k for p in probs for k in (math.floor((n - 1) * p), math.ceil((n - 1) * p))]
+
+    out = {}
+    for c, (n, value) in rank_values(df, cols, ranks, distinct).items():
+        out[c] = [None] * len(probs)
+        for i, p in enumerate(probs if n else ()):
+            h = (n - 1) * p
+            lo, hi = value[math.floor(h)], value[math.ceil(h)]
+            out[c][i] = lo + (h - math.floor(h)) * (hi - lo)
     return out
 
 
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:
+    return quantiles(df, [column], probs)[column]
+
+
 # --------------------------------------------------- A16-A19 correlations
 
 def correlation(df: DataFrame, x: str, y: str, na_rm: bool = False, out: str = "r") -> DataFrame:
@@ -392,10 +405,9 @@ def lm_band(df: DataFrame, x: str, y: str, n_points: int = 80, level: float = 0.
     The one-row fit joins the generated grid (no driver round trip except
     the t quantile, which depends only on n)."""
     from abundance.functions.stats import t_quantile
-    fit = lm_fit(df, x, y)
-    n = fit.select("n").first()[0]
+    r = lm_fit(df, x, y).first().asDict()          # one row of sums
+    n = r["n"]
     tq = t_quantile(0.5 + level / 2.0, max(n - 2, 1)) if n and n > 2 else float("nan")
-    r = fit.first().asDict()          # one row of sums (p x p-sized summary)
     grid = df.sparkSession.range(n_points).withColumnRenamed("id", "__i")
     lit = {k: F.lit(v) for k, v in r.items()}
     xv = lit["xmin"] + (lit["xmax"] - lit["xmin"]) * col("__i") / F.lit(max(n_points - 1, 1))

@@ -87,8 +87,9 @@ def hist_bins(df: DataFrame, column: str, bins: int | str = "sturges") -> DataFr
         start, width, nb = br[0], br[1] - br[0], len(br) - 1
     else:
         nb = int(bins)
-        width = (hi - lo) / (nb - 1) if hi > lo else 1.0
-        start = lo - width / 2
+        # One bin spans the data; otherwise the outer bins are centred on the extremes.
+        width = ((hi - lo) / (nb - 1) if nb > 1 else hi - lo) if hi > lo else 1.0
+        start = lo - width / 2 if nb > 1 or hi == lo else lo
     fuzz = 1e-7 * width
     idx = F.greatest(F.ceil((x - F.lit(start) - F.lit(fuzz)) / F.lit(width)), F.lit(1)).cast("int")
     counts = df.where(x.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))

@@ -157,16 +157,17 @@ def strictly_below(df: DataFrame, column: str, bound) -> DataFrame:
 def factor_levels(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
     """``as.factor``: add the 1-based alphabetic level index of ``column``.
 
-    The level table is the distinct values (one row per category, bounded
-    by the number of categories), so its window runs on a small input;
-    the join back is planned by AQE (broadcast when the measured level
-    table is small).
+    The levels are collected under a size check (``distinct_levels``: an
+    error past its bound, as a factor of more levels is not one) and joined
+    back as a broadcast, so the rows are not shuffled by category and a
+    category that holds most rows stays spread.
     """
-    from pyspark.sql import Window
+    from abundance.operators.joins import distinct_levels
     out = out or f"{column}_level"
-    levels = (df.select(column).where(col(column).isNotNull()).distinct()
-              .withColumn(out, F.row_number().over(Window.orderBy(col(column).asc()))))
-    return df.join(levels, on=column, how="left")
+    levels = distinct_levels(df.where(col(column).isNotNull()), [column])
+    table = df.sparkSession.createDataFrame([(v, i + 1) for i, (v,) in enumerate(levels)],
+                                            f"`{column}` {dict(df.dtypes)[column]}, `{out}` int")
+    return df.join(F.broadcast(table), on=column, how="left")
 
 
 # --------------------------------------------------------- P18-P19 spatial

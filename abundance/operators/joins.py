@@ -173,16 +173,15 @@ def distinct_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 100_00
 
 def zero_fill_grid(obs: DataFrame, roster: DataFrame, sample_keys: Sequence[str],
                    taxon_cols: Sequence[str], values: Sequence[str], fill=0,
-                   levels: Sequence[tuple] | None = None, max_levels: int = 100_000,
-                   inline_levels: int = 1000) -> DataFrame:
+                   levels: Sequence[tuple] | None = None, max_levels: int = 100_000) -> DataFrame:
     """True zeros for every taxon in every deployment (bulk form of J4).
 
-    The distinct taxa (bounded by the taxonomy; collected once under a
-    ``max_levels`` check, an error past it, never a cut) become an indexed
-    table 0..n-1. Up to ``inline_levels`` taxa are inlined as a literal
-    array exploded per roster row; beyond that each roster row explodes
-    ``sequence(0, n-1)`` and the taxa join on that index (an equi-join
-    against a broadcast of proven size), so the plan does not grow with n. The observations are then
+    ``levels`` is the taxon list; without it the distinct taxa of ``obs``
+    are collected once under the ``max_levels`` check (an error past it,
+    never a cut). The result has deployments x taxa rows by definition.
+    Each roster row explodes ``sequence(0, n-1)`` and the indexed taxa join
+    on the position (an equi-join against a broadcast of proven size), so
+    the plan does not grow with n. The observations are then
     left-joined on (sample keys, taxon), a fine-grained key, so one busy
     deployment spreads over many keys.
     """
@@ -198,16 +197,8 @@ def zero_fill_grid(obs: DataFrame, roster: DataFrame, sample_keys: Sequence[str]
     if n == 0:
         return roster.limit(0).select(*roster.columns, *[F.lit(None).cast(types[c]).alias(c) for c in taxon_cols],
                                       *[F.lit(fill).alias(v) for v in as_list(values)])
-    if n <= inline_levels:
-        # few taxa: a literal array of structs, exploded per roster row (no join)
-        arr = F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(taxon_cols, lv)])
-                        for lv in levels])
-        grid = (roster.withColumn("__taxon", F.explode(arr))
-                .select(*roster.columns, *[F.col(f"__taxon.{_q(c)}").alias(c) for c in taxon_cols]))
-    else:
-        # many taxa: keep the plan small; join the indexed table on the exploded position
-        grid = (roster.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-                .join(F.broadcast(indexed), on="__i", how="inner").drop("__i"))   # n <= max_levels rows
+    grid = (roster.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+            .join(F.broadcast(indexed), on="__i", how="inner").drop("__i"))       # n <= max_levels rows
     obs_cols = sample_keys + taxon_cols + [v for v in as_list(values)]
     joined = natural_join(grid, obs.select(*obs_cols), how="left", on=sample_keys + taxon_cols)
     return joined.withColumns({v: F.coalesce(F.col(v), F.lit(fill)) for v in as_list(values)})

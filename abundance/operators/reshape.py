@@ -23,13 +23,17 @@ def stack_named(tables: dict[str, DataFrame], names_to: str = "name") -> DataFra
 
 def widen(df: DataFrame, ids: Sequence[str], names_from: str, values_from: str, fill=0,
           levels: Sequence | None = None, null_name: str = "unclassified",
-          name_fn=None) -> DataFrame:
+          name_fn=None, combine=None) -> DataFrame:
     """``pivot_wider(values_fill=fill)``.
 
     Only absent cells are filled; a present cell holding NULL stays NULL
     (T9). A NULL class becomes the column ``null_name`` (T8). Give
     ``levels`` to skip Spark's distinct pass over ``names_from`` (else it
     is collected, capped by ``spark.sql.pivotMaxValues``).
+
+    Two rows for one cell are an error when the rows are computed, unless
+    ``combine`` (a function of a Column name, e.g. ``F.sum``) says how to
+    join them.
     """
     ids = as_list(ids)
     name_col = F.coalesce(col(names_from).cast("string"), F.lit(null_name))
@@ -38,12 +42,14 @@ def widen(df: DataFrame, ids: Sequence[str], names_from: str, values_from: str,
         levels = [null_name if v is None else str(v) for v in levels]
     g = data.groupBy(*ids)
     piv = (g.pivot("__name", levels) if levels is not None else g.pivot("__name"))
-    wide = piv.agg(F.first("__v").alias("v"), F.count(F.lit(1)).alias("n"))
+    wide = piv.agg((combine or F.first)("__v").alias("v"), F.count(F.lit(1)).alias("n"))
     lvls = [c[: -len("_v")] for c in wide.columns if c.endswith("_v") and c not in ids]
     out = [col(c) for c in ids]
     for lv in lvls:
         v, n = f"`{lv}_v`", f"`{lv}_n`"
         cell = F.when(F.coalesce(F.col(n), F.lit(0)) == 0, F.lit(fill)).otherwise(F.col(v))
+        if combine is None:
+            cell = F.when(F.col(n) > 1, F.raise_error(F.lit(f"more than one value for a cell of {lv}; pass combine"))).otherwise(cell)
         out.append(cell.alias(name_fn(lv) if name_fn else lv))
     return wide.select(*out)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,20 @@ def _apply_sentinels(df: DataFrame, sentinels: Sequence[str], blank_as: str | No
     return df.withColumns(exprs) if exprs else df
 
 
+def _files_by_header(spark: SparkSession, path: str | Sequence[str], sep: str) -> list[list[str]]:
+    """The files under ``path`` grouped by their header line: one header-less
+    read that keeps the first line of each file (its start of block 0); one
+    row per file is collected."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                         F.col("_metadata.file_block_start").alias("at"))
+    first = lines.where("at = 0").select("file", "value", F.monotonically_increasing_id().alias("i")).groupBy("file").agg(
+        F.min_by("value", "i").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for r in sorted(map(tuple, first.collect())):
+        groups.setdefault(r[1].strip("\ufeff\r"), []).append(unquote(r[0]))
+    return list(groups.values()) or [[path] if isinstance(path, str) else list(path)]
+
+
 def read_survey_csv(spark: SparkSession, path: str | Sequence[str], types: dict[str, str] | None = None,
                     sentinels: Sequence[str] = ("NA",), blank_as: str | None = None,
                     clean: bool = True, sep: str = ",") -> DataFrame:
@@ -40,12 +55,16 @@ def read_survey_csv(spark: SparkSession, path: str | Sequence[str], types: dict[
 
     Blank cells are NULL (Spark's reader); ``blank_as=''`` gives R's
     ``read.csv`` behaviour for text columns (blank text = empty string).
-    Files are split and read in parallel by Spark.
+    Files are split and read in parallel by Spark. Files whose headers
+    differ (another column order, or other columns) are read apart and
+    stacked by name.
     """
-    df = (spark.read.option("header", True).option("inferSchema", False).option("sep", sep)
-          .option("mode", "PERMISSIVE").csv(path))
-    if clean:
-        df = clean_names(df)
+    reader = spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("mode", "PERMISSIVE")
+    parts = [reader.csv(files) for files in _files_by_header(spark, path, sep)]
+    parts = [clean_names(p) if clean else p for p in parts]
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p, allowMissingColumns=True)
     types = {snake_case(k) if clean else k: v for k, v in (types or {}).items()}
     text_cols = [c for c in df.columns if types.get(c, "string") == "string"]
     df = _apply_sentinels(df, sentinels, None, df.columns)

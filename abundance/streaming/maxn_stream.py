@@ -5,9 +5,9 @@ The reference has no streaming feature; this is the batch MaxN workflow
 whose annotations land deployment by deployment. The stateless steps
 (success filter, relabels, taxon label) run per micro-batch; the MaxN
 aggregate keeps one state row per deployment x taxon; ``update`` output
-appends changed maxima to a Parquet folder. Max is idempotent, so a
-replayed batch (after an executor or driver loss) only repeats rows, and
-``read_maxn`` takes the max per key again. Checkpoints go under the
+writes changed maxima to a Parquet folder per batch. A replayed batch (after
+an executor or driver loss) overwrites its own folder, and ``read_maxn``
+takes the newest row per key. Checkpoints go under the
 shared ``spark.checkpoint.dir``.
 """
 
@@ -36,7 +36,8 @@ def start_maxn_stream(spark: SparkSession, source_dir: str, schema: str, sink_di
     ckpt = checkpoint or posixpath.join(checkpoint_dir(spark), f"stream-{name}")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_dir)
+        # One folder per batch: a batch that is replayed overwrites its own folder.
+        batch.write.mode("overwrite").parquet(posixpath.join(sink_dir, f"batch_id={batch_id}"))
 
     w = maxn.writeStream.outputMode("update").option("checkpointLocation", ckpt).foreachBatch(sink)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -45,6 +46,8 @@ def start_maxn_stream(spark: SparkSession, source_dir: str, schema: str, sink_di
 
 def read_maxn(spark: SparkSession, sink_dir: str, keys: Sequence[str] = ("sample",),
               taxon_parts: Sequence[str] = ("family", "genus", "species")) -> DataFrame:
-    """Current MaxN table from the appended updates (max per key)."""
+    """Current MaxN table: the newest update of each key. Updates replace
+    earlier ones, so a MaxN that has become missing stays missing, as in the
+    batch workflow."""
     k = [*keys, *taxon_parts, "scientific"]
-    return spark.read.parquet(sink_dir).groupBy(*k).agg(F.max("count").alias("count"))
+    return spark.read.parquet(sink_dir).groupBy(*k).agg(F.max_by("count", "batch_id").alias("count"))
