@@ -44,11 +44,11 @@ TAXON = ["family", "genus", "species"]
 # ------------------------------------------------------------ shared parts
 
 def _roster(spark, d):
-    return clean.keep_in(V.roster(spark, d), "successful_count", ["Yes"])
+    return clean.keep_in(V.roster(spark, d, successful=True), "successful_count", ["Yes"])
 
 
 def _maxn(spark, d, with_missing=False):
-    return P.complete_counts(V.counts(spark, d, with_missing), RULES, keys=["sample"], taxon_parts=TAXON)
+    return P.complete_counts(V.counts(spark, d, with_missing, successful=True), RULES, keys=["sample"], taxon_parts=TAXON)
 
 
 def _habitat(spark, d, literal=False):
@@ -390,6 +390,15 @@ def size_class_abundance(spark, d):
                               legal_mm=V.LEGAL_MM, suffix="BR")
 
 
+@register("size_class_roster", f"""WITH sc AS (""" + QUERIES["size_class_abundance"][1] + f"""),
+r AS (SELECT DISTINCT sample, successful_length FROM ({V.LENGTHS_SQL}) WHERE successful_length = 'Yes')
+SELECT sc.sample, r.successful_length, sc.response, sc.number FROM sc JOIN r ON sc.sample = r.sample""")
+def size_class_roster(spark, d):
+    """C11: size classes zero-filled over a roster that keeps its columns."""
+    return P.size_class_table(V.lengths(spark, d), V.maturity(spark, d), V.FOCAL_LABEL, legal_mm=V.LEGAL_MM,
+                              roster_cols=("sample", "successful_length"), suffix="BR")
+
+
 @register("distinct_roster", f"""SELECT DISTINCT sample, successful_length FROM ({V.LENGTHS_SQL})""")
 def distinct_roster(spark, d):
     """Distinct deployments of a table."""
@@ -399,15 +408,11 @@ def distinct_roster(spark, d):
 @register("audit_taxa", _with(*maxn_ctes()) + """
 SELECT count(*) AS n_rows,
   CAST(count(DISTINCT scientific) + max(CASE WHEN scientific IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_distinct,
-  CAST(sum(CASE WHEN count IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing
+  CAST(sum(CASE WHEN scientific IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing
 FROM maxn""")
 def audit_taxa(spark, d):
-    """Rows, distinct labels (NA counted), missing MaxN, one pass."""
-    m = _maxn(spark, d)
-    return m.agg(F.count(F.lit(1)).alias("n_rows"),
-                 (F.countDistinct("scientific") + F.max(F.when(F.col("scientific").isNull(), 1).otherwise(0)))
-                 .cast("long").alias("n_distinct"),
-                 F.sum(F.when(F.col("count").isNull(), 1).otherwise(0)).cast("long").alias("n_missing"))
+    """Rows, distinct labels (NA counted), missing labels, one pass."""
+    return agg.audit(_maxn(spark, d), "scientific")
 
 
 def _describe_sql(src: str, cols: list[str]) -> str:
@@ -441,6 +446,7 @@ def correlation(spark, d):
 
 
 CORR_COLS = ["depth_m", "sand", "posidonia", "turf", "mean_relief", "sd_relief"]
+CORR_CASES = ("cc", "SELECT * FROM habitat WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in CORR_COLS))
 
 
 def _corr_sql(cols, where=""):
@@ -452,32 +458,44 @@ def _corr_sql(cols, where=""):
     return "\nUNION ALL\n".join(parts)
 
 
-@register("corr_matrix", _with(*HABITAT_CTES, ("cc", "SELECT * FROM habitat WHERE total_points_annotated IS NOT NULL AND mean_relief IS NOT NULL AND sd_relief IS NOT NULL"))
+@register("corr_matrix", _with(*HABITAT_CTES, CORR_CASES)
           + _corr_sql(CORR_COLS))
 def corr_matrix(spark, d):
-    """Pairwise correlations of predictors, one aggregate pass."""
-    h = clean.complete_cases(_habitat(spark, d), ["total_points_annotated", "mean_relief", "sd_relief"])
+    """Pairwise correlations of predictors over complete cases, one pass."""
+    h = clean.complete_cases(_habitat(spark, d), CORR_COLS)
     return fin(agg.corr_matrix(h, CORR_COLS))
 
 
-@register("collinear_pairs", _with(*HABITAT_CTES, ("cc", "SELECT * FROM habitat WHERE total_points_annotated IS NOT NULL AND mean_relief IS NOT NULL AND sd_relief IS NOT NULL"))
+@register("collinear_pairs", _with(*HABITAT_CTES, CORR_CASES)
           + "SELECT * FROM (" + _corr_sql(CORR_COLS) + ") WHERE abs(r) > 0.28")
 def collinear_pairs(spark, d):
     """Predictor pairs above the cutoff (|r| > 0.28)."""
-    h = clean.complete_cases(_habitat(spark, d), ["total_points_annotated", "mean_relief", "sd_relief"])
-    return fin(agg.corr_matrix(h, CORR_COLS).where(F.abs(F.col("r")) > 0.28))
+    h = clean.complete_cases(_habitat(spark, d), CORR_COLS)
+    return fin(agg.collinear_pairs(h, CORR_COLS, cutoff=0.28))
 
 
 @register("zero_fraction", "WITH sc AS (" + QUERIES["size_class_abundance"][1] + """)
 SELECT response, ROUND(sum(CASE WHEN number = 0 THEN 1 ELSE 0 END) / count(*), 6) AS zero_fraction
 FROM sc GROUP BY response""")
 def zero_fraction(spark, d):
-    """Share of zeros per size-class response (the screen keeps those
-    below 0.95; all shares are reported here)."""
+    """Share of zeros per size-class response, all shares."""
     t = size_class_abundance(spark, d)
     return fin(agg.zero_fraction(t, "response", "number", threshold=None))
 
 
+@register("zero_screen", "WITH sc AS (" + QUERIES["size_class_abundance"][1] + "), " + _with(*maxn_ctes()).removeprefix("WITH ") + """
+SELECT response, ROUND(sum(CASE WHEN number = 0 THEN 1 ELSE 0 END) / count(*), 6) AS zero_fraction
+FROM (SELECT response, CAST(number AS DOUBLE) AS number FROM sc UNION ALL
+      SELECT 'total_abundance', CAST(coalesce(sum(count), 0) AS DOUBLE) FROM maxn GROUP BY sample)
+GROUP BY response HAVING sum(CASE WHEN number = 0 THEN 1 ELSE 0 END) / count(*) < 0.95""")
+def zero_screen(spark, d):
+    """Responses that pass the screen of fewer than 95 % zeros."""
+    sizes = size_class_abundance(spark, d).select("response", F.col("number").cast("double").alias("number"))
+    total = agg.sum_counts(_maxn(spark, d), ["sample"], out="number").select(
+        F.lit("total_abundance").alias("response"), F.coalesce("number", F.lit(0)).cast("double").alias("number"))
+    return fin(agg.zero_fraction(reshape.stack_tables(sizes, total), "response", "number", threshold=0.95))
+
+
 @register("mean_se_by_site", _with(ROSTER_OK, *maxn_ctes(), ("ab", """
     SELECT r.sample, r.site, coalesce(t.n, 0) AS number FROM roster_ok r
     LEFT JOIN (SELECT sample, sum(count) AS n FROM maxn GROUP BY 1) t ON t.sample = r.sample""")) + """
@@ -812,17 +830,23 @@ def prediction_grid_q(spark, d):
 def full_subsets_q(spark, d):
     """M7 + M10 + A19 + C15: full-subset selection (k = 3 smooths, Tweedie
     family with power 1.5 as the reference's tw()) for total abundance and
-    species richness (responses with < 95 % zeros) over habitat predictors;
-    ranked model table (delta <= 10)."""
+    species richness (responses with < 95 % zeros) over seven predictors, up
+    to three at a time; ranked model table (delta <= 10)."""
+    ranked = _subsets(spark, d).models
+    return fin(ranked.where(F.col("delta_aicc") <= 10).drop("loglik"), 4)
+
+
+SUBSET_PREDICTORS = ["sand", "turf", "posidonia", "depth_m", "mean_relief", "sd_relief", "total_points_annotated"]
+
+
+def _subsets(spark, d):
     from abundance.models.select import full_subsets
     ab = P.abundance_long(_maxn(spark, d))
     keep = agg.zero_fraction(ab, "response", "number", threshold=0.95).select("response")
     ab = ab.join(F.broadcast(keep), on="response", how="left_semi")      # <= 2 rows
     fr = joins.natural_join(ab, _habitat(spark, d).drop("site", "date_time"), "left", on=["sample"])
     fr = fr.withColumn("depth_m", F.col("depth_m") / 100000.0)
-    ranked, _imp = full_subsets(fr, "number", ["sand", "turf", "posidonia", "depth_m", "mean_relief"],
-                                response="response", max_size=2, cor_cutoff=0.28, family="tweedie:1.5")
-    return fin(ranked.where(F.col("delta_aicc") <= 10).drop("loglik"), 4)
+    return full_subsets(fr, "number", SUBSET_PREDICTORS, response="response", max_size=3, cor_cutoff=0.28, family="tweedie:1.5")
 
 
 @register("glm_lineitem", None)
@@ -845,9 +869,8 @@ def glmm_models(spark, d):
     fr = (_frame(spark, d).withColumn("depth_m", F.col("depth_m") / 100000.0)
           .withColumn("posidonia", F.col("posidonia") / 100.0)
           .withColumn("month", F.substring("date_time", 1, 7)))
-    fr = clean.complete_cases(fr, ["depth_m", "posidonia", "site", "month"]).cache()
-    fr = fr.withColumn("turf", F.col("turf") / 100.0).withColumn("mean_relief", F.col("mean_relief"))
-    fr = clean.complete_cases(fr, ["turf", "mean_relief"])
+    fr = fr.withColumn("turf", F.col("turf") / 100.0)
+    fr = clean.complete_cases(fr, ["depth_m", "posidonia", "site", "month", "turf", "mean_relief"]).cache()
     specs = {"remod": (["depth_m"], ["site"]), "remod2": (["depth_m"], ["month"]),
              "remod3": (["turf"], ["site"]), "remod4": (["depth_m", "turf"], ["site"]),
              "remod5": (["depth_m", "posidonia"], ["site"]),
@@ -929,13 +952,8 @@ def importance_long(spark, d):
     """C14: variable importance per response (from full-subset selection)
     widened to one column per predictor, then back to long with a label
     from a no-default case_when."""
-    from abundance.models.select import full_subsets
-    ab = P.abundance_long(_maxn(spark, d))
-    fr = joins.natural_join(ab, _habitat(spark, d).drop("site", "date_time"), "left", on=["sample"])
-    fr = fr.withColumn("depth_m", F.col("depth_m") / 100000.0)
-    _ranked, imp = full_subsets(fr, "number", ["sand", "turf", "posidonia", "depth_m", "mean_relief"],
-                                response="response", max_size=2, cor_cutoff=0.28, family="tweedie:1.5")
-    wide = reshape.widen(imp, ["response"], "predictor", "importance", fill=0.0)
+    imp = _subsets(spark, d).importance
+    wide = reshape.widen(imp, ["response"], "predictor", "importance", fill=0.0, levels=SUBSET_PREDICTORS)
     rule = ({"predictor": "sand", "resp_var": "total_abundance"}, "X")
     return fin(P.importance_long(wide, "response", rename_to="resp_var", label_rule=rule), 4)
 
@@ -1009,6 +1027,63 @@ def glm_site_aic(spark, d):
 
 @register("describe_events_exact", _describe_sql("events", ["value"]))
 def describe_events_exact(spark, d):
-    """A15 at raw-table scale: exact type-7 quartiles of the event values via
-    a sketch bracket and a bounded collection (no single-task buffer)."""
-    return fin(agg.describe_num(V.table(spark, d, "events"), ["value"], method="bracket"))
+    """A15 at raw-table scale: exact type-7 quartiles of the event values."""
+    return fin(agg.describe_num(V.table(spark, d, "events"), ["value"]))
+
+
+@register("describe_lineitem_tied", _describe_sql("lineitem", ["l_quantity", "l_discount", "l_tax"]))
+def describe_lineitem_tied(spark, d):
+    """A15 on heavily tied columns (at most 50 different values)."""
+    li = V.table(spark, d, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
+    return fin(agg.describe_num(li, ["l_quantity", "l_discount", "l_tax"]))
+
+
+@register("weighted_moments_large", """
+SELECT o_orderpriority, ROUND(avg(x), 4) AS mean, ROUND(stddev_samp(x), 4) AS sd
+FROM (SELECT o_orderpriority, o_totalprice + 1e9 AS x FROM orders, range(1 + o_custkey % 3) t(i)) GROUP BY 1""")
+def weighted_moments_large(spark, d):
+    """A6 on large values: weighted mean and sd keep their digits."""
+    o = V.table(spark, d, "orders").select("o_orderpriority", (F.col("o_totalprice") + 1e9).alias("x"),
+                                           (1 + F.col("o_custkey") % 3).alias("w"))
+    return fin(agg.weighted_moments(o, ["o_orderpriority"], "x", "w"), 4)
+
+
+@register("anti_join_roster", _with(ROSTER_OK, *maxn_ctes()) + """
+SELECT sample, campaignid, site, ROUND(depth_m, 6) AS depth_m FROM roster_ok r
+WHERE NOT EXISTS (SELECT 1 FROM maxn m WHERE m.sample = r.sample)""")
+def anti_join_roster(spark, d):
+    """Roster rows without counts, with all their columns."""
+    r = _roster(spark, d).select("sample", "campaignid", "site", "depth_m")
+    return fin(joins.anti_join(r, _maxn(spark, d).select("sample"), on=["sample"]))
+
+
+@register("anti_join_counts", _with(ROSTER_OK, *maxn_ctes()) + """
+SELECT * FROM maxn m WHERE NOT EXISTS (SELECT 1 FROM roster_ok r WHERE m.sample = r.sample)""")
+def anti_join_counts(spark, d):
+    """MaxN rows without a successful deployment, with all their columns."""
+    return joins.anti_join(_maxn(spark, d), _roster(spark, d).select("sample"), on=["sample"])
+
+
+@register("species_habitat", _with(*HABITAT_CTES, *maxn_ctes(), ("s", f"""
+    SELECT sample, genus || ' ' || species AS label2, CAST(sum(count) AS BIGINT) AS count
+    FROM maxn WHERE genus || ' ' || species = '{V.FOCAL_LABEL}' GROUP BY 1, 2""")) + """
+SELECT h.sample, s.label2, coalesce(s.count, 0) AS count, h.site, ROUND(h.depth_m, 6) AS depth_m, ROUND(h.sand, 6) AS sand,
+  ROUND(h.turf, 6) AS turf, ROUND(h.mean_relief, 6) AS mean_relief
+FROM s RIGHT JOIN habitat h ON s.sample = h.sample""")
+def species_habitat(spark, d):
+    """One taxon with true zeros, joined to the habitat covariates."""
+    m = _maxn(spark, d).withColumn("label2", taxon_label("genus", "species"))
+    h = _habitat(spark, d)
+    out = P.species_with_zeros(m, h.select("sample", "site", "depth_m"), h.select("sample", "sand", "turf", "mean_relief"),
+                               V.FOCAL_LABEL, taxon="label2", sum_keys=["sample", "label2"])
+    return fin(out.select("sample", "label2", "count", "site", "depth_m", "sand", "turf", "mean_relief"))
+
+
+@register("cover_proportions", _with(CLASSIFIED, COMPOSITION) + "SELECT sample, " + ", ".join(
+    f"ROUND({c} / nullif(CAST(total_points_annotated AS DOUBLE), 0), 6) AS {c}" for c in V.HABITAT_CLASSES) + " FROM composition")
+def cover_proportions(spark, d):
+    """Habitat counts as proportions of the points annotated."""
+    comp = agg.class_composition(clean.classify(V.benthos(spark, d), V.HABITAT_RULES, "habitat"), ["sample"], "habitat",
+                                 "number", V.HABITAT_CLASSES, long=False)
+    total = F.col("total_points_annotated").cast("double")
+    return fin(comp.select("sample", *[F.try_divide(F.col(c).cast("double"), total).alias(c) for c in V.HABITAT_CLASSES]))

@@ -49,9 +49,14 @@ def _iso(c) -> F.Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'+08:00'")
 
 
-def roster(spark: SparkSession, d: str) -> DataFrame:
+def roster(spark: SparkSession, d: str, successful: bool = False) -> DataFrame:
+    """``successful=True`` keeps the deployments whose counts succeeded by the
+    raw status, which the scan can filter (a test on the derived Yes / No
+    text cannot be pushed down)."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                          "o_orderdate", "o_orderpriority")
+    if successful:
+        o = o.where(F.col("o_orderstatus").isin("F", "O"))
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     j = o.join(c, o.o_custkey == c.c_custkey, "left")
     yes = lambda cond: F.when(cond, "Yes").otherwise("No")
@@ -81,14 +86,18 @@ FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 """
 
 
-def _items_parts(spark, d, cols):
+def _items_parts(spark, d, cols, where=None):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", *cols)
+    li = li if where is None else li.where(where)
     p = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_name")
     return li.join(p, li.l_partkey == p.p_partkey, "left")
 
 
-def counts(spark: SparkSession, d: str, with_missing: bool = False) -> DataFrame:
-    j = _items_parts(spark, d, ["l_quantity", "l_linestatus", "l_linenumber"])
+def counts(spark: SparkSession, d: str, with_missing: bool = False, successful: bool = False) -> DataFrame:
+    """``successful=True``: only rows of successful counts, filtered by the
+    raw status in the scan."""
+    j = _items_parts(spark, d, ["l_quantity", "l_linestatus", "l_linenumber"],
+                     F.col("l_linestatus") == "O" if successful else None)
     cnt = F.col("l_quantity").cast("long")
     if with_missing:
         cnt = F.when(F.col("l_linenumber") != 7, cnt)
