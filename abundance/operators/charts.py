@@ -15,54 +15,32 @@ from abundance.functions.columns import as_list, col
 # ------------------------------------------------------------ V1 histogram
 
 def pretty_breaks(lo: float, hi: float, n: int, min_n: int | None = None) -> list[float]:
-    """R ``pretty(c(lo, hi), n)`` (the published algorithm: unit 1, 2, 5
-    or 10 times a power of ten, high.u.bias = 1.5)."""
-    h, h5 = 1.5, 0.5 + 1.5 * 1.5
-    min_n = n // 3 if min_n is None else min_n
-    dx = hi - lo
-    cell = max(abs(lo), abs(hi))
-    if dx == 0 and hi == 0:
-        cell, i_small = 1.0, True
-    else:
-        U = 1 + (1 / (1 + h) if h5 >= 1.5 * h + 0.5 else 1.5 / (1 + h5))
-        U *= max(1, n) * 2.220446049250313e-16
-        i_small = dx < cell * U * 3
-    if i_small:
-        if cell > 10:
-            cell = 9 + cell / 10
-        cell *= 1.0
-        if min_n > 1:
-            cell /= min_n
+    """About ``n`` round intervals that cover [lo, hi].
+
+    The step is 1, 2, 5 or 10 times a power of ten, whichever the ideal
+    width (span / n) calls for: above 1.4, 2.8 and 7 powers of ten the next
+    larger one is taken (the balance between too many and too few intervals
+    that R's ``pretty`` uses by default). Breaks are the multiples of the
+    step from the last at or below lo to the first at or above hi; fewer
+    than ``min_n`` intervals are padded on both sides, the odd one towards
+    the sign of lo.
+    """
+    least = n // 3 if min_n is None else min_n
+    span, size = hi - lo, max(abs(lo), abs(hi))
+    if span <= size * max(1, n) * 4.2e-16 or size == 0:
+        # (Nearly) equal ends: intervals of the values' own size, damped when large.
+        ideal = (size if size <= 10 else 9 + size / 10) or 1.0
+        ideal /= max(1, least)
     else:
-        cell = dx
-        if n > 1:
-            cell /= n
-    if cell < 20 * 2.2250738585072014e-308:
-        cell = 20 * 2.2250738585072014e-308
-    base = 10.0 ** math.floor(math.log10(cell))
-    unit = base
-    if 2 * base - cell < h * (cell - unit):
-        unit = 2 * base
-        if 5 * base - cell < h5 * (cell - unit):
-            unit = 5 * base
-            if 10 * base - cell < h * (cell - unit):
-                unit = 10 * base
-    ns = math.floor(lo / unit + 1e-7)
-    nu = math.ceil(hi / unit - 1e-7)
-    while ns * unit > lo + 1e-10 * unit:
-        ns -= 1
-    while nu * unit < hi - 1e-10 * unit:
-        nu += 1
-    k = int(0.5 + nu - ns)
-    if k < min_n:
-        k = min_n - k
-        if ns >= 0:
-            nu += k // 2
-            ns -= k // 2 + k % 2
-        else:
-            ns -= k // 2
-            nu += k // 2 + k % 2
-    return [ns * unit + i * unit for i in range(int(nu - ns) + 1)]
+        ideal = span / max(1, n)
+    power = 10.0 ** math.floor(math.log10(ideal))
+    step = power * next(m for m, bound in ((1, 1.4), (2, 2.8), (5, 7.0), (10, math.inf)) if ideal <= bound * power)
+    first, last = math.floor(lo / step + 1e-7), math.ceil(hi / step - 1e-7)
+    missing = least - (last - first)
+    if missing > 0:
+        first -= missing // 2 + (missing % 2 if lo >= 0 else 0)
+        last += missing // 2 + (missing % 2 if lo < 0 else 0)
+    return [i * step for i in range(first, last + 1)]
 
 
 def hist_bins(df: DataFrame, column: str, bins: int | str = "sturges") -> DataFrame:

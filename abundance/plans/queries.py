@@ -17,6 +17,7 @@ from abundance.functions.columns import taxon_label
 from abundance.operators import agg, clean, joins, rank, reshape
 from abundance.plans import pipelines as P
 from abundance.plans import views as V
+from abundance.plans.model_sql import coef_rows, poisson_ctes
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -681,7 +682,15 @@ def hist_30(spark, d):
     return fin(hist_bins(_depth(spark, d), "depth_m", bins=30))
 
 
-@register("hist_sturges", None)
+@register("hist_sturges", _with(ROSTER_OK, *maxn_ctes(), ("v", "SELECT sum(count) AS x FROM maxn GROUP BY sample"),
+    ("st", """SELECT CAST(min(x) AS DOUBLE) AS lo, CAST(max(x) AS DOUBLE) AS hi, (max(x) - min(x)) / ceil(log2(count(x)) + 1) AS cell FROM v"""),
+    ("pw", "SELECT *, pow(10, floor(log10(cell))) AS ten FROM st"),
+    ("un", """SELECT *, ten * CASE WHEN cell > 7 * ten THEN 10 WHEN cell > 2.8 * ten THEN 5 WHEN cell > 1.4 * ten THEN 2 ELSE 1 END AS width FROM pw"""),
+    ("br", """SELECT *, floor(lo / width + 1e-7) * width AS start, CAST(ceil(hi / width - 1e-7) - floor(lo / width + 1e-7) AS BIGINT) AS nb FROM un"""),
+    ("b", """SELECT CAST(greatest(ceil((x - start - 1e-7 * width) / width), 1) AS INTEGER) AS bin FROM v, br WHERE x IS NOT NULL""")) + """
+SELECT CAST(i AS INTEGER) AS bin, ROUND(start + (i - 1) * width, 6) AS lower, ROUND(start + i * width, 6) AS upper,
+  CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM br, range(1, 1000) t(i) LEFT JOIN (SELECT bin, count(*) AS n FROM b GROUP BY bin) c ON c.bin = i WHERE i <= nb""")
 def hist_sturges(spark, d):
     """V1: R hist() bins (Sturges count, pretty breaks) of total abundance."""
     from abundance.operators.charts import hist_bins
@@ -762,7 +771,23 @@ def glm_site(spark, d):
     return spark.createDataFrame(rows, "term string, estimate double, se double")
 
 
-@register("glm_models", None)
+FRAME = ("frame", """SELECT h.*, coalesce(t.n, 0) AS number FROM habitat h
+    LEFT JOIN (SELECT sample, sum(count) AS n FROM maxn GROUP BY 1) t ON t.sample = h.sample""")
+SITES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]       # the table's market segments
+SITE_X = [f"CASE WHEN site = '{s}' THEN 1.0 ELSE 0.0 END + CASE WHEN site IS NULL THEN NULL ELSE 0.0 END" for s in SITES[1:]]
+MODEL_TERMS = {
+    "glm0": (["1.0", *SITE_X], ["(Intercept)", *[f"site{s}" for s in SITES[1:]]]),
+    "glm1": (["1.0", "depth_m / 100000.0", *SITE_X], ["(Intercept)", "depth_m", *[f"site{s}" for s in SITES[1:]]]),
+    "glm2": (["1.0", "depth_m / 100000.0", "posidonia"], ["(Intercept)", "depth_m", "posidonia"]),
+    "glm3": (["1.0", "depth_m / 100000.0", "posidonia", "depth_m / 100000.0 * posidonia"],
+             ["(Intercept)", "depth_m", "posidonia", "depth_m:posidonia"]),
+}
+GLM_MODELS_SQL = _with(*HABITAT_CTES, *maxn_ctes(), FRAME, *[c for m, (xs, _t) in MODEL_TERMS.items() for c in poisson_ctes(
+    m, "SELECT * FROM frame", "number", xs)]) + "SELECT model, term, estimate, se, z, p, ROUND(aic, 4) AS aic, df, n AS n_used FROM (" + (
+    " UNION ALL ".join(coef_rows(m, f"'{m}'", terms) for m, (_x, terms) in MODEL_TERMS.items())) + ")"
+
+
+@register("glm_models", GLM_MODELS_SQL)
 def glm_models(spark, d):
     """M1 + M4 + M5: glm0 site, glm1 depth + site, glm2 depth + posidonia,
     depth * posidonia; coefficient tables and the AIC table."""
@@ -849,7 +874,8 @@ def _subsets(spark, d):
     return full_subsets(fr, "number", SUBSET_PREDICTORS, response="response", max_size=3, cor_cutoff=0.28, family="tweedie:1.5")
 
 
-@register("glm_lineitem", None)
+@register("glm_lineitem", _with(*poisson_ctes("m", "SELECT l_quantity, l_discount, l_tax FROM lineitem", "l_quantity", ["1.0", "l_discount", "l_tax"]))
+          + "SELECT term, estimate, se, ROUND(aic, 2) AS aic FROM (" + coef_rows("m", "'m'", ["(Intercept)", "l_discount", "l_tax"]) + ")")
 def glm_lineitem(spark, d):
     """M1 at row scale: Poisson GLM l_quantity ~ l_discount + l_tax over the
     whole line-item table (the survey's timing probe)."""
@@ -935,7 +961,12 @@ def hist_events(spark, d):
     return fin(hist_bins(V.table(spark, d, "events").select("value"), "value", bins=30))
 
 
-@register("glm_by_response", None)
+@register("glm_by_response", _with(*HABITAT_CTES, *maxn_ctes(), ("ab", """
+    SELECT sample, 'total_abundance' AS response, CAST(coalesce(sum(count), 0) AS DOUBLE) AS number FROM maxn GROUP BY 1
+    UNION ALL SELECT sample, 'species_richness', CAST(sum(CASE WHEN count > 0 THEN 1 ELSE 0 END) AS DOUBLE) FROM maxn GROUP BY 1"""),
+    *poisson_ctes("m", "SELECT a.response, a.number, h.depth_m, h.sand FROM ab a JOIN habitat h ON a.sample = h.sample", "number",
+                  ["1.0", "depth_m / 100000.0", "sand / 100.0"], group="response")) + "SELECT model, term, estimate, se, z, p FROM ("
+          + coef_rows("m", "g", ["(Intercept)", "depth_m", "sand"]) + ")")
 def glm_by_response(spark, d):
     """One Poisson GLM per response (total abundance, species
     richness) ~ depth + sand, every response in the same passes."""
@@ -969,7 +1000,16 @@ def relief_classes(spark, d):
     return clean.factor_levels(t, "level_5", "class_relief")
 
 
-@register("lm_band", None)
+@register("lm_band", _with(*HABITAT_CTES, ("f", """SELECT regr_slope(turf, sand) AS b, regr_intercept(turf, sand) AS a,
+    regr_count(turf, sand) AS n, regr_sxx(turf, sand) AS sxx, regr_syy(turf, sand) AS syy, regr_sxy(turf, sand) AS sxy,
+    regr_avgx(turf, sand) AS xbar, min(sand) AS lo, max(sand) AS hi FROM habitat WHERE sand IS NOT NULL AND turf IS NOT NULL"""),
+    ("z", "SELECT *, 1.959963984540054 AS z, n - 2.0 AS v FROM f"),
+    # the t quantile by its expansion in 1 / degrees of freedom
+    ("tq", """SELECT *, z + (pow(z, 3) + z) / (4 * v) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * v * v)
+    + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(v, 3)) AS t FROM z"""),
+    ("g", """SELECT *, lo + (hi - lo) * i / 79 AS x FROM tq, range(0, 80) r(i)"""),
+    ("e", """SELECT *, a + b * x AS fit, sqrt((syy - sxy * sxy / sxx) / v * (1 / n + pow(x - xbar, 2) / sxx)) AS se FROM g""")) + """
+SELECT ROUND(x, 6) AS sand, ROUND(fit, 6) AS fit, ROUND(se, 6) AS se, ROUND(fit - t * se, 6) AS lower, ROUND(fit + t * se, 6) AS upper FROM e""")
 def lm_band(spark, d):
     """Fitted line turf ~ sand with its 95 % confidence band on 80
     points (geom_smooth(method = "lm") data)."""
