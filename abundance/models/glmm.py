@@ -9,9 +9,11 @@ Data work: for a trial beta, one ``groupBy(factors).agg`` pass gives, per
 cell of the factor levels, A = sum exp(x'b), B = sum exp(x'b) x,
 C = sum exp(x'b) x x', sum y, sum y x and sum ln y!. With the random
 effects u the conditional mean in a cell is exp(o_c) * exp(x'b), so the
-cell table is a sufficient statistic: the modes of u, the variance
-profile and the beta gradient are computed on the driver from it
-(q = number of levels; stated limit a few thousand levels, checked).
+cell table is a sufficient statistic for the modes of u, the variance
+profile and the beta gradient. With one factor the cells are the levels;
+they stay distributed and only sums reach the driver (``glmm_levels``).
+With crossed factors the driver works on the cell table (a stated limit,
+checked).
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from abundance.functions.stats import norm_two_sided_p
 from abundance.models.design import build_design, design_columns, model_input
 from abundance.models.glm import LF, Y, irls
+from abundance.models.glmm_levels import LevelTable
 
 
 @dataclass
@@ -38,7 +41,7 @@ class GlmmFit:
     n_used: int
     iterations: int
     converged: bool
-    modes: dict
+    modes: dict                 # by factor: {level: mode}, or a (level, mode) DataFrame for one factor
 
     @property
     def p(self) -> int:
@@ -202,18 +205,21 @@ def _nelder_mead(f, x0, tol=1e-9, max_iter=400):
 def poisson_glmm(df: DataFrame, response: str, terms: Sequence[str], random: Sequence[str],
                  max_levels: int | None = None, max_cells: int = 200_000, max_iter: int = 50,
                  tol: float = 1e-9, checkpoint: bool = False, dense: bool | None = None) -> GlmmFit:
-    """Fit; one grouping factor uses the diagonal O(q) path (levels bounded
-    only by ``max_cells``), crossed factors the dense (q x q) path, where
-    ``max_levels`` (default 5000 per factor) applies."""
-    if max_levels is None:
-        max_levels = max_cells if len(list(random)) == 1 else 5000
+    """Fit. One grouping factor works on a distributed level table of any
+    size (``glmm_levels``). Crossed factors use the dense (q x q) algebra of
+    ``_Cells`` on the driver, limited to ``max_levels`` (default 5000) per
+    factor and ``max_cells`` cells; ``dense`` True or False takes one factor
+    through that class too (its dense or diagonal form)."""
     random = list(random)
+    spread = len(random) == 1 and dense is None
+    if max_levels is None:
+        max_levels = max_cells if len(random) == 1 else 5000
     base = model_input(df, [response, *design_columns(terms), *random], checkpoint)
     try:
         d = build_design(base, terms)
         frame, feats = _frame_with_factors(base, response, d, random)
         levels = {}
-        for f in random:
+        for f in () if spread else random:
             lv = frame.select(f).distinct().limit(max_levels + 1).collect()
             if len(lv) > max_levels:
                 raise ValueError(f"{f}: more than {max_levels} levels")
@@ -234,6 +240,8 @@ def poisson_glmm(df: DataFrame, response: str, terms: Sequence[str], random: Seq
                 F.sum(Y).alias("__Sy"),
                 F.array(*[F.sum(F.col(Y) * x) for x in X]).alias("__Yx"),
                 F.sum(LF).alias("__L"), F.count(F.lit(1)).alias("__n")))
+            if spread:
+                return LevelTable(agg, random[0], p)
             rows = agg.limit(max_cells + 1).collect()
             if len(rows) > max_cells:
                 raise ValueError(f"more than {max_cells} factor cells")
@@ -242,7 +250,7 @@ def poisson_glmm(df: DataFrame, response: str, terms: Sequence[str], random: Seq
         beta = irls(frame, [xf], [d.names], "poisson")[0].coef
         theta = np.zeros(len(random))
         cs = cells(beta)
-        theta, negll = cs.profile_theta(beta, theta)
+        theta, negll = cs.profile_theta(beta) if spread else cs.profile_theta(beta, theta)
         ll, grad, info, u = cs.beta_step(beta, theta)
         it, converged = 0, False
         while it < max_iter:
@@ -256,9 +264,13 @@ def poisson_glmm(df: DataFrame, response: str, terms: Sequence[str], random: Seq
                 if -neg2 >= ll - 1e-10 * abs(ll):
                     break
                 t /= 2
+                if spread:
+                    cs2.drop()
             else:
                 break                       # no step raises the likelihood: stay, not converged
             dll = -neg2 - ll
+            if spread:
+                cs.drop()
             beta, theta, cs = cand, th2, cs2
             ll, grad, info, u = cs.beta_step(beta, theta)
             if abs(dll) < tol * (abs(ll) + 1) and np.max(np.abs(t * step)) < 1e-6:
@@ -266,6 +278,9 @@ def poisson_glmm(df: DataFrame, response: str, terms: Sequence[str], random: Seq
                 break
         cov = np.linalg.inv(info)
         sig = {f: float(np.exp(theta[k])) for k, f in enumerate(random)}
+        if spread:
+            cs.drop()
+            return GlmmFit(d.names, beta, cov, sig, float(ll), cs.count, it, converged, {random[0]: cs.modes(theta)})
         offs = np.cumsum([0] + [len(levels[f]) for f in random])
         modes = {f: {lv: float(u[offs[k] + i]) for lv, i in levels[f].items()} for k, f in enumerate(random)}
         return GlmmFit(d.names, beta, cov, sig, float(ll), cs.count, it, converged, modes)

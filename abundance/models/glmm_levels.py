@@ -1,0 +1,132 @@
+"""One grouping factor: the Laplace likelihood over a distributed level table.
+
+The table has one row per level with the sums of a trial beta (see ``glmm``).
+Levels are independent given beta and sigma, so each task solves its levels'
+one-dimensional modes by Newton steps and adds up their contributions;
+the driver gets sums only (one number per trial sigma, or a gradient and a
+p x p matrix), never the levels.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def level_modes(A, Sy, d):
+    """Modes of Sy u - A exp(u) - d u^2 / 2, elementwise (Newton steps of at
+    most 4, so that exp stays in range)."""
+    u = np.zeros_like(A)
+    for _ in range(300):
+        h = np.exp(u) * A
+        step = np.clip((Sy - h - d * u) / (h + d), -4.0, 4.0)
+        u = u + step
+        if len(step) == 0 or np.max(np.abs(step)) < 1e-11:
+            break
+    return u
+
+
+class LevelTable:
+    """Sums per level at one beta, cached; ``drop()`` when done."""
+
+    def __init__(self, table: DataFrame, factor: str, p: int):
+        self.table, self.factor, self.p = table.cache(), factor, p
+        r = self.table.agg(F.count("*").alias("q"), F.sum("__n").alias("n"), F.sum("__L").alias("L"), F.sum("__Sy").alias("Sy"),
+                           F.array(*[F.sum(F.col("__Yx")[j]) for j in range(p)]).alias("Yx")).first()
+        self.q, self.count, self.L, self.Yx = r["q"], int(r["n"] or 0), r["L"] or 0.0, np.array(r["Yx"], float)
+
+    def drop(self):
+        self.table.unpersist()
+
+    def _sums(self, cols: list[str], work) -> dict[int, np.ndarray]:
+        """``work(columns) -> {key: vector}`` per batch, summed over all rows."""
+        def part(batches):
+            import pandas as pd
+            acc: dict = {}
+            for pdf in batches:
+                for k, v in work({c: np.array(pdf[c].tolist(), float) for c in cols}).items():
+                    acc[k] = acc[k] + v if k in acc else v
+            if acc:
+                yield pd.DataFrame({"k": list(acc), "v": [np.atleast_1d(v).tolist() for v in acc.values()]})
+
+        rows = (self.table.select(*cols).mapInPandas(part, "k int, v array<double>")
+                .select("k", F.posexplode("v").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x")).collect())
+        out: dict[int, dict] = {}
+        for r in rows:
+            out.setdefault(r["k"], {})[r["i"]] = r["x"]
+        return {k: np.array([d[i] for i in range(len(d))]) for k, d in out.items()}
+
+    def negloglik(self, beta, thetas: list[float]) -> np.ndarray:
+        """Negative Laplace log-likelihood at each log sigma, in one pass."""
+        ds = [float(np.exp(-2.0 * t)) for t in thetas]
+
+        def work(c):
+            out = {}
+            for k, d in enumerate(ds):
+                u = level_modes(c["__A"], c["__Sy"], d)
+                h = np.exp(u) * c["__A"]
+                out[k] = float(np.sum(c["__Sy"] * u - h - 0.5 * d * u * u - 0.5 * np.log(h + d)))
+            return out
+
+        s = self._sums(["__A", "__Sy"], work)
+        fixed = float(self.Yx @ beta) - self.L
+        return np.array([-(fixed + s[k][0] - self.q * t) for k, t in enumerate(thetas)])
+
+    def profile_theta(self, beta, theta0=None):
+        """Best log sigma: a grid around the start (over the whole range
+        without one, or where the best lies at the grid's edge), then grids a
+        tenth as wide, then the vertex of a parabola."""
+        step, grid = 0.5, np.arange(-12.0, 6.25, 0.5)
+        if theta0 is not None:
+            step, grid = 0.01, float(np.asarray(theta0, float).ravel()[0]) + 0.01 * np.arange(-11, 12)
+        while True:
+            values = self.negloglik(beta, grid.tolist())
+            i = int(np.argmin(values))
+            centre = float(grid[i])
+            if step < 0.5 and i in (0, len(grid) - 1) and -12.0 < centre < 6.0:
+                step, grid = 0.5, np.arange(-12.0, 6.25, 0.5)
+                continue
+            if step < 2e-3 or centre <= -12.0:
+                break
+            step /= 10
+            grid = np.clip(centre + step * np.arange(-11, 12), -12.0, 6.0)
+        if 0 < i < len(grid) - 1:
+            a, b, c = values[i - 1:i + 2]
+            curve = a - 2 * b + c
+            if curve > 0:
+                centre += step * 0.5 * (a - c) / curve
+        return np.array([centre]), float(values[i])
+
+    def beta_step(self, beta, theta):
+        """Log-likelihood, its gradient and the information in beta."""
+        t = float(np.asarray(theta).ravel()[0])
+        d, p = float(np.exp(-2.0 * t)), self.p
+
+        def work(c):
+            u = level_modes(c["__A"], c["__Sy"], d)
+            e = np.exp(u)
+            h = e * c["__A"]
+            m = h + d
+            eb = e[:, None] * c["__B"].reshape(-1, p)
+            dh = eb - h[:, None] * eb / m[:, None]
+            ll = np.sum(c["__Sy"] * u - h - 0.5 * d * u * u - 0.5 * np.log(m))
+            grad = -eb.sum(0) - 0.5 * (dh / m[:, None]).sum(0)
+            info = (e[:, None] * c["__C"].reshape(-1, p * p)).sum(0) - ((eb / m[:, None]).T @ eb).ravel()
+            return {0: np.concatenate(([ll], grad, info))}
+
+        v = self._sums(["__A", "__Sy", "__B", "__C"], work)[0]
+        ll = float(self.Yx @ beta) - self.L + v[0] - self.q * t
+        return ll, self.Yx + v[1:1 + p], v[1 + p:].reshape(p, p), None
+
+    def modes(self, theta) -> DataFrame:
+        """(level, mode), a distributed table."""
+        d, f = float(np.exp(-2.0 * float(np.asarray(theta).ravel()[0]))), self.factor
+        kind = dict(self.table.dtypes)[f]
+
+        def part(batches):
+            for pdf in batches:
+                pdf["mode"] = level_modes(pdf["__A"].to_numpy(float), pdf["__Sy"].to_numpy(float), d)
+                yield pdf.rename(columns={f: "level"})[["level", "mode"]]
+
+        return self.table.select(f, "__A", "__Sy").mapInPandas(part, f"level {kind}, mode double")
