@@ -13,8 +13,9 @@ Hence:
 1. every rolling block-long window of every document probes the index; a probe
    is a hit if a block has its hash and the hash has two places or more;
 2. hits are extended: each ``width``-word window around a hit is identified by
-   a 128-bit hash over its words and counted over the corpus. Windows with two
-   places are repeats, and runs of them are the maximal exact repeats;
+   110 bits of hash over its words (64 and 46) and counted over the corpus.
+   Windows with two places are repeats, and runs of them are the maximal exact
+   repeats;
 3. their words are removed.
 
 A copy is never paired with its copies, so a passage in a third of all
@@ -25,7 +26,8 @@ Scale. Documents are dealt into chunks of about ``CHUNK_BYTES`` by a hash of
 distinct hash once (hot passages are combined before the shuffle), packed into
 one binary block per bucket: 6 bytes a probe (46 bits of the hash beside the
 bucket, and two flags); a chance meeting only makes a candidate that step 2
-rejects. The answer is one bit per probe. Chunks and buckets are as many as the
+rejects. The answer is one bit per probe. Windows take 14 bytes, and a chunk is
+told the first hash (8 bytes) of those of its own windows that repeat. Chunks and buckets are as many as the
 input has chunk sizes (and at least the shuffle partitions), so a task's memory
 stays bounded by the chunk or the longest document.
 
@@ -111,7 +113,7 @@ class Chunk:
         return keys, count > 1, block, where
 
     def around(self, hit: np.ndarray, where: list) -> np.ndarray:
-        """128-bit hashes (n, 2) of the windows that contain a hit."""
+        """Two hashes each (n, 2) of the windows that contain a hit."""
         out = [np.zeros((0, 2), np.uint64)]
         reach = self.width - self.block + 1
         for d, w in zip(self.long, where):
@@ -122,21 +124,14 @@ class Chunk:
         return np.concatenate(out)
 
     def removed(self, repeats: np.ndarray) -> list[np.ndarray]:
-        """Per document, flags of the words that a repeated window covers."""
+        """Per document, flags of the words that a repeated window covers.
+        ``repeats``: first hashes, in order, of this chunk's repeated windows."""
         out = []
         for d in self.docs:
             steps = np.zeros(len(d) + 1, np.int64)
             if len(d) >= self.width and len(repeats):
-                a, b = (r.windows(d, self.width) for r in self.roll)
-                i = np.searchsorted(repeats[:, 0], a)
-                found = np.zeros(len(a), bool)
-                while True:  # hashes that agree in their first half lie side by side
-                    same = (i < len(repeats)) & (repeats[np.minimum(i, len(repeats) - 1), 0] == a)
-                    found |= same & (repeats[np.minimum(i, len(repeats) - 1), 1] == b)
-                    if not (same & ~found).any():
-                        break
-                    i = i + 1
-                at = np.flatnonzero(found)
+                h = self.roll[0].windows(d, self.width)
+                at = np.flatnonzero(repeats[np.minimum(np.searchsorted(repeats, h), len(repeats) - 1)] == h)
                 np.add.at(steps, at, 1)
                 np.add.at(steps, at + self.width, -1)
             out.append(np.cumsum(steps[:-1]) > 0)
@@ -211,24 +206,27 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             i, j = np.searchsorted(bucket, [b, b + 1])
             hit[i:j] = np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i).astype(bool)
         rows, count = unique_rows(c.around(hit, where) if hit.any() else np.zeros((0, 2), np.uint64))
-        flagged = np.concatenate((rows.astype("<u8").view(np.uint8).reshape(-1, 16), (count > 1)[:, None].astype(np.uint8)), axis=1)
-        return by_bucket(bucket_of(rows[:, 0], n), flagged, key[0].as_py())
+        rows[:, 1] = (rows[:, 1] & KEY_BITS) << np.uint64(1) | (count > 1)
+        return by_bucket(bucket_of(rows[:, 0], n), rows.astype("<u8").view(np.uint8).reshape(-1, 16)[:, :14], key[0].as_py())
 
     def count_windows(table):
         import pyarrow as pa
 
         parts = table.column("packed").to_pylist()
-        size = [len(p) // 17 for p in parts]
-        rows = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 17)
-        h = np.ascontiguousarray(rows[:, :16]).view("<u8").reshape(-1, 2)
-        order = np.lexsort((h[:, 1], h[:, 0]))
-        s = h[order]
-        starts = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]).any(axis=1))))
-        count = np.diff(np.append(starts, len(s)))
-        good = (count > 1) | (np.bitwise_or.reduceat(rows[order, 16], starts) > 0)
-        hit = np.empty(len(s), bool)
+        size = [len(p) // 14 for p in parts]
+        wide = np.zeros((sum(size), 16), np.uint8)
+        wide[:, :14] = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 14)
+        h = wide.view("<u8")
+        second = h[:, 1] >> np.uint64(1)
+        order = np.lexsort((second, h[:, 0]))
+        a, b = h[order, 0], second[order]
+        starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        count = np.diff(np.append(starts, len(a)))
+        good = (count > 1) | (np.bitwise_or.reduceat(h[order, 1] & np.uint64(1), starts) > 0)
+        hit = np.empty(len(a), bool)
         hit[order] = np.repeat(good, count)
-        out = [np.ascontiguousarray(p[m]).tobytes() for p, m in zip(np.split(h, np.cumsum(size)[:-1]), np.split(hit, np.cumsum(size)[:-1]))]
+        cuts = np.cumsum(size)[:-1]
+        out = [p[m].tobytes() for p, m in zip(np.split(h[:, 0], cuts), np.split(hit, cuts))]
         some = pa.array([i for i, x in enumerate(out) if x], pa.int64())
         return pa.table({"chunk": table.column("chunk").take(some), "packed": pa.array([out[i] for i in some.to_pylist()], pa.binary())})
 
@@ -236,9 +234,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         import pyarrow as pa
 
         texts = as_bytes(docs_table.column("text"))
-        rows = np.frombuffer(b"".join(repeats.column("packed").to_pylist()), "<u8").reshape(-1, 2)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        flags = Chunk(texts, width).removed(rows)
+        flags = Chunk(texts, width).removed(np.unique(np.frombuffer(b"".join(repeats.column("packed").to_pylist()), "<u8")))
         kept, spans = [], []
         for t, f in zip(texts, flags):
             words = t.split() if t else []
