@@ -17,7 +17,7 @@ from abundance.functions.columns import taxon_label
 from abundance.operators import agg, clean, joins, rank, reshape
 from abundance.plans import pipelines as P
 from abundance.plans import views as V
-from abundance.plans.model_sql import coef_rows, poisson_ctes
+from abundance.plans.model_sql import coef_rows, glm_ctes, zip_ctes
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -782,7 +782,7 @@ MODEL_TERMS = {
     "glm3": (["1.0", "depth_m / 100000.0", "posidonia", "depth_m / 100000.0 * posidonia"],
              ["(Intercept)", "depth_m", "posidonia", "depth_m:posidonia"]),
 }
-GLM_MODELS_SQL = _with(*HABITAT_CTES, *maxn_ctes(), FRAME, *[c for m, (xs, _t) in MODEL_TERMS.items() for c in poisson_ctes(
+GLM_MODELS_SQL = _with(*HABITAT_CTES, *maxn_ctes(), FRAME, *[c for m, (xs, _t) in MODEL_TERMS.items() for c in glm_ctes(
     m, "SELECT * FROM frame", "number", xs)]) + "SELECT model, term, estimate, se, z, p, ROUND(aic, 4) AS aic, df, n AS n_used FROM (" + (
     " UNION ALL ".join(coef_rows(m, f"'{m}'", terms) for m, (_x, terms) in MODEL_TERMS.items())) + ")"
 
@@ -802,7 +802,20 @@ def glm_models(spark, d):
     return coefs.join(aics, on="model", how="left")
 
 
-@register("zip_models", None)
+def _zip_rows(name: str, model: str, xs: list[str], terms: list[str]) -> str:
+    names = [f"count_{t}" for t in terms] + [f"zero_{t}" for t in terms]
+    return " UNION ALL ".join(f"SELECT {model} AS model, '{t}' AS term, ROUND(b{i}, 4) AS estimate, ROUND(s{i}, 4) AS se, "
+                              f"-2 * ll + 2 * {len(names)} AS aic FROM {name}_fit" for i, t in enumerate(names))
+
+
+ZIP_TERMS = {"mod1": (["1.0", "depth_m / 100000.0"], ["(Intercept)", "depth_m"]),
+             "mod2": (["1.0", "depth_m / 100000.0", "sand / 100.0"], ["(Intercept)", "depth_m", "sand"]),
+             "mod3": (["1.0", "depth_m / 100000.0", "turf / 100.0"], ["(Intercept)", "depth_m", "turf"])}
+
+
+@register("zip_models", _with(*HABITAT_CTES, *maxn_ctes(), FRAME, *[c for m, (xs, _t) in ZIP_TERMS.items() for c in zip_ctes(
+    m, "SELECT * FROM frame", "number", xs)]) + "SELECT model, term, estimate, se, ROUND(aic, 2) AS aic FROM (" + " UNION ALL ".join(
+    _zip_rows(m, f"'{m}'", xs, t) for m, (xs, t) in ZIP_TERMS.items()) + ")")
 def zip_models(spark, d):
     """M2 + M5: the reference's zero-inflated models: depth; depth + sand;
     depth + turf (reef stand-in); coefficients, se and AIC each."""
@@ -817,7 +830,8 @@ def zip_models(spark, d):
     return spark.createDataFrame(rows, "model string, term string, estimate double, se double, aic double")
 
 
-@register("zip_depth", None)
+@register("zip_depth", _with(*HABITAT_CTES, *maxn_ctes(), FRAME, *zip_ctes("m", "SELECT * FROM frame", "number", ZIP_TERMS["mod2"][0]))
+          + "SELECT term, estimate, se, ROUND(aic, 4) AS aic FROM (" + _zip_rows("m", "'m'", *ZIP_TERMS["mod2"]) + ")")
 def zip_depth(spark, d):
     """M2: zero-inflated Poisson number ~ depth + sand (both parts)."""
     from abundance.models.zip import zip_model
@@ -827,7 +841,23 @@ def zip_depth(spark, d):
     return spark.createDataFrame(rows, "term string, estimate double, se double, aic double")
 
 
-@register("spline_prediction", None)
+# Natural cubic spline with three knots (smallest, middle and largest of the
+# distinct values): x and one more column.
+SPLINE = [("kn", """SELECT min(sand) AS t0, quantile_cont(sand, 0.5) AS t1, max(sand) AS t2 FROM
+    (SELECT DISTINCT sand FROM frame WHERE sand IS NOT NULL AND number IS NOT NULL)"""),
+    ("sp", "SELECT number, sand, t0, t1, t2 FROM frame, kn")]
+SPLINE_X = ("(pow(greatest(sand - t0, 0), 3) - pow(greatest(sand - t2, 0), 3)) / (t2 - t0)"
+            " - (pow(greatest(sand - t1, 0), 3) - pow(greatest(sand - t2, 0), 3)) / (t2 - t1)")
+
+
+@register("spline_prediction", _with(*HABITAT_CTES, *maxn_ctes(), FRAME, *SPLINE, *glm_ctes(
+    "m", "SELECT * FROM sp", "number", ["1.0", "sand", SPLINE_X], family="tweedie:1.5", steps=25),
+    ("gr", """SELECT DISTINCT CASE WHEN i = 19 THEN hi ELSE lo + i * ((hi - lo) / 19) END AS sand, t0, t1, t2
+     FROM (SELECT min(sand) AS lo, max(sand) AS hi FROM frame), kn, range(0, 20) r(i)"""),
+    ("gx", f"SELECT sand, {SPLINE_X} AS z FROM gr"),
+    ("pr", """SELECT sand, exp(b0 + b1 * sand + b2 * z) AS fit, exp(b0 + b1 * sand + b2 * z) * sqrt(pear / (n - 3) * (
+      v0_0 + sand * sand * v1_1 + z * z * v2_2 + 2 * sand * v0_1 + 2 * z * v0_2 + 2 * sand * z * v1_2)) AS se FROM gx, m_fit""")) + """
+SELECT ROUND(sand, 4) AS sand, ROUND(fit, 4) AS number, ROUND(fit - se, 4) AS lower, ROUND(fit + se, 4) AS upper FROM pr""")
 def spline_prediction(spark, d):
     """M6 + M8 + M9 + A21 + V6: smooth of sand (k = 3 natural spline,
     unpenalised, Tweedie family with variance power 1.5 as the reference's
@@ -874,7 +904,7 @@ def _subsets(spark, d):
     return full_subsets(fr, "number", SUBSET_PREDICTORS, response="response", max_size=3, cor_cutoff=0.28, family="tweedie:1.5")
 
 
-@register("glm_lineitem", _with(*poisson_ctes("m", "SELECT l_quantity, l_discount, l_tax FROM lineitem", "l_quantity", ["1.0", "l_discount", "l_tax"]))
+@register("glm_lineitem", _with(*glm_ctes("m", "SELECT l_quantity, l_discount, l_tax FROM lineitem", "l_quantity", ["1.0", "l_discount", "l_tax"]))
           + "SELECT term, estimate, se, ROUND(aic, 2) AS aic FROM (" + coef_rows("m", "'m'", ["(Intercept)", "l_discount", "l_tax"]) + ")")
 def glm_lineitem(spark, d):
     """M1 at row scale: Poisson GLM l_quantity ~ l_discount + l_tax over the
@@ -964,7 +994,7 @@ def hist_events(spark, d):
 @register("glm_by_response", _with(*HABITAT_CTES, *maxn_ctes(), ("ab", """
     SELECT sample, 'total_abundance' AS response, CAST(coalesce(sum(count), 0) AS DOUBLE) AS number FROM maxn GROUP BY 1
     UNION ALL SELECT sample, 'species_richness', CAST(sum(CASE WHEN count > 0 THEN 1 ELSE 0 END) AS DOUBLE) FROM maxn GROUP BY 1"""),
-    *poisson_ctes("m", "SELECT a.response, a.number, h.depth_m, h.sand FROM ab a JOIN habitat h ON a.sample = h.sample", "number",
+    *glm_ctes("m", "SELECT a.response, a.number, h.depth_m, h.sand FROM ab a JOIN habitat h ON a.sample = h.sample", "number",
                   ["1.0", "depth_m / 100000.0", "sand / 100.0"], group="response")) + "SELECT model, term, estimate, se, z, p FROM ("
           + coef_rows("m", "g", ["(Intercept)", "depth_m", "sand"]) + ")")
 def glm_by_response(spark, d):
