@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
-from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,17 +36,21 @@ def candidate_sets(predictors: Sequence[str], max_size: int, forbidden: set[froz
     return out
 
 
-class Subsets(NamedTuple):
-    models: DataFrame
-    importance: DataFrame
-    failed: DataFrame
+class Subsets(tuple):
+    """The pair (models, importance), with the failed fits beside it."""
+
+    def __new__(cls, models: DataFrame, importance: DataFrame, failed: DataFrame):
+        pair = super().__new__(cls, (models, importance))
+        pair.models, pair.importance, pair.failed = models, importance, failed
+        return pair
 
 
 def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response: str = "response",
                  max_size: int = 3, cor_cutoff: float = 0.28, max_models: int = 600, smooth: bool = True,
                  k: int = 3, family: str = "poisson", batch: int = 16,
                  checkpoint: bool = False) -> Subsets:
-    """Return (model table, variable importance, failed models), DataFrames.
+    """Return (model table, variable importance), both DataFrames; the
+    result's ``failed`` is the table of failed models.
 
     Only converged fits with a finite AICc are ranked and weighted; the
     others are listed as failed (response, modname, loglik, converged).

@@ -24,6 +24,7 @@ HEADLINE = [
     "species_true_zeros", "max_n", "abundance_richness", "benthos_composition", "relief_moments",
     "habitat_cover", "size_class_abundance", "zero_fill_grid", "mismatch_report", "describe_habitat",
     "corr_matrix", "model_report", "hist_30", "glm_site", "glm_lineitem", "zip_depth", "full_subsets",
+    "glm_models", "zip_models", "spline_prediction", "describe_events_exact", "glmm_models",
 ]
 
 
