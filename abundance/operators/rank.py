@@ -75,6 +75,22 @@ def sort_table(df: DataFrame, cols: Sequence[str], ascending: bool | Sequence[bo
 
 def category_order(df: DataFrame, category: str, value: str, out: str = "order") -> DataFrame:
     """``reorder(category, value)``: the 1-based rank of each category by its
-    value (one row per category, so the table is bounded)."""
-    w = Window.orderBy(col(value).asc_nulls_last(), col(category).asc())
-    return df.withColumn(out, F.row_number().over(w))
+    value, missing values last, ties by category."""
+    return global_row_number(df, [col(value).asc_nulls_last(), col(category).asc()], out)
+
+
+def global_row_number(df: DataFrame, order: Sequence, out: str) -> DataFrame:
+    """1-based position of every row in one order, without a single-task
+    window: rows are range-partitioned (written to the checkpoint folder, so
+    that the partitions stay), numbered inside their partition, and moved by
+    the counts of the partitions before (one number per partition)."""
+    from abundance.session import cut_lineage
+    placed = cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before, total = [], 0
+    for r in sorted(placed.groupBy("__part").count().collect()):
+        before.append((r["__part"], total))
+        total += r["count"]
+    offsets = df.sparkSession.createDataFrame(before, "__part int, __before long")            # one row per partition
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return (placed.withColumn(out, inside).join(F.broadcast(offsets), "__part")
+            .withColumn(out, (col(out) + col("__before")).cast("int")).drop("__part", "__before"))

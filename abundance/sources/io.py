@@ -78,29 +78,29 @@ def read_tsv_with_preamble(spark: SparkSession, path: str | Sequence[str], skip:
                            clean: bool = True, sep: str = "\t") -> DataFrame:
     """Tab-delimited exports with ``skip`` preamble lines, all text.
 
-    Each file is one record (``wholetext``): its lines become an array, the
-    first ``skip`` lines are dropped, blank lines skipped, the first
-    remaining line is the header and the rest are rows, all with array
-    functions on that one record (no join, no shuffle). Many files are read
-    in parallel, one task each; one export must fit in a task. CRLF and LF
-    line ends both work. Files with different headers are stacked by name.
+    Files are split and read line by line, in parallel. Within a file's first
+    block the lines are numbered as they are read, which tells where the
+    header is (the first line after the preamble that is not blank); one
+    row per file, its header and that number, reaches the driver. Blank lines
+    are skipped; CRLF and LF line ends both work. Files with different headers
+    are stacked by name.
     """
-    raw = spark.read.text(path, wholetext=True)
-    kept = raw.select(F.filter(F.slice(F.split(F.col("value"), r"\r?\n"), skip + 1, 1 << 30),
-                               lambda x: F.length(x) > 0).alias("__l"))
-    per_file = kept.where(F.size("__l") > 0).select(
-        F.element_at("__l", 1).alias("__header"),
-        F.slice("__l", 2, 1 << 30).alias("__rows"))
-    headers = sorted({r["__header"] for r in per_file.select("__header").distinct().collect()})  # one per file at most
-    if not headers:
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"),
+                                         F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__i"))
+    begin = lines.where("__at = 0").groupBy("__file").agg(F.min("__i").alias("__first"))
+    heads = (lines.where("__at = 0").join(F.broadcast(begin), "__file")                       # one row per file
+             .where((F.col("__i") - F.col("__first") >= skip) & (F.length("value") > 0))
+             .groupBy("__file").agg(F.min("__i").alias("__head"), F.min_by("value", "__i").alias("__header")).collect())
+    if not heads:
         raise ValueError(f"{path}: no header line after {skip} preamble lines")
-    body = per_file.select("__header", F.explode("__rows").alias("__line")).withColumn(
-        "__cells", F.split(F.col("__line"), sep))
+    known = spark.createDataFrame([(r["__file"], r["__head"], r["__header"]) for r in heads], "__file string, __head long, __header string")
+    body = (lines.join(F.broadcast(known), "__file")                                          # one row per file
+            .where((F.length("value") > 0) & ((F.col("__at") > 0) | (F.col("__i") > F.col("__head"))))
+            .select("__header", F.split(F.col("value"), sep).alias("__cells")))
     parts = []
-    for h in headers:
+    for h in sorted({r["__header"] for r in heads}):
         names = h.split(sep)
-        sel = body.where(F.col("__header") == h).select(
-            *[F.col("__cells").getItem(i).alias(n) for i, n in enumerate(names)])
+        sel = body.where(F.col("__header") == h).select(*[F.get(F.col("__cells"), F.lit(i)).alias(n) for i, n in enumerate(names)])
         parts.append(clean_names(sel) if clean else sel)
     out = parts[0]
     for p in parts[1:]:
