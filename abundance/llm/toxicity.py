@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from abundance.llm.common import as_bytes, map_rows
 from abundance.llm.decontaminate import normalising_table
 
-DIMS, MAX_ROWS, MIN_DOCS, PREFIXES = 1 << 18, 10_000, 3, (4, 6)
+DIMS, MAX_ROWS, MIN_DOCS, PREFIXES = 1 << 18, 8_000, 3, (4, 6)
 
 
 class Features:
@@ -75,9 +75,9 @@ class Sparse:
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
         self.n = len(rows)
-        self.cols = np.concatenate([c for c, _ in rows] or [np.zeros(0, np.int64)])
-        self.vals = np.concatenate([v for _, v in rows] or [np.zeros(0)])
-        self.rows = np.repeat(np.arange(self.n), [len(c) for c, _ in rows])
+        self.cols = np.concatenate([c for c, _ in rows] or [np.zeros(0, np.int32)]).astype(np.int32)
+        self.vals = np.concatenate([v for _, v in rows] or [np.zeros(0, np.float32)]).astype(np.float32)
+        self.rows = np.repeat(np.arange(self.n, dtype=np.int32), [len(c) for c, _ in rows])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, self.vals * w[self.cols], self.n)
@@ -168,10 +168,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     toxic = np.array([r[0] for r in sample], dtype=np.int64)
     if len(set(toxic.tolist())) < 2:
         return Model(np.zeros(dims), np.zeros(dims), np.array([40.0, 80.0]))
-    vectors = [(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64)) for _, c, v in sample]
-    seen = np.bincount(np.concatenate([c for c, _ in vectors]), minlength=dims)
+    seen = np.zeros(dims, np.int64)
+    for _, c, _ in sample:
+        seen[np.frombuffer(c, "<i4")] += 1  # a document's columns are distinct
     scales = np.where(seen >= min_docs, np.log((1 + len(sample)) / (1 + seen)), 0.0)
-    x = Sparse([(c, scaled(c, v, scales)) for c, v in vectors])
+    vectors = []
+    while sample:  # the packed rows are freed as their vectors are made
+        _, c, v = sample.pop()
+        c, v = np.frombuffer(c, "<i4"), np.frombuffer(v, "<f4")
+        use = scales[c] > 0
+        vectors.append((c[use], scaled(c[use], v[use], scales).astype(np.float32)))
+    x, toxic = Sparse(vectors), toxic[::-1]
+    del vectors
     toxic = (toxic > 0).astype(np.int64)
     weight = np.where(toxic == 1, 1 / toxic.sum(), 1 / (1 - toxic).sum())
     w, t = fit_ordinal(x, severity_grades(x, toxic, dims), dims, weight)
