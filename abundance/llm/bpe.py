@@ -10,8 +10,9 @@ linked list with the same order of merges, so one very long run of letters
 costs n log n.
 
 The tokenizer file is parsed on the driver; its merges (a vocabulary, so of
-bounded size) are broadcast. Each worker keeps the encodings of short words in
-a dict that is emptied when it reaches ``CACHE`` entries.
+bounded size) are broadcast, and each worker builds its tables from them once.
+A task keeps the encodings of short words in a dict that is emptied when it
+reaches ``CACHE`` entries, and drops it at its end, as idle workers stay alive.
 
 Defined cases: null text gives null ids and null decoded text (``encode`` with
 ``null_as_empty`` gives no ids instead); empty text gives no ids. Texts are
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, types as T
 from abundance.llm.common import map_rows, worker_store
 
 SHORT = 256
-CACHE = 250_000
+CACHE = 150_000
 # Pattern of the byte-level pre-tokenizer (a fixed value of this tokenizer
 # family); \p{White_Space} is the white space its regex engine means by \s.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -92,6 +93,11 @@ class Codec:
 
         self.cache = Cache()
 
+    def fresh(self) -> Codec:
+        """This codec with an empty cache."""
+        self.cache.clear()
+        return self
+
     def merge(self, word: bytes) -> list[int]:
         ids = [self.byte_id[b] for b in word]
         if len(ids) >= SHORT:
@@ -156,35 +162,50 @@ def worker_codec(spec: bytes, digest: str) -> Codec:
     store = worker_store()
     if ("bpe", digest) not in store:
         store["bpe", digest] = Codec(spec)
-    return store["bpe", digest]
+    return store["bpe", digest].fresh()
 
 
-def encode(df: DataFrame, tokenizer_path: str, text: str = "text", out: str = "ids", null_as_empty: bool = False) -> DataFrame:
-    """Add ``out`` (binary): the text's token ids, little-endian uint32 each."""
+def with_codec(df: DataFrame, tokenizer_path: str, column: str, fields: list[T.StructField], convert) -> DataFrame:
+    """Add ``fields`` by ``convert(codec, values) -> lists``, one per field."""
     spec = load_spec(tokenizer_path)
     digest, shared = hashlib.sha256(spec).hexdigest(), df.sparkSession.sparkContext.broadcast(spec)
 
     def make():
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        codec, kinds = worker_codec(shared.value, digest), [to_arrow_type(f.dataType) for f in fields]
+
+        def run(a):
+            return [pa.array(v, k) for v, k in zip(convert(codec, a.to_pylist()), kinds)]
+
+        run.done = codec.cache.clear
+        return run
+
+    return map_rows(df, column, fields, make)
 
-        codec = worker_codec(shared.value, digest)
-        null = b"" if null_as_empty else None
-        return lambda a: [pa.array([null if t is None else codec.encode(t) for t in a.to_pylist()], pa.binary())]
 
-    return map_rows(df, text, [T.StructField(out, T.BinaryType())], make)
+def encode(df: DataFrame, tokenizer_path: str, text: str = "text", out: str = "ids", null_as_empty: bool = False) -> DataFrame:
+    """Add ``out`` (binary): the text's token ids, little-endian uint32 each."""
+    null = b"" if null_as_empty else None
+    return with_codec(df, tokenizer_path, text, [T.StructField(out, T.BinaryType())],
+                      lambda codec, texts: [[null if t is None else codec.encode(t) for t in texts]])
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out`` (string): the text of packed ids, special tokens included.
     Ids outside the vocabulary give nothing; bytes that are not UTF-8 give
     U+FFFD."""
-    spec = load_spec(tokenizer_path)
-    digest, shared = hashlib.sha256(spec).hexdigest(), df.sparkSession.sparkContext.broadcast(spec)
+    return with_codec(df, tokenizer_path, ids, [T.StructField(out, T.StringType())],
+                      lambda codec, packed: [[None if x is None else codec.decode(x) for x in packed]])
 
-    def make():
-        import pyarrow as pa
 
-        codec = worker_codec(shared.value, digest)
-        return lambda a: [pa.array([None if x is None else codec.decode(x) for x in a.to_pylist()], pa.string())]
+def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", out: str = "decoded", null_as_empty: bool = False) -> DataFrame:
+    """``encode`` and then ``decode`` of the ids, in one pass of one worker."""
+    null = b"" if null_as_empty else None
+
+    def both(codec, texts):
+        packed = [null if t is None else codec.encode(t) for t in texts]
+        return [packed, [None if x is None else codec.decode(x) for x in packed]]
 
-    return map_rows(df, ids, [T.StructField(out, T.StringType())], make)
+    return with_codec(df, tokenizer_path, text, [T.StructField(ids, T.BinaryType()), T.StructField(out, T.StringType())], both)

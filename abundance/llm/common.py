@@ -35,7 +35,7 @@ def map_rows(df: DataFrame, column: str, fields: list[T.StructField], make) -> D
     """Add ``fields`` computed from one column by a function on Arrow arrays.
 
     ``make()`` runs once per task and returns ``f(array) -> list of arrays``
-    (one per field). All other columns pass through; input columns that have
+    (one per field); an attribute ``f.done`` is called when the task ends. All other columns pass through; input columns that have
     the name of a new field are replaced. No shuffle.
     """
     names = {f.name.lower() for f in fields}
@@ -55,6 +55,7 @@ def map_rows(df: DataFrame, column: str, fields: list[T.StructField], make) -> D
                 out = f(b.column(b.schema.names.index(inner)))
                 old = [(n, b.column(i)) for i, n in enumerate(b.schema.names) if n != "__in"]
                 yield pa.RecordBatch.from_arrays([c for _, c in old] + list(out), names=[n for n, _ in old] + new)
+        getattr(f, "done", bool)()
 
     return source.mapInArrow(run, schema)
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from abundance.llm import bpe, decontaminate, licenses, pii, quality, quotes, simhash, substring, toxicity, warc
 from abundance.llm.common import read_table
+from abundance.llm.oracles import ORACLES  # noqa: F401  (read by the entry point)
 from abundance.session import checkpoint_dir
 
 TOKENIZERS = os.environ.get("ABUNDANCE_TOKENIZERS", "/opt/tokenizers")
@@ -68,7 +69,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, tokenizer, null_as_empty=True).select("doc_id", "ids"), tokenizer)
+    coded = bpe.round_trip(docs, tokenizer, null_as_empty=True)
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -101,4 +102,3 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES: dict[str, str] = {}

@@ -35,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from abundance.llm.common import as_bytes, run_starts, shuffle_partitions
+from abundance.llm.common import SLICE, as_bytes, run_starts, shuffle_partitions
 from abundance.llm.components import connected_components
 from abundance.session import cut_lineage
 
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
         import pyarrow as pa
 
         for b in batches:
-            fps = [fingerprint(t, shingle) for t in as_bytes(b.column(1))]
+            fps = [fingerprint(t, shingle) for k in range(0, b.num_rows, SLICE) for t in as_bytes(b.column(1).slice(k, SLICE))]
             signed = np.array(fps, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed, pa.int64())], names=["doc_id", "fp"])
 

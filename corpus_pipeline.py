@@ -41,7 +41,7 @@ def pii_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed uint32), and the digests of ids and decoded text."""
-    coded = bpe.decode(bpe.encode(docs, BYTE_BPE, out="token_ids", null_as_empty=True).drop("text"), BYTE_BPE, ids="token_ids")
+    coded = bpe.round_trip(docs, BYTE_BPE, ids="token_ids", null_as_empty=True)
     return coded.select("doc_id", "lang", "source", (F.length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids",
                         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -51,7 +51,9 @@ def test_bpe_equals_tokenizers(spark):
     texts += ["".join(chr(c) for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) for a in range(0, 0x3000, 64)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     path = public_tokenizers.path("byte_bpe_50k.json")
+    once = {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe.round_trip(df, path).collect()}
     for r in bpe.decode(bpe.encode(df, path), path).collect():
+        assert once[r["doc_id"]] == (r["ids"], r["decoded"])
         want = tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert np.frombuffer(r["ids"], "<u4").tolist() == want, repr(texts[r["doc_id"]][:80])
         assert r["decoded"] == tok.decode(want, skip_special_tokens=False)
