@@ -82,14 +82,18 @@ def replies(links: DataFrame) -> DataFrame:
 
 
 def threads(reply: DataFrame) -> DataFrame:
-    """(conv_id, turn, root, depth) of every message that answers another."""
-    now = cut_lineage(reply.select("conv_id", "turn", F.col("reply_to").alias("root"), F.lit(1).cast("long").alias("depth")))
+    """(conv_id, turn, root, depth) of every message that answers another.
+    Only messages whose root still answers something take part in a round."""
+    cols = ["conv_id", "turn", "root", "depth"]
+    active = cut_lineage(reply.select("conv_id", "turn", F.col("reply_to").alias("root"), F.lit(1).cast("long").alias("depth")))
+    settled = active.limit(0)
     while True:
-        above = now.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"))
-        joined = cut_lineage(now.join(above, ["conv_id", "root"], "left"))
-        if joined.where("up is not null").isEmpty():
-            return now
-        now = joined.select("conv_id", "turn", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        above = active.union(settled).select("conv_id", F.col("turn").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"))
+        joined = cut_lineage(active.join(above, ["conv_id", "root"], "left"))
+        settled = settled.union(joined.where("up is null").select(*cols))
+        active = joined.where("up is not null").select("conv_id", "turn", F.col("up").alias("root"), (F.col("depth") + F.col("more")).alias("depth"))
+        if active.isEmpty():
+            return settled
 
 
 def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", min_chars: int = 2) -> DataFrame:
