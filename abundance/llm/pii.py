@@ -6,22 +6,32 @@ non-overlapping per kind; matches that fail their check (address parts, digits,
 Luhn) are dropped and not retried.
 
 Method (after Sanchez and Batet, "C-sanitized", 2016): every base value is a
-protected entity. A term t on the lines that hold an entity e discloses it if
-the pointwise mutual information reaches 1/alpha of the entity's information,
+protected entity, however rare, and so is the pool it belongs to (mail domain,
+/24 network, first six digits of a card, first five of a phone). A term t on
+the lines that hold an entity or pool e discloses it if the pointwise mutual
+information reaches 1/alpha of the entity's information,
 
-    log2(N n_te / (n_t n_e)) >= -log2(n_e / N) / alpha,
+    pmi = log2(N n_te / (n_t n_e)) >= -log2(n_e / N) / alpha,
 
 where N, n_t, n_e and n_te are the documents of the whole corpus, those with
 the term, those with the entity, and those with the term on a line of the
 entity. With alpha near 1 this asks that the term (almost) determines the
-entity. A pair also needs ``support`` different lines, so that copies of one
-line, however many, are not taken for evidence. Wherever a disclosing term
-occurs, it gets a span of kind ``term``; ``sanitise`` replaces spans by their
-class ([EMAIL], ..., and a term by [WORD] or [NUMBER]).
-
-Scale. Patterns run where the text is. Pairs are made only on lines that hold
-an entity with enough lines of its own, term counts are combined before their
-shuffle, and entity counts likewise. The disclosing terms are broadcast only
+entity. As small counts reach this by chance, the pair's evidence also has to
+outweigh the number of pairs judged,
+
+    k pmi >= log2(pairs) + support   (bits),
+
+where k is the smaller of the different lines and the different documents of
+the pair, so that copies of a line or a text count once. No count is asked
+for: a pair seen on two lines discloses if it is surprising enough, and one
+seen on a single line if the corpus is large next to its pairs. Wherever a
+disclosing term occurs, it gets a span of kind ``term``; ``sanitise`` replaces
+spans by their class ([EMAIL], ..., and a term by [WORD] or [NUMBER]).
+
+Scale. Patterns run where the text is. Pairs are made on the lines that hold an
+entity; term counts are combined before their shuffle, and entity counts
+likewise. Words are counted over the corpus for those pairs only whose evidence
+could suffice if their term occurred nowhere else. The disclosing terms are broadcast only
 if there are at most ``BROADCAST_TERMS`` of them (they are counted first);
 otherwise documents' terms meet them in a shuffled join. Texts are shuffled
 only if some term discloses.
@@ -37,6 +47,8 @@ repetition in time linear in the text, however long a run of letters or digits.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from abundance.session import cut_lineage
@@ -109,6 +121,18 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*parts))
 
 
+def entities(spans: Column) -> Column:
+    """Hashes of the spans' values and of the pools that the values belong to."""
+    def keys(s):
+        v, d = F.lower(s["value"]), digits(s["value"])
+        value = F.when(s["kind"] < 2, v).otherwise(d)
+        pool = F.when(s["kind"] == 0, F.substring_index(v, "@", -1)).when(s["kind"] == 1, F.substring_index(v, ".", 3)).when(
+            s["kind"] == 2, F.substring(d, 1, 6)).otherwise(F.substring(d, 1, 5))
+        return F.array(F.xxhash64(s["kind"], F.lit("value"), value), F.xxhash64(s["kind"], F.lit("pool"), pool))
+
+    return F.array_distinct(F.flatten(F.transform(spans, keys)))
+
+
 def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(term): the terms that disclose some entity of the corpus; docs has
     ``text``."""
@@ -119,28 +143,29 @@ def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPO
     bare = F.col("line")
     for p in PATTERNS.values():
         bare = F.regexp_replace(bare, p, " ")
-    entity = F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.when(s["kind"] == 0, F.lower(s["value"])).when(
-        s["kind"] == 1, s["value"]).otherwise(digits(s["value"]))))
-    held = cut_lineage(held.select("doc", F.xxhash64("line").alias("line"), F.array_distinct(entity).alias("entities"),
+    held = cut_lineage(held.select("doc", F.xxhash64("line").alias("line"), entities(F.col("spans")).alias("entities"),
                                    F.array_distinct(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0))).alias("terms")))
-    on_line = held.select("doc", "line", "terms", F.explode("entities").alias("e"))
     # Documents of an entity: rows, not different texts, so that n_e, n_te and n_t count alike.
     copies = docs.groupBy(F.xxhash64("text").alias("doc")).agg(F.count("*").alias("copies"))
-    lines_of = on_line.select("e", "line").distinct().groupBy("e").count().where(F.col("count") >= support).select("e")
-    near = on_line.join(lines_of, "e", "left_semi").join(copies, "doc")
+    near = held.select("doc", "line", "terms", F.explode("entities").alias("e")).join(copies, "doc")
     n_e = near.select("e", "doc", "copies").distinct().groupBy("e").agg(F.sum("copies").alias("n_e"))
     pairs = near.select("e", "doc", "line", "copies", F.explode("terms").alias("term"))
     per_doc = pairs.groupBy("e", "term", "doc").agg(F.first("copies").alias("copies"))
-    n_te = per_doc.groupBy("e", "term").agg(F.sum("copies").alias("n_te"))
-    lines = pairs.select("e", "term", "line").distinct().groupBy("e", "term").agg(F.count("*").alias("lines")).where(F.col("lines") >= support)
-    candidates = cut_lineage(lines.join(n_te, ["e", "term"]).join(n_e, "e"))
+    n_te = per_doc.groupBy("e", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts"))
+    lines = pairs.select("e", "term", "line").distinct().groupBy("e", "term").agg(F.count("*").alias("lines"))
+    judged = cut_lineage(lines.join(n_te, ["e", "term"]).select("e", "term", "n_te", F.least("lines", "texts").alias("k")))
+    n_pairs = judged.count()
+    if not n_pairs:
+        return judged.select("term")
+    n, bits = F.lit(float(n_docs)), F.lit(math.log2(n_pairs) + support - 1e-9)
+    # A term occurs in n_te documents at least, so its pmi is at most log2(n / n_e).
+    candidates = cut_lineage(judged.join(n_e, "e").where((F.col("n_e") < n) & (F.col("k") * F.log2(n / F.col("n_e")) >= bits)))
     if candidates.isEmpty():
         return candidates.select("term")
     n_t = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(
         F.count("*").alias("n_t"))
-    n = F.lit(float(n_docs))
     pmi = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    return candidates.join(n_t, "term").where(pmi >= -F.log2(F.col("n_e") / n) / F.lit(alpha) - 1e-9).where(F.col("n_e") < n).select("term").distinct()
+    return candidates.join(n_t, "term").where((pmi >= -F.log2(F.col("n_e") / n) / F.lit(alpha) - 1e-9) & (F.col("k") * pmi >= bits)).select("term").distinct()
 
 
 def term_pattern(terms: Column) -> Column:
