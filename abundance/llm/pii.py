@@ -202,14 +202,16 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: flo
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its class; of spans that overlap,
-    the one that starts first (then the first kind) counts."""
+    """The text with each span replaced by its class; spans that overlap are
+    replaced as one, by the class of the one that starts first (then the first
+    kind)."""
     label = lambda s: F.element_at(F.array(*[F.lit(x) for x in LABELS.values()], F.when(s["value"].rlike(r"^\p{N}+$"), "[NUMBER]").otherwise("[WORD]")), s["kind"] + 1)
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(a, s):
         gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        return F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["parts"], F.array(gap, label(s))).alias("parts")))
+        wider = F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["parts"].alias("parts"))
+        return F.when(s["start"] < a["at"], wider).otherwise(F.struct(s["end"].alias("at"), F.concat(a["parts"], F.array(gap, label(s))).alias("parts")))
 
     done = F.aggregate(spans, state, step)
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text))))

@@ -30,3 +30,11 @@ def test_rare_entities_are_judged(spark):
     assert terms_of(spark, base + more + [(1, "Quirk boat k.v@third.example\nQuirk reef k.v@third.example")]) == set()
     # A single line suffices where the corpus is large next to its pairs.
     assert terms_of(spark, base + [(1, "Sibyl boat s@fourth.example")]) == {"Sibyl"}
+
+
+def test_overlapping_spans_leave_no_tail(make_docs):
+    docs = [("Tel +49 30 1234567info@firma-mail.de", "Tel [PHONE]"), ("a@b.4111 1111 1111 1111", "[EMAIL]"),
+            ("4111 1111 1111 1111@x.com", "[CARD]"), ("x +49 30 1234567info@firma-mail.de, a@b.cd y", "x [PHONE], [EMAIL] y"),
+            ("é a@b.4111 1111 1111 1111@x.com z", "é [EMAIL] z"), ("+49 30 1234567", "[PHONE]")]
+    got = pii.sanitise(make_docs([(i, t) for i, (t, _) in enumerate(docs)])).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {i: want for i, (_, want) in enumerate(docs)}
