@@ -2,7 +2,7 @@
 
 import random
 
-from abundance.llm import pii
+from abundance.llm import licenses, pii
 
 
 def filler(n, seed):
@@ -38,3 +38,24 @@ def test_overlapping_spans_leave_no_tail(make_docs):
             ("é a@b.4111 1111 1111 1111@x.com z", "é [EMAIL] z"), ("+49 30 1234567", "[PHONE]")]
     got = pii.sanitise(make_docs([(i, t) for i, (t, _) in enumerate(docs)])).collect()
     assert {r["doc_id"]: r["text"] for r in got} == {i: want for i, (_, want) in enumerate(docs)}
+
+
+def test_licence_passages(make_docs):
+    t = licenses.TEMPLATES
+    gpl = t["GPL-3.0-header"]
+    cut, cut2 = gpl.index("This program is distributed"), gpl.index("See the GNU")
+    split = f"{gpl[:cut]}\n\n{gpl[cut:cut2]}\n\n{gpl[cut2:]}"
+    disclaimer = (
+        " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+        "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED")
+    wrapped = t["ISC"].replace(" is hereby", "\nis hereby")
+    docs = [(split + "\n\n" + " ".join(f"w{i}" for i in range(90)), [("GPL-3.0-header", "passage", 0)]),
+            (t["BSD-2-Clause"] + disclaimer, [("BSD-2-Clause", "passage", 0)]),
+            ("Some words about it. Released under the MIT License. More words follow here", [("MIT", "passage", 0)]),
+            ("a b c " + wrapped + " d e f g\nh i j. Some text, released under the MIT License, and so on and on.\nLicensed under CC BY-NC 4.0.",
+             [("CC-BY-NC-4.0", "line", 3), ("ISC", "passage", 0), ("MIT", "passage", 1)]),
+            ("x released under\nan MIT licence", []), ("released under the\nLicensed under CC BY-NC 4.0.\nMIT License", [("CC-BY-NC-4.0", "line", 1)]),
+            ("plain words " * 400, [])]
+    got = licenses.scan(make_docs([(i, x) for i, (x, _) in enumerate(docs)])).collect()
+    assert {r["doc_id"]: [(h["license"], h["unit"], h["piece"]) for h in r["licenses"]] for r in got} == {i: w for i, (_, w) in enumerate(docs)}
