@@ -125,6 +125,33 @@ def semi_join(left: DataFrame, right: DataFrame, on=None, null_safe: bool = True
     return left.alias(_L).join(right.alias(_R), _condition(keys, ns), "left_semi")
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on, how: str = "left", counts: DataFrame | None = None,
+                share: int = 10_000, salts: int | None = None) -> DataFrame:
+    """Join ``rows`` to a table with one row per key where a few keys may hold
+    most of the rows (left, inner, left_semi or left_anti; missing keys match
+    nothing).
+
+    A key with more than 1 / ``share`` of all rows is hot, so at most ``share``
+    keys are, whatever the size: these are broadcast to both sides, their rows
+    get one of ``salts`` numbers in turn and their table row is repeated once a
+    number. Rows with a missing key are dealt out likewise. All other keys join
+    as usual, so no task gets a hot key whole, with or without adaptive
+    execution. ``counts`` (keys and ``__n``) saves counting the rows.
+    """
+    keys = as_list(on)
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    hot = counts.where(F.col("__n") * share > total).dropna(subset=keys).select(*keys, F.lit(True).alias("__hot"))   # < share rows
+    salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    missing = reduce(lambda a, b: a | b, [F.col(_q(k)).isNull() for k in keys])
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "__salt", F.when(F.col("__hot") | missing, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0))
+    repeated = table.join(F.broadcast(hot), keys, "left").withColumn(
+        "__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.drop("__hot").join(repeated.drop("__hot"), [*keys, "__salt"], how).drop("__salt")
+
+
 def mismatch_report(a: DataFrame, b: DataFrame, on=None, names: tuple[str, str] = ("left", "right"),
                     side_col: str = "side") -> DataFrame:
     """Two-way anti join as one table: keys of rows found on one side only.

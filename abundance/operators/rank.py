@@ -48,8 +48,12 @@ def first_by_min(df: DataFrame, keys: Sequence[str], order_col: str,
 
 
 def running_total(df: DataFrame, partition: Sequence[str], order: Sequence[str], value: str,
-                  out: str = "cumsum") -> DataFrame:
-    """``cumsum(x)`` after ``order()`` within each partition (bounded groups)."""
+                  out: str = "cumsum", bounded: bool = True) -> DataFrame:
+    """``cumsum(x)`` after ``order()`` within each partition. ``bounded=True``:
+    a window, for groups of few rows; ``bounded=False``: ``running_sums``, so
+    one group may hold all rows."""
+    if not bounded:
+        return running_sums(df, partition, sorted_cols(order), {out: value})
     w = (Window.partitionBy(*as_list(partition)).orderBy(*sorted_cols(order))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumn(out, F.sum(col(value)).over(w))
@@ -94,3 +98,36 @@ def global_row_number(df: DataFrame, order: Sequence, out: str) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return (placed.withColumn(out, inside).join(F.broadcast(offsets), "__part")
             .withColumn(out, (col(out) + col("__before")).cast("int")).drop("__part", "__before"))
+
+
+def running_sums(df: DataFrame, partition: Sequence[str], order: Sequence, sums: dict, parts: int | None = None) -> DataFrame:
+    """Add inclusive running sums (``{out: value}``, missing values skipped)
+    within each group of ``partition``, in the given order.
+
+    A two-level prefix sum: rows are range-partitioned by (group, order) and
+    written to the checkpoint folder, summed inside their range, and moved by
+    the group's totals in the ranges before. Only a group that continues from
+    the range before has such totals, at most one per range, so the table that
+    is broadcast has fewer rows than there are ranges. A group of any size is
+    spread over as many ranges as it fills. Rows that tie in ``order`` share a
+    range; give a last column that tells them apart if many do.
+    """
+    from abundance.session import cut_lineage
+    keys = as_list(partition)
+    ranges = [*map(col, keys), *order]
+    placed = df.repartitionByRange(parts, *ranges) if parts else df.repartitionByRange(*ranges)
+    placed = cut_lineage(placed.withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names = {out: f"__before{i}" for i, out in enumerate(sums)}
+    pieces = placed.groupBy("__part", *keys).agg(*[F.sum(col(v)).alias(names[out]) for out, v in sums.items()])
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (pieces.select(F.col("__part").alias("__at"), *[col(k).alias(f"__key{i}") for i, k in enumerate(keys)],
+                           F.count("*").over(earlier).alias("__n"), *[F.sum(b).over(earlier).alias(b) for b in names.values()])
+             .where("__n > 0").drop("__n"))                                                  # fewer rows than ranges
+    same = F.col("__part") == F.col("__at")
+    for i, k in enumerate(keys):
+        same &= col(k).eqNullSafe(F.col(f"__key{i}"))
+    summed = placed.withColumns({out: F.sum(col(v)).over(inside) for out, v in sums.items()})
+    both = summed.join(F.broadcast(carry), same, "left")
+    total = {out: F.when(F.col(b).isNull(), col(out)).otherwise(F.col(b) + F.coalesce(col(out), F.lit(0))) for out, b in names.items()}
+    return both.select(*[col(c) for c in df.columns if c not in sums], *[x.alias(out) for out, x in total.items()])

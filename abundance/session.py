@@ -61,8 +61,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        d = tempfile.mkdtemp(prefix="abundance-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = tempfile.mkdtemp(prefix="abundance-ckpt-")      # the setting itself cannot change in a running session
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d

@@ -3,6 +3,7 @@ hot key is handled by partial aggregation / AQE's skew-join split."""
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from abundance.operators import agg, joins, rank
 
@@ -51,3 +52,40 @@ def test_skewed_sort_merge_join_exact(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_spread_join_deals_out_hot_and_missing_keys(spark):
+    rows = spark.range(20000).selectExpr("case when id % 3 = 0 then 7 when id % 3 = 1 then null else id end k", "id")
+    table = spark.sql("select 7 k, 'seven' name union all select 11, 'eleven' union all select 8, 'eight' union all select null, 'none'")
+    for how, n in (("left", 20000), ("inner", 6669), ("left_semi", 6669), ("left_anti", 13331)):
+        out = joins.spread_join(rows, table, "k", how, share=100, salts=16)
+        assert out.count() == n
+    named = {(r.k, r.name): r.n for r in joins.spread_join(rows, table, "k", "left", share=100, salts=16).where("k in (7, 8, 11) or k is null")
+             .groupBy("k", "name").agg(F.count("*").alias("n")).collect()}
+    assert named == {(7, "seven"): 6667, (8, "eight"): 1, (11, "eleven"): 1, (None, None): 6667}
+    assert joins.spread_join(rows.limit(0), table, "k").count() == 0
+    # without adaptive execution and broadcast of the sides the hot key reaches several tasks
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        sizes = joins.spread_join(rows, table, "k", "inner", share=100, salts=16).where("k = 7").groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) > 2 and max(r["count"] for r in sizes) < 4000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_running_sums_over_a_group_that_fills_many_ranges(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": rng.choice(["hot", "hot", "hot", "a", "b", None], 3000), "t": rng.permutation(3000),
+                        "x": rng.integers(0, 9, 3000), "y": rng.random(3000)})
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(F.col("t") % 10 != 0, F.col("x")))
+    got = rank.running_sums(df, ["g"], [F.col("t")], {"sx": "x", "n": F.lit(1)}, parts=7)
+    plain = rank.running_total(df, ["g"], ["t"], "x", "sx")
+    assert sorted((str(r.g), r.t, r.sx) for r in got.collect()) == sorted((str(r.g), r.t, r.sx) for r in plain.collect())
+    last = {str(r.g): r.n for r in got.groupBy("g").agg(F.max("n").alias("n")).collect()}
+    assert last == {str(k): v for k, v in pdf.g.fillna("None").value_counts().items()}
+    assert rank.running_sums(df.limit(0), ["g"], [F.col("t")], {"n": F.lit(1)}).count() == 0
+    all_one = rank.running_sums(df, [], [F.col("t").desc()], {"n": F.lit(1)}, parts=5)
+    assert [r.n for r in all_one.orderBy(F.col("t").desc()).collect()] == list(range(1, 3001))
