@@ -9,10 +9,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from abundance.llm import bpe, decontaminate, licenses, pii, quality, quotes, simhash, substring, toxicity, warc
+from abundance.llm import bpe, decontaminate, licenses, pii, prefix_trie, quality, quotes, simhash, substring, toxicity, warc
 from abundance.llm.common import read_table
 from abundance.llm.oracles import ORACLES  # noqa: F401  (read by the entry point)
-from abundance.session import checkpoint_dir
+from abundance.session import checkpoint_dir, cut_lineage
 
 TOKENIZERS = os.environ.get("ABUNDANCE_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
@@ -90,6 +90,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are rebuilt (``share_openings``) before the trie is built."""
+    said = read_table(spark, sf_dir, "conversations")
+    turns = cut_lineage(prefix_trie.ordered_turns(said))
+    nodes = prefix_trie.prefix_trie(cut_lineage(prefix_trie.share_openings(turns)), said.select(F.col("conv_id").cast("long")))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
@@ -101,4 +109,5 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
+    "op11_prefix_trie": op11_prefix_trie,
 }

@@ -1,7 +1,9 @@
 """Plain versions of the operators, for tests on small tables."""
 
 import hashlib
+import math
 import re
+import zlib
 
 import xxhash
 
@@ -218,3 +220,30 @@ def licence_hits(text, templates, threshold):
         if best[0] >= threshold - 1e-12:
             out.append((round(best[0], 9), best[2], u, i))
     return out
+
+
+def prefix_nodes(rows):
+    """Operator 11's query on (conv_id, turn, role, text) rows: rebuilt
+    conversations and the trie of their prefixes, node by node."""
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", hashlib.md5((text or "").encode()).hexdigest(), text or ""))
+    own = {c: [(r[2], r[4]) for r in sorted(x)] for c, x in own.items()}
+    built = {}
+    for c, said in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        built[c] = tuple(own.get(c - int(math.fmod(c, 5)), [])[:h] + said[h:])
+    nodes = {}
+    for c, seq in built.items():
+        for d in range(len(seq) + 1):
+            nodes.setdefault(seq[:d], []).append(c)
+    out = []
+    for node, members in nodes.items():
+        below = [x for x in nodes if x[:len(node)] == node]
+        childless = [x for x in below if not any(y[:-1] == x for y in nodes if y)]
+        saved = sum((len(nodes[x]) - 1) * len(x[-1][1].encode()) for x in below if x)
+        ends = ",".join(str(c) for c in sorted(c for c in members if built[c] == node))
+        out.append((min(members), len(node), min(nodes[node[:-1]]) if node else None, len(members),
+                    sum(bool(x) and x[:-1] == node for x in nodes), len(childless), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
