@@ -4,18 +4,21 @@ columns from the operator's results."""
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from abundance.llm import bpe, decontaminate, licenses, pii, prefix_trie, quality, quotes, simhash, substring, toxicity, warc
+from abundance.llm import bpe, decontaminate, licenses, pii, piece_bpe, prefix_trie, quality, quotes, simhash, structure_repair, substring, toxicity, warc
 from abundance.llm.common import read_table
 from abundance.llm.oracles import ORACLES  # noqa: F401  (read by the entry point)
 from abundance.session import checkpoint_dir, cut_lineage
 
-TOKENIZERS = os.environ.get("ABUNDANCE_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +70,9 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "license", F.round("license_score", 6).alias("license_score"), F.size("licenses").cast("long").alias("n_licenses"))
 
 
-def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE) -> DataFrame:
+def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.round_trip(docs, tokenizer, null_as_empty=True)
+    coded = bpe.round_trip(docs, tokenizer or tokenizer_file("byte_bpe_50k.json"), null_as_empty=True)
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -98,6 +101,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece_bpe.round_trip(docs, model or tokenizer_file("piece_bpe_32k.model"), digest="ids_sha256", null_as_empty=True)
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows are damaged first (``structure_repair.damage``)."""
+    said = read_table(spark, sf_dir, "conversations")
+    return structure_repair.repair_report(structure_repair.damage(said), said.select(F.col("conv_id").cast("long")))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
@@ -110,4 +125,6 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_pieces": op12_pieces,
+    "op13_repair": op13_repair,
 }

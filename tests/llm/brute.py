@@ -247,3 +247,70 @@ def prefix_nodes(rows):
         out.append((min(members), len(node), min(nodes[node[:-1]]) if node else None, len(members),
                     sum(bool(x) and x[:-1] == node for x in nodes), len(childless), saved, hashlib.sha256(ends.encode()).hexdigest()))
     return sorted(out, key=str)
+
+
+def cheapest_edits(turns):
+    """(cost, audit, repaired turns) of (role, text, fault) turns, by a table
+    of the best (cost, letters) per state and turn."""
+    def relax(best):
+        for _ in range(3):
+            for q, (c, a) in list(best.items()):
+                to = {"": "u", "s": "u", "u": "a", "a": "u"}[q]
+                best[to] = min(best.get(to, (c + 3, a + "I")), (c + 3, a + "I"))
+        return best
+
+    best = {"": (0, "")}
+    for role, _, fault in turns:
+        nxt, i = {}, role[:1]
+
+        def offer(q, c, a):
+            nxt[q] = min(nxt.get(q, (c, a)), (c, a))
+
+        for q, (c, a) in relax(best).items():
+            offer(q, c + 4, a + "D")
+            if fault not in ("blank", "duplicate"):
+                more = 3 if fault == "truncated" else 0
+                if (i == "s" and q == "") or (i == "u" and q in ("", "s", "a")) or (i == "a" and q == "u"):
+                    offer(i, c + more, a + "K")
+                offer("a" if q == "u" else "u", c + more + 3, a + "R")
+        best = nxt
+    best = relax(best)
+    cost, audit = min(best[q] for q in ("", "a") if q in best)
+    out, rows, state = [], iter(turns), ""
+    for letter in audit:
+        role, text, _ = ("", "", None) if letter == "I" else next(rows)
+        if letter != "D":
+            state = role[:1] if letter == "K" else "a" if state == "u" else "u"
+            out.append((role if letter == "K" else {"u": "user", "a": "assistant"}[state], text))
+    return cost, audit, out
+
+
+def repairs(rows):
+    """Operator 13's query on (conv_id, turn, role, text) rows."""
+    kept, convs = {}, set()
+    for conv, turn, role, text in rows:
+        if conv is None:
+            continue
+        convs.add(conv)
+        role, text = (" " if x is None else x for x in (role, text))
+        kind = zlib.crc32(f"{conv}:{' ' if turn is None else turn}".encode()) % 20
+        if kind:
+            text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+            row = (turn is not None, turn or 0, "user" if kind == 4 else role), hashlib.md5(text.encode()).hexdigest(), text
+            kept.setdefault(conv, []).extend([(*row[0], *row[1:])] * (2 if kind == 3 else 1))
+    out = []
+    for conv in convs:
+        mine, seen, turns, n = sorted(kept.get(conv, [])), set(), [], {"blank": 0, "duplicate": 0, "truncated": 0}
+        for _, _, role, _, text in mine:
+            said = re.findall(r"[^\x20\x09-\x0D]", text)
+            fault = "blank" if not said else "duplicate" if (role, text) in seen else "truncated" if said[-1] not in ".!?" else None
+            seen.add((role, text))
+            if fault:
+                n[fault] += 1
+            turns.append((role, text, fault))
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+        numbers = {t for there, t, *_ in mine if there}
+        gaps = max(numbers) - min(numbers) + 1 - len(numbers) if numbers else 0
+        cost, audit, fixed = cheapest_edits(turns)
+        out.append((conv, gaps, n["blank"], n["duplicate"], n["truncated"], illegal, cost, audit, sha("\n".join(f"{r}:{t}" for r, t in fixed))))
+    return sorted(out)

@@ -113,7 +113,7 @@ def test_pii_table(spark):
 def test_pipeline_equals_brute(spark):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(Q.BYTE_BPE)
+    tok = Tokenizer.from_file(Q.tokenizer_file("byte_bpe_50k.json"))
     docs = table(spark, "documents", "doc_id", "text")
     verdict = plain_verdict(docs)
     docs = [d for d in docs if verdict[d[0]][1]]
