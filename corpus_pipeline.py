@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from abundance.llm import bpe, decontaminate, pii, quality, simhash
 from abundance.llm.common import read_table
-from abundance.llm.queries import BYTE_BPE
+from abundance.llm.queries import tokenizer_file
 from abundance.session import checkpoint_dir
 
 
@@ -41,7 +41,7 @@ def pii_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed uint32), and the digests of ids and decoded text."""
-    coded = bpe.round_trip(docs, BYTE_BPE, ids="token_ids", null_as_empty=True)
+    coded = bpe.round_trip(docs, tokenizer_file("byte_bpe_50k.json"), ids="token_ids", null_as_empty=True)
     return coded.select("doc_id", "lang", "source", (F.length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids",
                         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
