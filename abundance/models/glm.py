@@ -1,5 +1,5 @@
 """Poisson and logistic GLMs by IRLS, one Spark aggregate per iteration
-(survey IDs M1, M4, M5, M10).
+(survey IDs M1, M4, M5; one fit per group, M10, is in ``glm_groups``).
 
 Rows -> a cached frame of (y, x_1..x_k) with incomplete rows dropped.
 Each IRLS iteration is one ``agg`` (or ``groupBy(group).agg``) computing,
@@ -420,28 +420,6 @@ def glm(df: DataFrame, response: str, terms: Sequence[str], family: str = "poiss
     return fit
 
 
-def glm_by_group(df: DataFrame, group: str, response: str, terms: Sequence[str],
-                 family: str = "poisson", levels: dict | None = None, max_iter: int = 25,
-                 checkpoint: bool = False) -> dict:
-    """One fit per value of ``group`` (e.g. per response), all groups
-    in the same passes: every task adds up its rows' sums per group in numpy
-    (the coefficients of the groups, a table of groups x terms, travel with
-    the task), and Spark adds the tasks' sums. A busy group is never moved
-    into one task."""
-    base = model_input(df, [group, response, *design_columns(terms)], checkpoint)
-    try:
-        d = build_design(base, terms, True, levels)
-        frame, feats = model_frame(base, response, [d], None, group)
-        res = irls(frame, feats, [d.names], family, False, grouped=True, max_iter=max_iter)
-    finally:
-        base.unpersist()
-    out = {}
-    for (m, g), fit in res.items():
-        fit.design = d
-        out[g] = fit
-    return out
-
-
 def coef_table(spark, fits: dict[str, GlmFit] | GlmFit, digits: int | None = None) -> DataFrame:
     """Coefficient table(s) as a DataFrame: model, term, estimate, se, z, p."""
     if isinstance(fits, GlmFit):

@@ -1000,12 +1000,24 @@ def hist_events(spark, d):
 def glm_by_response(spark, d):
     """One Poisson GLM per response (total abundance, species
     richness) ~ depth + sand, every response in the same passes."""
-    from abundance.models.glm import coef_table, glm_by_group
+    from abundance.models.glm_groups import glm_by_group
     ab = P.abundance_long(_maxn(spark, d))
     fr = joins.natural_join(ab, _habitat(spark, d), "left", on=["sample"])
     fr = fr.withColumn("depth_m", F.col("depth_m") / 100000.0).withColumn("sand", F.col("sand") / 100.0)
-    fits = glm_by_group(fr, "response", "number", ["depth_m", "sand"])
-    return coef_table(spark, fits, 4)
+    fits = glm_by_group(fr, "response", "number", ["depth_m", "sand"]).withColumnRenamed("group", "model")
+    return fin(fits.select("model", "term", "estimate", "se", "z", "p"), 4)
+
+
+@register("glm_by_part", _with(*glm_ctes("m", "SELECT l_partkey, l_quantity, l_discount, l_tax FROM lineitem", "l_quantity",
+                                         ["1.0", "10.0 * l_discount", "10.0 * l_tax"], group="l_partkey"))
+          + "SELECT model AS part, term, estimate, se, z, n AS n_used FROM (" + coef_rows("m", "g", ["(Intercept)", "discount", "tax"]) + ")")
+def glm_by_part(spark, d):
+    """M10 with many groups: one Poisson GLM quantity ~ discount + tax per
+    part, the fits' state a table."""
+    from abundance.models.glm_groups import glm_by_group
+    li = V.table(spark, d, "lineitem").select("l_partkey", "l_quantity", (F.col("l_discount") * 10.0).alias("discount"), (F.col("l_tax") * 10.0).alias("tax"))
+    fits = glm_by_group(li, "l_partkey", "l_quantity", ["discount", "tax"])
+    return fin(fits.select(F.col("group").alias("part"), "term", "estimate", "se", "z", "n_used"), 4)
 
 
 @register("importance_long", None)
@@ -1072,11 +1084,11 @@ def glm_site_by_response(spark, d):
     """One Poisson GLM number ~ site per response (total abundance,
     species richness of the deployments with counts), all responses in the
     same passes; closed form per response."""
-    from abundance.models.glm import coef_table, glm_by_group
+    from abundance.models.glm_groups import glm_by_group
     ab = P.abundance_long(_maxn(spark, d))
     fr = joins.natural_join(ab, _roster(spark, d).select("sample", "site"), "inner", on=["sample"])
     fits = glm_by_group(fr, "response", "number", ["site"])
-    return coef_table(spark, fits, 4).select("model", "term", "estimate", "se")
+    return fin(fits.select(F.col("group").alias("model"), "term", "estimate", "se"), 4)
 
 
 @register("glm_site_aic", _with(ROSTER_OK, *maxn_ctes(), ("ab", """SELECT r.sample, r.site,

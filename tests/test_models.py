@@ -6,7 +6,8 @@ import pytest
 
 from abundance.functions.columns import ln_factorial
 from abundance.functions.stats import t_quantile, norm_two_sided_p
-from abundance.models.glm import glm, glm_by_group
+from abundance.models.glm import glm
+from abundance.models.glm_groups import glm_by_group
 from abundance.models.predict import prediction_grid, predict_se
 from abundance.models.spline import natural_spline_basis
 from abundance.models.zip import zip_model
@@ -66,10 +67,36 @@ def test_glm_by_group_equals_separate(spark):
     x = rng.normal(size=n)
     y = rng.poisson(np.exp(np.where(g == "u", 0.2 + 0.3 * x, 1.0 - 0.2 * x)))
     df = spark.createDataFrame(pd.DataFrame({"g": g, "x": x, "y": y}))
-    by = glm_by_group(df, "g", "y", ["x"])
-    for key in ["u", "v"]:
-        sep = glm(df.where(df.g == key), "y", ["x"])
-        assert np.allclose(by[key].coef, sep.coef, atol=1e-8)
+    for family in ("poisson", "tweedie:1.5"):
+        by = glm_by_group(df, "g", "y", ["x"], family).toPandas().set_index("group")
+        for key in ["u", "v"]:
+            sep = glm(df.where(df.g == key), "y", ["x"], family)
+            assert np.allclose(by.loc[key].estimate, sep.coef, atol=1e-8) and np.allclose(by.loc[key].se, sep.se, atol=1e-8)
+            assert by.loc[key].converged.all() and np.allclose(by.loc[key].deviance, sep.deviance)
+            assert (by.loc[key].iterations == sep.iterations).all() and (by.loc[key].n_used == sep.n_used).all()
+
+
+def test_glm_by_group_with_many_groups_and_a_hot_one(spark):
+    # x is 0 or 1, so the coefficients are the logarithms of two means
+    rng = np.random.default_rng(8)
+    groups = 30_000
+    g = np.concatenate((np.repeat(np.arange(groups), 6), np.zeros(90_000, int)))
+    x = np.concatenate((np.tile([0, 0, 0, 1, 1, 1], groups), rng.integers(0, 2, 90_000)))
+    y = 1 + rng.poisson(2.0 + x)
+    out = glm_by_group(spark.createDataFrame(pd.DataFrame({"g": g, "x": x.astype(float), "y": y})), "g", "y", ["x"]).toPandas()
+    assert len(out) == 2 * groups and out.converged.all()
+    mean = pd.DataFrame({"g": g, "x": x, "y": y}).groupby(["g", "x"]).y.mean().unstack()
+    est = out.pivot(index="group", columns="term", values="estimate")
+    assert np.allclose(est["(Intercept)"], np.log(mean[0]), atol=1e-6) and np.allclose(est["x"], np.log(mean[1] / mean[0]), atol=1e-6)
+
+
+def test_glm_by_group_odd_groups(spark):
+    rows = [("a", 1.0, 2), ("a", 2.0, 3), ("a", 3.0, 9), ("one", 1.0, 4), ("none", None, 1), (None, 1.0, 1), ("zero", 1.0, 0), ("zero", 2.0, 0)]
+    df = spark.createDataFrame(rows, "g string, x double, y long")
+    out = glm_by_group(df, "g", "y", ["x"]).toPandas()
+    assert set(out.group) == {"a", "one", "zero"} and len(out) == 6
+    assert np.isclose(out[out.group == "one"].estimate.sum(), np.log(4.0))           # minimum norm: x = 1 shares it
+    assert glm_by_group(df.limit(0), "g", "y", ["x"]).count() == 0
 
 
 def test_zip_recovers_truth(spark):
