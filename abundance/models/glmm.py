@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from abundance.functions.stats import norm_two_sided_p
 from abundance.models.design import build_design, design_columns, model_input
 from abundance.models.glm import LF, Y, irls
-from abundance.models.glmm_levels import LevelTable
+from abundance.models.glmm_blocks import Blocks, maximise
 
 
 @dataclass
@@ -41,7 +41,7 @@ class GlmmFit:
     n_used: int
     iterations: int
     converged: bool
-    modes: dict                 # by factor: {level: mode}, or a (level, mode) DataFrame for one factor
+    modes: dict                 # by factor: {level: mode}; a (level, mode) DataFrame for the largest factor
 
     @property
     def p(self) -> int:
@@ -203,89 +203,84 @@ def _nelder_mead(f, x0, tol=1e-9, max_iter=400):
 
 
 def poisson_glmm(df: DataFrame, response: str, terms: Sequence[str], random: Sequence[str],
-                 max_levels: int | None = None, max_cells: int = 200_000, max_iter: int = 50,
-                 tol: float = 1e-9, checkpoint: bool = False, dense: bool | None = None) -> GlmmFit:
-    """Fit. One grouping factor works on a distributed level table of any
-    size (``glmm_levels``). Crossed factors use the dense (q x q) algebra of
-    ``_Cells`` on the driver, limited to ``max_levels`` (default 5000) per
-    factor and ``max_cells`` cells; ``dense`` True or False takes one factor
-    through that class too (its dense or diagonal form)."""
+                 max_levels: int = 5000, max_cells: int = 200_000, max_iter: int = 60,
+                 tol: float = 1e-10, checkpoint: bool = False, dense: bool | None = None) -> GlmmFit:
+    """Fit. The factor with the most levels may have any number; the others
+    together at most ``max_levels``, as their system is solved on the driver
+    (``glmm_blocks``). ``dense`` True or False instead takes the whole model
+    through the driver algebra of ``_Cells`` (all factors in one matrix, or
+    the diagonal form of one factor), limited to ``max_levels`` per factor and
+    ``max_cells`` cells: an independent form for small tables."""
     random = list(random)
-    spread = len(random) == 1 and dense is None
-    if max_levels is None:
-        max_levels = max_cells if len(random) == 1 else 5000
     base = model_input(df, [response, *design_columns(terms), *random], checkpoint)
     try:
         d = build_design(base, terms)
         frame, feats = _frame_with_factors(base, response, d, random)
-        levels = {}
-        for f in () if spread else random:
-            lv = frame.select(f).distinct().limit(max_levels + 1).collect()
-            if len(lv) > max_levels:
-                raise ValueError(f"{f}: more than {max_levels} levels")
-            levels[f] = {r[f]: i for i, r in enumerate(sorted(lv, key=lambda r: str(r[f])))}
-        xf = feats
-        p = len(xf)
+        start = irls(frame, [feats], [d.names], "poisson")[0]
+        if dense is not None:
+            return _fit_dense(frame, feats, d.names, random, start.coef, max_levels, max_cells, max_iter, tol, dense)
+        blocks = Blocks(frame, feats, random, max_levels)
+        beta, theta, ll, it, converged = maximise(blocks, start.coef, start.cov, max_iter, tol)
+        cov = np.linalg.inv(blocks.information(beta, theta))
+        sigma = {f: float(np.exp(t)) for f, t in zip(random, theta)}
+        return GlmmFit(d.names, beta, cov, sigma, float(ll), blocks.count, it, converged, blocks.mode_tables(beta, theta))
+    finally:
+        base.unpersist()
 
-        def cells(beta):
-            eta = F.lit(0.0)
-            for b, c in zip(beta, xf):
-                eta = eta + F.lit(float(b)) * F.col(c)
-            e = F.exp(eta)
-            X = [F.col(c) for c in xf]
-            agg = (frame.groupBy(*random).agg(
-                F.sum(e).alias("__A"),
-                F.array(*[F.sum(e * x) for x in X]).alias("__B"),
-                F.array(*[F.sum(e * X[j] * X[k]) for j in range(p) for k in range(p)]).alias("__C"),
-                F.sum(Y).alias("__Sy"),
-                F.array(*[F.sum(F.col(Y) * x) for x in X]).alias("__Yx"),
-                F.sum(LF).alias("__L"), F.count(F.lit(1)).alias("__n")))
-            if spread:
-                return LevelTable(agg, random[0], p)
-            rows = agg.limit(max_cells + 1).collect()
-            if len(rows) > max_cells:
-                raise ValueError(f"more than {max_cells} factor cells")
-            return _Cells(rows, xf, random, levels, dense)
 
-        beta = irls(frame, [xf], [d.names], "poisson")[0].coef
-        theta = np.zeros(len(random))
-        cs = cells(beta)
-        theta, negll = cs.profile_theta(beta) if spread else cs.profile_theta(beta, theta)
-        ll, grad, info, u = cs.beta_step(beta, theta)
-        it, converged = 0, False
-        while it < max_iter:
-            it += 1
-            step = np.linalg.solve(info, grad)
-            t = 1.0
-            for _ in range(30):
-                cand = beta + t * step
-                cs2 = cells(cand)
-                th2, neg2 = cs2.profile_theta(cand, theta)
-                if -neg2 >= ll - 1e-10 * abs(ll):
-                    break
-                t /= 2
-                if spread:
-                    cs2.drop()
-            else:
-                break                       # no step raises the likelihood: stay, not converged
-            dll = -neg2 - ll
-            if spread:
-                cs.drop()
-            beta, theta, cs = cand, th2, cs2
-            ll, grad, info, u = cs.beta_step(beta, theta)
-            if abs(dll) < tol * (abs(ll) + 1) and np.max(np.abs(t * step)) < 1e-6:
-                converged = True
+def _fit_dense(frame, feats, names, random, beta, max_levels, max_cells, max_iter, tol, dense) -> GlmmFit:
+    levels = {}
+    for f in random:
+        lv = frame.select(f).distinct().limit(max_levels + 1).collect()
+        if len(lv) > max_levels:
+            raise ValueError(f"{f}: more than {max_levels} levels")
+        levels[f] = {r[f]: i for i, r in enumerate(sorted(lv, key=lambda r: str(r[f])))}
+    p = len(feats)
+
+    def cells(beta):
+        eta = F.lit(0.0)
+        for b, c in zip(beta, feats):
+            eta = eta + F.lit(float(b)) * F.col(c)
+        e = F.exp(eta)
+        X = [F.col(c) for c in feats]
+        agg = (frame.groupBy(*random).agg(
+            F.sum(e).alias("__A"),
+            F.array(*[F.sum(e * x) for x in X]).alias("__B"),
+            F.array(*[F.sum(e * X[j] * X[k]) for j in range(p) for k in range(p)]).alias("__C"),
+            F.sum(Y).alias("__Sy"),
+            F.array(*[F.sum(F.col(Y) * x) for x in X]).alias("__Yx"),
+            F.sum(LF).alias("__L"), F.count(F.lit(1)).alias("__n")))
+        rows = agg.limit(max_cells + 1).collect()
+        if len(rows) > max_cells:
+            raise ValueError(f"more than {max_cells} factor cells")
+        return _Cells(rows, feats, random, levels, dense)
+
+    theta = np.zeros(len(random))
+    cs = cells(beta)
+    theta, _ = cs.profile_theta(beta, theta)
+    ll, grad, info, u = cs.beta_step(beta, theta)
+    it, converged = 0, False
+    while it < max_iter and not converged:
+        it += 1
+        step = np.linalg.solve(info, grad)
+        t = 1.0
+        for _ in range(30):
+            cand = beta + t * step
+            cs2 = cells(cand)
+            th2, neg2 = cs2.profile_theta(cand, theta)
+            if -neg2 >= ll - 1e-10 * abs(ll):
                 break
-        cov = np.linalg.inv(info)
-        sig = {f: float(np.exp(theta[k])) for k, f in enumerate(random)}
-        if spread:
-            cs.drop()
-            return GlmmFit(d.names, beta, cov, sig, float(ll), cs.count, it, converged, {random[0]: cs.modes(theta)})
-        offs = np.cumsum([0] + [len(levels[f]) for f in random])
-        modes = {f: {lv: float(u[offs[k] + i]) for lv, i in levels[f].items()} for k, f in enumerate(random)}
-        return GlmmFit(d.names, beta, cov, sig, float(ll), cs.count, it, converged, modes)
-    finally:
-        base.unpersist()
+            t /= 2
+        else:
+            break                       # no step raises the likelihood: stay, not converged
+        dll = -neg2 - ll
+        beta, theta, cs = cand, th2, cs2
+        ll, grad, info, u = cs.beta_step(beta, theta)
+        converged = abs(dll) < tol * (abs(ll) + 1) and np.max(np.abs(t * step)) < 1e-6
+    offs = np.cumsum([0] + [len(levels[f]) for f in random])
+    modes = {f: {lv: float(u[offs[k] + i]) for lv, i in levels[f].items()} for k, f in enumerate(random)}
+    return GlmmFit(names, beta, np.linalg.inv(info), {f: float(np.exp(theta[k])) for k, f in enumerate(random)},
+                   float(ll), cs.count, it, converged, modes)
 
 
 def _frame_with_factors(df, response, d, random):

@@ -310,6 +310,59 @@ def test_glmm_diagonal_path_equals_dense(spark):
     df = spark.createDataFrame(pd.DataFrame({"y": y, "x": x, "g": [f"g{i:02d}" for i in g]}))
     a = poisson_glmm(df, "y", ["x"], ["g"])                 # diagonal path
     b = poisson_glmm(df, "y", ["x"], ["g"], dense=True)     # dense path
+    c = poisson_glmm(df, "y", ["x"], ["g"], dense=False)    # diagonal driver path
+    assert np.allclose(b.coef, c.coef, atol=1e-7) and math.isclose(b.loglik, c.loglik, rel_tol=1e-10)
     assert np.allclose(a.coef, b.coef, atol=1e-7) and np.allclose(a.se, b.se, rtol=1e-6)
     assert math.isclose(a.loglik, b.loglik, rel_tol=1e-10)
     assert math.isclose(a.sigma["g"], b.sigma["g"], rel_tol=1e-6)
+
+
+def _crossed(seed, n, qa, qb, dates=None):
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, qa, n), rng.integers(0, qb, n)
+    x = rng.normal(size=n)
+    eta = 0.2 + 0.4 * x + rng.normal(0, 0.6, qa)[a] + rng.normal(0, 0.3, qb)[b]
+    cols = {"x": x, "a": [f"a{i}" for i in a], "b": [f"b{i}" for i in b]}
+    if dates:
+        c = rng.integers(0, dates, n)
+        eta = eta + rng.normal(0, 0.4, dates)[c]
+        cols["c"] = c
+    return pd.DataFrame({"y": rng.poisson(np.exp(eta)), **cols})
+
+
+@pytest.mark.parametrize("random", [["a", "b"], ["b", "a"], ["a", "b", "c"]])
+def test_glmm_eliminated_factor_equals_dense(spark, random):
+    from abundance.models.glmm import poisson_glmm
+    df = spark.createDataFrame(_crossed(31, 1200, 30, 6, 4 if "c" in random else None)).repartition(4)
+    f, g = poisson_glmm(df, "y", ["x"], random), poisson_glmm(df, "y", ["x"], random, dense=True)
+    assert f.converged and math.isclose(f.loglik, g.loglik, rel_tol=1e-9)
+    assert np.allclose(f.coef, g.coef, atol=2e-5) and np.allclose(f.se, g.se, rtol=1e-4)
+    assert all(math.isclose(f.sigma[k], g.sigma[k], rel_tol=1e-3) for k in random)
+    large = {r["level"]: r["mode"] for r in f.modes["a"].collect()}
+    assert all(abs(large[k] - v) < 1e-3 for k, v in g.modes["a"].items())
+    assert all(abs(f.modes["b"][k] - v) < 1e-3 for k, v in g.modes["b"].items())
+
+
+def test_glmm_gradient_is_that_of_the_likelihood(spark):
+    from abundance.models.design import build_design
+    from abundance.models.glmm import _frame_with_factors
+    from abundance.models.glmm_blocks import Blocks
+    for random in (["a"], ["a", "b", "c"]):
+        df = spark.createDataFrame(_crossed(7, 300, 20, 5, 3))
+        frame, feats = _frame_with_factors(df, "y", build_design(df, ["x"]), random)
+        blocks = Blocks(frame, feats, random, 100)
+        at = np.array([0.1, 0.3, *[-0.8, -0.5, -1.1][:len(random)]])
+        _, grad = blocks.evaluate(at[:2], at[2:])
+        for i in range(len(at)):
+            move = np.eye(len(at))[i] * 1e-4
+            up, down = (blocks.evaluate((at + s * move)[:2], (at + s * move)[2:])[0] for s in (1, -1))
+            assert math.isclose((up - down) / 2e-4, grad[i], rel_tol=1e-5, abs_tol=1e-5), (random, i)
+        blocks.drop()
+
+
+def test_glmm_with_a_large_crossed_factor(spark):
+    from abundance.models.glmm import poisson_glmm
+    f = poisson_glmm(spark.createDataFrame(_crossed(41, 60_000, 12_000, 8)), "y", ["x"], ["b", "a"], max_levels=100)
+    assert f.converged and abs(f.sigma["a"] - 0.6) < 0.05 and abs(f.coef[1] - 0.4) < 4 * f.se[1]
+    with pytest.raises(ValueError):
+        poisson_glmm(spark.createDataFrame(_crossed(41, 300, 50, 8)), "y", ["x"], ["b", "a"], max_levels=5)
