@@ -10,6 +10,7 @@ switches it to a fixed-size sketch.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -82,38 +83,31 @@ def weighted_moments(df: DataFrame, keys: Sequence[str], x: str, weight: str,
     a missing ``x`` (of positive weight) makes the mean missing; the sd is
     NULL when the total weight of present values is <= 1.
 
-    Equal values are first combined per group (Sw by value), then the sums
-    are taken around the group's mean in a second step over those few rows,
-    so values far from zero lose no digits.
+    One scan and no join: values are cut to their leading 16 bits, and the
+    sums of weight, w d and w d^2 of the rests d are taken per (group, cut
+    value), combined before the shuffle. The few sums of a group (a value's
+    cut has 2^16 steps an octave at most) are then merged around the group's mean, so
+    values far from zero lose no digits.
     """
     keys = as_list(keys)
-    w = col(weight).cast("double")
-    by_value = df.where(w > 0).groupBy(*keys, col(x).cast("double").alias("__x")).agg(
-        F.sum(w).alias("__w"))
-    return moments_of_values(by_value, keys, mean_out, sd_out, na_rm_mean)
-
-
-def moments_of_values(by_value: DataFrame, keys: Sequence[str], mean_out: str, sd_out: str,
-                      na_rm_mean: bool = False) -> DataFrame:
-    """Mean and sd per group from rows (keys, ``__x``, ``__w``: total weight
-    of the value; NULL ``__x``: weight of missing values)."""
-    from abundance.operators.joins import natural_join
-    keys = as_list(keys)
-    present = col("__x").isNotNull()
-    first = by_value.groupBy(*keys).agg(
-        F.sum(F.when(present, col("__w"))).alias("__sw"),
-        (F.sum(col("__w") * col("__x")) / F.sum(F.when(present, col("__w")))).alias("__m"),
-        F.max(~present).alias("__miss"))
-    d = natural_join(by_value, first, "inner", on=keys)
-    dev = col("__x") - col("__m")
-    # The residual sum corrects the rounding of the mean itself.
-    s1, s2 = F.sum(col("__w") * dev), F.sum(col("__w") * dev * dev)
-    sw = F.first("__sw")
-    mean = F.first("__m") + s1 / sw
-    if not na_rm_mean:
-        mean = F.when(~F.first("__miss"), mean)
-    var = F.when(sw > 1, F.greatest((s2 - s1 * s1 / sw) / (sw - 1), F.lit(0.0)))
-    return d.groupBy(*keys).agg(mean.alias(mean_out), F.sqrt(var).alias(sd_out))
+    v, w = col(x).cast("double"), col(weight).cast("double")
+    wide = v * F.lit(float(2 ** 37 + 1))
+    cut = F.when(F.abs(v) < 1e290, wide - (wide - v)).otherwise(v)
+    rows = df.where(w > 0).select(*map(col, keys), v.alias("__x"), cut.alias("__c"), w.alias("__w"))
+    d = F.when(F.col("__x") != F.col("__c"), F.col("__x") - F.col("__c")).otherwise(F.when(F.col("__x").isNotNull(), F.lit(0.0)))
+    sums = rows.groupBy(*keys, "__c").agg(F.sum("__w").alias("__w"), F.sum(F.col("__w") * d).alias("__s1"), F.sum(F.col("__w") * d * d).alias("__s2"))
+    part = F.when(F.col("__c").isNotNull(), F.struct(F.col("__w").alias("w"), (F.col("__c") + F.col("__s1") / F.col("__w")).alias("m"),
+                                                     F.greatest(F.col("__s2") - F.col("__s1") * F.col("__s1") / F.col("__w"), F.lit(0.0)).alias("q")))
+    lists = sums.groupBy(*keys).agg(F.collect_list(part).alias("__l"), F.max(F.col("__c").isNull()).alias("__miss"))
+
+    def total(of):
+        return F.aggregate("__l", F.lit(0.0), lambda t, p: t + of(p))
+
+    lists = lists.withColumn("__sw", total(lambda p: p["w"])).withColumn("__a", F.get("__l", 0)["m"])
+    lists = lists.withColumn("__m", F.when(F.col("__sw") > 0, F.col("__a") + total(lambda p: p["w"] * (p["m"] - F.col("__a"))) / F.col("__sw")))
+    var = total(lambda p: p["q"] + p["w"] * (p["m"] - F.col("__m")) * (p["m"] - F.col("__m"))) / (F.col("__sw") - 1)
+    mean = F.col("__m") if na_rm_mean else F.when(~F.col("__miss"), F.col("__m"))
+    return lists.select(*map(col, keys), mean.alias(mean_out), F.sqrt(F.when(F.col("__sw") > 1, var)).alias(sd_out))
 
 
 def mean_sd(df: DataFrame, keys: Sequence[str], x: str, mean_out: str = "mean",
@@ -249,8 +243,9 @@ def describe_num(df: DataFrame, cols: Sequence[str], approx: bool = False, accur
     """R ``summary()`` of numeric columns, one row per column.
 
     Quartiles interpolate between order statistics (R type 7) found by
-    ``rank_values`` (distributed, nothing buffered in one task);
-    ``approx=True`` uses a fixed-size sketch without interpolation.
+    selection (``select_ranks``: distributed, nothing of the columns' size is
+    shuffled or collected); ``approx=True`` uses a fixed-size sketch without
+    interpolation.
     """
     probs = [0.25, 0.5, 0.75]
     parts = []
@@ -260,16 +255,101 @@ def describe_num(df: DataFrame, cols: Sequence[str], approx: bool = False, accur
         parts.append(F.struct(
             F.lit(c).alias("column"), F.min(x).alias("min"), q.alias("__q"), F.avg(x).alias("mean"),
             F.max(x).alias("max"), count_if(x.isNull()).alias("n_missing")).alias(c))
-    long = df.agg(*parts).select(F.explode(F.array(*[F.col(f"`{c}`") for c in cols])).alias("s")).select("s.*")
+    kept = df if approx else df.select(*[col(c).cast("double").alias(c) for c in cols]).cache()
+    long = kept.agg(*parts).select(F.explode(F.array(*[F.col(f"`{c}`") for c in cols])).alias("s")).select("s.*")
     if not approx:
-        found = quantiles(df, cols, probs)
-        known = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(None).cast("array<double>") if found[c][0] is None
-                                                          else F.array(*map(F.lit, found[c])))])
-        long = long.withColumn("__q", known[F.col("column")])
+        found = quantiles(kept, cols, probs)
+        rows = [(r["column"], r["min"], found[r["column"]], r["mean"], r["max"], r["n_missing"]) for r in long.collect()]    # one row per column
+        kept.unpersist()
+        long = df.sparkSession.createDataFrame(rows, "column string, min double, __q array<double>, mean double, max double, n_missing long")
     return long.select("column", "min", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
                        "mean", F.col("__q")[2].alias("q3"), "max", "n_missing")
 
 
+def select_ranks(df: DataFrame, cols: Sequence[str], ranks, accuracy: int = 10_000, window: int = 50_000) -> dict[str, tuple[int, dict[int, float]]]:
+    """Order statistics of several columns by selection: ``ranks(n)`` gives the
+    0-based ranks wanted of a column of n present values; the result is
+    {column: (n, {rank: value})}.
+
+    Each wanted rank has an interval that holds it. A pass sketches the values
+    inside every interval and narrows it to sketched bounds around the rank;
+    the next pass counts exactly what lies below the bounds and between them,
+    which confirms the narrower interval or takes the side that holds the
+    rank. An interval shrinks about ``accuracy`` / 4 times a round; one with at
+    most ``window`` values (or a single value) is read as (value, count) rows.
+    Passes are aggregates of fixed size; at most ``window`` rows a rank are
+    collected. Several passes read ``df``, so keep it if it is costly. NaN is
+    missing.
+    """
+    cols, inf = list(cols), float("inf")
+    x = {c: F.nanvl(col(c).cast("double"), F.lit(None)) for c in cols}
+    size = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first() if cols else ()
+    # (column, rank) -> [low, high, values below low, values inside], low <= value <= high
+    open_ = {(c, k): [-inf, inf, 0, n] for c, n in zip(cols, size) for k in set(ranks(n)) if n}
+    found: dict = {c: {} for c in cols}
+    while open_:
+        for key, (low, high, _, n) in list(open_.items()):
+            if low == high:
+                found[key[0]][key[1]] = low
+                del open_[key]
+        small = [key for key, v in open_.items() if v[3] <= window]
+        large = [key for key in open_ if key not in set(small)]
+        if small:
+            spans = sorted({(c, *open_[c, k][:3]) for c, k in small})
+            cells = [F.when((x[c] >= lo) & (x[c] <= hi), F.struct(F.lit(i).alias("i"), x[c].alias("x"))) for i, (c, lo, hi, _) in enumerate(spans)]
+            rows = (df.select(F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("s")).groupBy("s.i", "s.x").count().collect())
+            by_span: dict = {}
+            for i, value, n in rows:
+                by_span.setdefault(i, []).append((value, n))
+            for i, (c, lo, hi, below) in enumerate(spans):
+                wanted = sorted(k for d, k in small if d == c and tuple(open_[d, k][:2]) == (lo, hi))
+                seen = below
+                for value, n in sorted(by_span.get(i, [])):
+                    while wanted and wanted[0] < seen + n:
+                        found[c][wanted.pop(0)] = value
+                    seen += n
+            for key in small:
+                del open_[key]
+        if not large:
+            continue
+        spans = sorted({(c, *open_[c, k]) for c, k in large})
+        asks = []
+        for c, lo, hi, below, n in spans:
+            at = sorted({min(max((k - below) / n + e, 0.0), 1.0) for d, k in large if d == c and tuple(open_[d, k]) == (lo, hi, below, n) for e in (-2.0 / accuracy, 2.0 / accuracy)})
+            asks.append(at)
+        inside = [F.when((x[c] >= lo) & (x[c] <= hi), x[c]) for c, lo, hi, _, _ in spans]
+        marks = df.agg(*[F.percentile_approx(v, F.array(*map(F.lit, at)), accuracy).alias(f"m{i}") for i, (v, at) in enumerate(zip(inside, asks))]).first()
+        # Bounds per rank: the marks on both sides of its share.
+        bounds = {}
+        for i, (c, lo, hi, below, n) in enumerate(spans):
+            value = dict(zip(asks[i], marks[i]))
+            for d, k in large:
+                if d == c and tuple(open_[d, k]) == (lo, hi, below, n):
+                    a, b = (min(max((k - below) / n + e, 0.0), 1.0) for e in (-2.0 / accuracy, 2.0 / accuracy))
+                    bounds[d, k] = (value[a] if a > 0 else lo, value[b] if b < 1 else hi)
+        pairs = sorted({(c, *bounds[c, k]) for c, k in large})
+        counts = df.agg(*[F.count(F.when(test, 1)).alias(f"c{i}_{j}") for i, (c, lo, hi) in enumerate(pairs)
+                          for j, test in enumerate((x[c] < lo, x[c] == lo, (x[c] > lo) & (x[c] < hi), x[c] == hi))]).first()
+        for c, k in large:
+            low, high, below, n = open_[c, k]
+            lo, hi = bounds[c, k]
+            b, at_lo, between, at_hi = counts[4 * pairs.index((c, lo, hi)):][:4]
+            if lo == hi:
+                at_hi = 0
+            over = b + at_lo + between + at_hi
+            if k < b:
+                open_[c, k] = [low, math.nextafter(lo, -inf), below, b - below]
+            elif k < b + at_lo:
+                open_[c, k] = [lo, lo, b, at_lo]
+            elif k < b + at_lo + between:
+                open_[c, k] = [math.nextafter(lo, inf), math.nextafter(hi, -inf), b + at_lo, between]
+            elif k < over:
+                open_[c, k] = [hi, hi, b + at_lo + between, at_hi]
+            else:
+                open_[c, k] = [math.nextafter(hi, inf), high, over, n - (over - below)]
+    return {c: (n, found[c]) for c, n in zip(cols, size)}
+
+
 def rank_values(df: DataFrame, cols: Sequence[str], ranks, distinct: bool = False) -> dict[str, tuple[int, dict[int, float]]]:
     """Order statistics of several columns: ``ranks(n)`` gives the 0-based
     ranks wanted of a column of n present values; the result is {column: (n,
@@ -312,13 +392,11 @@ def rank_values(df: DataFrame, cols: Sequence[str], ranks, distinct: bool = Fals
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], distinct: bool = False) -> dict[str, list[float | None]]:
     """Exact R type-7 quantiles of several columns (None for a column without values)."""
-    import math
-
     def ranks(n):
         return [k for p in probs for k in (math.floor((n - 1) * p), math.ceil((n - 1) * p))]
 
     out = {}
-    for c, (n, value) in rank_values(df, cols, ranks, distinct).items():
+    for c, (n, value) in (rank_values(df, cols, ranks, True) if distinct else select_ranks(df, cols, ranks)).items():
         out[c] = [None] * len(probs)
         for i, p in enumerate(probs if n else ()):
             h = (n - 1) * p

@@ -157,17 +157,19 @@ def strictly_below(df: DataFrame, column: str, bound) -> DataFrame:
 def factor_levels(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
     """``as.factor``: add the 1-based alphabetic level index of ``column``.
 
-    The levels are collected under a size check (``distinct_levels``: an
-    error past its bound, as a factor of more levels is not one) and joined
-    back as a broadcast, so the rows are not shuffled by category and a
-    category that holds most rows stays spread.
+    A distributed dense rank: the distinct values (counted, so combined
+    before their shuffle) are numbered in range partitions
+    (``rank.global_row_number``) and joined back with the rows of very
+    frequent categories dealt out (``joins.spread_join``). Any number of
+    levels; no category is moved into one task. Missing stays missing.
     """
-    from abundance.operators.joins import distinct_levels
+    from abundance.operators.joins import spread_join
+    from abundance.operators.rank import global_row_number
+    from abundance.session import cut_lineage
     out = out or f"{column}_level"
-    levels = distinct_levels(df.where(col(column).isNotNull()), [column])
-    table = df.sparkSession.createDataFrame([(v, i + 1) for i, (v,) in enumerate(levels)],
-                                            f"`{column}` {dict(df.dtypes)[column]}, `{out}` int")
-    return df.join(F.broadcast(table), on=column, how="left")
+    counts = cut_lineage(df.groupBy(col(column)).agg(F.count("*").alias("__n")))
+    levels = global_row_number(counts.where(col(column).isNotNull()).select(col(column)), [col(column).asc()], out)
+    return spread_join(df, levels, [column], "left", counts=counts)
 
 
 # --------------------------------------------------------- P18-P19 spatial

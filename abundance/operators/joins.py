@@ -200,32 +200,33 @@ def distinct_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 100_00
 
 def zero_fill_grid(obs: DataFrame, roster: DataFrame, sample_keys: Sequence[str],
                    taxon_cols: Sequence[str], values: Sequence[str], fill=0,
-                   levels: Sequence[tuple] | None = None, max_levels: int = 100_000) -> DataFrame:
+                   levels: Sequence[tuple] | None = None, block: int = 1000) -> DataFrame:
     """True zeros for every taxon in every deployment (bulk form of J4).
 
-    ``levels`` is the taxon list; without it the distinct taxa of ``obs``
-    are collected once under the ``max_levels`` check (an error past it,
-    never a cut). The result has deployments x taxa rows by definition.
-    Each roster row explodes ``sequence(0, n-1)`` and the indexed taxa join
-    on the position (an equi-join against a broadcast of proven size), so
-    the plan does not grow with n. The observations are then
-    left-joined on (sample keys, taxon), a fine-grained key, so one busy
-    deployment spreads over many keys.
+    ``levels`` is the taxon list; without it the distinct taxa of ``obs``,
+    which stay a distributed table. The result has deployments x taxa rows by
+    definition. It is made in cells of about ``block`` deployments by ``block``
+    taxa: roster rows get a row chunk and are repeated once per taxon block,
+    taxa get a block and are repeated once per row chunk, and the two meet in
+    an equi-join on (chunk, block). So no task makes more than some cells,
+    either table may be of any size, and what is moved is a thousandth of the
+    result. The observations are then left-joined on (sample keys, taxon), a
+    fine-grained key, so one busy deployment spreads over many keys.
     """
-    sample_keys, taxon_cols = as_list(sample_keys), as_list(taxon_cols)
+    from abundance.session import cut_lineage
+    sample_keys, taxon_cols, values = as_list(sample_keys), as_list(taxon_cols), as_list(values)
+    obs = obs.select(*sample_keys, *taxon_cols, *values)
     if levels is None:
-        levels = distinct_levels(obs, taxon_cols, max_levels)       # one job, size-checked
-    elif len(levels) > max_levels:
-        raise ValueError(f"{taxon_cols}: more than {max_levels} levels")
-    n = len(levels)
-    types = dict(obs.dtypes)
-    schema = ", ".join(["__i int"] + [f"{_q(c)} {types[c]}" for c in taxon_cols])
-    indexed = obs.sparkSession.createDataFrame([(i, *lv) for i, lv in enumerate(levels)], schema)
-    if n == 0:
-        return roster.limit(0).select(*roster.columns, *[F.lit(None).cast(types[c]).alias(c) for c in taxon_cols],
-                                      *[F.lit(fill).alias(v) for v in as_list(values)])
-    grid = (roster.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-            .join(F.broadcast(indexed), on="__i", how="inner").drop("__i"))       # n <= max_levels rows
-    obs_cols = sample_keys + taxon_cols + [v for v in as_list(values)]
-    joined = natural_join(grid, obs.select(*obs_cols), how="left", on=sample_keys + taxon_cols)
-    return joined.withColumns({v: F.coalesce(F.col(v), F.lit(fill)) for v in as_list(values)})
+        obs = cut_lineage(obs)                                   # read twice: for its taxa and for its values
+        taxa = obs.select(*taxon_cols).distinct()
+    else:
+        schema = ", ".join(f"{_q(c)} {dict(obs.dtypes)[c]}" for c in taxon_cols)
+        taxa = obs.sparkSession.createDataFrame([tuple(lv) for lv in levels], schema)
+    chunks, blocks = max(1, -(-roster.count() // block)), max(1, -(-taxa.count() // block))
+    one_of = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = roster.withColumn("__chunk", one_of(chunks)).withColumn("__block", every(blocks))
+    columns = taxa.withColumn("__block", one_of(blocks)).withColumn("__chunk", every(chunks))
+    grid = rows.join(columns, ["__chunk", "__block"]).drop("__chunk", "__block")
+    joined = natural_join(grid, obs, how="left", on=sample_keys + taxon_cols)
+    return joined.withColumns({v: F.coalesce(F.col(v), F.lit(fill)) for v in values})

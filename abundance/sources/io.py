@@ -74,28 +74,63 @@ def read_survey_csv(spark: SparkSession, path: str | Sequence[str], types: dict[
     return df
 
 
+def _numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(value, __file, __n, __more): the lines of text files; ``__n`` counts
+    the lines of a file's first block from 0 (null in later blocks) and
+    ``__more`` tells that the file goes on after its first block. A block's
+    lines come to one task in their order, whatever the number of tasks."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"),
+        (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("__more"))
+
+    def number(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        file, n = None, 0
+        for b in batches:
+            at = b.column(2).to_numpy(zero_copy_only=False)
+            codes = b.column(1).dictionary_encode()
+            index, names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
+            key = np.where(at == 0, index, -1)                       # blocks beyond the first: -1
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
+            out = np.zeros(len(key), np.int64)
+            for s, e in zip(starts, [*starts[1:], len(key)]):
+                name = names[key[s]] if key[s] >= 0 else None
+                if name != file:
+                    file, n = name, 0
+                out[s:e] = np.arange(n, n + e - s)
+                n += e - s
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, mask=at != 0), b.column(3)], names=["value", "__file", "__n", "__more"])
+
+    return lines.mapInArrow(number, "value string, __file string, __n long, __more boolean")
+
+
 def read_tsv_with_preamble(spark: SparkSession, path: str | Sequence[str], skip: int = 4,
                            clean: bool = True, sep: str = "\t") -> DataFrame:
     """Tab-delimited exports with ``skip`` preamble lines, all text.
 
-    Files are split and read line by line, in parallel. Within a file's first
-    block the lines are numbered as they are read, which tells where the
-    header is (the first line after the preamble that is not blank); one
-    row per file, its header and that number, reaches the driver. Blank lines
-    are skipped; CRLF and LF line ends both work. Files with different headers
-    are stacked by name.
+    Files are split and read line by line, in parallel. A task numbers the
+    lines of each file's first block as it reads them, so a line's number
+    depends on its file alone and not on how tasks were made; the header is
+    the first line after the preamble that is not blank. One row per file, its
+    header and that number, reaches the driver. Blank lines are skipped; CRLF
+    and LF line ends both work. Files with different headers are stacked by
+    name. The preamble must lie within a file's first block
+    (``spark.sql.files.maxPartitionBytes``); it is an error if it does not.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"),
-                                         F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__i"))
-    begin = lines.where("__at = 0").groupBy("__file").agg(F.min("__i").alias("__first"))
-    heads = (lines.where("__at = 0").join(F.broadcast(begin), "__file")                       # one row per file
-             .where((F.col("__i") - F.col("__first") >= skip) & (F.length("value") > 0))
-             .groupBy("__file").agg(F.min("__i").alias("__head"), F.min_by("value", "__i").alias("__header")).collect())
+    lines = _numbered_lines(spark, path)
+    heads = (lines.where("__n is not null").groupBy("__file").agg(
+        F.max("__n").alias("last"), F.min_by("value", F.when((F.col("__n") >= skip) & (F.length("value") > 0), F.col("__n"))).alias("__header"),
+        F.min(F.when((F.col("__n") >= skip) & (F.length("value") > 0), F.col("__n"))).alias("__head"), F.max("__more").alias("more")).collect())
+    if any(r["more"] and r["__head"] is None for r in heads):
+        raise ValueError(f"{path}: a preamble is longer than a file block")
+    heads = [r for r in heads if r["__head"] is not None]
     if not heads:
         raise ValueError(f"{path}: no header line after {skip} preamble lines")
     known = spark.createDataFrame([(r["__file"], r["__head"], r["__header"]) for r in heads], "__file string, __head long, __header string")
     body = (lines.join(F.broadcast(known), "__file")                                          # one row per file
-            .where((F.length("value") > 0) & ((F.col("__at") > 0) | (F.col("__i") > F.col("__head"))))
+            .where((F.length("value") > 0) & (F.col("__n").isNull() | (F.col("__n") > F.col("__head"))))
             .select("__header", F.split(F.col("value"), sep).alias("__cells")))
     parts = []
     for h in sorted({r["__header"] for r in heads}):

@@ -211,3 +211,37 @@ def test_richness_na_rule(spark):
     r2 = {(x.sample, x.response): x.number
           for x in agg.abundance_richness(df, ["sample"], na_rm_richness=True).collect()}
     assert r2[("S1", "species_richness")] == 1
+
+
+def test_select_ranks_equal_sorting(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    n = 20_000
+    pdf = pd.DataFrame({"wide": np.exp(rng.normal(size=n) * 8), "ties": rng.integers(0, 3, n).astype(float), "halves": np.where(np.arange(n) < n // 2, 0.0, 1.0),
+                        "ends": np.where(np.arange(n) < 9000, -5.0, np.where(np.arange(n) < 18000, 5.0, rng.random(n))), "one": np.full(n, 7.0),
+                        "gaps": np.where(rng.random(n) < 0.3, np.nan, -rng.random(n) * 1e-300)})
+    df = spark.createDataFrame(pdf).repartition(6)
+    ranks = lambda n: [0, 1, n // 4, n // 2 - 1, n // 2, n - 1]
+    for accuracy, window in ((10_000, 50_000), (100, 50), (20, 10)):      # the small ones need several rounds
+        got = agg.select_ranks(df, list(pdf), ranks, accuracy, window)
+        for c in pdf:
+            v = np.sort(pdf[c].dropna().to_numpy())
+            assert got[c] == (len(v), {k: v[k] for k in ranks(len(v))}), (c, window)
+    assert agg.select_ranks(df.limit(0), ["one"], ranks) == {"one": (0, {})}
+
+
+def test_weighted_moments_far_from_zero_in_one_scan(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", None], 3000), "x": 1e9 + rng.normal(size=3000), "w": rng.integers(0, 4, 3000)})
+    pdf.loc[pdf.k == "b", "x"] = -3e7 + 1e-3 * rng.normal(size=(pdf.k == "b").sum())
+    out = agg.weighted_moments(spark.createDataFrame(pdf).repartition(5), ["k"], "x", "w")
+    for r in out.collect():
+        v = pdf[pdf.k.isna() if r.k is None else pdf.k == r.k]
+        x = np.repeat(v.x.to_numpy(), v.w)
+        assert abs(r.mean - x.mean()) < 1e-9 * abs(x.mean()) and abs(r.sd / x.std(ddof=1) - 1) < (2e-5 if r.k == "b" else 1e-6)
+    fresh = agg.weighted_moments(spark.range(9).selectExpr("id % 2 k", "id x", "1 w"), ["k"], "x", "w")
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "MergeJoin" not in plan and "HashJoin" not in plan and plan.count("Exchange hashpartitioning") == 2 and plan.count("Range (") == 1

@@ -69,3 +69,12 @@ def test_factor_levels_alphabetic(spark):
     df = spark.createDataFrame([("C",), ("A",), ("B",), ("A",)], "site string")
     got = sorted((r.site, r.site_level) for r in clean.factor_levels(df, "site").collect())
     assert got == [("A", 1), ("A", 1), ("B", 2), ("C", 3)]
+
+
+def test_factor_levels_of_any_number(spark):
+    df = spark.range(300_000).selectExpr("case when id % 2 = 0 then 'hot' when id % 50 = 1 then null else lpad(id, 7, '0') end v", "id", "'x' n")
+    out = clean.factor_levels(df, "v")
+    r = out.selectExpr("count(*) n", "max(v_level) top", "count(v_level) known", "count(distinct v_level) levels").first()
+    assert (r.n, r.known, r.top, r.levels) == (300_000, 294_000, 144_001, 144_001)
+    assert out.where("v = 'hot'").select("v_level").distinct().collect()[0][0] == 144_001
+    assert out.where("id = 3").first().v_level == 1

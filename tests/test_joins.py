@@ -57,3 +57,20 @@ def test_mismatch_report_keeps_row_multiplicity_and_na_keys(spark):
     b = spark.createDataFrame([("S2",), (None,), ("S3",)], "sample string")
     got = sorted((r.sample or "", r.side) for r in joins.mismatch_report(a, b).collect())
     assert got == [("S1", "left_only"), ("S1", "left_only"), ("S3", "right_only")]
+
+
+def test_zero_fill_grid_of_many_cells(spark):
+    obs = spark.range(300).selectExpr("concat('S', id % 7) sample", "concat('t', id) taxon", "id count")
+    roster = spark.range(9).selectExpr("concat('S', id) sample", "id * 2 depth")
+    out = joins.zero_fill_grid(obs, roster, ["sample"], ["taxon"], ["count"], block=4)
+    assert out.count() == 2700 == out.select("sample", "taxon").distinct().count()
+    assert out.where("count > 0").count() == 299 and out.where("depth is null").count() == 0
+    assert out.where("sample = 'S3' and taxon = 't10'").first()["count"] == 10
+    assert joins.zero_fill_grid(obs.limit(0), roster, ["sample"], ["taxon"], ["count"]).count() == 0
+
+
+def test_zero_fill_grid_of_a_million_taxa(spark):
+    obs = spark.range(1_000_000).selectExpr("'S0' sample", "id taxon", "1L count")
+    roster = spark.range(10).selectExpr("concat('S', id) sample")
+    out = joins.zero_fill_grid(obs, roster, ["sample"], ["taxon"], ["count"])
+    assert tuple(out.selectExpr("count(*)", "sum(count)").first()) == (10_000_000, 1_000_000)

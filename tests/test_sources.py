@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+import pytest
+
 from abundance.sources.io import Campaign, load_table, read_survey_csv, read_tsv_with_preamble, save_table
 
 
@@ -55,3 +57,36 @@ def test_write_csv_drops_column(spark):
     write_csv(df, out, drop=["modname"], single_file=True)
     back = spark.read.option("header", True).csv(out)
     assert back.columns == ["response", "aicc"] and back.count() == 1
+
+
+def test_tsv_lines_do_not_depend_on_the_number_of_tasks(spark, monkeypatch):
+    d = _tmp()
+    for k in range(6):
+        with open(os.path.join(d, f"f{k}.txt"), "w") as f:
+            f.write("pre\n" * 4 + "\n" + "id\tv\n" + "".join(f"{k}-{i}\t{i}\n" for i in range(350)))
+    old = {c: spark.conf.get(c, None) for c in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")}
+    try:
+        for before, after in ((1, 8), (8, 1)):
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            spark.conf.set("spark.sql.files.minPartitionNum", str(before))
+            df = read_tsv_with_preamble(spark, d)
+            spark.conf.set("spark.sql.files.minPartitionNum", str(after))        # as when executors come or go
+            assert df.count() == 2100 and df.where("id rlike '^[0-9]-[0-9]+$'").count() == 2100
+    finally:
+        for c, v in old.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
+def test_tsv_in_many_blocks(spark):
+    d = _tmp()
+    with open(os.path.join(d, "f.txt"), "w") as f:
+        f.write("pre\npre\n" + "id\tv\n" + "".join(f"r{i}\t{i}\n" for i in range(30)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "80")
+        assert sorted(r.id for r in read_tsv_with_preamble(spark, d, skip=2).collect()) == sorted(f"r{i}" for i in range(30))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+        with pytest.raises(ValueError):
+            read_tsv_with_preamble(spark, d, skip=20)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
