@@ -216,11 +216,11 @@ def poisson_glmm(df: DataFrame, response: str, terms: Sequence[str], random: Seq
     try:
         d = build_design(base, terms)
         frame, feats = _frame_with_factors(base, response, d, random)
-        start = irls(frame, [feats], [d.names], "poisson")[0]
+        start = irls(frame, [feats], [d.names], "poisson", max_iter=25 if dense is not None else 4, tol=1e-8 if dense is not None else 1e-3)[0]
         if dense is not None:
             return _fit_dense(frame, feats, d.names, random, start.coef, max_levels, max_cells, max_iter, tol, dense)
         blocks = Blocks(frame, feats, random, max_levels)
-        beta, theta, ll, it, converged = maximise(blocks, start.coef, start.cov, max_iter, tol)
+        beta, theta, ll, it, converged = maximise(blocks, start.coef, max_iter, tol)
         cov = np.linalg.inv(blocks.information(beta, theta))
         sigma = {f: float(np.exp(t)) for f, t in zip(random, theta)}
         return GlmmFit(d.names, beta, cov, sigma, float(ll), blocks.count, it, converged, blocks.mode_tables(beta, theta))

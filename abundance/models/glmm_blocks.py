@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from abundance.models.glm import LF, Y
 
 LEVELS = 512            # levels whose cross block is dense at a time
+FEW = 64                # other levels up to which tasks' sums are added on the driver
 LOW, HIGH = -12.0, 6.0  # range of a log standard deviation
 
 
@@ -110,6 +111,7 @@ class Blocks:
             self.q += len(known)
         self.frame = at.select(Y, *feats, F.col(self.large).alias("__level"), *[f"__j{k}" for k in range(len(self.others))]).cache()
         self.u = np.zeros(self.q)
+        self.spread: dict = {}          # per factor, the log sd of the modes and their variances (an EM step)
 
     def drop(self):
         self.frame.unpersist()
@@ -124,14 +126,16 @@ class Blocks:
         sums = [F.sum(e).alias("A"), F.sum(Y).alias("Sy"), F.array(*[F.sum(e * x) for x in X]).alias("B")]
         sums += [F.array(*[F.sum(e * a * b) for a in X for b in X]).alias("C")] if second else []
         cells = rows.groupBy("__level", *j).agg(*sums)
+        if not j:                                                          # a level is one cell
+            return cells.select("__level", F.array("A").alias("A"), F.array("Sy").alias("Sy"), *("B", "C")[:1 + second])
         lists = [F.collect_list(c).alias(c) for c in ("A", "Sy")] + [F.flatten(F.collect_list(c)).alias(c) for c in ("B", "C")[:1 + second]]
-        if j:
-            lists.append(F.flatten(F.collect_list(F.array(*j))).alias("J"))
+        lists.append(F.flatten(F.collect_list(F.array(*j))).alias("J"))
         return cells.groupBy("__level").agg(*lists)
 
     def totals(self, table: DataFrame, theta, work) -> dict[int, np.ndarray]:
         """``work(batch) -> {key: vector}`` over batches of levels, added up
-        per task and then per key; the driver gets one vector a key."""
+        per task and then per key; the driver gets one vector a key (with few
+        other levels, one a key and task)."""
         k, p, u, d = len(self.others), self.p, self.u, self.precision(theta)[self.large]
 
         def part(batches):
@@ -150,7 +154,14 @@ class Blocks:
             return pd.DataFrame({"k": pdf["k"].iloc[:1].to_list(), "v": [np.sum(np.stack([np.asarray(v, float) for v in pdf["v"]]), 0).tolist()]})
 
         schema = "k int, v array<double>"
-        return {r["k"]: np.array(r["v"], float) for r in table.mapInPandas(part, schema).groupBy("k").applyInPandas(add, schema).collect()}
+        sums = table.mapInPandas(part, schema)
+        if self.q > FEW:
+            sums = sums.groupBy("k").applyInPandas(add, schema)
+        out: dict = {}
+        for r in sums.collect():
+            v = np.array(r["v"], float)
+            out[r["k"]] = out[r["k"]] + v if r["k"] in out else v
+        return out
 
     def precision(self, theta) -> dict:
         return {f: float(np.exp(-2.0 * t)) for f, t in zip(self.random, theta)}
@@ -188,7 +199,7 @@ class Blocks:
                 continue
             step = np.clip(np.linalg.solve(S, t[-2] - D * self.u), -4.0, 4.0)
             last = value, self.u
-            if np.max(np.abs(step)) < 1e-8:
+            if np.max(np.abs(step)) < 1e-6:
                 break
             self.u = self.u + step
         return t[-1], S
@@ -244,7 +255,9 @@ class Blocks:
             start += self.q_of[f]
             u = self.u[here]
             g_theta[f] = d[f] * (u @ u) - self.q_of[f] + d[f] * np.trace(V[here, here]) - d[f] * (sr[here] @ u)
+            self.spread[f] = 0.5 * np.log((u @ u + np.trace(V[here, here])) / self.q_of[f])
         f = self.large
+        self.spread[f] = 0.5 * np.log((t0[p] + t0[p + 1]) / max(self.q_of[f], 1))
         g_theta[f] = d[f] * t0[p] - self.q_of[f] + d[f] * t0[p + 1] - d[f] * back[p]
         return ll, np.concatenate((self.Yx + t0[:p] + back[:p], [g_theta[f] for f in self.random]))
 
@@ -293,21 +306,22 @@ class Blocks:
         return out
 
 
-def maximise(blocks: Blocks, beta, cov, max_iter: int, tol: float):
-    """Quasi-Newton (BFGS) over (beta, theta) from the best of a few common
-    standard deviations. Returns beta, theta, log-likelihood, iterations and
+def maximise(blocks: Blocks, beta, max_iter: int, tol: float):
+    """Quasi-Newton (BFGS) over (beta, theta). Returns beta, theta, log-likelihood, iterations and
     whether it converged."""
     p, k = blocks.p, len(blocks.random)
     at = lambda x: blocks.evaluate(x[:p], x[p:])
-    best = None
-    for t in (-2.5, -1.2, -0.3):
-        x = np.concatenate((beta, np.full(k, t)))
+    x = np.concatenate((beta, np.full(k, -0.7)))
+    ll, g = at(x)
+    for _ in range(4):                  # EM steps lead near the standard deviations
+        theta = np.clip([blocks.spread[f] for f in blocks.random], LOW, HIGH)
+        near = np.max(np.abs(theta - x[p:])) < 0.1
+        x = np.concatenate((beta, theta))
         ll, g = at(x)
-        if best is None or ll > best[1]:
-            best = x, ll, g, blocks.u.copy()
-    x, ll, g, blocks.u = best
+        if near:
+            break
     H = np.zeros((p + k, p + k))
-    H[:p, :p] = cov
+    H[:p, :p] = np.linalg.pinv(blocks.information(x[:p], x[p:]))
     H[p:, p:] = np.diag([0.5 / max(blocks.q_of[f], 1) for f in blocks.random])
     for it in range(1, max_iter + 1):
         free = np.ones(p + k, bool)

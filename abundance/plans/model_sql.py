@@ -122,7 +122,7 @@ def coef_rows(name: str, model: str, terms: list[str], digits: int = 4) -> str:
     rows = []
     for i, t in enumerate(terms):
         z = f"b{i} / s{i}"
-        rows.append(f"SELECT {model} AS model, '{t}' AS term, ROUND(b{i}, {digits}) AS estimate, ROUND(s{i}, {digits}) AS se, "
-                    f"ROUND({z}, {digits}) AS z, ROUND({normal_p(z)}, {digits}) AS p, n, -2 * ll + 2 * {len(terms)} AS aic, "
+        rows.append(f"SELECT {model} AS model, '{t}' AS term, ROUND(b{i}, {digits}) + 0.0 AS estimate, ROUND(s{i}, {digits}) AS se, "
+                    f"ROUND({z}, {digits}) + 0.0 AS z, ROUND({normal_p(z)}, {digits}) AS p, n, -2 * ll + 2 * {len(terms)} AS aic, "
                     f"{len(terms)} AS df FROM {name}_fit")
     return " UNION ALL ".join(rows)

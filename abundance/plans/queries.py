@@ -30,8 +30,8 @@ def register(name: str, sql: str | None):
 
 
 def fin(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (oracle rule)."""
-    return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c)
+    """Round every double column (oracle rule); no negative zero."""
+    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)
                        for c, t in df.dtypes])
 
 
