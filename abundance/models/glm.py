@@ -67,8 +67,8 @@ class GlmFit:
         return np.sqrt(np.clip(np.diag(self.cov), 0, None))
 
     @property
-    def n_params(self) -> int:
-        return int(self.extra.get("n_params", self.p))
+    def n_params(self) -> float:
+        return self.extra.get("n_params", self.p)
 
     @property
     def aic(self) -> float:

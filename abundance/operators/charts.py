@@ -129,6 +129,17 @@ def scatter_points(df: DataFrame, x: str, y: str, fraction: float | None = None,
     return pts.sample(fraction=fraction, seed=seed) if fraction else pts
 
 
+def scatter_sample(df: DataFrame, x: str, y: str, key: Sequence[str], k: int) -> DataFrame:
+    """At most ``k`` points for a scatter plot of a table of any size: the rows
+    whose key has the smallest MD5 (ties by key), so the same rows on every
+    run and any layout. Spark plans it as a distributed top-k: a task sends k
+    rows at most. The limit is the feature here."""
+    pts = df.where(col(x).isNotNull() & col(y).isNotNull())
+    keys = as_list(key)
+    text = F.concat_ws("|", *[F.coalesce(col(c).cast("string"), F.lit("")) for c in keys])
+    return pts.orderBy(F.md5(text), *[col(c).asc_nulls_first() for c in keys], x, y).limit(k).select(*map(col, keys), col(x), col(y))
+
+
 # ---------------------------------------------------- V6 curve with bands
 
 def curve_with_se(pred: DataFrame, x: str, fit: str = "fit", se: str = "se_fit") -> DataFrame:

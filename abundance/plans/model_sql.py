@@ -20,10 +20,12 @@ FAMILIES = {
 }
 
 
-def glm_ctes(name: str, src: str, y: str, xs: list[str], group: str | None = None, steps: int = 9, family: str = "poisson") -> list[tuple[str, str]]:
+def glm_ctes(name: str, src: str, y: str, xs: list[str], group: str | None = None, steps: int = 9, family: str = "poisson",
+             penalty: dict | None = None) -> list[tuple[str, str]]:
     """CTEs (name, sql); the last is ``<name>_fit``: g, n, ll, pear (sum of
     squared Pearson residuals), b0.., s0.. (the coefficients and their standard
-    errors at dispersion one) and v0_0.. (the inverse information)."""
+    errors at dispersion one) and v0_0.. (the inverse information). ``penalty``
+    adds constants to cells (i, j) of X'WX."""
     begin, weight, working, loglik, variance = FAMILIES[family]
     p = len(xs)
     R = range(p)
@@ -38,7 +40,7 @@ def glm_ctes(name: str, src: str, y: str, xs: list[str], group: str | None = Non
         else:
             eta = " + ".join(f"b{i} * x{i}" for i in R)
             frm = f"(SELECT d.*, {eta} AS e FROM {name}_d d JOIN {solved} b ON d.g = b.g)"
-        sums = [f"sum(({weight}) * x{i} * x{j}) AS m{i}_{j}" for i in R for j in R]
+        sums = [f"sum(({weight}) * x{i} * x{j}) + {float((penalty or {}).get((i, j), 0.0))!r} AS m{i}_{j}" for i in R for j in R]
         sums += [f"sum(({working}) * x{i}) AS r{i}" for i in R]
         ident = [f"{float(i == j)} AS v{i}_{j}" for i in R for j in R] if last else []
         extra = ["count(*) AS n", f"sum({loglik}) AS ll", f"sum((y - exp(e)) * (y - exp(e)) / ({variance})) AS pear"] if last else []

@@ -1169,3 +1169,166 @@ def cover_proportions(spark, d):
                                  "number", V.HABITAT_CLASSES, long=False)
     total = F.col("total_points_annotated").cast("double")
     return fin(comp.select("sample", *[F.try_divide(F.col(c).cast("double"), total).alias(c) for c in V.HABITAT_CLASSES]))
+
+
+# ------------------------------------------- round trips of sources and sinks
+
+def _folder(spark, name):
+    import uuid
+
+    from abundance.session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
+
+
+@register("csv_round_trip", """
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer""")
+def csv_round_trip(spark, d):
+    """S1 + S4: the customers written as CSV and read back with types and a
+    missing-value sentinel."""
+    from abundance.sources.io import read_survey_csv, write_csv
+    t = V.table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    path = write_csv(t, _folder(spark, "csv"))
+    types = {c: k for c, k in t.dtypes if k != "string"}
+    return read_survey_csv(spark, path, types=types, sentinels=("NA", "BUILDING"))
+
+
+@register("tsv_round_trip", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, o_orderstatus FROM orders")
+def tsv_round_trip(spark, d):
+    """The orders written as tab-delimited files under a preamble of four
+    lines and read back, as text."""
+    from abundance.sources.io import read_tsv_with_preamble, write_tsv_with_preamble
+    t = V.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    path = write_tsv_with_preamble(t, _folder(spark, "tsv"), ["annotation export", "", "made by a tool", "rows follow"])
+    return read_tsv_with_preamble(spark, path, skip=4)
+
+
+@register("campaign_round_trip", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def campaign_round_trip(spark, d):
+    """S3 + S5: the suppliers saved as one campaign's partition beside another
+    campaign, saved again, and loaded by campaign."""
+    from abundance.sources.io import Campaign, load_table, save_table
+    t = V.table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    root = _folder(spark, "campaigns")
+    for name, rows in (("a", t.where("s_nationkey < 10")), ("b", t), ("a", t)):
+        save_table(rows, Campaign(name, root), "suppliers")
+    return load_table(spark, Campaign("a", root), "suppliers")
+
+
+@register("map_extent_saved", """SELECT sample, ROUND(lon, 6) AS lon, ROUND(lat, 6) AS lat FROM (
+  SELECT o_orderkey AS sample, (o_orderkey * 7919) % 36000 / 100.0 - 180 AS lon, (o_custkey * 104729) % 18000 / 100.0 - 90 AS lat FROM orders)
+  WHERE lon BETWEEN 100 AND 136 AND lat BETWEEN -40 AND -22""")
+def map_extent_saved(spark, d):
+    """P19 + S3: points saved along a space-filling curve, then the rows of a
+    map extent of one per cent of the globe (row groups outside are skipped)."""
+    from abundance.sources.io import save_points
+    o = V.table(spark, d, "orders")
+    pts = o.select(F.col("o_orderkey").alias("sample"), (F.pmod(F.col("o_orderkey") * 7919, F.lit(36000)) / 100.0 - 180).alias("lon"),
+                   (F.pmod(F.col("o_custkey") * 104729, F.lit(18000)) / 100.0 - 90).alias("lat"))
+    path = save_points(pts, _folder(spark, "points"), "lon", "lat")
+    return fin(clean.within_bbox(spark.read.parquet(path), "lon", "lat", (100, 136), (-22, -40)))
+
+
+@register("scatter_sample", """SELECT o_orderkey, o_custkey, ROUND(o_totalprice, 6) AS o_totalprice FROM orders
+  WHERE o_totalprice IS NOT NULL ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 2000""")
+def scatter_sample_q(spark, d):
+    """V5: a scatter plot's sample of 2,000 points at most, the same rows on
+    every run (the limit is the feature)."""
+    from abundance.operators.charts import scatter_sample as sample
+    return fin(sample(V.table(spark, d, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"], 2000))
+
+
+@register("running_total", """SELECT o_orderpriority, o_orderkey, CAST(sum(o_custkey) OVER (PARTITION BY o_orderpriority
+  ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM orders""")
+def running_total_q(spark, d):
+    """W3 over few and large groups: a two-level prefix sum."""
+    o = V.table(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_custkey")
+    return rank.running_total(o, ["o_orderpriority"], ["o_orderkey"], "o_custkey", "running", bounded=False).select("o_orderpriority", "o_orderkey", "running")
+
+
+# ------------------------------------------- selection with an oracle, penalised smooth
+
+RANKED = {"null": [], "sand": ["sand"], "turf": ["turf"], "depth_m": ["depth_m"], "sand+turf": ["sand", "turf"],
+          "sand+depth_m": ["sand", "depth_m"], "turf+depth_m": ["turf", "depth_m"]}
+_AB = ("ab", """SELECT sample, 'total_abundance' AS response, CAST(coalesce(sum(count), 0) AS DOUBLE) AS number FROM maxn GROUP BY 1
+    UNION ALL SELECT sample, 'species_richness', CAST(sum(CASE WHEN count > 0 THEN 1 ELSE 0 END) AS DOUBLE) FROM maxn GROUP BY 1""")
+_RANK_SRC = """SELECT a.response, a.number, h.depth_m / 100000.0 AS depth_m, h.sand / 100.0 AS sand, h.turf / 100.0 AS turf
+    FROM ab a JOIN habitat h ON a.sample = h.sample WHERE h.depth_m IS NOT NULL AND h.sand IS NOT NULL AND h.turf IS NOT NULL"""
+
+
+def _ranked_ctes():
+    parts, rows = [], []
+    for i, (name, xs) in enumerate(RANKED.items()):
+        parts += glm_ctes(f"k{i}", _RANK_SRC, "number", ["1.0", *xs], group="response")
+        k = 1 + len(xs)
+        rows.append(f"SELECT g AS response, '{name}' AS modname, n AS n_used, {k} AS edf, -2 * ll + 2 * {k} + 2.0 * {k} * {k + 1} / (n - {k} - 1) AS aicc FROM k{i}_fit")
+    weights = """SELECT *, aicc - min(aicc) OVER (PARTITION BY response) AS delta_aicc FROM ranked0"""
+    return [*HABITAT_CTES, *maxn_ctes(), _AB, *parts, ("ranked0", " UNION ALL ".join(rows)), ("ranked1", weights),
+            ("ranked", "SELECT *, exp(-delta_aicc / 2) / sum(exp(-delta_aicc / 2)) OVER (PARTITION BY response) AS wi_aicc FROM ranked1")]
+
+
+def _ranked(spark, d):
+    from abundance.models.select import full_subsets
+    ab = P.abundance_long(_maxn(spark, d))
+    fr = joins.natural_join(ab, _habitat(spark, d).select("sample", "depth_m", "sand", "turf"), "inner", on=["sample"])
+    fr = fr.withColumns({"depth_m": F.col("depth_m") / 100000.0, "sand": F.col("sand") / 100.0, "turf": F.col("turf") / 100.0})
+    return full_subsets(fr, "number", ["sand", "turf", "depth_m"], response="response", max_size=2, cor_cutoff=1.1, smooth=False)
+
+
+@register("subset_ranking", _with(*_ranked_ctes()) + """
+SELECT response, modname, n_used, CAST(edf AS INTEGER) AS edf, ROUND(aicc, 2) AS aicc, ROUND(delta_aicc, 2) AS delta_aicc, ROUND(wi_aicc, 4) AS wi_aicc,
+  ROUND(sum(wi_aicc) OVER (PARTITION BY response ORDER BY aicc, modname ROWS UNBOUNDED PRECEDING), 4) AS cumsum_wi FROM ranked""")
+def subset_ranking(spark, d):
+    """M7 + C15: full-subset search over three linear predictors, up to two at
+    a time, per response: AICc, delta, Akaike weights, cumulative weights."""
+    m = _ranked(spark, d).models
+    return m.select("response", "modname", "n_used", "edf", F.round("aicc", 2).alias("aicc"), F.round("delta_aicc", 2).alias("delta_aicc"),
+                    F.round("wi_aicc", 4).alias("wi_aicc"), F.round("cumsum_wi", 4).alias("cumsum_wi"))
+
+
+@register("subset_importance", _with(*_ranked_ctes(), ("p", "SELECT unnest(['sand', 'turf', 'depth_m']) AS predictor")) + """
+SELECT response AS resp_var, predictor, ROUND(coalesce(sum(wi_aicc) FILTER (WHERE list_contains(string_split(modname, '+'), predictor)), 0), 4) AS importance,
+  CASE WHEN predictor = 'sand' AND response = 'total_abundance' THEN 'X' END AS label
+FROM ranked, p GROUP BY response, predictor""")
+def subset_importance(spark, d):
+    """C14: variable importance of that search, widened to one column per
+    predictor and back to long with a label from a no-default case_when."""
+    imp = _ranked(spark, d).importance
+    wide = reshape.widen(imp, ["response"], "predictor", "importance", fill=0.0, levels=["sand", "turf", "depth_m"])
+    rule = ({"predictor": "sand", "resp_var": "total_abundance"}, "X")
+    return fin(P.importance_long(wide, "response", rename_to="resp_var", label_rule=rule), 4)
+
+
+PENALTY = 50.0
+SMOOTH_KNOTS = [0.0, 1.5, 3.0, 5.5]
+
+
+def _penalised_sql() -> str:
+    from abundance.models.spline import spline_penalty
+    t = SMOOTH_KNOTS
+
+    def cube(k):
+        return f"power(greatest(depth_m / 100000.0 - {k}, 0), 3)"
+
+    def ramp(j):
+        return f"(({cube(t[j])} - {cube(t[-1])}) / {t[-1] - t[j]})"
+
+    xs = ["1.0", "depth_m / 100000.0", *[f"{ramp(j)} - {ramp(len(t) - 2)}" for j in range(len(t) - 2)]]
+    S = spline_penalty(t)
+    add = {(i + 1, j + 1): PENALTY * S[i, j] for i in range(len(S)) for j in range(len(S))}
+    ctes = glm_ctes("m", "SELECT number, depth_m FROM frame", "number", xs, steps=12, penalty=add)
+    src = ("frame", "SELECT r.sample, r.depth_m, CAST(coalesce(s.n, 0) AS DOUBLE) AS number FROM roster_ok r "
+                    "LEFT JOIN (SELECT sample, sum(count) AS n FROM maxn GROUP BY 1) s ON r.sample = s.sample")
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS term, ROUND(b{i}, 4) + 0.0 AS estimate, ROUND(s{i}, 4) AS se FROM m_fit"
+                              for i, n in enumerate(["(Intercept)", "s(depth_m).1", "s(depth_m).2", "s(depth_m).3"]))
+    return _with(ROSTER_OK, *maxn_ctes(), src, *ctes) + rows
+
+
+@register("penalised_smooth", _penalised_sql())
+def penalised_smooth(spark, d):
+    """M6: total abundance on a penalised cubic regression spline of depth, at
+    a given smoothing parameter."""
+    from abundance.models.spline import penalised_spline_glm
+    fr = _frame(spark, d).select("number", (F.col("depth_m") / 100000.0).alias("depth_m"))
+    f = penalised_spline_glm(fr, "number", ["depth_m"], k=4, lam=PENALTY, knots={"depth_m": SMOOTH_KNOTS})
+    rows = [(t, round(b, 4) + 0.0, round(s, 4)) for t, b, s, _z, _p in f.table()]
+    return spark.createDataFrame(rows, "term string, estimate double, se double")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abundance.functions.columns import col
@@ -184,3 +184,50 @@ def write_csv(df: DataFrame, path: str, drop: Sequence[str] = (), single_file: b
         out = out.coalesce(1)
     out.write.mode("overwrite").option("header", True).csv(path)
     return path
+
+
+def z_order(lon: str, lat: str, bits: int = 16) -> Column:
+    """Place of a point on a Z-shaped curve over the globe: the bits of its
+    longitude and latitude cells in turn, so near points have near values."""
+    def spread(c, low, span):
+        cell = F.floor((F.col(c).cast("double") - low) / span * F.lit(float(1 << bits)))
+        v = F.greatest(F.least(cell, F.lit((1 << bits) - 1)), F.lit(0)).cast("long")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))          # the usual bit spreading
+        return v
+
+    return spread(lon, -180.0, 360.0).bitwiseOR(F.shiftleft(spread(lat, -90.0, 180.0), 1))
+
+
+def save_points(df: DataFrame, path: str, lon: str, lat: str, group_bytes: int = 16 << 20, files: int | None = None) -> str:
+    """Write a point table so that an extent filter (``clean.within_bbox``)
+    reads little: rows are range-partitioned and sorted along ``z_order``, and
+    Parquet's minima and maxima of longitude and latitude then let a reader
+    skip row groups outside the extent. Points without a place come first."""
+    z = z_order(lon, lat)
+    laid = df.withColumn("__z", z)
+    laid = laid.repartitionByRange(files, "__z") if files else laid.repartitionByRange("__z")
+    (laid.sortWithinPartitions("__z").drop("__z").write.mode("overwrite")
+     .option("parquet.block.size", group_bytes).option("parquet.page.size", min(group_bytes, 1 << 20)).parquet(path))
+    return path
+
+
+def write_tsv_with_preamble(df: DataFrame, path: str, preamble: Sequence[str] = ("", "", "", ""), sep: str = "\t") -> str:
+    """Tab-delimited files as an annotation tool exports them: each file has
+    the preamble lines, a header and its rows (missing: empty)."""
+    head = "\n".join([*preamble, sep.join(df.columns)])
+    cells = F.concat_ws(sep, *[F.coalesce(col(c).cast("string"), F.lit("")) for c in df.columns])
+    rows = df.select(cells.alias("value"))
+
+    def with_head(batches):
+        import pyarrow as pa
+
+        first = True
+        for b in batches:
+            if first and b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([head], b.schema.field(0).type)], schema=b.schema)
+                first = False
+            yield b
+
+    rows.mapInArrow(with_head, "value string").write.mode("overwrite").text(path)
+    return path

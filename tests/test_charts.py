@@ -16,3 +16,11 @@ def test_hist_right_closed_empty_kept(spark):
 def test_rescale(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (None,)], "x double")
     assert [r.x_pos for r in charts.rescale(df, "x").collect()] == [0.0, 1.0, None]
+
+
+def test_scatter_sample_is_the_same_rows_on_any_layout(spark):
+    from abundance.operators.charts import scatter_sample
+    df = spark.range(1000).selectExpr("id k", "case when id % 10 = 0 then null else id * 1.5 end x", "id % 7 y")
+    a, b = (sorted(map(tuple, scatter_sample(df.repartition(n), "x", "y", ["k"], 50).collect())) for n in (1, 9))
+    assert a == b and len(a) == 50
+    assert scatter_sample(df, "x", "y", ["k"], 5000).count() == 900

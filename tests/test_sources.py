@@ -90,3 +90,26 @@ def test_tsv_in_many_blocks(spark):
             read_tsv_with_preamble(spark, d, skip=20)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_points_on_a_curve_prune_row_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from abundance.operators.clean import within_bbox
+    from abundance.sources.io import save_points
+    df = spark.range(200_000).selectExpr("id", "pmod(hash(id), 36000) / 100.0 - 180 lon", "pmod(hash(id + 7), 18000) / 100.0 - 90 lat")
+    path = save_points(df, os.path.join(_tmp(), "points"), "lon", "lat", group_bytes=32_000, files=8)
+    extent = ((100, 136), (-40, -22))                                   # a hundredth of the globe
+    assert within_bbox(spark.read.parquet(path), "lon", "lat", *extent).count() == within_bbox(df, "lon", "lat", *extent).count() > 0
+    read = groups = 0
+    for f in glob.glob(path + "/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            cols = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c).statistics for c in range(meta.num_columns)}
+            groups += 1
+            read += all(float(cols[k].max) >= lo and float(cols[k].min) <= hi for k, (lo, hi) in zip(("lon", "lat"), extent))
+    assert groups > 40 and read < groups / 10
+    odd = spark.createDataFrame([(1, None, 2.0), (2, 500.0, -95.0), (3, float("nan"), 0.0)], "id int, lon double, lat double")
+    assert spark.read.parquet(save_points(odd, os.path.join(_tmp(), "odd"), "lon", "lat")).count() == 3
