@@ -4,7 +4,7 @@ The fits' state is a table: one row per group with its coefficients. A pass
 joins the rows with their group's coefficients, sums X'WX, X'Wz, deviance and
 log-likelihood per group (JVM sums that combine before their shuffle) and
 solves the p x p systems of the groups batch by batch. Groups that have
-converged leave; the others' new state is written to the checkpoint folder.
+converged leave; the others' new state is written to the shared folder.
 Nothing of a group reaches the driver, only the number of groups still active.
 
 The model rows are laid out once by (group, salt): a group with more than one
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from abundance.functions.stats import norm_two_sided_p
 from abundance.models.design import build_design, design_columns, model_input
 from abundance.models.glm import ETA_MAX, LF, Y, _family_parts, _start_eta, _variance, model_frame
-from abundance.session import cut_lineage
+from abundance.session import cut_lineage, write_table
 
 SHARE = 10_000          # more than one row in this many makes a group hot: at most this many hot groups
 ACTIVE, CONVERGED, FAILED = 0, 1, 2
@@ -160,7 +160,7 @@ def glm_by_group(df: DataFrame, group: str, response: str, terms: Sequence[str],
     done = None
     for it in range(max_iter + 1):
         sums = _pass(rows, state, hot, feats[0], family)
-        moved = cut_lineage(state.join(sums, "__g").withColumn("__status", F.lit(ACTIVE))
+        moved = write_table(state.join(sums, "__g").withColumn("__status", F.lit(ACTIVE))
                             .select("__g", "__beta", "__last", "__dev", "__halved", "__it", "__v", "__status")
                             .mapInPandas(_advance(p, tol, it == max_iter), schema))
         ready = moved.where(F.col("__status") != ACTIVE)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,3 +75,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def write_table(df: DataFrame) -> DataFrame:
+    """Write to Parquet in the shared folder and read back: ``cut_lineage`` for
+    loops. A checkpointed table keeps the planner's size estimate, a product
+    over all joins of all rounds; files have a size of their own."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
