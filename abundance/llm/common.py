@@ -31,12 +31,14 @@ def worker_store() -> dict:
     return vars(sys).setdefault("_abundance_worker_store", {})
 
 
-def map_rows(df: DataFrame, column: str, fields: list[T.StructField], make) -> DataFrame:
+def map_rows(df: DataFrame, column: str, fields: list[T.StructField], make, group_bytes: int = 0) -> DataFrame:
     """Add ``fields`` computed from one column by a function on Arrow arrays.
 
     ``make()`` runs once per task and returns ``f(array) -> list of arrays``
     (one per field); an attribute ``f.done`` is called when the task ends. All other columns pass through; input columns that have
-    the name of a new field are replaced. No shuffle.
+    the name of a new field are replaced. No shuffle. ``group_bytes``: ``f``
+    sees batches joined up to about that size instead of small slices, for
+    functions that cost much per call.
     """
     names = {f.name.lower() for f in fields}
     keep = [c for c in df.columns if c.lower() not in names]
@@ -49,9 +51,22 @@ def map_rows(df: DataFrame, column: str, fields: list[T.StructField], make) -> D
         import pyarrow as pa
 
         f = make()
-        for whole in batches:
-            for k in range(0, whole.num_rows, SLICE):  # small pieces bound the memory of inputs and results
-                b = whole.slice(k, SLICE)
+
+        def joined():
+            some, size = [], 0
+            for b in batches:
+                some.append(b)
+                size += b.nbytes
+                if size >= group_bytes:
+                    yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+                    some, size = [], 0
+            if some:
+                yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+
+        for whole in joined() if group_bytes else batches:
+            step = max(whole.num_rows, 1) if group_bytes else SLICE  # small pieces bound the memory of inputs and results
+            for k in range(0, whole.num_rows, step):
+                b = whole.slice(k, step)
                 out = f(b.column(b.schema.names.index(inner)))
                 old = [(n, b.column(i)) for i, n in enumerate(b.schema.names) if n != "__in"]
                 yield pa.RecordBatch.from_arrays([c for _, c in old] + list(out), names=[n for n, _ in old] + new)

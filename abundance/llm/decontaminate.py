@@ -2,18 +2,24 @@ r"""Benchmark decontamination (operator 10).
 
 Method: one Aho-Corasick automaton over the normalised benchmark items. Text
 and items are normalised alike (A-Z lower-cased, words are runs of characters
-outside ``[\x00-\x2F\x3A-\x60\x7B-\x7F]``); an item gives one pattern per
-window of ``width`` consecutive words, and an item with fewer words (but not
-none) is one pattern. The automaton's alphabet is the benchmark's vocabulary:
-a document is scanned once as a sequence of word numbers, every word outside
-the vocabulary being number 0. Word offsets are mapped back to code points of
-the original text for documents that have a match.
-
-Scale: documents are never shuffled. The items reach the workers as a
-broadcast whose size is measured first: items are dealt into blocks of at most
-``block_bytes`` of text, one automaton each, and the documents are scanned
-once per block, so a benchmark of any size works with bounded memory. (One
-block of 64 MB holds every benchmark in use; then there is a single pass.)
+outside ``[\x00-\x2F\x3A-\x60\x7B-\x7F]``). The automaton's alphabet is the
+benchmark's vocabulary: a document is scanned once as a sequence of word
+numbers, every word outside the vocabulary being number 0. Its patterns are
+the items' aligned blocks of ``(width + 1) // 2`` words (7 of 13), as any window
+of ``width`` words holds a whole block; around a block found, the words of
+document and item are compared, up to a window's reach on either side, and
+where they agree over ``width`` words or more the windows occur. That takes one
+automaton node per word of the benchmark, where a pattern per window takes
+``width``. An item with fewer words than a window (but not none) is one
+pattern. Word offsets are mapped back to code points of the original text for
+documents that have a match.
+
+Scale: documents are never shuffled. The items reach the workers as broadcasts
+whose size is measured first: items are dealt into blocks of at most
+``block_bytes`` of text (or one item), one automaton each. With one block there
+is a single pass. With several, a task joins its rows to groups of
+``GROUP_BYTES`` and scans a group once per block, so one automaton is held at a
+time; beside it a worker keeps the blocks' texts. README gives the memory.
 
 Defined cases: null or empty text has no words and no hits; items without
 words are never found; an item id may repeat (its rows are one item) and an
@@ -32,6 +38,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from abundance.llm.common import as_bytes, drop_clashes, map_rows, worker_store
 
+GROUP_BYTES = 32 << 20
 WORD_IN_TEXT = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
 
 
@@ -52,16 +59,28 @@ class Scanner:
         import ahocorasick
 
         table = normalising_table()
-        self.number, patterns = {}, {}
+        self.width, self.block = width, (width + 1) // 2
+        self.number, self.names, self.words, places = {}, [], [], {}
         for item, text in items:
-            words = text.translate(table).split()
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words]
-            for k in range(max(1, len(ids) - width + 1) if ids else 0):
-                patterns.setdefault(tuple(ids[k:k + width]), set()).add(item)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, names in patterns.items():
-            self.automaton.add_word(key, (len(key), frozenset(names)))
-        self.any = bool(patterns)
+            ids = [self.number.setdefault(w, len(self.number) + 1) for w in text.translate(table).split()]
+            if not ids:
+                continue
+            size = self.block if len(ids) >= width else len(ids)
+            for k in range(0, len(ids) - size + 1 if size == self.block else 1, size):
+                places.setdefault(tuple(ids[k:k + size]), []).append((len(self.names), k))
+            self.names.append(item)
+            self.words.append(np.array(ids, np.int32))
+        self.any = bool(places)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.size, self.first, where = [], [], []
+        while places:                       # emptied as it is read: the patterns are held once
+            key, at = places.popitem()
+            self.automaton.add_word(key, len(self.size))
+            self.size.append(len(key))
+            self.first.append(len(where))
+            where.extend(at)
+        self.first.append(len(where))
+        self.where = np.array(where, np.int32).reshape(-1, 2)
         if self.any:
             self.automaton.make_automaton()
 
@@ -70,30 +89,43 @@ class Scanner:
         if not self.any or not words:
             return None, set()
         get = self.number.get
-        steps, found = None, set()
-        for end, (size, names) in self.automaton.iter(tuple([get(w, 0) for w in words])):
-            if steps is None:
-                steps = np.zeros(len(words) + 1, dtype=np.int64)
-            steps[end - size + 1] += 1
-            steps[end + 1] -= 1
-            found |= names
+        ids = tuple([get(w, 0) for w in words])
+        steps, found, n = None, set(), len(ids)
+        for end, k in self.automaton.iter(ids):
+            size = self.size[k]
+            for i, p in self.where[self.first[k]:self.first[k + 1]].tolist():
+                item = self.words[i]
+                a, b = end - size + 1, end + 1
+                if len(item) >= self.width:
+                    reach = self.width - size
+                    q, stop = p, max(0, p - reach)
+                    while q > stop and a > 0 and item[q - 1] == ids[a - 1]:
+                        q, a = q - 1, a - 1
+                    q, stop = p + size, min(len(item), p + size + reach)
+                    while q < stop and b < n and item[q] == ids[b]:
+                        q, b = q + 1, b + 1
+                    if b - a < self.width:
+                        continue
+                if steps is None:
+                    steps = np.zeros(n + 1, dtype=np.int64)
+                steps[a] += 1
+                steps[b] -= 1
+                found.add(self.names[i])
         return (None if steps is None else np.cumsum(steps[:-1]) > 0), found
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[bytes]:
-    """The items as pickled blocks of bounded size, each fetched by itself."""
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
+    """The items as pickled blocks of bounded size, fetched one at a time."""
     b = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).where("length(t) > 0")
     n = b.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     blocks = int(-(-n // block_bytes)) or 1
-    out = []
     for k in range(blocks):
         part = b if blocks == 1 else b.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k)
-        out.append(pickle.dumps([(r["i"], bytes(r["t"])) for r in part.toLocalIterator()]))
-    return out
+        yield pickle.dumps([(r["i"], bytes(r["t"])) for r in part.toLocalIterator()])
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
-                       item_text: str = "text", width: int = 13, block_bytes: int = 64 << 20) -> DataFrame:
+                       item_text: str = "text", width: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
     """Add to every document: ``n_words``, ``n_hit`` (words inside an
     occurrence of a window), ``items`` (array of the item ids found, as
     strings) and ``spans`` (array of struct<start,end> in code points of the
@@ -145,7 +177,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
         return run
 
-    return map_rows(docs, text, fields, make)
+    return map_rows(docs, text, fields, make, GROUP_BYTES if len(shared) > 1 else 0)
 
 
 def flag(found: DataFrame, share: int = 20) -> DataFrame:

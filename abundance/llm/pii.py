@@ -34,7 +34,8 @@ likewise. Words are counted over the corpus for those pairs only whose evidence
 could suffice if their term occurred nowhere else. The disclosing terms are broadcast only
 if there are at most ``BROADCAST_TERMS`` of them (they are counted first);
 otherwise documents' terms meet them in a shuffled join. Texts are shuffled
-only if some term discloses.
+only if some term discloses, and then copies of a frequent text are dealt out
+(``joins.spread_join``).
 
 Defined cases: null and empty texts have no spans. Repeated rows are counted
 and treated like other rows. Null ids are kept; only the id and text columns
@@ -51,6 +52,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from abundance.operators.joins import spread_join
 from abundance.session import cut_lineage
 
 # The base patterns of the four kinds, in their order.
@@ -144,7 +146,7 @@ def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPO
     for p in PATTERNS.values():
         bare = F.regexp_replace(bare, p, " ")
     held = cut_lineage(held.select("doc", F.xxhash64("line").alias("line"), entities(F.col("spans")).alias("entities"),
-                                   F.array_distinct(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0))).alias("terms")))
+                                   F.array_distinct(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0))).alias("terms")).dropDuplicates(["doc", "line"]))
     # Documents of an entity: rows, not different texts, so that n_e, n_te and n_t count alike.
     copies = docs.groupBy(F.xxhash64("text").alias("doc")).agg(F.count("*").alias("copies"))
     near = held.select("doc", "line", "terms", F.explode("entities").alias("e")).join(copies, "doc")
@@ -187,7 +189,9 @@ def with_spans(docs: DataFrame, terms: DataFrame | None = None, alpha: float = A
     has = whole.select(F.xxhash64("text").alias("__key"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("term"))
     of_doc = has.distinct().join(side, "term", "left_semi") if n > BROADCAST_TERMS else has.join(side, "term", "left_semi").distinct()
     of_doc = of_doc.groupBy("__key").agg(F.sort_array(F.collect_list("term")).alias("__terms"))
-    d = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit("")))).join(of_doc, "__key", "left").drop("__key")
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    counts = cut_lineage(keyed.groupBy("__key").agg(F.count("*").alias("__n")))
+    d = spread_join(keyed, of_doc, "__key", "left", counts=counts).drop("__key")
     text = F.coalesce("text", F.lit(""))
     d = d.withColumn("__base", base_spans(text))
     extra = F.filter(matches(text, term_pattern(F.col("__terms")), 4), lambda t: ~F.exists(

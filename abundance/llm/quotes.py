@@ -12,7 +12,7 @@ Reply order: ``root`` is the first message of the thread and ``depth`` the
 number of replies above a message; sorted by (root, depth, turn), every
 message comes after the one it answers. Both are found by pointer doubling:
 as many rounds as the logarithm of the longest chain, each one join on the
-message's key and a checkpoint.
+message's key and a written table.
 
 Scale: parsing is done by column functions without a shuffle. The origin of a
 line is one ``min`` per (conversation, hash), combined before its shuffle, so
@@ -32,7 +32,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from abundance.session import cut_lineage
+from abundance.session import cut_lineage, write_table
 
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
 ATTRIBUTION = r"(?i)^.*\bwrote:\s*$"
@@ -89,7 +89,7 @@ def threads(reply: DataFrame) -> DataFrame:
     settled = active.limit(0)
     while True:
         above = active.union(settled).select("conv_id", F.col("turn").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"))
-        joined = cut_lineage(active.join(above, ["conv_id", "root"], "left"))
+        joined = write_table(active.join(above, ["conv_id", "root"], "left"))
         settled = settled.union(joined.where("up is null").select(*cols))
         active = joined.where("up is not null").select("conv_id", "turn", F.col("up").alias("root"), (F.col("depth") + F.col("more")).alias("depth"))
         if active.isEmpty():

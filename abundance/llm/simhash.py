@@ -21,7 +21,9 @@ buckets, 16 bytes an entry. Within a key's members, links are searched
 breadth-first from the smallest fingerprint against those not yet reached, and
 only the links that reach something new are kept (a spanning forest), so a
 crowd of near copies gives as many links as members, never all pairs, and no
-link between components is lost. Components come from ``components``.
+link between components is lost. Components come from ``components``; the
+rows of a frequent fingerprint and of a large component are dealt out where
+they are joined to their component's id (``joins.spread_join``).
 
 Defined cases: null and empty texts have the fingerprint zero, which links
 like any other. Documents without id are grouped like others; their
@@ -37,6 +39,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from abundance.llm.common import SLICE, as_bytes, run_starts, shuffle_partitions
 from abundance.llm.components import connected_components
+from abundance.operators.joins import spread_join
 from abundance.session import cut_lineage
 
 BUCKET_ENTRIES = 1 << 20  # table entries that a bucket is planned for
@@ -162,13 +165,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     and component_id (the smallest doc_id reachable over links, itself
     included)."""
     fps = cut_lineage(fingerprints(docs, doc_id, text, shingle))
-    groups = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    groups = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("__n")))
     comp = connected_components(links(groups, bits))
-    rooted = groups.join(comp, groups["fp"] == comp["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = cut_lineage(groups.join(comp, groups["fp"] == comp["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    least = cut_lineage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("__n")))
+    of_fp = spread_join(rooted.select("fp", "root"), least.drop("__n"), "root", "inner", counts=least.drop("component_id")).select("fp", "component_id")
+    whole = spread_join(fps, of_fp, "fp", "inner", counts=groups.select("fp", "__n"))
+    return whole.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:

@@ -168,3 +168,29 @@ def test_decontaminate_table(spark):
     got = Q.op10_decontaminate(spark, SF).collect()
     want = brute.contamination(table(spark, "documents", "doc_id", "text"), table(spark, "benchmark", "item_id", "text"), 13)
     assert sorted((str(r[0]), *r[1:]) for r in got) == want
+
+
+def test_contamination_by_blocks_equals_windows():
+    """Aligned blocks and comparison around them against plain windows."""
+    rnd = random.Random(11)
+    word = lambda: rnd.choice("abcd")
+    for width in (2, 3, 13):
+        items = [(str(i), " ".join(word() for _ in range(rnd.randrange(0, 4 * width))).encode()) for i in range(12)]
+        scanner = decontaminate.Scanner(items, width)
+        for _ in range(150):
+            words = [word().encode() if rnd.random() < 0.95 else b"other" for _ in range(rnd.randrange(0, 60))]
+            for _, t in rnd.sample(items, 2):
+                k = rnd.randrange(0, len(words) + 1)
+                w = t.split()
+                words[k:k] = w[rnd.randrange(0, len(w) + 1):][:rnd.randrange(0, 3 * width)]
+            hit, names = set(), set()
+            for name, t in items:
+                w = t.split()
+                for q in range(max(1, len(w) - width + 1) if w else 0):
+                    win = w[q:q + width]
+                    for x in range(len(words) - len(win) + 1):
+                        if words[x:x + len(win)] == win:
+                            hit.update(range(x, x + len(win)))
+                            names.add(name)
+            flags, found = scanner.scan(words)
+            assert found == names and hit == (set() if flags is None else set(np.flatnonzero(flags).tolist()))
