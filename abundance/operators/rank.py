@@ -112,22 +112,31 @@ def running_sums(df: DataFrame, partition: Sequence[str], order: Sequence, sums:
     spread over as many ranges as it fills. Rows that tie in ``order`` share a
     range; give a last column that tells them apart if many do.
     """
+    return _running(df, partition, order, sums, parts, F.sum, lambda before, here: before + F.coalesce(here, F.lit(0)))
+
+
+def running_max(df: DataFrame, partition: Sequence[str], order: Sequence, values: dict, parts: int | None = None) -> DataFrame:
+    """``running_sums`` with the largest value so far in place of the sum."""
+    return _running(df, partition, order, values, parts, F.max, F.greatest)
+
+
+def _running(df, partition, order, values, parts, fold, join) -> DataFrame:
     from abundance.session import cut_lineage
     keys = as_list(partition)
     ranges = [*map(col, keys), *order]
     placed = df.repartitionByRange(parts, *ranges) if parts else df.repartitionByRange(*ranges)
     placed = cut_lineage(placed.withColumn("__part", F.spark_partition_id()))
     inside = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    names = {out: f"__before{i}" for i, out in enumerate(sums)}
-    pieces = placed.groupBy("__part", *keys).agg(*[F.sum(col(v)).alias(names[out]) for out, v in sums.items()])
+    names = {out: f"__before{i}" for i, out in enumerate(values)}
+    pieces = placed.groupBy("__part", *keys).agg(*[fold(col(v)).alias(names[out]) for out, v in values.items()])
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     carry = (pieces.select(F.col("__part").alias("__at"), *[col(k).alias(f"__key{i}") for i, k in enumerate(keys)],
-                           F.count("*").over(earlier).alias("__n"), *[F.sum(b).over(earlier).alias(b) for b in names.values()])
+                           F.count("*").over(earlier).alias("__n"), *[fold(b).over(earlier).alias(b) for b in names.values()])
              .where("__n > 0").drop("__n"))                                                  # fewer rows than ranges
     same = F.col("__part") == F.col("__at")
     for i, k in enumerate(keys):
         same &= col(k).eqNullSafe(F.col(f"__key{i}"))
-    summed = placed.withColumns({out: F.sum(col(v)).over(inside) for out, v in sums.items()})
-    both = summed.join(F.broadcast(carry), same, "left")
-    total = {out: F.when(F.col(b).isNull(), col(out)).otherwise(F.col(b) + F.coalesce(col(out), F.lit(0))) for out, b in names.items()}
-    return both.select(*[col(c) for c in df.columns if c not in sums], *[x.alias(out) for out, x in total.items()])
+    folded = placed.withColumns({out: fold(col(v)).over(inside) for out, v in values.items()})
+    both = folded.join(F.broadcast(carry), same, "left")
+    total = {out: F.when(F.col(b).isNull(), col(out)).otherwise(join(F.col(b), col(out))) for out, b in names.items()}
+    return both.select(*[col(c) for c in df.columns if c not in values], *[x.alias(out) for out, x in total.items()])
