@@ -97,13 +97,24 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 OP4 = r"""
 WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 key AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL),
-own AS (SELECT conv_id, turn, trim(regexp_replace(lower(l), '[ \t-\r]+', ' ', 'g')) AS l
-    FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l FROM t)),
-said AS (SELECT conv_id, l, min(turn) AS origin FROM own WHERE length(l) >= 2 GROUP BY ALL),
-quoted AS (SELECT DISTINCT t.conv_id, t.turn, q.l FROM t JOIN (SELECT conv_id, turn, trim(regexp_replace(lower(l), '[ \t-\r]+', ' ', 'g')) AS l
-    FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l FROM key)) q ON t.conv_id = q.conv_id AND t.turn = q.turn + 1 WHERE length(q.l) >= 2),
-counted AS (SELECT q.conv_id, q.turn, s.origin, count(*) AS n FROM quoted q JOIN said s ON q.conv_id = s.conv_id AND q.l = s.l
-    WHERE s.origin < q.turn GROUP BY ALL),
+own AS (SELECT *, sum(CASE WHEN l = '' THEN 1 ELSE 0 END) OVER (PARTITION BY m ORDER BY i) AS part FROM (
+    SELECT m, conv_id, turn, i, trim(regexp_replace(lower(ls[i]), '[ \t-\r]+', ' ', 'g')) AS l FROM (
+    SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT row_number() OVER () AS m, conv_id, turn, string_split(text, chr(10)) AS ls FROM t)))),
+said AS (SELECT DISTINCT conv_id, turn, p FROM (
+    SELECT conv_id, turn, string_agg(l, chr(10) ORDER BY i) AS p FROM own WHERE l <> '' GROUP BY m, conv_id, turn
+    UNION ALL SELECT conv_id, turn, string_agg(l, chr(10) ORDER BY i) FROM own WHERE l <> '' GROUP BY m, conv_id, turn, part
+    UNION ALL SELECT conv_id, turn, l FROM own WHERE l <> '')),
+lines AS (SELECT conv_id, turn, i, trim(regexp_replace(lower(ls[i]), '[ \t-\r]+', ' ', 'g')) AS l FROM (
+    SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM key WHERE text IS NOT NULL))),
+passages AS (SELECT conv_id, turn + 1 AS turn, string_agg(l, chr(10) ORDER BY i) AS p, count(DISTINCT l) AS n, list(DISTINCT l) AS ls
+    FROM lines WHERE l <> '' GROUP BY ALL),
+whole AS (SELECT q.conv_id, q.turn, q.p, any_value(n) AS n, any_value(ls) AS ls, max(s.turn) AS origin FROM
+    (SELECT DISTINCT x.* FROM passages x JOIN t USING (conv_id, turn)) q
+    LEFT JOIN said s ON s.conv_id = q.conv_id AND s.p = q.p AND s.turn < q.turn GROUP BY q.conv_id, q.turn, q.p),
+each AS (SELECT q.conv_id, q.turn, q.l, max(s.turn) AS origin FROM (SELECT conv_id, turn, unnest(ls) AS l FROM whole WHERE origin IS NULL) q
+    JOIN said s ON s.conv_id = q.conv_id AND s.p = q.l AND s.turn < q.turn GROUP BY ALL),
+counted AS (SELECT conv_id, turn, origin, CAST(sum(n) AS BIGINT) AS n FROM (SELECT conv_id, turn, origin, n FROM whole WHERE origin IS NOT NULL
+    UNION ALL SELECT conv_id, turn, origin, 1 FROM each) GROUP BY ALL),
 reply AS (SELECT conv_id, turn, arg_max(origin, (n, origin)) AS reply_to, CAST(sum(n) AS BIGINT) AS n_quotes FROM counted GROUP BY ALL),
 climb AS (SELECT conv_id, turn, reply_to AS root, CAST(1 AS BIGINT) AS depth FROM reply
     UNION ALL SELECT c.conv_id, c.turn, r.reply_to, c.depth + 1 FROM climb c JOIN reply r ON c.conv_id = r.conv_id AND c.root = r.turn),

@@ -164,7 +164,7 @@ def redact(text, spans):
     return text if not spans else "".join(out) + text[at:]
 
 
-def conversations(rows, min_chars=2):
+def conversations(rows):
     """(conv, turn, reply_to, root, depth, n_quotes, text) from (conv, turn, text)."""
     def parse(t):
         out = []
@@ -173,30 +173,53 @@ def conversations(rows, min_chars=2):
             out.append((m[1].count(">"), line[m.end():]) if m else (0, line))
         return out
 
+    def led(lines, i):
+        return i + 1 < len(lines) and lines[i + 1][0] > lines[i][0] and re.match(r"(?i)^.*\bwrote:\s*$", lines[i][1])
+
     def norm(b):
         return re.sub(r"[ \t-\r]+", " ", b.lower()).strip(" ")
 
-    said, parsed = {}, [(c, t, parse(x)) for c, t, x in rows]
-    for c, t, lines in parsed:
-        for level, b in lines:
-            if c is not None and t is not None and not level and len(norm(b)) >= min_chars:
-                said[c, norm(b)] = min(said.get((c, norm(b)), t), t)
-    quotes = {}
+    def passages(lines):
+        """(level, lines) of consecutive lines of one level, attributions out."""
+        out = []
+        for level, b in [x for i, x in enumerate(lines) if not led(lines, i)]:
+            if not out or out[-1][0] != level:
+                out.append((level, []))
+            out[-1][1].append(norm(b))
+        return out
+
+    parsed = [(c, t, parse(x)) for c, t, x in rows]
+    says = {}
     for c, t, lines in parsed:
-        if c is not None and t is not None:
-            quotes.setdefault((c, t), set()).update((level, norm(b)) for level, b in lines if level and len(norm(b)) >= min_chars)
+        own = [p for level, p in passages(lines) if not level]
+        spoken = [[b for p in own for b in p]] + own + [[b] for p in own for b in p]
+        for p in own:
+            spoken += [part.split("\n") for part in re.split("\n\n+", "\n".join(p))]
+        for p in spoken:
+            if any(p):
+                says.setdefault((c, "\n".join(filter(None, p))), set()).add(t)
+
+    def origin(c, t, p):
+        return max((u for u in says.get((c, p), ()) if u is not None and u < t), default=None)
+
     reply = {}
-    for (c, t), q in quotes.items():
-        n = {}
-        for level, b in q:
-            o = said.get((c, b))
-            if level == 1 and o is not None and o < t:
-                n[o] = n.get(o, 0) + 1
+    for c, t in {(c, t) for c, t, _ in parsed if c is not None and t is not None}:
+        n, units = {}, set()
+        for cc, tt, lines in parsed:
+            if (cc, tt) == (c, t):
+                for level, p in passages(lines):
+                    p = [b for b in p if b]
+                    if level == 1 and p:
+                        units |= {("\n".join(p), len(set(p)))} if origin(c, t, "\n".join(p)) is not None else {(b, 1) for b in p}
+        for p, k in units:
+            o = origin(c, t, p)
+            if o is not None:
+                n[o] = n.get(o, 0) + k
         if n:
             reply[c, t] = (max(n, key=lambda o: (n[o], o)), sum(n.values()))
     out = []
     for c, t, lines in parsed:
-        own = [b for i, (level, b) in enumerate(lines) if not level and not (re.match(r"(?i)^.*\bwrote:\s*$", b) and i + 1 < len(lines) and lines[i + 1][0])]
+        own = [b for i, (level, b) in enumerate(lines) if not level and not (led(lines, i))]
         root, depth = t, 0
         while (c, root) in reply:
             root, depth = reply[c, root][0], depth + 1

@@ -77,6 +77,14 @@ def test_quotes_equal_brute(spark):
     assert quotes.conversations(df.limit(0)).count() == 0
 
 
+def test_quotes_of_repeated_and_short_messages(spark):
+    rows = [(1, 0, "yes"), (1, 1, "Which one?"), (1, 2, "yes"), (1, 3, "> yes\ndone"), (2, 0, "B"), (2, 1, "> B\nright"),
+            (3, 0, "first line\nsecond line\n\nthird"), (3, 1, "second line"), (3, 2, "> first line\n> second line\nto both"), (3, 3, "> second line\n> unknown\nx"),
+            (4, 0, "a b\n\nc"), (4, 1, "c\n\na b"), (4, 2, "> a b\n>\n> c\nwhole"), (4, 3, "> c\n>\n> a b")]
+    got = {(r.conv_id, r.turn): r.reply_to for r in quotes.conversations(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 3] == 2 and got[2, 1] == 0 and got[3, 2] == 0 and got[3, 3] == 1 and got[4, 2] == 0 and got[4, 3] == 1
+
+
 def test_quotes_table(spark):
     turns = {(c, t): x for c, t, x in table(spark, "conversations", "conv_id", "turn", "text")}
     rows = []
