@@ -11,16 +11,22 @@ named by Spark; readers know the format by its content.
 
 Reader: a file is read member by member (gzip) or record by record (plain).
 A member fails its check if it does not decompress to its end with a right
-CRC, or does not hold one record: version line, headers, Content-Length, end
-marks, and a payload that has the digest it claims. After a failure the reader
-searches for the next place where a valid member or version line begins, goes
-on there, and logs the bytes between as a quarantined gap. Decompression is
-fed in blocks, so a file costs time linear in its size.
+CRC; a record fails if it is not whole: version line, headers (folded lines
+too), Content-Length, end marks, and a payload that has the SHA-1 digest it
+claims (base 32 or hexadecimal, in any case). A member's content is searched in
+the same way, so many records in one member are read, and what a broken member
+gives before its error is searched too. After a failure the reader searches for
+the next place where a valid member or version line begins, goes on there, and
+logs the bytes between as a quarantined gap; a gap inside a member's content is
+logged by its place there. Decompression is fed in blocks, so a file costs time
+linear in its size.
 
 Scale: payloads are compared by SHA-1 in one aggregate (combined before its
-shuffle) and one join by digest; many copies of a payload are split by
-adaptive execution like any skewed join. Files hold at most ``MAX_RECORDS``
-records, so a reading task's memory is bounded by the file size.
+shuffle) and joined by digest with frequent payloads dealt out
+(``joins.spread_join``), so copies of an empty page are spread. Members are
+bundled into rows of about ``BUNDLE`` bytes and a file holds ``BUNDLES`` rows
+(a long member counts for as many as it is long), so files stay below about
+``BUNDLE * BUNDLES`` bytes and one member, which bounds a reading task's memory.
 
 Defined cases: null payloads are empty; null urls are left out; null page ids
 count as larger than any id (pages with equal payloads and no id at all are
@@ -38,7 +44,12 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-MAX_RECORDS = 20_000
+from abundance.llm.common import SLICE
+from abundance.operators.joins import spread_join
+from abundance.session import cut_lineage
+
+BUNDLE = 4 << 20
+BUNDLES = 16
 BLOCK = 1 << 16
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
@@ -80,24 +91,37 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     """Write the pages as archives under ``folder`` (any path Spark can write)."""
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"),
                      F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha1", F.sha1("payload"))
-    first = p.where(F.length("payload") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_id"))
-    dealt = p.join(first, "sha1", "left").select("page_id", "url", "payload", F.when(
+    first = cut_lineage(p.where(F.length("payload") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("__n")))
+    found = spread_join(p, first.drop("__n"), "sha1", "left", counts=first.drop("first_id"))
+    dealt = found.select("page_id", "url", "payload", F.when(
         F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
     def members(batches):
         import pyarrow as pa
 
+        def rows(bundle):
+            """The bundle without its last byte, and a filler row for every
+            further ``BUNDLE`` bytes."""
+            if bundle[-1]:
+                bundle += gzip_member(b"")
+            return [bytes(bundle[:-1])] + [gzip_member(b"")[:-1]] * (len(bundle) // BUNDLE - (len(bundle) % BUNDLE == 0))
+
+        bundle = bytearray()
         for b in batches:
-            out = []
-            for row in zip(*(b.column(i).to_pylist() for i in range(4))):
-                m = gzip_member(record_bytes(*row, date))
-                if m[-1]:
-                    m += gzip_member(b"")
-                out.append(m[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            for k in range(0, b.num_rows, SLICE):
+                out = []
+                for row in zip(*(b.column(i).slice(k, SLICE).to_pylist() for i in range(4))):
+                    m = gzip_member(record_bytes(*row, date))
+                    if bundle and len(bundle) + len(m) > BUNDLE:
+                        out += rows(bundle)
+                        bundle = bytearray()
+                    bundle += m
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        if bundle:
+            yield pa.RecordBatch.from_arrays([pa.array(rows(bundle), pa.binary())], names=["value"])
 
     (dealt.mapInArrow(members, "value binary").select(F.col("value").cast("string")).write
-     .option("lineSep", "\0").option("maxRecordsPerFile", MAX_RECORDS).text(folder))
+     .option("lineSep", "\0").option("maxRecordsPerFile", BUNDLES).text(folder))
 
 
 def parse_record(data, start: int = 0, whole: bool = True) -> tuple[dict, bytes, int] | None:
@@ -107,12 +131,16 @@ def parse_record(data, start: int = 0, whole: bool = True) -> tuple[dict, bytes,
     stop = data.find(b"\r\n\r\n", start) if v else -1
     if stop < 0:
         return None
-    headers = {}
+    headers, name = {}, None
     for line in data[v.end():stop].split(b"\r\n"):
+        if line[:1] in (b" ", b"\t") and name is not None:      # a folded line goes on with the header before
+            headers[name] = f"{headers[name]} {line.decode('utf-8', 'replace').strip()}".strip()
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             return None
-        headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        name = name.decode("utf-8", "replace").strip().lower()
+        headers[name] = value.decode("utf-8", "replace").strip()
     size = headers.get("content-length", "")
     if not size.isascii() or not size.isdigit() or "warc-type" not in headers:
         return None
@@ -121,67 +149,101 @@ def parse_record(data, start: int = 0, whole: bool = True) -> tuple[dict, bytes,
         return None
     block = data[stop + 4:end - 4]
     payload = block.partition(b"\r\n\r\n")[2] if "application/http" in headers.get("content-type", "") else block
-    claim = headers.get("warc-payload-digest", "")
-    if headers["warc-type"] != "revisit" and claim.startswith("sha1:") and claim[5:] != payload_digest(payload):
+    kind, _, claim = headers.get("warc-payload-digest", "").partition(":")
+    if headers["warc-type"] != "revisit" and kind.strip().lower() == "sha1" and claim.strip().upper() not in (
+            payload_digest(payload), hashlib.sha1(payload).hexdigest().upper()):
         return None
     return headers, payload, end
 
 
-def inflate(data, start: int) -> tuple[bytes, int] | None:
-    """(content, end) of the gzip member at ``start``, or None."""
+def inflate(data, start: int) -> tuple[bytes, int | None]:
+    """(content, end) of the gzip member at ``start``; end None and the
+    content so far if it breaks off."""
     d, out, at, view = zlib.decompressobj(31), [], start, memoryview(data)
     try:
         while not d.eof and at < len(data):
             out.append(d.decompress(view[at:at + BLOCK]))
             at += BLOCK
     except zlib.error:
-        return None
-    return (b"".join(out), min(at, len(data)) - len(d.unused_data)) if d.eof else None
+        d, wrong, out = zlib.decompressobj(31), at, []          # again, the block of the error byte by byte
+        try:
+            for i in range(start, wrong, BLOCK):
+                out.append(d.decompress(view[i:i + BLOCK]))
+            for i in range(wrong, min(wrong + BLOCK, len(data))):
+                out.append(d.decompress(view[i:i + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out), None
+    return b"".join(out), min(at, len(data)) - len(d.unused_data) if d.eof else None
 
 
-def read_at(data, at: int):
-    """(headers or None for an empty member, payload, end) of a valid member
-    or record at ``at``, else None."""
-    if data[at:at + 3] == b"\x1f\x8b\x08":
-        member = inflate(data, at)
-        if member is None:
-            return None
-        if not member[0]:
-            return None, b"", member[1]
-        record = parse_record(member[0])
-        return record and (record[0], record[1], member[1])
-    return parse_record(data, at, whole=False)
+STARTS = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
-STARTS = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+def inside(content: bytes):
+    """Records and gaps of a member's content: (kind, offset, length, headers,
+    payload)."""
+    at, bad = 0, None
+    while at < len(content):
+        found = parse_record(content, at, whole=False)
+        if found is None:
+            bad = at if bad is None else bad
+            nxt = VERSION.search(content, at + 1)
+            at = nxt.start() if nxt else len(content)
+            continue
+        if bad is not None:
+            yield "gap", bad, at - bad, None, None
+            bad = None
+        yield "record", at, found[2] - at, found[0], found[1]
+        at = found[2]
+    if bad is not None:
+        yield "gap", bad, len(content) - bad, None, None
 
 
 def salvage(data: bytes):
-    """Yield ("record", offset, length, headers, payload) and ("gap", offset,
-    length, None, None) in the order of the file."""
+    """Yield (kind, offset, length, headers, payload, inner offset, inner
+    length) in the order of the file; kind is ``record`` or ``gap``. The
+    lengths of a file's rows add up to its size: of several rows from one
+    member the first carries its length. The inner ones are places in a
+    member's content, null for a row that is a whole member or no member.
+    Records recovered from a broken member come before the gap of its bytes."""
     at, bad = 0, None
     while at < len(data):
-        found = read_at(data, at)
+        found, end = None, None
+        if data[at:at + 3] == b"\x1f\x8b\x08":
+            content, end = inflate(data, at)
+            found = list(inside(content)) if content else []
+            if end is None or content and not any(f[0] == "record" for f in found):
+                for kind, i, n, headers, payload in found:
+                    if kind == "record":
+                        yield "record", at, 0, headers, payload, i, n
+                found = None
+        else:
+            record = parse_record(data, at, whole=False)
+            if record is not None:
+                found, end = [("record", 0, record[2] - at, record[0], record[1])], record[2]
         if found is None:
             bad = at if bad is None else bad
             nxt = STARTS.search(data, at + 1)
             at = nxt.start() if nxt else len(data)
             continue
         if bad is not None:
-            yield "gap", bad, at - bad, None, None
+            yield "gap", bad, at - bad, None, None, None, None
             bad = None
-        headers, payload, end = found
-        if headers is not None:
-            yield "record", at, end - at, headers, payload
+        one = len(found) == 1
+        for k, (kind, i, n, headers, payload) in enumerate(found):
+            yield kind, at, end - at if k == 0 else 0, headers, payload, None if one else i, None if one else n
         at = end
     if bad is not None:
-        yield "gap", bad, len(data) - bad, None, None
+        yield "gap", bad, len(data) - bad, None, None, None, None
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """All files under ``folder`` as (kind, path, offset, length, headers,
-    payload): kind is ``record`` or ``gap`` (quarantined bytes)."""
-    schema = "kind string, path string, offset long, length long, headers map<string,string>, payload binary"
+    payload, inner_offset, inner_length): kind is ``record`` or ``gap``
+    (quarantined bytes); see ``salvage``."""
+    schema = ("kind string, path string, offset long, length long, headers map<string,string>, payload binary, "
+              "inner_offset long, inner_length long")
     types = T.StructType.fromDDL(schema)
 
     def run(batches):
@@ -192,8 +254,9 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
                 rows, size = [], 0
-                for kind, at, n, headers, payload in salvage(content.as_py()):
-                    rows.append({"kind": kind, "path": path, "offset": at, "length": n, "headers": list((headers or {}).items()), "payload": payload})
+                for kind, at, n, headers, payload, i, m in salvage(content.as_py()):
+                    rows.append({"kind": kind, "path": path, "offset": at, "length": n, "headers": list((headers or {}).items()), "payload": payload,
+                                 "inner_offset": i, "inner_length": m})
                     size += len(payload or b"")
                     if len(rows) == 2000 or size > 8 << 20:
                         yield pa.RecordBatch.from_pylist(rows, arrow)

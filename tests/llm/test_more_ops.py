@@ -168,6 +168,46 @@ def test_salvage_recovers_and_logs_gaps():
     assert list(warc.salvage(b"")) == [] and [f[:3] for f in warc.salvage(b"nothing")] == [("gap", 0, 7)]
 
 
+def test_salvage_inside_members():
+    records = [warc.record_bytes(i, f"http://x/{i}", random.Random(i).randbytes(200), None, "d") for i in range(4)]
+    ids = lambda found: [f[3]["x-page-id"] for f in found if f[0] == "record"]
+    # Several records in one member, one of them damaged before compression.
+    hurt = bytearray(records[1])
+    hurt[-50] ^= 1
+    data = warc.gzip_member(b"".join(records))
+    found = list(warc.salvage(data))
+    assert ids(found) == ["0", "1", "2", "3"] and sum(f[2] for f in found) == len(data) and found[1][5:] == (len(records[0]), len(records[1]))
+    found = list(warc.salvage(warc.gzip_member(records[0] + bytes(hurt) + records[2])))
+    assert ids(found) == ["0", "2"] and [f[5:] for f in found if f[0] == "gap"] == [(len(records[0]), len(hurt))]
+    # A member that breaks off, and one with a wrong byte near its end.
+    for short, n in ((8, 4), (10, 3), (60, 3)):
+        cut = data[:-short]
+        found = list(warc.salvage(cut + warc.gzip_member(records[3])))
+        assert ids(found)[:n] == ["0", "1", "2", "3"][:n] and ids(found)[-1] == "3" and [f[1:3] for f in found if f[0] == "gap"] == [(0, len(cut))]
+        assert ids(warc.salvage(cut))[:n] == ["0", "1", "2", "3"][:n]
+    broken = bytearray(data)
+    broken[len(data) * 3 // 4] ^= 0x55
+    assert ids(warc.salvage(bytes(broken)))[:2] == ["0", "1"] and sum(f[2] for f in warc.salvage(bytes(broken))) == len(data)
+    # Digests in lower case and hexadecimal, folded headers.
+    r = records[2]
+    digest = warc.payload_digest(random.Random(2).randbytes(200)).encode()
+    for other in (digest.lower(), hashlib.sha1(random.Random(2).randbytes(200)).hexdigest().encode()):
+        assert ids(warc.salvage(r.replace(digest, other))) == ["2"]
+    assert [f[0] for f in warc.salvage(r.replace(digest, b"A" * 32))] == ["gap"]
+    folded = list(warc.salvage(r.replace(b"X-Page-Id: 2", b"X-Page-Id:\r\n 2\r\nX-Note: a\r\n\tb")))
+    assert ids(folded) == ["2"] and folded[0][3]["x-note"] == "a b"
+
+
+def test_archive_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE", 4000)
+    rnd = random.Random(3)
+    rows = [(i, "u", rnd.randbytes(rnd.choice([10, 500, 3000, 20_000])).hex()) for i in range(200)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "a"))
+    sizes = [f.stat().st_size for f in (tmp_path / "a").glob("part-*")]
+    assert len(sizes) > 10 and max(sizes) < warc.BUNDLES * 4000 + 45_000
+    assert read_rows(warc.read_archives(spark, str(tmp_path / "a"))) == plain_pages(rows, 0)
+
+
 def test_licenses_equal_brute(spark, make_docs):
     t = licenses.TEMPLATES
     mit = t["MIT-text"].replace(". ", ".\n").replace(", ", ",\n")
