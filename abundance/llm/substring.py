@@ -29,7 +29,9 @@ bucket, and two flags); a chance meeting only makes a candidate that step 2
 rejects. The answer is one bit per probe. Windows take 14 bytes, and a chunk is
 told the first hash (8 bytes) of those of its own windows that repeat. Chunks and buckets are as many as the
 input has chunk sizes (and at least the shuffle partitions), so a task's memory
-stays bounded by the chunk or the longest document.
+stays bounded by the chunk or the longest document. A row that is repeated more
+than ``MANY`` times is sent once with its count (it then has two places) and
+its result is repeated at the end.
 
 Defined cases: null or empty text has no words. Documents of under ``width``
 words keep all. Repeated rows are separate places, so whole rows that repeat
@@ -43,8 +45,12 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from abundance.llm.common import as_bytes, hashed_bucket, run_starts, shuffle_partitions
+from abundance.operators.joins import spread_join
+from abundance.session import cut_lineage
 
 CHUNK_BYTES = 8 << 20
+MANY = 1000
+BROADCAST_ROWS = 1_000_000
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so invertible modulo 2^64
 KEY_BITS = np.uint64((1 << 46) - 1)
 
@@ -92,11 +98,12 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
 class Chunk:
     """The words of a chunk's documents as hashes."""
 
-    def __init__(self, texts: list, width: int):
+    def __init__(self, table, width: int):
         self.width, self.block = width, (width + 1) // 2
         hashes, self.roll = WordHash(), [Rolling(b) for b in BASES]
-        self.docs = [hashes.of(t.split()) if t else np.zeros(0, np.uint64) for t in texts]
-        self.long = [d for d in self.docs if len(d) >= width]
+        self.docs = [hashes.of(t.split()) if t else np.zeros(0, np.uint64) for t in as_bytes(table.column("text"))]
+        # A repeated row has two places.
+        self.long = [d for d, n in zip(self.docs, table.column("copies").to_pylist()) if len(d) >= width for _ in range(min(n, 2))]
 
     def probes(self):
         """Distinct hashes of the rolling block-long windows in order, whether
@@ -157,22 +164,35 @@ def by_bucket(bucket: np.ndarray, rows: np.ndarray, chunk: int):
                      "packed": pa.array([rows[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())})
 
 
-def chunk_of(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
+def chunk_of(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int, bool]:
+    """(doc_id, text, copies, chunk), the number of chunks, and whether some
+    row stands for many."""
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = src.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(shuffle_partitions(docs.sparkSession), -(-size // CHUNK_BYTES))
-    return src.withColumn("chunk", hashed_bucket(n, F.col("doc_id"), F.col("text"))), n
+    name = [F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))]
+    keyed = src.withColumns({f"k{i}": F.xxhash64(F.lit(i), *name) for i in (1, 2)})
+    often = cut_lineage(keyed.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where(F.col("copies") > MANY))
+    rows = often.count()
+    if rows:
+        told = keyed.join(F.broadcast(often), ["k1", "k2"], "left") if rows <= BROADCAST_ROWS else spread_join(
+            keyed, often, ["k1", "k2"], "left", counts=often.withColumnRenamed("copies", "__n"))
+        once = told.where("copies is not null").groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("copies").alias("copies"))
+        src = told.where("copies is null").select("doc_id", "text", F.lit(1).cast("long").alias("copies")).unionByName(once.drop("k1", "k2"))
+    else:
+        src = src.withColumn("copies", F.lit(1).cast("long"))
+    return src.withColumn("chunk", hashed_bucket(n, F.col("doc_id"), F.col("text"))), n, bool(rows)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 35) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (the kept
     words joined by one space) and repeats (array of struct<start,end>: the
     maximal removed word ranges, end exclusive)."""
-    chunks, n = chunk_of(docs, doc_id, text)
+    chunks, n, repeated = chunk_of(docs, doc_id, text)
     sent = "bucket long, chunk int, packed binary"
 
     def probe(key, table):
-        keys, many, block, _ = Chunk(as_bytes(table.column("text")), width).probes()
+        keys, many, block, _ = Chunk(table, width).probes()
         entry = (keys & KEY_BITS) << np.uint64(2) | many.astype(np.uint64) << np.uint64(1) | block.astype(np.uint64)
         return by_bucket(bucket_of(keys, n), entry.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], key[0].as_py())
 
@@ -198,7 +218,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             "packed", pa.array([np.packbits(bits[i]).tobytes() for i in some.to_pylist()], pa.binary()))
 
     def extend(key, docs_table, answers):
-        c = Chunk(as_bytes(docs_table.column("text")), width)
+        c = Chunk(docs_table, width)
         keys, _, _, where = c.probes()
         bucket = bucket_of(keys, n)
         hit = np.zeros(len(keys), bool)
@@ -234,7 +254,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         import pyarrow as pa
 
         texts = as_bytes(docs_table.column("text"))
-        flags = Chunk(texts, width).removed(np.unique(np.frombuffer(b"".join(repeats.column("packed").to_pylist()), "<u8")))
+        flags = Chunk(docs_table, width).removed(np.unique(np.frombuffer(b"".join(repeats.column("packed").to_pylist()), "<u8")))
         kept, spans = [], []
         for t, f in zip(texts, flags):
             words = t.split() if t else []
@@ -244,13 +264,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table({"doc_id": docs_table.column("doc_id"), "n_words": pa.array([len(f) for f in flags], pa.int64()),
                          "n_removed": pa.array([int(f.sum()) for f in flags], pa.int64()),
                          "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
-                         "repeats": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))})
+                         "repeats": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                         "copies": docs_table.column("copies")})
 
     out = T.StructType([chunks.schema["doc_id"]] + [T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")] + [
         T.StructField("kept_text", T.StringType()),
-        T.StructField("repeats", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
+        T.StructField("repeats", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("copies", T.LongType())])
     by_chunk = chunks.groupBy("chunk")
     hits = by_chunk.applyInArrow(probe, sent).groupBy("bucket").applyInArrow(answer, sent)
     candidates = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(extend, sent)
     repeats = candidates.groupBy("bucket").applyInArrow(count_windows, "chunk int, packed binary")
-    return by_chunk.cogroup(repeats.groupBy("chunk")).applyInArrow(cut, out)
+    done = by_chunk.cogroup(repeats.groupBy("chunk")).applyInArrow(cut, out)
+    if repeated:        # in two steps, so that no array is long
+        done = done.withColumn("more", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(copies - 1) div 1000"))))
+        done = done.withColumn("more", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(1000), F.col("copies") - 1000 * F.col("more")))))
+    return done.select("doc_id", "n_words", "n_removed", "kept_text", "repeats")

@@ -194,3 +194,17 @@ def test_contamination_by_blocks_equals_windows():
                             names.add(name)
             flags, found = scanner.scan(words)
             assert found == names and hit == (set() if flags is None else set(np.flatnonzero(flags).tolist()))
+
+
+def test_substring_of_rows_repeated_in_bulk(spark, monkeypatch):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = spark.range(5000).selectExpr("cast(7 as long) doc_id", f"'{words}' text").union(
+        spark.range(1500).selectExpr("cast(null as long) doc_id", "'few words' text")).union(
+        spark.createDataFrame([(1, words + " tail " + "x " * 40), (2, " ".join(f"v{i}" for i in range(60)))], "doc_id long, text string"))
+    for broadcast in (1_000_000, 0):
+        monkeypatch.setattr(substring, "BROADCAST_ROWS", broadcast)
+        got = {(r.doc_id, r.n_words, r.n_removed, r.kept_text[:8]): r["count"] for r in substring.remove_repeats(rows.repartition(4), width=35)
+               .groupBy("doc_id", "n_words", "n_removed", "kept_text").count().collect()}
+        assert got == {(7, 60, 60, ""): 5000, (None, 2, 0, "few word"): 1500, (1, 101, 100, "tail"): 1, (2, 60, 0, "v0 v1 v2"): 1}
+    chunks, _, _ = substring.chunk_of(rows, "doc_id", "text")
+    assert chunks.count() == 4
