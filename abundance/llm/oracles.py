@@ -123,4 +123,78 @@ SELECT t.conv_id, t.turn, t.role, reply_to, coalesce(root, t.turn) AS root, coal
   sha256(trim(t.text, chr(10))) AS text_sha256
 FROM t LEFT JOIN reply r ON t.conv_id = r.conv_id AND t.turn = r.turn LEFT JOIN place p ON t.conv_id = p.conv_id AND t.turn = p.turn"""
 
-ORACLES = {"op3_quality": OP3, "op4_quotes": OP4, "op5_warc": OP5, "op6_licenses": OP6, "op8_substring": OP8, "op10_decontaminate": OP10}
+
+def crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, by the byte table ``crc.t``."""
+    codes = f"list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+CRC_TABLE = """crc AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)),
+    lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(n)))"""
+
+OP11 = f"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos,
+    md5(coalesce(role, '') || chr(10) || md5(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, {crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM t, crc),
+built AS (SELECT c.conv_id, 0 AS own, pos, x, bytes FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+    UNION ALL SELECT conv_id, 1, pos, x, bytes FROM c JOIN t USING (conv_id) WHERE pos > h),
+seq AS (SELECT c.conv_id, coalesce(list(x ORDER BY own, pos) FILTER (WHERE x IS NOT NULL), []) AS xs,
+    coalesce(list(bytes ORDER BY own, pos) FILTER (WHERE x IS NOT NULL), []) AS bs FROM c LEFT JOIN built USING (conv_id) GROUP BY c.conv_id),
+members AS (SELECT conv_id, d, xs[1:d] AS node, CASE WHEN d > 0 THEN xs[1:d - 1] END AS parent, bs[d] AS bytes FROM (SELECT *, unnest(range(0, len(xs) + 1)) AS d FROM seq)),
+nodes AS (SELECT node, any_value(d) AS depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM members GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY parent),
+ends AS (SELECT xs AS node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM seq GROUP BY xs),
+up AS (SELECT node[1:d] AS node, CASE WHEN k.n IS NULL THEN 1 ELSE 0 END AS leaf, CASE WHEN depth > 0 THEN (n_convs - 1) * bytes ELSE 0 END AS own
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM nodes) LEFT JOIN kids k USING (node)),
+below AS (SELECT node, sum(leaf) AS n_leaves, sum(own) AS saved FROM up GROUP BY node)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+  CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN below b USING (node) LEFT JOIN kids k USING (node) LEFT JOIN ends e USING (node) LEFT JOIN nodes p ON n.parent = p.node"""
+
+
+def add(state: str, cost, letter: str) -> str:
+    """A state's text, its cost in nine digits and its letters, one edit on."""
+    return f"(lpad(CAST(CAST(substr({state}, 1, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10) || '{letter}')"
+
+
+MORE = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+MAY_STAY = "WHEN coalesce(fault, '') NOT IN ('blank', 'duplicate')"
+RELAXED = f"""SELECT *, least(s3, {add("q2", 3, "I")}) AS q3 FROM (SELECT *, least(s2, {add("s0", 3, "I")}, {add("s1", 3, "I")}, {add("s3", 3, "I")}) AS q2 FROM {{src}})"""
+OP13 = rf"""
+WITH RECURSIVE {CRC_TABLE},
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32("(CAST(conv_id AS VARCHAR) || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM conversations, crc WHERE conv_id IS NOT NULL),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM raw, range(2) r(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos FROM hurt),
+judged AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+    WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, substr(role, 1, 1) AS i FROM placed),
+dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS pos, '000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM judged
+    UNION ALL SELECT conv_id, pos, {add("s0", 4, "D")},
+    least({add("s1", 4, "D")}, CASE {MAY_STAY} AND i = 's' THEN {add("s0", MORE, "K")} END),
+    least({add("q2", 4, "D")}, CASE {MAY_STAY} AND i = 'u' THEN least({add("s0", MORE, "K")}, {add("s1", MORE, "K")}, {add("q3", MORE, "K")}) END,
+      CASE {MAY_STAY} THEN least({add("s0", "3 + " + MORE, "R")}, {add("s1", "3 + " + MORE, "R")}, {add("q3", "3 + " + MORE, "R")}) END),
+    least({add("q3", 4, "D")}, CASE {MAY_STAY} AND i = 'a' THEN {add("q2", MORE, "K")} END, CASE {MAY_STAY} THEN {add("q2", "3 + " + MORE, "R")} END)
+    FROM ({RELAXED.format(src="(SELECT j.conv_id, j.pos, j.i, j.fault, s0, s1, s2, s3 FROM dp JOIN judged j ON j.conv_id = dp.conv_id AND j.pos = dp.pos + 1)")})),
+best AS (SELECT conv_id, least(s0, q3) AS b FROM ({RELAXED.format(src="(SELECT * FROM dp QUALIFY pos = max(pos) OVER (PARTITION BY conv_id))")})),
+letters AS (SELECT conv_id, k, substr(b, CAST(9 + k AS INTEGER), 1) AS letter FROM (SELECT *, unnest(range(1, length(b) - 8)) AS k FROM best)),
+named AS (SELECT *, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) AS pos,
+    row_number() OVER (PARTITION BY conv_id, letter = 'D' ORDER BY k) AS place FROM letters),
+turns AS (SELECT n.conv_id, k, letter, place, j.role, CASE WHEN letter = 'I' THEN '' ELSE j.text END AS text, letter = 'K' AND j.i = 's' AS system
+    FROM named n LEFT JOIN judged j ON j.conv_id = n.conv_id AND j.pos = n.pos AND letter <> 'I' WHERE letter <> 'D'),
+fixed AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS t
+    FROM (SELECT *, max(CASE WHEN system THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS lead FROM turns) GROUP BY conv_id),
+pairs AS (SELECT conv_id, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS ii FROM judged),
+wrong AS (SELECT conv_id, count(*) AS n FROM pairs WHERE ii NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+numbers AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated FROM judged GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(w.n, 0) AS illegal, CAST(coalesce(CAST(substr(b, 1, 9) AS INTEGER), 0) AS BIGINT) AS cost, coalesce(substr(b, 10), '') AS audit, sha256(coalesce(f.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM raw) LEFT JOIN numbers USING (conv_id) LEFT JOIN wrong w USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN fixed f USING (conv_id)"""
+
+ORACLES = {"op3_quality": OP3, "op4_quotes": OP4, "op5_warc": OP5, "op6_licenses": OP6, "op8_substring": OP8, "op10_decontaminate": OP10,
+           "op11_prefix_trie": OP11, "op13_repair": OP13}
