@@ -12,9 +12,10 @@ a document's vector has length one. Columns seen in fewer than ``min_docs``
 documents of the sample do not count. In the fit, clean and toxic documents
 weigh the same in sum.
 
-The fit uses at most about ``max_rows`` labelled documents (those with the
-smallest hashes of their id; a documented bound), whole texts, on the driver:
-their feature vectors are made by tasks and collected packed. The labels
+The fit uses at most about ``max_rows`` labelled documents of ``max_bytes`` of
+text in all (those with the smallest hashes of their id; a documented bound),
+whole texts, on the driver: their feature vectors are made by tasks and
+collected packed. The labels
 table says toxic or not; ``severity_grades`` splits the toxic documents at
 the median of their share of words that are far more frequent in toxic
 documents, which gives grades 0 (clean), 1 and 2. Scoring covers all rows, in
@@ -23,7 +24,8 @@ numbers per column (4 bytes each) are broadcast.
 
 Defined cases: null and empty texts have no features, so their score is the
 model's intercept alone; unlabelled and null-labelled documents are not used
-for the fit; repeated rows count as often as they occur. Without labelled
+for the fit; an id counts once in it, however often its rows or labels repeat
+(toxic if some label says so; its greatest text). Every row is scored. Without labelled
 documents of both kinds every severity is 0. Input columns named like an
 output are replaced. An empty table gives an empty table.
 """
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from abundance.llm.common import as_bytes, map_rows
 from abundance.llm.decontaminate import normalising_table
 
-DIMS, MAX_ROWS, MIN_DOCS, PREFIXES = 1 << 18, 8_000, 3, (4, 6)
+DIMS, MAX_ROWS, MAX_BYTES, MIN_DOCS, PREFIXES = 1 << 18, 8_000, 256 << 20, 3, (4, 6)
 
 
 class Features:
@@ -147,13 +149,20 @@ def scaled(cols: np.ndarray, vals: np.ndarray, scales: np.ndarray) -> np.ndarray
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-        dims: int = DIMS, max_rows: int = MAX_ROWS, min_docs: int = MIN_DOCS) -> Model:
+        dims: int = DIMS, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, min_docs: int = MIN_DOCS) -> Model:
     """The model of a bounded sample of labelled documents."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     n = known.count()
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = known.where(place < F.lit(int((1 << 30) * min(1.0, max_rows / n)) if n else 0))  # about max_rows rows
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
+    share = min(1.0, max_rows / n) if n else 0.0
+    chosen = known.where(place < F.lit(int((1 << 30) * share)))  # about max_rows rows
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    lengths = texts.select("doc_id", F.octet_length("text").alias("n")).join(F.broadcast(chosen), "doc_id")
+    size = lengths.groupBy("doc_id").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
+    if size > max_bytes:
+        chosen = known.where(place < F.lit(int((1 << 30) * share * max_bytes / size)))
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.max("text").alias("text")).select("y", "text")
 
     def as_vectors(batches):
         import pyarrow as pa

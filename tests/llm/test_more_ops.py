@@ -62,6 +62,42 @@ def test_toxicity_odd_rows(spark, make_docs):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), none.limit(0))).count() == 0
 
 
+def test_toxicity_table_equals_plain_scores(spark):
+    """The registered query against word counts and sums in plain Python."""
+    import math
+    import re
+
+    import xxhash
+    docs = table(spark, "documents", "doc_id", "text")
+    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    want = []
+    for i, text in docs:
+        counts = {}
+        for w in re.findall(rb"[0-9a-z\x80-\xff]+", brute.lower(text or "").encode()):
+            for part in [w] + [b"^" + w[:k] for k in (4, 6) if len(w) > k]:
+                c = xxhash.xxh64_intdigest(part, 7) % len(model.weights)
+                counts[c] = counts.get(c, 0) + 1
+        value = {c: math.log(1 + n) * model.scales[c] for c, n in counts.items()}
+        length = math.sqrt(sum(v * v for v in value.values())) or 1.0
+        s = sum(v / length * model.weights[c] for c, v in value.items())
+        at_most = [1 / (1 + math.exp(-(t - s))) for t in model.thresholds]
+        p = [at_most[0], *(b - a for a, b in zip(at_most, at_most[1:])), 1 - at_most[-1]]
+        want.append((i, sum(1 - a for a in at_most), p.index(max(p)), at_most[0] < 0.5))
+    got = sorted(tuple(r) for r in Q.op1_toxicity(spark, SF).collect())
+    assert [g[0] for g in got] == [w[0] for w in sorted(want)] and any(w[3] for w in want)
+    for g, w in zip(got, sorted(want)):
+        assert abs(g[1] - w[1]) < 1e-4 and (g[2:] == w[2:] or min(abs(w[1] - k) for k in (0.5, 1.0, 1.5)) < 1e-2)
+
+
+def test_toxicity_sample_is_bounded(spark, make_docs):
+    rows = [(i, f"idiot moron w{i}" if i % 2 else f"nice words v{i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)] * 3, "doc_id long, quality int, toxic int")
+    once, often = toxicity.fit(make_docs(rows), labels), toxicity.fit(make_docs(rows * 5), labels)
+    assert np.array_equal(once.weights, often.weights) and np.array_equal(once.thresholds, often.thresholds)
+    few = toxicity.fit(make_docs(rows), labels, max_bytes=300)
+    assert not np.array_equal(few.weights, once.weights)
+
+
 MAIL = [
     (1, 0, "Hello  all\nsecond LINE"), (1, 1, "On Monday A wrote:\n> hello all\n>  Second line\nfine"), (1, 2, "> > Hello all\n> fine\n\nthanks"),
     (1, 3, "x wrote:\nno quote here\n> hello all\n>fine\n> unknown words"), (1, 4, ">>> deep\n>> Fine"), (1, 4, ">>> deep\n>> Fine"), (2, 5, "> Hello all"), (2, 1, "> thanks\n"),
