@@ -234,8 +234,13 @@ def _sums_arrow(frame: DataFrame, feats: list[list[str]], betas: list, family: s
             for g, rows in pieces:
                 y, lf, Xg = y_all[rows], lf_all[rows], X_all[rows]
                 pw = pw_all[rows] if has_w else None
+                gaps = np.isnan(Xg).any()
                 for m, ix in enumerate(idx):
                     X = Xg[:, ix]
+                    if gaps:                    # rows that lack a column of this model are not its rows
+                        there = ~np.isnan(X).any(axis=1)
+                        X, y, lf = X[there], y_all[rows][there], lf_all[rows][there]
+                        pw = pw_all[rows][there] if has_w else None
                     b = bet[m]
                     if isinstance(b, dict):
                         b = np.asarray(b[g], float)
@@ -420,6 +425,40 @@ def glm(df: DataFrame, response: str, terms: Sequence[str], family: str = "poiss
     return fit
 
 
+def glm_set(df: DataFrame, response: str, specs: dict[str, Sequence[str]], family: str = "poisson", max_iter: int = 25,
+            tol: float = 1e-8, checkpoint: bool = False) -> dict[str, GlmFit]:
+    """Several models of one response (``{name: terms}``), all fitted in the
+    same passes over one kept frame. Each model uses the rows that are complete
+    in its own columns, as if fitted alone."""
+    columns = list(dict.fromkeys(c for terms in specs.values() for c in design_columns(terms)))
+    base = model_input(df, [response, *columns], checkpoint)
+    try:
+        levels: dict = {}
+        designs = {}
+        for name, terms in specs.items():
+            designs[name] = build_design(base, terms, levels=levels)
+            levels.update(designs[name].levels)
+        index, cols, feats = {}, [], []
+        for d in designs.values():
+            feats.append([])
+            for n, e in zip(d.names, d.exprs):
+                key = n, () if n == INTERCEPT else tuple(sorted(d.columns))
+                if key not in index:
+                    index[key] = f"__x{len(index)}"
+                    missing = F.lit(False)
+                    for c in key[1]:
+                        missing = missing | F.col(c).isNull()
+                    cols.append(F.when(~missing, e).alias(index[key]))
+                feats[-1].append(index[key])
+        frame = base.dropna(subset=[response]).select(F.col(response).cast("double").alias(Y), ln_factorial(F.col(response)).alias(LF), *cols)
+        fits = irls(frame, feats, [d.names for d in designs.values()], family, max_iter=max_iter, tol=tol)
+    finally:
+        base.unpersist()
+    for fit, d in zip(fits, designs.values()):
+        fit.design = d
+    return dict(zip(designs, fits))
+
+
 def coef_table(spark, fits: dict[str, GlmFit] | GlmFit, digits: int | None = None) -> DataFrame:
     """Coefficient table(s) as a DataFrame: model, term, estimate, se, z, p."""
     if isinstance(fits, GlmFit):

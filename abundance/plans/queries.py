@@ -791,12 +791,9 @@ GLM_MODELS_SQL = _with(*HABITAT_CTES, *maxn_ctes(), FRAME, *[c for m, (xs, _t) i
 def glm_models(spark, d):
     """M1 + M4 + M5: glm0 site, glm1 depth + site, glm2 depth + posidonia,
     depth * posidonia; coefficient tables and the AIC table."""
-    from abundance.models.glm import aic_table, coef_table, glm
-    fr = _frame(spark, d).withColumn("depth_m", F.col("depth_m") / 100000.0).cache()
-    fits = {"glm0": glm(fr, "number", ["site"]), "glm1": glm(fr, "number", ["depth_m", "site"]),
-            "glm2": glm(fr, "number", ["depth_m", "posidonia"]),
-            "glm3": glm(fr, "number", ["depth_m*posidonia"])}
-    fr.unpersist()
+    from abundance.models.glm import aic_table, coef_table, glm_set
+    fr = _frame(spark, d).withColumn("depth_m", F.col("depth_m") / 100000.0)
+    fits = glm_set(fr, "number", {"glm0": ["site"], "glm1": ["depth_m", "site"], "glm2": ["depth_m", "posidonia"], "glm3": ["depth_m*posidonia"]})
     coefs = coef_table(spark, fits, 4)
     aics = aic_table(spark, fits).select("model", F.round("aic", 4).alias("aic"), "df", "n_used")
     return coefs.join(aics, on="model", how="left")

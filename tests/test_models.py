@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from abundance.functions.columns import ln_factorial
 from abundance.functions.stats import t_quantile, norm_two_sided_p
@@ -366,3 +367,17 @@ def test_glmm_with_a_large_crossed_factor(spark):
     assert f.converged and abs(f.sigma["a"] - 0.6) < 0.05 and abs(f.coef[1] - 0.4) < 4 * f.se[1]
     with pytest.raises(ValueError):
         poisson_glmm(spark.createDataFrame(_crossed(41, 300, 50, 8)), "y", ["x"], ["b", "a"], max_levels=5)
+
+
+def test_glm_set_equals_separate_fits(spark):
+    from abundance.models.glm import glm_set
+    rng = np.random.default_rng(14)
+    n = 600
+    pdf = pd.DataFrame({"x": rng.normal(size=n), "z": rng.normal(size=n), "s": rng.choice(["a", "b", "c"], n), "sx": rng.normal(size=n)})
+    pdf["y"] = rng.poisson(np.exp(0.3 + 0.4 * pdf.x + 0.2 * (pdf.s == "b"))).astype(float)
+    df = spark.createDataFrame(pdf).withColumns({"x": F.when(F.rand(1) < 0.9, F.col("x")), "s": F.when(F.rand(2) < 0.9, F.col("s"))}).cache()
+    specs = {"one": ["x"], "two": ["x", "s"], "three": ["x*z"], "four": ["s"], "five": ["sx", "x:s"], "six": []}
+    for name, fit in glm_set(df, "y", specs).items():
+        alone = glm(df, "y", specs[name])
+        assert fit.names == alone.names and fit.n_used == alone.n_used, name
+        assert np.allclose(fit.coef, alone.coef, atol=1e-8) and np.allclose(fit.se, alone.se, rtol=1e-6) and math.isclose(fit.loglik, alone.loglik)
