@@ -22,7 +22,7 @@ TABLE_QUERIES = [
     "species_true_zeros", "max_n", "abundance_richness", "abundance_richness_skip3", "benthos_composition",
     "relief_moments", "habitat_cover", "size_class_abundance", "zero_fill_grid", "mismatch_report",
     "qa_report", "describe_habitat", "corr_matrix", "model_report", "first_by_min", "widen_habitat",
-    "hist_30",
+    "hist_30", "weighted_moments_large", "scatter_sample", "map_extent_saved", "running_total",
 ]
 
 
