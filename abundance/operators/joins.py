@@ -6,7 +6,8 @@ NA (trap T4). Here the shared list is computed and logged, an explicit
 side's keys are non-nullable, where both give the same rows). Spark plans
 ``<=>`` as an equi-join (hash / sort-merge, never nested loop) on
 (coalesce(k), isnull(k)); AQE picks broadcast from measured sizes and
-splits skewed partitions.
+splits skewed partitions, but not where a side is an aggregate on the key:
+``spread_join`` is for rows of hot keys that meet such a table.
 """
 
 from __future__ import annotations

@@ -28,9 +28,10 @@ def group_total(df: DataFrame, keys: Sequence[str], value: str, out: str = "tota
     keys = as_list(keys)
     if bounded:
         return df.withColumn(out, F.sum(col(value)).over(Window.partitionBy(*keys)))
-    tot = df.groupBy(*keys).agg(F.sum(col(value)).alias(out))
-    from abundance.operators.joins import natural_join
-    return natural_join(df, tot, how="left", on=keys)
+    from abundance.operators.joins import spread_join
+    key = F.to_json(F.struct(*map(col, keys)))                     # never missing, so missing keys are a group too
+    tot = df.groupBy(*keys).agg(F.sum(col(value)).alias(out)).select(key.alias("__key"), out)
+    return spread_join(df.withColumn("__key", key), tot, "__key", "left").select(*map(col, [c for c in df.columns if c != out]), col(out))
 
 
 def first_by_min(df: DataFrame, keys: Sequence[str], order_col: str,

@@ -89,3 +89,10 @@ def test_running_sums_over_a_group_that_fills_many_ranges(spark):
     assert rank.running_sums(df.limit(0), ["g"], [F.col("t")], {"n": F.lit(1)}).count() == 0
     all_one = rank.running_sums(df, [], [F.col("t").desc()], {"n": F.lit(1)}, parts=5)
     assert [r.n for r in all_one.orderBy(F.col("t").desc()).collect()] == list(range(1, 3001))
+
+
+def test_group_total_of_a_hot_and_a_missing_group(spark):
+    df = spark.range(4000).selectExpr("case when id % 3 = 0 then 'hot' when id % 7 = 1 then null else concat('g', id % 50) end g", "id % 2 h", "id x")
+    a = rank.group_total(df, ["g", "h"], "x", "t", bounded=False)
+    b = rank.group_total(df, ["g", "h"], "x", "t")
+    assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
