@@ -11,9 +11,14 @@ C = sum exp(x'b) x x', sum y, sum y x and sum ln y!. With the random
 effects u the conditional mean in a cell is exp(o_c) * exp(x'b), so the
 cell table is a sufficient statistic for the modes of u, the variance
 profile and the beta gradient. With one factor the cells are the levels;
-they stay distributed and only sums reach the driver (``glmm_levels``).
-With crossed factors the driver works on the cell table (a stated limit,
-checked).
+they stay distributed and only sums reach the driver (``glmm_blocks``).
+With crossed factors the largest is eliminated level by level in tasks.
+
+Several models of one response (``poisson_glmm_set``) share the passes over
+the rows. Where the factors have at most ``CELLS`` cells in all, a round is one
+job: it sums every model's cells at its own trial beta, and the driver takes
+each model a step on. With more cells each model runs by itself and its cells
+stay distributed.
 """
 
 from __future__ import annotations
@@ -26,9 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abundance.functions.stats import norm_two_sided_p
-from abundance.models.design import build_design, design_columns, model_input
+from abundance.models.design import INTERCEPT, build_design, design_columns, model_input
 from abundance.models.glm import LF, Y, irls
-from abundance.models.glmm_blocks import Blocks, maximise
+from abundance.models.glmm_blocks import Blocks, FewCells, answer, maximise
+
+CELLS = 4096            # cells of all factors whose sums the driver works on
+SENT = 16_000_000       # bytes of tasks' sums that are added up on the driver
 
 
 @dataclass
@@ -212,22 +220,151 @@ def poisson_glmm(df: DataFrame, response: str, terms: Sequence[str], random: Seq
     the diagonal form of one factor), limited to ``max_levels`` per factor and
     ``max_cells`` cells: an independent form for small tables."""
     random = list(random)
+    if dense is None:
+        return poisson_glmm_set(df, response, {"model": (terms, random)}, max_levels, max_iter, tol, checkpoint)["model"]
     base = model_input(df, [response, *design_columns(terms), *random], checkpoint)
     try:
         d = build_design(base, terms)
         frame, feats = _frame_with_factors(base, response, d, random)
-        start = irls(frame, [feats], [d.names], "poisson", max_iter=25 if dense is not None else 4, tol=1e-8 if dense is not None else 1e-3)[0]
-        if dense is not None:
-            return _fit_dense(frame, feats, d.names, random, start.coef, max_levels, max_cells, max_iter, tol, dense)
+        start = irls(frame, [feats], [d.names], "poisson", max_iter=25, tol=1e-8)[0]
+        return _fit_dense(frame, feats, d.names, random, start.coef, max_levels, max_cells, max_iter, tol, dense)
+    finally:
+        base.unpersist()
+
+
+def poisson_glmm_set(df: DataFrame, response: str, specs: dict[str, tuple[Sequence[str], Sequence[str]]],
+                     max_levels: int = 5000, max_iter: int = 60, tol: float = 1e-10, checkpoint: bool = False) -> dict[str, GlmmFit]:
+    """Several models of one response (``{name: (terms, random)}``), each on
+    the rows that are complete in its own columns, as if fitted alone."""
+    specs = {name: (list(terms), list(random)) for name, (terms, random) in specs.items()}
+    factors = list(dict.fromkeys(f for _, random in specs.values() for f in random))
+    columns = list(dict.fromkeys(c for terms, _ in specs.values() for c in design_columns(terms)))
+    base = model_input(df, [response, *columns, *factors], checkpoint)
+    try:
+        rows = base.dropna(subset=[response] if len(specs) > 1 else None)
+        cells = rows.groupBy(*factors).count().drop("count").limit(CELLS + 1).collect()
+        if len(cells) <= CELLS:
+            return _fit_cells(base, rows, response, specs, factors, cells, max_levels, max_iter, tol)
+        if len(specs) > 1:
+            return {name: poisson_glmm(base, response, *spec, max_levels, max_iter=max_iter, tol=tol) for name, spec in specs.items()}
+        (name, (terms, random)), = specs.items()
+        d = build_design(base, terms)
+        frame, feats = _frame_with_factors(base, response, d, random)
+        start = irls(frame, [feats], [d.names], "poisson", max_iter=4, tol=1e-3)[0]
         blocks = Blocks(frame, feats, random, max_levels)
-        beta, theta, ll, it, converged = maximise(blocks, start.coef, max_iter, tol)
-        cov = np.linalg.inv(blocks.information(beta, theta))
-        sigma = {f: float(np.exp(t)) for f, t in zip(random, theta)}
-        return GlmmFit(d.names, beta, cov, sigma, float(ll), blocks.count, it, converged, blocks.mode_tables(beta, theta))
+        return {name: answer(_fitting(blocks, d.names, start.coef, max_iter, tol), blocks.table)}
     finally:
         base.unpersist()
 
 
+def _fitting(blocks: Blocks, names: list[str], beta, max_iter: int, tol: float):
+    """The steps of one model's fit (see ``maximise``)."""
+    beta, theta, ll, it, converged = yield from maximise(blocks, beta, max_iter, tol)
+    cov = np.linalg.inv((yield from blocks.informing(beta, theta)))
+    sigma = {f: float(np.exp(t)) for f, t in zip(blocks.random, theta)}
+    return GlmmFit(names, beta, cov, sigma, float(ll), blocks.count, it, converged, blocks.mode_tables(beta, theta))
+
+
+def _fit_cells(base, rows, response, specs, factors, cells, max_levels, max_iter, tol) -> dict[str, GlmmFit]:
+    """All models in rounds of one job each (see above). A model's intercept
+    is missing in the rows that are not complete in its columns."""
+    import pandas as pd
+    from abundance.functions.columns import ln_factorial
+    levels, designs, index, cols, feats = {}, {}, {}, [], {}
+    for name, (terms, random) in specs.items():
+        d = designs[name] = build_design(base, terms, levels=levels)
+        levels.update(d.levels)
+        needed = sorted({*d.columns, *random})
+        feats[name] = []
+        for n, e in zip(d.names, d.exprs):
+            key = n, tuple(needed) if n == INTERCEPT else ()
+            if key not in index:
+                index[key] = f"__x{len(index)}"
+                missing = F.lit(False)
+                for c in key[1]:
+                    missing = missing | F.col(c).isNull()
+                cols.append(F.when(~missing, e).alias(index[key]))
+            feats[name].append(index[key])
+    numbers = rows.sparkSession.createDataFrame(
+        [(*c, i) for i, c in enumerate(cells)], ", ".join([*[f"`__f{i}` {dict(rows.dtypes)[f]}" for i, f in enumerate(factors)], "__c int"]))
+    same = F.lit(True)
+    for i, f in enumerate(factors):
+        same = same & F.col(f).eqNullSafe(F.col(f"__f{i}"))
+    frame = (rows.join(F.broadcast(numbers), same)
+             .select(F.col(response).cast("double").alias(Y), ln_factorial(F.col(response)).alias(LF), "__c", *cols).cache())
+    try:
+        starts = irls(frame, list(feats.values()), [d.names for d in designs.values()], "poisson", max_iter=4, tol=1e-3)
+        first = _cell_sums(frame, {name: (f, None, False) for name, f in feats.items()}, len(cells))
+        labels = pd.DataFrame({f: pd.Series([c[f] for c in cells], dtype=object) for f in factors})
+        blocks, steps, ask, fits = {}, {}, {}, {}
+        for (name, (_, random)), start in zip(specs.items(), starts):
+            v = first[name]
+            b = FewCells(labels.assign(n=v[:, 0], Sy=v[:, 1]), float(v[:, 2].sum()), v[:, 3:].sum(0), feats[name], random, dict(base.dtypes), max_levels)
+            blocks[name], steps[name] = b, _fitting(b, designs[name].names, start.coef, max_iter, tol)
+            ask[name] = next(steps[name])
+        while ask:
+            got = _cell_sums(frame, {name: (feats[name], *a) for name, a in ask.items()}, len(cells))
+            for name in list(ask):
+                try:
+                    ask[name] = steps[name].send(blocks[name].frame_of(got[name], ask[name][1]))
+                except StopIteration as end:
+                    fits[name] = end.value
+                    del ask[name]
+        return {name: fits[name] for name in specs}
+    finally:
+        frame.unpersist()
+
+
+def _cell_sums(frame: DataFrame, ask: dict, cells: int) -> dict[str, np.ndarray]:
+    """One pass over the rows. ``ask``: {model: (features, beta, second)};
+    per model a matrix with a row per cell: sum e, e x and (``second``) e x x'
+    with e = exp(x'beta), or, where beta is None, the count and the sums of y,
+    ln y! and y x. Tasks add up; their sums meet on the driver, or, where
+    they are many, first by blocks of cells."""
+    used = sorted({f for fs, *_ in ask.values() for f in fs})
+    models = [([used.index(f) for f in fs], beta, second) for fs, beta, second in ask.values()]
+    sizes = [len(ix) + (3 if beta is None else 1 + second * len(ix) ** 2) for ix, beta, second in models]
+    width = sum(sizes)
+    block = max(1, 16_384 // width)
+
+    def part(batches):
+        import pandas as pd
+        total = np.zeros((cells, width))
+        for pdf in batches:
+            c, y, lf = pdf["__c"].to_numpy(), pdf[Y].to_numpy(float), pdf[LF].to_numpy(float)
+            X_all = pdf[used].to_numpy(float)
+            at = 0
+            for ix, beta, second in models:
+                X = X_all[:, ix]
+                there = ~np.isnan(X).any(axis=1)
+                X = np.where(there[:, None], X, 0.0)
+                if beta is None:
+                    parts = [there, there * y, there * lf, *(X * y[:, None]).T]
+                else:
+                    e = np.where(there, np.exp(X @ beta), 0.0)
+                    eX = X * e[:, None]
+                    parts = [e, *eX.T]
+                    parts += [eX[:, j] * X[:, k] for j in range(len(ix)) for k in range(len(ix))] if second else []
+                for v in parts:
+                    total[:, at] += np.bincount(c, v, cells)
+                    at += 1
+        starts = range(0, cells, block)
+        yield pd.DataFrame({"k": list(starts), "v": [total[i:i + block].ravel().tolist() for i in starts]})
+
+    def add(pdf):
+        import pandas as pd
+        return pd.DataFrame({"k": pdf["k"].iloc[:1].to_list(), "v": [np.sum(np.stack([np.asarray(v, float) for v in pdf["v"]]), 0).tolist()]})
+
+    schema = "k int, v array<double>"
+    sums = frame.select(Y, LF, "__c", *used).mapInPandas(part, schema)
+    if frame.rdd.getNumPartitions() * cells * width * 8 > SENT:
+        sums = sums.groupBy("k").applyInPandas(add, schema)
+    out = np.zeros((cells, width))
+    for r in sums.collect():
+        out[r["k"]:r["k"] + block] += np.array(r["v"], float).reshape(-1, width)
+    return dict(zip(ask, np.split(out, np.cumsum(sizes)[:-1], axis=1)))
+
+
 def _fit_dense(frame, feats, names, random, beta, max_levels, max_cells, max_iter, tol, dense) -> GlmmFit:
     levels = {}
     for f in random:

@@ -13,6 +13,11 @@ The gradient in the fixed effects and the log standard deviations is exact:
 the derivative of log|M| through the modes is found by one adjoint solve with
 the same blocks (two more passes; none beyond the first for one factor), so
 the likelihood is maximised by quasi-Newton steps over all parameters at once.
+
+The steps are generators that yield (beta, second) where they need the cells'
+sums at beta, so that several models' tables can come from one pass over the
+rows. Where a model's cells are few (``FewCells``), the driver adds their sums
+up by the same algebra, which saves the jobs of every Newton step.
 """
 
 from __future__ import annotations
@@ -88,6 +93,28 @@ class _Batch:
         return P, m11, self.by_level(P * self.h), self.by_other(P * self.h), N
 
 
+def answer(steps, table):
+    """The result of ``steps`` (a generator), with each (beta, second) it
+    yields answered by ``table(beta, second)``."""
+    reply = None
+    try:
+        while True:
+            reply = table(*steps.send(reply))
+    except StopIteration as end:
+        return end.value
+
+
+def _added(tables, k: int, p: int, u, d: float, work) -> dict:
+    """``work``'s vectors over batches of levels, added up by key."""
+    acc: dict = {}
+    for pdf in tables:
+        for i in range(0, len(pdf), LEVELS):
+            some = pdf.iloc[i:i + LEVELS]
+            for key, v in work(_Batch(some, k, p, u, d), some).items():
+                acc[key] = acc[key] + v if key in acc else v
+    return acc
+
+
 class Blocks:
     """The model's rows with the factors sorted into the large one and the
     others; evaluates the Laplace log-likelihood and its gradient."""
@@ -140,12 +167,7 @@ class Blocks:
 
         def part(batches):
             import pandas as pd
-            acc: dict = {}
-            for pdf in batches:
-                for i in range(0, len(pdf), LEVELS):
-                    some = pdf.iloc[i:i + LEVELS]
-                    for key, v in work(_Batch(some, k, p, u, d), some).items():
-                        acc[key] = acc[key] + v if key in acc else v
+            acc = _added(batches, k, p, u, d, work)
             if acc:
                 yield pd.DataFrame({"k": list(acc), "v": [np.atleast_1d(v).tolist() for v in acc.values()]})
 
@@ -204,12 +226,20 @@ class Blocks:
             self.u = self.u + step
         return t[-1], S
 
+    def hold(self, table):
+        return table.cache() if self.q else table
+
+    def release(self, table):
+        if self.q:
+            table.unpersist()
+
     def evaluate(self, beta, theta):
         """Laplace log-likelihood and its gradient in (beta, theta)."""
+        return answer(self.evaluating(beta, theta), self.table)
+
+    def evaluating(self, beta, theta):
         q, p = self.q, self.p
-        table = self.table(beta)
-        if q:
-            table = table.cache()
+        table = self.hold((yield beta, False))
         try:
             sums, S = self.modes(table, theta) if q else (None, np.zeros((0, 0)))
             V, D = np.linalg.inv(S) if q else S, self.other_precisions(theta)
@@ -242,8 +272,7 @@ class Blocks:
             else:
                 back, sums = t0[p + 2:2 * p + 3], t0[2 * p + 3:]
         finally:
-            if q:
-                table.unpersist()
+            self.release(table)
         d = self.precision(theta)
         fixed = float(self.Yx @ beta) - self.L
         ll = fixed + sums[0] - 0.5 * float(D @ (self.u * self.u)) - 0.5 * sums[1] - sum(self.q_of[f] * t for f, t in zip(self.random, theta))
@@ -264,6 +293,9 @@ class Blocks:
     def information(self, beta, theta) -> np.ndarray:
         """Information in beta with the random effects eliminated (their modes
         are those of the last evaluation)."""
+        return answer(self.informing(beta, theta), self.table)
+
+    def informing(self, beta, theta):
         q, p = self.q, self.p
 
         def work(b, pdf):
@@ -282,7 +314,7 @@ class Blocks:
                 out.update({i: np.concatenate((G[i], S[i])) for i in range(q)})
             return out
 
-        t = self.totals(self.table(beta, True), theta, work)
+        t = self.totals((yield beta, True), theta, work)
         info = t[-1].reshape(p, p)
         if q:
             rows = np.stack([t[i] for i in range(q)])
@@ -306,22 +338,83 @@ class Blocks:
         return out
 
 
+class FewCells(Blocks):
+    """Blocks from the sums of at most a few thousand cells: tables are pandas
+    frames on the driver, each level's cells a list as in ``Blocks.table``.
+
+    ``cells`` has the factors' labels, row count ``n`` and response sum ``Sy``
+    by cell; cells that agree in this model's factors become one."""
+
+    def __init__(self, cells, L: float, Yx, feats: list[str], random: list[str], kinds: dict, max_other: int):
+        self.feats, self.random, self.p, self.L, self.Yx, self.kinds = feats, random, len(feats), L, np.asarray(Yx, float), kinds
+        there = cells["n"].to_numpy() > 0
+        known = {f: sorted(set(cells[f][there]), key=str) for f in random}
+        self.q_of, self.count = {f: len(x) for f, x in known.items()}, int(cells["n"].sum())
+        self.large = max(random, key=lambda f: (self.q_of[f], -random.index(f)))
+        self.others = [f for f in random if f != self.large]
+        if sum(self.q_of[f] for f in self.others) > max_other:
+            raise ValueError(f"the factors beside the largest have more than {max_other} levels in all")
+        self.levels, self.q = {}, 0
+        for f in self.others:
+            self.levels[f] = {lv: self.q + i for i, lv in enumerate(known[f])}
+            self.q += len(known[f])
+        self.large_levels = known[self.large]
+        index = [{lv: i for i, lv in enumerate(self.large_levels)}, *[self.levels[f] for f in self.others]]
+        ids = np.stack([np.array([at[lv] for lv in cells[f][there]], int) for f, at in zip([self.large, *self.others], index)], 1)
+        own, inverse = np.unique(ids.reshape(-1, len(index)), axis=0, return_inverse=True)
+        self.there, self.inverse, self.m, self.J = there, inverse.ravel(), len(own), own[:, 1:]
+        self.cuts = np.flatnonzero(np.diff(own[:, 0])) + 1
+        self.Sy = self.merge(cells["Sy"].to_numpy(float))
+        self.u, self.spread, self.last = np.zeros(self.q), {}, None
+
+    def merge(self, x: np.ndarray) -> np.ndarray:
+        """Values of the given cells added up over this model's cells."""
+        x = x[self.there].reshape(len(self.inverse), -1)
+        return np.stack([np.bincount(self.inverse, c, self.m) for c in x.T], 1)
+
+    def frame_of(self, sums: np.ndarray, second: bool):
+        """The table from the given cells' A, B and (``second``) C, a row each."""
+        import pandas as pd
+        x, p = self.merge(sums), self.p
+        parts = {"A": x[:, :1], "Sy": self.Sy, "B": x[:, 1:1 + p], "J": self.J} | ({"C": x[:, 1 + p:]} if second else {})
+        levels = len(self.large_levels)
+        self.last = pd.DataFrame({c: [a.ravel() for a in np.split(v, self.cuts)] if levels else [] for c, v in parts.items()})
+        return self.last
+
+    def hold(self, table):
+        return table
+
+    def release(self, table):
+        pass
+
+    def totals(self, table, theta, work) -> dict[int, np.ndarray]:
+        return _added([table], len(self.others), self.p, self.u, self.precision(theta)[self.large], work)
+
+    def mode_tables(self, beta, theta) -> dict:
+        from pyspark.sql import SparkSession
+        out = {f: {lv: float(self.u[i]) for lv, i in self.levels[f].items()} for f in self.others}
+        u1 = _Batch(self.last, len(self.others), self.p, self.u, self.precision(theta)[self.large]).u1
+        rows = [(lv, float(x)) for lv, x in zip(self.large_levels, u1)]
+        out[self.large] = SparkSession.getActiveSession().createDataFrame(rows, f"level {self.kinds[self.large]}, mode double")
+        return out
+
+
 def maximise(blocks: Blocks, beta, max_iter: int, tol: float):
-    """Quasi-Newton (BFGS) over (beta, theta). Returns beta, theta, log-likelihood, iterations and
-    whether it converged."""
+    """Quasi-Newton (BFGS) over (beta, theta), as steps that yield (beta, second) for each
+    cell table. Returns beta, theta, log-likelihood, iterations and whether it converged."""
     p, k = blocks.p, len(blocks.random)
-    at = lambda x: blocks.evaluate(x[:p], x[p:])
+    at = lambda x: blocks.evaluating(x[:p], x[p:])
     x = np.concatenate((beta, np.full(k, -0.7)))
-    ll, g = at(x)
+    ll, g = yield from at(x)
     for _ in range(4):                  # EM steps lead near the standard deviations
         theta = np.clip([blocks.spread[f] for f in blocks.random], LOW, HIGH)
         near = np.max(np.abs(theta - x[p:])) < 0.1
         x = np.concatenate((beta, theta))
-        ll, g = at(x)
+        ll, g = yield from at(x)
         if near:
             break
     H = np.zeros((p + k, p + k))
-    H[:p, :p] = np.linalg.pinv(blocks.information(x[:p], x[p:]))
+    H[:p, :p] = np.linalg.pinv((yield from blocks.informing(x[:p], x[p:])))
     H[p:, p:] = np.diag([0.5 / max(blocks.q_of[f], 1) for f in blocks.random])
     for it in range(1, max_iter + 1):
         free = np.ones(p + k, bool)
@@ -337,7 +430,7 @@ def maximise(blocks: Blocks, beta, max_iter: int, tol: float):
         for _ in range(30):
             new = x + t * step
             new[p:] = np.clip(new[p:], LOW, HIGH)
-            ll2, g2 = at(new)
+            ll2, g2 = yield from at(new)
             if np.isfinite(ll2) and ll2 >= ll + 1e-4 * (g @ (new - x)) - 1e-11 * abs(ll):
                 break
             t /= 2

@@ -918,12 +918,12 @@ def glmm_models(spark, d):
     """M3 + M4 + M5: random-intercept Poisson GLMMs of total abundance:
     depth | site, depth | month, depth + posidonia | site + month (crossed),
     depth * posidonia | site; fixed effects, random sd and AIC."""
-    from abundance.models.glmm import poisson_glmm
+    from abundance.models.glmm import poisson_glmm_set
     fr = (_frame(spark, d).withColumn("depth_m", F.col("depth_m") / 100000.0)
           .withColumn("posidonia", F.col("posidonia") / 100.0)
           .withColumn("month", F.substring("date_time", 1, 7)))
     fr = fr.withColumn("turf", F.col("turf") / 100.0)
-    fr = clean.complete_cases(fr, ["depth_m", "posidonia", "site", "month", "turf", "mean_relief"]).cache()
+    fr = clean.complete_cases(fr, ["depth_m", "posidonia", "site", "month", "turf", "mean_relief"])
     specs = {"remod": (["depth_m"], ["site"]), "remod2": (["depth_m"], ["month"]),
              "remod3": (["turf"], ["site"]), "remod4": (["depth_m", "turf"], ["site"]),
              "remod5": (["depth_m", "posidonia"], ["site"]),
@@ -932,12 +932,10 @@ def glmm_models(spark, d):
              "glmer1": (["depth_m*posidonia"], ["site", "month"]),
              "glmer2": (["depth_m*posidonia"], ["site"])}
     rows = []
-    for name, (terms, rnd) in specs.items():
-        f = poisson_glmm(fr, "number", terms, rnd)
+    for name, f in poisson_glmm_set(fr, "number", specs).items():
         sd = ";".join(f"{k}={v:.4f}" for k, v in f.sigma.items())
         for t, b, s, _z, _p in f.table():
             rows.append((name, t, round(b, 4), round(s, 4), sd, round(float(f.aic), 2), int(f.n_used)))
-    fr.unpersist()
     return spark.createDataFrame(
         rows, "model string, term string, estimate double, se double, random_sd string, aic double, n_used long")
 

@@ -381,3 +381,30 @@ def test_glm_set_equals_separate_fits(spark):
         alone = glm(df, "y", specs[name])
         assert fit.names == alone.names and fit.n_used == alone.n_used, name
         assert np.allclose(fit.coef, alone.coef, atol=1e-8) and np.allclose(fit.se, alone.se, rtol=1e-6) and math.isclose(fit.loglik, alone.loglik)
+
+
+def test_glmm_set_shares_its_jobs_and_equals_fits_with_distributed_cells(spark, monkeypatch):
+    from abundance.models import glmm
+    rng = np.random.default_rng(51)
+    n = 1500
+    a, b = rng.integers(0, 12, n), rng.integers(0, 5, n)
+    x, z = rng.normal(0, 1, n), rng.normal(0, 1, n)
+    y = rng.poisson(np.exp(0.3 + 0.4 * x + rng.normal(0, 0.5, 12)[a] + rng.normal(0, 0.3, 5)[b]))
+    pdf = pd.DataFrame({"y": y, "x": x, "z": z, "a": [f"s{i}" for i in a], "b": b})
+    pdf.loc[rng.random(n) < 0.05, "a"] = None
+    pdf.loc[rng.random(n) < 0.05, "z"] = np.nan
+    df = spark.createDataFrame(pdf)
+    specs = {"one": (["x"], ["a"]), "crossed": (["x*z"], ["b", "a"])}
+    spark.sparkContext.setJobGroup("glmm_set", "")
+    fits = glmm.poisson_glmm_set(df, "y", specs)
+    spark.sparkContext.setJobGroup("", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("glmm_set")) < 80     # hundreds where each step is a job
+    monkeypatch.setattr(glmm, "CELLS", 0)
+    for name, (terms, random) in specs.items():
+        f, g = fits[name], glmm.poisson_glmm(df, "y", terms, random)
+        assert f.names == g.names and f.n_used == g.n_used and f.converged and g.converged
+        assert np.allclose(f.coef, g.coef, atol=1e-5) and np.allclose(f.se, g.se, rtol=1e-4) and f.aic == pytest.approx(g.aic, abs=1e-6)
+        assert f.sigma == pytest.approx(g.sigma, abs=1e-4)
+        for factor, m in f.modes.items():
+            m, k = (dict(t.collect()) if hasattr(t, "collect") else t for t in (m, g.modes[factor]))
+            assert m == pytest.approx(k, abs=1e-4)
