@@ -206,6 +206,34 @@ def _sums(frame: DataFrame, feats: list[list[str]], betas: list, family: str, ha
     return {None: [r[f"__m{m}"] for m in range(len(feats))]}
 
 
+def family_arrays(family: str, eta: np.ndarray, y: np.ndarray, lf: np.ndarray):
+    """``_family_parts`` and the Pearson terms for arrays of one shape:
+    (w, wz, deviance, log-likelihood, Pearson); no more than two exponentials a value."""
+    if family == "poisson":
+        w = mu = var = np.exp(eta)
+        wz = mu * eta + (y - mu)
+        ylog = np.where(y > 0, y * (np.log(np.where(y > 0, y, 1.0)) - eta), 0.0)
+        dev = 2.0 * (ylog - (y - mu))
+        ll = y * eta - mu - lf
+    elif family == "binomial":
+        mu = 1.0 / (1.0 + np.exp(-eta))
+        w = var = mu * (1.0 - mu)
+        wz = w * eta + (y - mu)
+        ll = y * eta - (np.maximum(eta, 0) + np.log1p(np.exp(-np.abs(eta))))
+        dev = -2.0 * ll
+    else:
+        tp = tweedie_power(family)
+        mu, low = np.exp(eta), np.exp((1.0 - tp) * eta)             # mu^(1 - p)
+        w = mu * low
+        wz = w * eta + (y - mu) * low
+        yt = np.where(y > 0, np.where(y > 0, y, 1.0) ** (2.0 - tp) / ((1 - tp) * (2 - tp)), 0.0)
+        dev = 2.0 * (yt - y * low / (1.0 - tp) + w / (2.0 - tp))
+        ll = np.full_like(eta, np.nan)
+        var = mu / low
+    pear = (y - mu) ** 2 / np.maximum(var, 1e-300)
+    return w, wz, dev, ll, pear
+
+
 def _sums_arrow(frame: DataFrame, feats: list[list[str]], betas: list, family: str, has_w: bool,
                 grouped: bool) -> dict:
     """One pass for a batch of models: every task turns its Arrow batches
@@ -214,75 +242,83 @@ def _sums_arrow(frame: DataFrame, feats: list[list[str]], betas: list, family: s
     (group, model, position). Used for groups, for wide designs and when many
     models share a pass, where one JVM aggregate with hundreds of expressions
     costs more to plan and compile than to run. Batches are split into groups
-    by one sort."""
+    by one sort. The models' linear predictors and their sums are one matrix
+    product each over blocks of rows that stay in a core's cache: a product of
+    two columns is taken once for all models that hold both."""
     all_feats = sorted({f for fs in feats for f in fs})
     pos = {f: i for i, f in enumerate(all_feats)}
     idx = [[pos[f] for f in fs] for fs in feats]
     cols = [Y, LF, *all_feats] + ([W] if has_w else []) + (["__g"] if grouped else [])
     gtype = dict(frame.dtypes)["__g"] if grouped else "string"
     bet = [b if b is None or isinstance(b, dict) else np.asarray(b, float) for b in betas]
+    M, k = len(idx), len(all_feats)
+    wide = max(len(ix) for ix in idx) > WIDE
+    pairs = [] if wide else sorted({(min(a, b), max(a, b)) for ix in idx for a in ix for b in ix})
+    pair_at = {ab: i for i, ab in enumerate(pairs)}
+    own = [np.array([pair_at[min(ix[i], ix[j]), max(ix[i], ix[j])] for i in range(len(ix)) for j in range(i, len(ix))], int)
+           for ix in idx] if not wide else []
+    first, second = (np.array([ab[i] for ab in pairs], int) for i in (0, 1))
+    holds = np.zeros((k, M))
+    for m, ix in enumerate(idx):
+        holds[ix, m] = 1.0
+
+    def coefficients(g):
+        out, started = np.zeros((k, M)), np.zeros(M, bool)
+        for m, ix in enumerate(idx):
+            b = np.asarray(bet[m][g], float) if isinstance(bet[m], dict) else bet[m]
+            if b is not None:
+                out[ix, m], started[m] = b, True
+        return out, started
+
+    def block_sums(y, lf, X, pw, coef, started):
+        """One block's vectors, a list by model."""
+        gap = np.isnan(X)
+        there = None
+        if gap.any():                           # rows that lack a column of a model are not its rows
+            there = gap.astype(float) @ holds == 0
+            X = np.where(gap, 0.0, X)
+        y, lf = y[:, None], lf[:, None]
+        if started.any():
+            eta = np.clip(X @ coef, -ETA_MAX, ETA_MAX)
+        else:
+            eta = np.empty((len(X), M))
+        if not started.all():
+            eta[:, ~started] = np.log(y + 0.1) if family != "binomial" else np.log((y + 0.5) / (1.5 - y))
+        parts = family_arrays(family, eta, y, lf)
+        if pw is not None:
+            parts = [x * pw[:, None] for x in parts]
+        if there is not None:
+            parts = [np.where(there, x, 0.0) for x in parts]
+        w, wz, *rest = parts
+        n = np.full(M, float(len(X))) if there is None else there.sum(0).astype(float)
+        z = wz.T @ X
+        tail = np.stack([rest[0].sum(0), rest[1].sum(0), n, rest[2].sum(0)], 1)
+        if wide:
+            tri = [((X[:, ix] * w[:, m:m + 1]).T @ X[:, ix])[np.triu_indices(len(ix))] for m, ix in enumerate(idx)]
+        else:
+            products = w.T @ (X[:, first] * X[:, second])
+            tri = [products[m, o] for m, o in enumerate(own)]
+        return [np.concatenate((tri[m], z[m, ix], tail[m])) for m, ix in enumerate(idx)]
 
     def part(batches):
         import pandas as pd
         acc: dict = {}
+        size = max(256, 65_536 // max(M, k, len(pairs)))
         for pdf in batches:
             y_all = pdf[Y].to_numpy(float)
             lf_all = pdf[LF].to_numpy(float)
             X_all = pdf[all_feats].to_numpy(float)
             pw_all = pdf[W].to_numpy(float) if has_w else None
-            pieces = pdf.groupby("__g", sort=False).indices.items() if grouped else [(None, slice(None))]
+            pieces = pdf.groupby("__g", sort=False).indices.items() if grouped else [(None, np.arange(len(pdf)))]
             for g, rows in pieces:
-                y, lf, Xg = y_all[rows], lf_all[rows], X_all[rows]
-                pw = pw_all[rows] if has_w else None
-                gaps = np.isnan(Xg).any()
-                for m, ix in enumerate(idx):
-                    X = Xg[:, ix]
-                    if gaps:                    # rows that lack a column of this model are not its rows
-                        there = ~np.isnan(X).any(axis=1)
-                        X, y, lf = X[there], y_all[rows][there], lf_all[rows][there]
-                        pw = pw_all[rows][there] if has_w else None
-                    b = bet[m]
-                    if isinstance(b, dict):
-                        b = np.asarray(b[g], float)
-                    if b is None:
-                        eta = np.log(y + 0.1) if family != "binomial" else np.log((y + 0.5) / (1.5 - y))
-                    else:
-                        eta = np.clip(X @ b, -ETA_MAX, ETA_MAX)
-                    if family == "poisson":
-                        mu = np.exp(eta)
-                        w = mu
-                        wz = mu * eta + (y - mu)
-                        ylog = np.where(y > 0, y * (np.log(np.where(y > 0, y, 1.0)) - eta), 0.0)
-                        dev = 2.0 * (ylog - (y - mu))
-                        ll = y * eta - mu - lf
-                        var = mu
-                    elif family == "binomial":
-                        mu = 1.0 / (1.0 + np.exp(-eta))
-                        w = mu * (1.0 - mu)
-                        wz = w * eta + (y - mu)
-                        ll = y * eta - (np.maximum(eta, 0) + np.log1p(np.exp(-np.abs(eta))))
-                        dev = -2.0 * ll
-                        var = w
-                    else:
-                        tp = tweedie_power(family)
-                        mu = np.exp(eta)
-                        w = mu ** (2.0 - tp)
-                        wz = w * eta + (y - mu) * mu ** (1.0 - tp)
-                        yt = np.where(y > 0, np.where(y > 0, y, 1.0) ** (2.0 - tp) / ((1 - tp) * (2 - tp)), 0.0)
-                        dev = 2.0 * (yt - y * mu ** (1.0 - tp) / (1.0 - tp) + mu ** (2.0 - tp) / (2.0 - tp))
-                        ll = np.full_like(y, np.nan)
-                        var = mu ** tp
-                    pear = (y - mu) ** 2 / np.maximum(var, 1e-300)
-                    if pw is not None:
-                        w, wz, dev, ll, pear = w * pw, wz * pw, dev * pw, ll * pw, pear * pw
-                    xtwx = (X * w[:, None]).T @ X
-                    iu = np.triu_indices(len(ix))
-                    vec = np.concatenate([xtwx[iu], X.T @ wz, [dev.sum(), ll.sum(), float(len(y)), pear.sum()]])
-                    key = (g, m)
-                    acc[key] = acc[key] + vec if key in acc else vec
+                coef, started = coefficients(g)
+                for i in range(0, len(rows), size):
+                    r = rows[i:i + size]
+                    vectors = block_sums(y_all[r], lf_all[r], X_all[r], pw_all[r] if has_w else None, coef, started)
+                    acc[g] = [a + v for a, v in zip(acc[g], vectors)] if g in acc else vectors
         if acc:
-            yield pd.DataFrame({"__g": [k[0] for k in acc], "__m": [k[1] for k in acc],
-                                "__v": [v.tolist() for v in acc.values()]})
+            yield pd.DataFrame({"__g": [g for g in acc for _ in idx], "__m": list(range(M)) * len(acc),
+                                "__v": [v.tolist() for vs in acc.values() for v in vs]})
 
     out = frame.select(*cols).mapInPandas(part, f"__g {gtype}, __m int, __v array<double>")
     red = (out.select("__g", "__m", F.posexplode("__v").alias("__i", "__x"))

@@ -408,3 +408,28 @@ def test_glmm_set_shares_its_jobs_and_equals_fits_with_distributed_cells(spark,
         for factor, m in f.modes.items():
             m, k = (dict(t.collect()) if hasattr(t, "collect") else t for t in (m, g.modes[factor]))
             assert m == pytest.approx(k, abs=1e-4)
+
+
+def test_glm_by_group_fits_ordinary_groups_in_one_pass(spark, monkeypatch):
+    from abundance.models import glm_groups
+    rng = np.random.default_rng(61)
+    g = np.repeat(np.arange(40), rng.integers(6, 40, 40))
+    pdf = pd.DataFrame({"g": [f"k{i:02d}" for i in g], "x": rng.normal(size=len(g))})
+    pdf["y"] = rng.poisson(np.exp(0.5 + 0.3 * pdf.x)).astype(float)
+    spark.sparkContext.setJobGroup("by_group", "")
+    out = glm_by_group(spark.createDataFrame(pdf.sample(frac=1, random_state=1)), "g", "y", ["x"])
+    by = out.toPandas().set_index(["group", "term"])
+    spark.sparkContext.setJobGroup("", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("by_group")) < 20      # dozens where each iteration is a pass
+    # blocks end inside groups
+    monkeypatch.setattr(glm_groups, "BLOCK", 30)
+    rows = pd.DataFrame({"__g": pdf.g, "__y": pdf.y, "__lfact": [math.lgamma(v + 1) for v in pdf.y], "a": 1.0, "b": pdf.x})
+    fit = glm_groups._fit_whole(["a", "b"], ["(Intercept)", "x"], "poisson", 1e-8, 25)
+    cut = pd.concat(list(fit(rows.iloc[i:i + 11] for i in range(0, len(rows), 11)))).set_index(["group", "term"])
+    assert len(by) == len(cut) == 80 and by.converged.all()
+    assert np.allclose(by.sort_index()[["estimate", "se", "loglik"]], cut.sort_index()[["estimate", "se", "loglik"]], atol=1e-9)
+    for name in ("k00", "k17", "k39"):
+        alone = glm(spark.createDataFrame(pdf[pdf.g == name]), "y", ["x"])
+        got = by.loc[name].loc[alone.names]
+        assert np.allclose(got.estimate, alone.coef, atol=1e-9) and np.allclose(got.se, alone.se, rtol=1e-7)
+        assert (got.n_used == alone.n_used).all() and (got.iterations == alone.iterations).all()
