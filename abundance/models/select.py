@@ -47,7 +47,7 @@ class Subsets(tuple):
 
 def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response: str = "response",
                  max_size: int = 3, cor_cutoff: float = 0.28, max_models: int = 600, smooth: bool = True,
-                 k: int = 3, family: str = "poisson", batch: int = 16,
+                 k: int = 3, family: str = "poisson", batch: int = 128,
                  checkpoint: bool = False) -> Subsets:
     """Return (model table, variable importance), both DataFrames; the
     result's ``failed`` is the table of failed models.
@@ -63,7 +63,7 @@ def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response:
     """
     spark = df.sparkSession
     preds = list(predictors)
-    base = df.dropna(subset=[value, response, *preds])
+    base = df.select(*dict.fromkeys([value, response, *preds])).dropna()
     if checkpoint:
         from abundance.session import cut_lineage
         base = cut_lineage(base)
@@ -90,7 +90,6 @@ def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response:
                 exprs.append(e)
         designs.append(Design(names, exprs, list(combo)))
     frame, feats = model_frame(base, value, designs, group=response)
-    frame = frame.cache()
     rows = []
     try:
         for s in range(0, len(designs), batch):
@@ -100,9 +99,8 @@ def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response:
                 combo = cands[idx[m]]
                 rows.append((g, "+".join(combo) if combo else "null", combo, fit))
         if family.startswith("tweedie:"):
-            _tweedie_logliks(frame, feats, rows, designs, cands, family)
+            _tweedie_logliks(frame, rows, family)
     finally:
-        frame.unpersist()
         base.unpersist()
     out, failed, kept = [], [], []
     for g, name, combo, fit in rows:
@@ -139,41 +137,38 @@ def full_subsets(df: DataFrame, value: str, predictors: Sequence[str], response:
         failed, "response string, modname string, loglik double, converged boolean"))
 
 
-def _tweedie_logliks(frame: DataFrame, feats: list, rows: list, designs: list, cands: list,
-                     family: str) -> None:
-    """One pass: Tweedie log-likelihood of every (response, candidate) at
-    its fitted coefficients and Pearson dispersion; sets ``fit.loglik``."""
-    from abundance.models.glm import Y
+def _tweedie_logliks(frame: DataFrame, rows: list, family: str) -> None:
+    """Tweedie log-likelihood of every (response, candidate) at its fitted
+    coefficients and Pearson dispersion; sets ``fit.loglik``.
+
+    With t(y) the saturated part of the deviance, a log density is
+    s(y, phi) + t(y) / phi - (unit deviance) / (2 phi), where s is the series.
+    The deviance is known from the fit, so what is left depends on the value
+    and the dispersion only: it is summed over the distinct values and their
+    counts, which Spark aggregates."""
+    from abundance.models.glm import Y, tweedie_power
     from abundance.models.tweedie import tweedie_logpdf
-    power = float(family.split(":", 1)[1])
-    all_feats = sorted({f for fs in feats for f in fs})
-    pos = {f: i for i, f in enumerate(all_feats)}
-    index = {tuple(c): i for i, c in enumerate(cands)}
-    spec = []
-    for k, (g, _name, combo, fit) in enumerate(rows):
-        i = index[tuple(combo)]
-        spec.append((k, g, [pos[f] for f in feats[i]], np.asarray(fit.coef, float),
-                     float(fit.extra.get("dispersion", 1.0))))
+    power = tweedie_power(family)
+    spec: dict = {}
+    for k, (g, _name, _combo, fit) in enumerate(rows):
+        spec.setdefault(g, []).append((k, float(fit.extra.get("dispersion", 1.0))))
 
     def part(batches):
         import pandas as pd
         acc: dict = {}
         for pdf in batches:
-            y_all = pdf[Y].to_numpy(float)
-            X_all = pdf[all_feats].to_numpy(float)
-            gs = pdf["__g"].to_numpy()
-            for k, g, ix, b, phi in spec:
-                msk = gs == g
-                if not msk.any():
-                    continue
-                mu = np.exp(X_all[msk][:, ix] @ b)
-                acc[k] = acc.get(k, 0.0) + float(tweedie_logpdf(y_all[msk], mu, phi, power).sum())
+            for g, some in pdf.groupby("__g", sort=False):
+                y, n = some[Y].to_numpy(float), some["__n"].to_numpy(float)
+                for k, phi in spec[g]:
+                    # at mu = y the unit deviance is zero, so this is s + t / phi; a zero's is 0
+                    full = np.where(y > 0, tweedie_logpdf(y, np.where(y > 0, y, 1.0), phi, power), 0.0)
+                    acc[k] = acc.get(k, 0.0) + float(full @ n)
         if acc:
             yield pd.DataFrame({"__k": list(acc.keys()), "__ll": list(acc.values())})
 
-    red = (frame.select(Y, "__g", *all_feats).mapInPandas(part, "__k int, __ll double")
+    red = (frame.groupBy("__g", Y).agg(F.count(F.lit(1)).alias("__n")).mapInPandas(part, "__k int, __ll double")
            .groupBy("__k").agg(F.sum("__ll").alias("__ll")).collect())
     for r in red:
         fit = rows[r["__k"]][3]
-        fit.loglik = r["__ll"]
+        fit.loglik = r["__ll"] - fit.deviance / (2.0 * fit.extra.get("dispersion", 1.0))
         fit.extra["n_params"] = fit.p + 1

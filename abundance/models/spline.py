@@ -46,7 +46,8 @@ def natural_spline_basis(x: Column, knots: Sequence[float]) -> list[Column]:
     d_j = ((x - t_j)_+^3 - (x - t_K)_+^3) / (t_K - t_j)."""
     t = list(knots)
     K = len(t)
-    cube = lambda c: F.pow(F.greatest(c, F.lit(0.0)), 3)
+    ramp = lambda c: F.greatest(c, F.lit(0.0))
+    cube = lambda c: ramp(c) * ramp(c) * ramp(c)
 
     def d(j):
         return (cube(x - F.lit(t[j])) - cube(x - F.lit(t[-1]))) / F.lit(t[-1] - t[j])

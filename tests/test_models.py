@@ -433,3 +433,24 @@ def test_glm_by_group_fits_ordinary_groups_in_one_pass(spark, monkeypatch):
         got = by.loc[name].loc[alone.names]
         assert np.allclose(got.estimate, alone.coef, atol=1e-9) and np.allclose(got.se, alone.se, rtol=1e-7)
         assert (got.n_used == alone.n_used).all() and (got.iterations == alone.iterations).all()
+
+
+def test_full_subsets_shares_passes_and_sums_densities_by_value(spark, monkeypatch):
+    from abundance.models import glm as glm_module
+    from abundance.models.select import full_subsets
+    from abundance.models.tweedie import tweedie_logpdf
+    rng = np.random.default_rng(71)
+    n, names = 400, list("abcdef")
+    pdf = pd.DataFrame({c: rng.normal(size=n) for c in names} | {"response": rng.choice(["s", "t"], n)})
+    pdf["y"] = np.where(pdf.response == "s", rng.poisson(np.exp(0.4 + 0.3 * pdf.a)), rng.gamma(2.0, np.exp(0.2 * pdf.b)))
+    calls, plain = [], glm_module._sums_arrow
+    monkeypatch.setattr(glm_module, "_sums_arrow", lambda *a, **k: calls.append(len(a[1])) or plain(*a, **k))
+    ranked = full_subsets(spark.createDataFrame(pdf), "y", names, max_size=3, cor_cutoff=2.0, smooth=False, family="tweedie:1.5").models.toPandas()
+    assert len(ranked) == 2 * 42 and calls[0] == 42 and len(calls) <= 14           # three batches of passes before
+    for g, combo in (("s", ["a"]), ("t", ["b", "c"]), ("s", [])):
+        some = pdf[pdf.response == g]
+        fit = glm(spark.createDataFrame(some), "y", combo, family="tweedie:1.5")
+        mu = np.exp(np.column_stack([np.ones(len(some)), *[some[c] for c in combo]]) @ fit.coef)
+        want = tweedie_logpdf(some.y.to_numpy(), mu, fit.extra["dispersion"], 1.5).sum()
+        got = ranked[(ranked.response == g) & (ranked.modname == ("+".join(combo) or "null"))].loglik.iloc[0]
+        assert got == pytest.approx(want, rel=1e-8)
